@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, language, simhash
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op4_language_id": language.op4_language_id,
+    "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+}
 ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL}
