@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, quality, simhash, toxicity
+from . import exact_dedup, language, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality": quality.op2_quality,
     "op4_language_id": language.op4_language_id,
+    "op5_packing": packing.op5_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
