@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, packing, quality, simhash, toxicity
+from . import exact_dedup, language, media, packing, quality, simhash, spencode, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality": quality.op2_quality,
     "op4_language_id": language.op4_language_id,
     "op5_packing": packing.op5_packing,
+    "op6_media": media.op6_media,
+    "op8_sentencepiece": spencode.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
