@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, media, packing, quality, simhash, spencode, toxicity
+from . import exact_dedup, language, line_dedup, media, packing, quality, simhash, spencode, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_quality": quality.op2_quality,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_language_id": language.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_media": media.op6_media,
