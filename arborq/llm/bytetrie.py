@@ -135,6 +135,10 @@ class Trie:
         at[at == len(self.codes[k])] = 0
         return np.where(self.codes[k][at] == codes, at + 1, 0)
 
+    def suffix(self, k: int, codes: np.ndarray) -> np.ndarray:
+        """Nodes of order k - 1 that n-grams of order k have without their first byte."""
+        return self.node(k - 1, codes & np.uint64((1 << (8 * k)) - 1))
+
     def ids(self, data: np.ndarray) -> list[np.ndarray]:
         """At every byte the node of each order's n-gram that ends there; bytes before the array count as zeros."""
         out = [self.child[0][data]]
@@ -146,3 +150,38 @@ class Trie:
             before += data
             out.append(table[before])
         return out
+
+
+class ContextCosts:
+    """Code lengths of texts under models that share a trie: bits of a byte in the longest context that the trie has.
+
+    ``cost[k]`` has a row for each node of order k (row 0: a byte no node has) and a column for each model;
+    ``escape[k]`` the bits of leaving a context of k bytes, by the context's node of order k - 1 (one row for k = 0).
+    """
+
+    trie: Trie
+    cost: list[np.ndarray]
+    escape: list[np.ndarray]
+
+    def bits(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        """Code length of each text under each model."""
+        last = len(self.cost) - 1
+        data, starts, ends = padded(raw[offsets[0] : offsets[-1]], offsets - offsets[0], last)
+        ids = self.trie.ids(data)
+        value = self.cost[last][ids[last]]
+        at = np.flatnonzero(ids[last] == 0)
+        if len(at):  # n-grams that the trie lacks: escape until an order has them
+            value[at] = 0
+            k = last
+            while len(at):
+                lacks = ids[k][at] == 0
+                done = at[~lacks] if k else at
+                value[done] += self.cost[k][ids[k][done]]
+                at = at[lacks] if k else at[:0]
+                if len(at):
+                    before = np.where(at > 0, ids[k - 1][at - 1], 1)
+                    value[at] += self.escape[k][before]
+                k -= 1
+        sums = np.add.reduceat(value, np.c_[starts, ends].ravel(), axis=0)[::2]
+        sums[starts == ends] = 0
+        return sums

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from .bytetrie import WINDOW, Trie, count_grams, levels, padded
+from .bytetrie import WINDOW, ContextCosts, Trie, count_grams, levels
 
 UNDETERMINED = "und"
 ORDER = 3
@@ -27,7 +27,7 @@ ORDER = 3
 NODES = 1 << 17
 
 
-class Ppm:
+class Ppm(ContextCosts):
     """Code lengths of texts under several languages' frozen context trees."""
 
     def __init__(self, trees: dict[str, list[tuple[np.ndarray, np.ndarray]]]):
@@ -48,39 +48,13 @@ class Ppm:
             np.add.at(kinds, context, count > 0)
             whole = np.log2(np.maximum(total + kinds, 1))
             escape = np.where(kinds > 0, whole - np.log2(np.maximum(kinds, 1)), 0)
-            shorter = 8.0 if k == 0 else self.cost[k - 1][self.suffix(k, codes)]
+            shorter = 8.0 if k == 0 else self.cost[k - 1][self.trie.suffix(k, codes)]
             found = whole[context] - np.log2(np.maximum(count, 1))
             cost = np.where(count > 0, found, escape[context] + shorter)
             missing = escape[:1] + 8.0 if k == 0 else np.zeros((1, len(self.names)))
             self.cost.append(np.concatenate([missing, cost]))
             self.escape.append(escape)
 
-    def suffix(self, k: int, codes: np.ndarray) -> np.ndarray:
-        return self.trie.node(k - 1, codes & np.uint64((1 << (8 * k)) - 1))
-
-    def bits(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
-        """Code length of each text under each language."""
-        last = len(self.cost) - 1
-        data, starts, ends = padded(raw[offsets[0] : offsets[-1]], offsets - offsets[0], last)
-        ids = self.trie.ids(data)
-        value = self.cost[last][ids[last]]
-        at = np.flatnonzero(ids[last] == 0)
-        if len(at):  # n-grams that no tree keeps: escape until an order has them
-            value[at] = 0
-            k = last
-            while len(at):
-                lacks = ids[k][at] == 0
-                done = at[~lacks] if k else at
-                value[done] += self.cost[k][ids[k][done]]
-                at = at[lacks] if k else at[:0]
-                if len(at):
-                    before = np.where(at > 0, ids[k - 1][at - 1], 1)
-                    value[at] += self.escape[k][before]
-                k -= 1
-        sums = np.add.reduceat(value, np.c_[starts, ends].ravel(), axis=0)[::2]
-        sums[starts == ends] = 0
-        return sums
-
 
 def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES, lang_col: str = "lang", text_col: str = "text") -> Ppm | None:
     """The frozen model of all rows of ``docs`` with a language; None without such rows."""
