@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, line_dedup, media, packing, quality, simhash, spencode, toxicity
+from . import exact_dedup, language, line_dedup, media, packing, pylm, quality, simhash, spencode, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language.op4_language_id,
     "op5_packing": packing.op5_packing,
     "op6_media": media.op6_media,
+    "op7_lm_scoring": pylm.op7_lm_scoring,
     "op8_sentencepiece": spencode.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
