@@ -80,8 +80,8 @@ def rankings(spark: SparkSession) -> DataFrame:
 def score_by(mask: Column, ranking: Column) -> Column:
     """preference_score where the ranking is a column."""
     bit = lambda p: F.element_at(F.create_map(*[F.lit(x) for kv in BITS.items() for x in kv]), p)
-    held = F.transform(ranking, lambda p, i: F.when(mask.bitwiseAND(bit(p)) != 0, F.shiftright(F.lit(8), i)).otherwise(0))
-    return F.aggregate(held, F.lit(0), lambda a, x: a + x)
+    places = [F.element_at(ranking, i + 1) for i in range(len(PILLARS))]
+    return sum((F.when(mask.bitwiseAND(bit(p)) != 0, 8 >> i).otherwise(0) for i, p in enumerate(places)), F.lit(0))
 
 
 def total_order(spark: SparkSession, ranking: tuple[str, ...] = DEFAULT_RANKING) -> DataFrame:

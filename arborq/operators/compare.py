@@ -45,11 +45,14 @@ def _operations(a: list, b: list) -> tuple[int, int, int, int]:
     return tuple(out)
 
 
-@F.pandas_udf("matches long, substitutions long, insertions long, deletions long")
-def edit_operations(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Counts of the operations of one shortest edit between two arrays."""
-    rows = [_operations(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame(rows, columns=["matches", "substitutions", "insertions", "deletions"])
+def edit_operations(a: Column | str, b: Column | str) -> Column:
+    """A struct with the counts of the operations of one shortest edit between two arrays; null arrays are empty."""
+
+    def count(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = [_operations(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)]
+        return pd.DataFrame(rows, columns=["matches", "substitutions", "insertions", "deletions"])
+
+    return F.pandas_udf(count, "matches long, substitutions long, insertions long, deletions long")(a, b)
 
 
 def histogram_distance(left: DataFrame, right: DataFrame, keys: list[str], item: str) -> DataFrame:
@@ -83,7 +86,7 @@ def clones(sequences: DataFrame, vocabulary: list[str], limit: float = CLONE_LIM
     rep = base.groupBy("kinds").agg(F.min("file_id").alias("a"), F.first("n").alias("n"))
     ratio = 1 / (1 - limit)
     band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(ratio))).cast("int")
-    count = [F.size(F.filter("kinds", lambda x, k=k: x == k)).alias(f"c{i}") for i, k in enumerate(vocabulary)]
+    count = [F.size(_only(k)).alias(f"c{i}") for i, k in enumerate(vocabulary)]
     rep = rep.select("a", "kinds", "n", band.alias("band"), F.array(*count).alias("hist"))
     other = rep.select(F.col("a").alias("b"), F.col("kinds").alias("kinds_b"), F.col("n").alias("m"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("hist").alias("hist_b"))
     j = rep.join(other, "band").filter("a < b")
@@ -96,6 +99,10 @@ def clones(sequences: DataFrame, vocabulary: list[str], limit: float = CLONE_LIM
     return near.unionByName(same).distinct()
 
 
+def _only(kind: str) -> Column:
+    return F.filter(F.col("kinds"), lambda x: x == F.lit(kind))
+
+
 def _hops(parents: list[int]) -> np.ndarray:
     """Hop distances within a tree, from each node's parent place (-1 for the root), parents first."""
     n = len(parents)
@@ -140,10 +147,13 @@ def gw_distance(parents_a: list[int], parents_b: list[int]) -> float:
     return float(np.clip((_gw(a, b) - self_term) / top, 0.0, 1.0))
 
 
-@F.pandas_udf("double")
-def tree_gw(a: pd.Series, b: pd.Series) -> pd.Series:
+def tree_gw(a: Column | str, b: Column | str) -> Column:
     """gw_distance of two columns of parent places."""
-    return pd.Series([gw_distance(x, y) for x, y in zip(a, b, strict=True)])
+
+    def distance(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([gw_distance(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return F.pandas_udf(distance, "double")(a, b)
 
 
 def parent_places(nodes: DataFrame, limit: int = GW_NODES) -> DataFrame:

@@ -21,7 +21,7 @@ def reaching_definitions(accesses: DataFrame) -> DataFrame:
 def control_dependence(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_id, src, dst): for each branching edge the last statement of its source block to every statement of its target block."""
     own = edges.filter(F.col("kind").isin("true", "false", "switch_case"))
-    src = blocks.filter(F.size("stmts") > 0).select("file_id", F.col("block_id").alias("src"), F.element_at("stmts", -1).alias("s"))
+    src = blocks.filter(F.size("stmts") > 0).select("file_id", F.col("block_id").alias("src"), F.try_element_at("stmts", F.lit(-1)).alias("s"))
     dst = blocks.select("file_id", F.col("block_id").alias("dst"), F.explode("stmts").alias("t"))
     return own.join(src, ["file_id", "src"]).join(dst, ["file_id", "dst"]).select("file_id", F.col("s").alias("src"), F.col("t").alias("dst"))
 
@@ -39,8 +39,8 @@ def property_graph(nodes: DataFrame, blocks: DataFrame, flow: DataFrame, data: D
     """(file_id, src, dst, family, label): the syntax, flow, data and control families in one table."""
     ast = nodes.filter("parent_id IS NOT NULL").select("file_id", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("ast").alias("family"), F.lit("").alias("label"))
     full = blocks.filter(F.size("stmts") > 0)
-    a = full.select("file_id", F.col("block_id").alias("src"), F.element_at("stmts", -1).alias("s"))
-    b = full.select("file_id", F.col("block_id").alias("dst"), F.element_at("stmts", 1).alias("t"))
+    a = full.select("file_id", F.col("block_id").alias("src"), F.try_element_at("stmts", F.lit(-1)).alias("s"))
+    b = full.select("file_id", F.col("block_id").alias("dst"), F.try_element_at("stmts", F.lit(1)).alias("t"))
     cfg = flow.join(a, ["file_id", "src"]).join(b, ["file_id", "dst"]).select("file_id", F.col("s").alias("src"), F.col("t").alias("dst"), F.lit("cfg").alias("family"), F.col("kind").alias("label"))
     ddg = data.select("file_id", "src", "dst", F.lit("ddg").alias("family"), F.col("var").cast("string").alias("label"))
     cdg = control.select("file_id", "src", "dst", F.lit("cdg").alias("family"), F.lit("").alias("label"))

@@ -21,10 +21,12 @@ def entropy_ratio(text: str | None) -> float:
     return 0.5 + (ratio - 0.5) * len(raw) / SMALL if len(raw) < SMALL and ratio > 0.5 else ratio
 
 
-@F.pandas_udf("double")
-def entropy(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in text:
-        yield pd.Series([entropy_ratio(x) for x in s], dtype=float)
+def entropy(text: Column | str) -> Column:
+    def ratios(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([entropy_ratio(x) for x in s], dtype=float)
+
+    return F.pandas_udf(ratios, "double")(text)
 
 
 def label(value: Column) -> Column:

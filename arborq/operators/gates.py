@@ -89,7 +89,7 @@ def scores(metrics: DataFrame) -> DataFrame:
     """One row a file: simple, composable, secure, navigable; null where a pillar is not measured. Each is its weakest quality."""
     w = wide(metrics)
     c = lambda m: F.col(m.replace(".", "_"))
-    cap = lambda v, most: 1 - F.least(v / most, F.lit(1.0))
+    cap = lambda v, most: F.when(v.isNotNull(), 1 - F.least(v / most, F.lit(1.0)))
     entropy = F.when((c("ast.n_bytes") < 200) & (c("ast.entropy") > 0.5), 1.0).otherwise(F.greatest(F.lit(0.0), _tent(c("ast.entropy"))))
     entropy = F.when(c("ast.entropy").isNotNull(), entropy)
     distance = F.abs(c("mdg.abstractness") + c("mdg.instability") - 1)

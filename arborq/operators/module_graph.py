@@ -6,6 +6,11 @@ computed once by frontier joins and shared by every metric; edges are lifted to
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -48,7 +53,7 @@ def file_lookup(nodes: DataFrame, paths: DataFrame) -> DataFrame:
 def contained_symbols(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(root, id, level): everything below each root by containment; cycles end where a node is met again.
 
-    Each round joins the newest frontier only. The plan of a round is cut by checkpoint(), so it does not grow.
+    Each round joins the newest frontier only. A round's result is written as a table, so plans do not grow.
     """
     down = edges.filter(F.col("rel_type").isin(*CONTAINMENT)).select("src", "dst").distinct()
     found = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))
@@ -62,21 +67,26 @@ def contained_symbols(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_
     return found.filter("level > 0")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+_own_dirs: dict[str, str] = {}
 
 
-def ensure_checkpoint_dir(spark) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        if not configured:
-            import tempfile
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset, an own one that goes with the process."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="arborq-tables-")
+        atexit.register(shutil.rmtree, _own_dirs[app], True)
+    return "file://" + _own_dirs[app]
 
-            configured = tempfile.mkdtemp(prefix="arborq-checkpoint-")
-        sc.setCheckpointDir(configured)
+
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: written as a table to the shared folder and read again, so lost executors cost nothing."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def owning_file(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -53,7 +53,7 @@ def with_sort_key(classified: DataFrame, outcomes: DataFrame) -> DataFrame:
     out = out.na.fill(0, ["failures"]).na.fill(False, ["hard_fail"]).withColumn("weakest", weakest(out))
     giant = ~F.col("hard_fail") & (F.coalesce("cyclomatic", F.lit(0.0)) > GIANT)
     key = F.when(F.col("hard_fail"), F.struct(F.lit(0).alias("a"), (-F.col("failures")).cast("double").alias("b"), F.col("weakest").alias("c")))
-    key = key.when(giant, F.struct(F.lit(1).alias("a"), -F.col("cyclomatic"), F.lit(0.0))).otherwise(F.struct(F.lit(2).alias("a"), F.col("weakest"), F.lit(0.0)))
+    key = key.when(giant, F.struct(F.lit(1).alias("a"), (-F.col("cyclomatic")).alias("b"), F.lit(0.0).alias("c"))).otherwise(F.struct(F.lit(2).alias("a"), F.col("weakest").alias("b"), F.lit(0.0).alias("c")))
     return out.withColumn("giant", giant).withColumn("sort_key", key)
 
 

@@ -83,11 +83,11 @@ def bridge(nodes: DataFrame, statements: DataFrame) -> DataFrame:
 
 def reachable(starts: DataFrame, edges: DataFrame, max_rounds: int = 256) -> DataFrame:
     """(file_id, start, at): everything that a start reaches along edges (file_id, src, dst), itself included."""
-    arcs = edges.select("file_id", "src", "dst").distinct()
-    met = starts.select("file_id", F.col("stmt").alias("start"), F.col("stmt").alias("at")).distinct()
+    arcs = cut(edges.select("file_id", "src", "dst").distinct())
+    met = cut(starts.select("file_id", F.col("stmt").alias("start"), F.col("stmt").alias("at")).distinct())
     frontier = met
     for _ in range(max_rounds):
-        nxt = frontier.join(arcs, (frontier["file_id"] == arcs["file_id"]) & (frontier["at"] == arcs["src"])).select(frontier["file_id"], "start", F.col("dst").alias("at")).distinct()
+        nxt = frontier.withColumnRenamed("at", "src").join(arcs, ["file_id", "src"]).select("file_id", "start", F.col("dst").alias("at")).distinct()
         nxt = cut(nxt.join(met, ["file_id", "start", "at"], "left_anti"))
         if nxt.isEmpty():
             break
