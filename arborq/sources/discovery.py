@@ -71,7 +71,7 @@ def scan(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] | None
     raw = None
     for root in roots:
         part = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-        part = part.withColumn("rel", F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/")) + "/?", ""))
+        part = part.withColumn("rel", F.regexp_replace("path", "^.*?" + re.escape(re.sub("^[a-z0-9+.-]+:/+", "/", root).rstrip("/")) + "/?", ""))
         raw = part if raw is None else raw.unionByName(part)
     own = raw.filter(F.col("rel").rlike("(" + "|".join(re.escape(s) for s in suffixes) + ")$") & ~pruned(F.col("rel")))
     if ignore:

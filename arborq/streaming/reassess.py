@@ -29,7 +29,8 @@ def reassess(changes: DataFrame, evaluate: Callable[[DataFrame], DataFrame], sta
                 raise
             before = now.limit(0)
         known = before.join(now.select("file_id"), "file_id", "left_semi")
-        status(score_deltas(known, now)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
+        again = now.join(before.select("file_id"), "file_id", "left_semi")  # a file met for the first time has nothing to compare with
+        status(score_deltas(known, again)).write.mode("overwrite").parquet(f"{out_path}/batch={number}")
         now.write.mode("overwrite").parquet(f"{state_path}/batch={number}")
 
     writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
