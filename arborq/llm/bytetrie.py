@@ -91,7 +91,7 @@ def count_grams(rows: DataFrame, size: int) -> DataFrame:
                         held, pending = {}, 0
         yield from send()
 
-    parts = rows.select("grp", "text").mapInArrow(work, "grp string, gram long, n long")
+    parts = rows.select("grp", "text").mapInArrow(C.tidy(work), "grp string, gram long, n long")
     return parts.groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -116,17 +116,30 @@ def levels(counts: DataFrame, size: int, nodes: int) -> dict[str, list[tuple[np.
 
 
 class Trie:
-    """Finds each position's node of every order. Node 0 of an order stands for n-grams the tree lacks."""
+    """Finds each position's node of every order. Node 0 of an order stands for n-grams the tree lacks.
+
+    Only the n-gram numbers are pickled; the lookup tables are built where they are used.
+    """
 
     def __init__(self, codes: list[np.ndarray]):
         """codes: the sorted n-gram numbers of orders 1, 2, ...; whatever an n-gram extends is there too."""
         self.codes = [np.union1d(c.astype(np.uint64), np.zeros(1, np.uint64)) for c in codes]
+        self.child = None
+
+    def __getstate__(self):
+        return {"codes": self.codes, "child": None}
+
+    def build(self) -> None:
+        """One table an order: by the node before and the byte's symbol. Bytes without a node share a symbol."""
+        known = self.codes[0].astype(np.int64)
+        self.width = len(known) + 1
+        self.symbol = np.full(256, len(known), np.int64)
+        self.symbol[known] = np.arange(len(known))
         self.child = []
         for k, c in enumerate(self.codes):
-            table = np.zeros((len(self.codes[k - 1]) + 1 if k else 1) * 256, np.int32)
+            table = np.zeros((len(self.codes[k - 1]) + 1 if k else 1) * self.width, np.int32)
             at = (1 + np.searchsorted(self.codes[k - 1], c >> np.uint64(8))) if k else np.zeros(len(c), np.int64)
-            table[at * 256 + (c & np.uint64(255)).astype(np.int64)] = 1 + np.arange(len(c), dtype=np.int32)
-            table[: 256 if k else 0] = 0  # what extends an n-gram that the tree lacks
+            table[at * self.width + self.symbol[(c & np.uint64(255)).astype(np.int64)]] = 1 + np.arange(len(c), dtype=np.int32)
             self.child.append(table)
 
     def node(self, k: int, codes: np.ndarray) -> np.ndarray:
@@ -141,13 +154,15 @@ class Trie:
 
     def ids(self, data: np.ndarray) -> list[np.ndarray]:
         """At every byte the node of each order's n-gram that ends there; bytes before the array count as zeros."""
-        out = [self.child[0][data]]
+        if self.child is None:
+            self.build()
+        own = self.symbol[data]
+        out = [self.child[0][own]]
         for table in self.child[1:]:
             before = np.empty(len(data), np.int64)
-            before[0] = 1
-            np.multiply(out[-1][:-1], 256, out=before[1:], casting="unsafe")
-            before[0] = 256  # the node of zeros is the first
-            before += data
+            before[:1] = self.width  # the node of zeros is the first
+            np.multiply(out[-1][:-1], self.width, out=before[1:], casting="unsafe")
+            before += own
             out.append(table[before])
         return out
 

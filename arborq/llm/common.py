@@ -13,6 +13,7 @@ Conventions used by every operator of this subpackage
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -38,10 +39,32 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+#: Rows of one Arrow batch at most: with long texts a batch of the default 10,000 rows takes tens of MB in each process.
+BATCH_ROWS = 2000
+
+
+def tidy(work):
+    """A function of Arrow batches that gives memory back to the system when its partition ends: workers live on for other stages."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # only the GNU library has it
+            pass
+
+    return run
+
+
 class Stage:
-    """Staged tables of one operator call; ``drop`` removes those that later steps do not read."""
+    """Staged tables of one operator call; ``drop`` removes those that later steps do not read.
+
+    Sets the session's rows of an Arrow batch to BATCH_ROWS.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def table(self, df: DataFrame) -> DataFrame:
