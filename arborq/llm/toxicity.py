@@ -30,7 +30,7 @@ from .labelled import FIT_ROWS, Isotonic, training_labels
 
 WINDOW = 48
 LEVEL = 3
-DICTIONARY_DOCS = 2000
+DICTIONARY_DOCS = 1500
 BASE_BYTES = 32 << 10
 FRAGMENT_BYTES = 3 << 10
 GRAM, CONTEXT = 6, 4
@@ -64,10 +64,17 @@ def _spelled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, code, (before * np.uint64(0x9E3779B97F4A7C15)) ^ (code * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def _contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _contexts(texts: list[bytes], slices: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of the texts, each with the number of distinct contexts it stands in (so copies count once)."""
     _, code, pair = _spelled(texts)
-    return np.unique(code[np.unique(pair, return_index=True)[1]], return_counts=True)
+    found = []
+    for s in range(slices):  # by slices of the n-grams, for memory
+        own = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(slices) == s
+        part = code[own]
+        found.append(np.unique(part[np.unique(pair[own], return_index=True)[1]], return_counts=True))
+    grams, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(grams)
+    return grams[order], n[order]
 
 
 def fragments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
@@ -100,15 +107,19 @@ def fragments(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
 class Model:
     """Both dictionaries, the weights of the window counts and the calibration."""
 
-    def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
+    def __init__(self, dictionaries: tuple[bytes, bytes]):
+        self.dictionaries = dictionaries
+        self.weights, self.curve = None, None
+
+    @staticmethod
+    def train(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
         parts = [w for t in ordinary for w in cut(t, 256, 256)]
         try:
             base = zstandard.train_dictionary(BASE_BYTES, parts, k=16, d=6).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself
             base = b"".join(ordinary)[-BASE_BYTES:]
         special = fragments(toxic, ordinary)
-        self.dictionaries = (special + base, bytes(len(special)) + base)
-        self.weights, self.curve = None, None
+        return special + base, bytes(len(special)) + base
 
     def compressors(self):
         out = []
@@ -146,7 +157,7 @@ def window_features(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "f"])
 
     rows = C.id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f array<double>")
+    return rows.mapInArrow(C.tidy(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, f array<double>")
 
 
 def dictionaries(docs: DataFrame, labels: DataFrame, dictionary_docs: int = DICTIONARY_DOCS) -> Model | None:
@@ -156,10 +167,20 @@ def dictionaries(docs: DataFrame, labels: DataFrame, dictionary_docs: int = DICT
         return None
     share = F.when(F.col("y") == 1, min(1.0, dictionary_docs / n[1.0])).otherwise(min(1.0, 2 * dictionary_docs / n[0.0]))
     chosen = labels.filter((F.col("fold") == 0) & (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) <= share * (1 << 20)))
-    rows = C.id_and_text(docs).join(chosen, "doc_id").select("doc_id", "y", "text").toPandas().sort_values("doc_id")
-    texts = {y: list(dict.fromkeys(t.encode().lower() for t in rows[rows["y"] == y]["text"])) for y in (0.0, 1.0)}
-    texts = {y: [t for t in ts if t] for y, ts in texts.items()}
-    return Model(texts[1.0], texts[0.0]) if texts[0.0] and texts[1.0] else None
+    # 3 * dictionary_docs identifiers are expected at any size: small enough to broadcast, so no other text moves
+    rows = C.id_and_text(docs).join(F.broadcast(chosen), "doc_id").select(F.xxhash64("text").alias("h"), "y", "text")
+
+    def train(table: pa.Table) -> pa.Table:  # the bounded sample in one task, off the driver
+        table = table.sort_by([("h", "ascending"), ("text", "ascending")])
+        texts: dict[float, dict[bytes, None]] = {0.0: {}, 1.0: {}}
+        for y, t in zip(table.column("y").to_pylist(), table.column("text").to_pylist(), strict=True):
+            texts[y].setdefault(t.encode().lower())
+        toxic, ordinary = ([t for t in texts[y] if t] for y in (1.0, 0.0))
+        found = [Model.train(toxic, ordinary)] if toxic and ordinary else []
+        return pa.table([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], ["toxic", "ordinary"])
+
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(train, "toxic binary, ordinary binary").collect()
+    return Model((bytes(found[0][0]), bytes(found[0][1]))) if found else None
 
 
 def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", fit_rows: int = FIT_ROWS, dictionary_docs: int = DICTIONARY_DOCS) -> DataFrame:
@@ -192,7 +213,7 @@ def classify(docs: DataFrame, labels: DataFrame, target: str = "toxic", fit_rows
             s = m.curve(np.column_stack([np.ones(len(f)), f]) @ m.weights)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(s, 0, 1))], ["doc_id", "score"])
 
-    out = features.mapInArrow(work, f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
+    out = features.mapInArrow(C.tidy(work), f"doc_id {features.schema['doc_id'].dataType.simpleString()}, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
