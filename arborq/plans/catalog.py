@@ -238,7 +238,7 @@ def _(spark, d):
 
 @query("node_text", "SELECT doc_id, CASE WHEN strlen(text) >= 20 THEN substr(text, 6, 15) ELSE '' END AS t FROM documents WHERE lang = 'en' AND regexp_full_match(substr(text, 1, 20), '[ -~]*')")
 def _(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'").filter(F.substring("text", 1, 20).rlike("^[ -~]*$"))
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'").filter(F.substring("text", 1, 20).rlike("^[ -~]*\\z"))
     return docs.select("doc_id", N.node_text(F.col("text"), F.lit(5), F.when(F.octet_length("text") >= 20, 20).otherwise(-1)).alias("t"))
 
 
