@@ -90,7 +90,7 @@ def identify(docs: DataFrame, model: Ppm | None, id_col: str = "doc_id", text_co
             best[~letters] = len(ppm.names)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best], pa.string()), pa.array(np.where(letters, share, 0.0)), pa.array(least)], ["doc_id", "lang_pred", "score", "bits"])
 
-    return rows.mapInArrow(work, kind)
+    return rows.mapInArrow(C.tidy(work), kind)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
                 n, chosen = np.diff(np.r_[new, len(order)]), order[new]
                 yield pa.RecordBatch.from_arrays([pa.array(c[chosen, 4]), ids.take(pa.array(who[chosen])), pa.array(at[chosen]), pa.array(n)], ["hash", "doc_id", "at", "n"])
 
-    seen = rows.select("doc_id", "text").mapInArrow(occurrences, f"hash long, doc_id {kind}, at long, n long")
+    seen = rows.select("doc_id", "text").mapInArrow(C.tidy(occurrences), f"hash long, doc_id {kind}, at long, n long")
     index = stage.table(seen.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.sum("n").alias("n")).filter("n > 1"))
     held = spark.sparkContext.broadcast(_bits(index, "hash"))
 
@@ -158,7 +158,7 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
                     body = pa.array([raw[x:y] for x, y in c[:, 1:3].tolist()], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c[:, 4]), b.column(0).take(who), b.column(2).take(who), pa.array(c[:, 1] - base), pa.array(c[:, 3] - base), body], ["hash", "doc_id", "digest", "from", "to", "body"])
 
-    found = rows.select("doc_id", "text", "digest").mapInArrow(candidates, f"hash long, doc_id {kind}, digest long, from long, to long, body binary")
+    found = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(candidates), f"hash long, doc_id {kind}, digest long, from long, to long, body binary")
     found = stage.table(found)
     total = max(1, found.count())
     marked = stage.table(C.join_by_group(found, index, ["hash"], "n", total, "inner"))

@@ -78,7 +78,7 @@ def tokenised(docs: DataFrame, tokenizer: dict, length: int, end_id: int, id_col
 
     rows = C.id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(work, f"part int, row long, doc_id {kind}, doc_tokens long, full array<long>, rest int, rest_crc long, rest_ids binary")
+    return rows.mapInArrow(C.tidy(work), f"part int, row long, doc_id {kind}, doc_tokens long, full array<long>, rest int, rest_crc long, rest_ids binary")
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:

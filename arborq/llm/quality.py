@@ -66,7 +66,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(0), values], ["doc_id", "stats"])
 
     rows = C.id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, stats array<double>")
+    return rows.mapInArrow(C.tidy(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, stats array<double>")
 
 
 def _matrix(column) -> np.ndarray:
@@ -160,7 +160,7 @@ def score(stats: DataFrame, model: Model | None) -> DataFrame:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held.value.score(_matrix(b.column(1))))], ["doc_id", "score"])
 
-        out = stats.select("doc_id", "stats").mapInArrow(work, kind)
+        out = stats.select("doc_id", "stats").mapInArrow(C.tidy(work), kind)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

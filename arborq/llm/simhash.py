@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     rows = C.id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(C.tidy(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _masks(bits: range, sizes: tuple[int, ...]) -> list[int]:
