@@ -3,9 +3,13 @@
 A line ends at a line break, or at white space behind one of .!?,;: so that long paragraphs have lines too. Rolling hashes over
 the hashes of ``rolled`` neighbouring lines choose the boundaries: a chunk ends where the rolling hash is smaller than
 its neighbours', which depends on nothing but the lines nearby, so a passage is cut alike wherever it stands and a chunk
-has two lines or more. Texts are cut once for each of ``TILINGS`` hash functions. A chunk of at least ``min_words`` words
-that occurs again anywhere is removed but for its first occurrence (smallest doc_id, then place), after its bytes have
-been compared with those of the first.
+has two lines or more. Words of one hash in ``CUT`` end lines too, so text without stops has lines. A chunk of fewer than ``min_words``
+words before another such is joined with as many of the next ones as it takes. Texts are cut once for each of ``TILINGS`` hash functions.
+A chunk of at least ``min_words`` words that occurs again anywhere is removed but for its first occurrence (smallest doc_id, then
+place), after its bytes have been compared with those of the first. What is removed is then extended to both sides, byte by byte,
+as far as the text agrees with that around the first occurrence, in whole words. The bytes compared go beyond the next chunk of the same
+tiling: were the passage longer than that, the next chunk would be repeated too and be extended itself. Every byte removed
+equals one at an earlier place, so one copy of a passage always stays.
 
 Results for odd inputs: null text is the empty text and stays empty; texts without a repeated chunk stay as they are; rows that
 repeat both identifier and text count as one document; a text of which everything is removed becomes empty, and its row stays;
@@ -18,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -26,6 +31,10 @@ WINDOW = 2 << 20
 #: (rolled, seed) of each tiling.
 TILINGS = ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F))
 MIN_WORDS = 8
+#: A word in so many ends a line, so that text without stops has lines too.
+CUT = 4
+#: Lines on which a boundary depends, on either side.
+LINES = 4
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?,;:", np.uint8))
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,6 +50,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _word_hashes(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """At each byte a hash of the last bytes of its word, eight at most."""
+    h, value = np.zeros(len(data), np.uint64), _BYTE[data]
+    value[blank] = 0
+    inside = ~blank
+    for k in range(min(8, len(data))):
+        part = value[: len(data) - k] * np.uint64(pow(_ODD, k, 1 << 64))
+        h[k:] += np.where(inside[k:], part, np.uint64(0))
+        inside[k + 1 :] &= ~blank[: len(data) - k - 1]
+    return _mix(h)
+
+
 class _Hashes:
     """Hashes of any byte ranges of one array, from prefix sums."""
 
@@ -59,11 +80,14 @@ class _Hashes:
 
 
 def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, tilings=TILINGS):
-    """Of texts laid end to end: (text, start, end, next, hash) of each chunk; next is where the line after it starts."""
+    """Of texts laid end to end: (text, start, end, next, hash, before, after) of each chunk.
+
+    next is where the line after it starts; before and after bound the bytes to compare around it: LINES lines beyond the chunk to each side.
+    """
     n = len(data)
     blank = _BLANK[data]
     cut = data == 10
-    cut[1:] |= blank[1:] & _STOPS[data[:-1]]
+    cut[1:] |= blank[1:] & (_STOPS[data[:-1]] | (_word_hashes(data, blank)[:-1] & np.uint64(CUT - 1) == 0))
     first = np.union1d(offsets[:-1], np.flatnonzero(cut) + 1)
     first = first[first < n]
     place = np.arange(n)
@@ -89,12 +113,29 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, ti
         last = low | ~same_after
         lo = np.flatnonzero(np.r_[True, last[:-1]]) if len(last) else np.zeros(0, np.int64)
         hi = np.flatnonzero(last)
+        short = words[end[hi]] - words[start[lo]] < min_words
+        both = np.flatnonzero(short & np.r_[short[1:] & (text[lo[1:]] == text[lo[:-1]]), False][: len(short)])
+        to = np.searchsorted(words[end[hi]], words[start[lo[both]]] + min_words)  # the first chunk with enough words before its end
+        both, to = both[to < len(hi)], to[to < len(hi)]
+        same = text[hi[to]] == text[lo[both]]
+        hi, tops = hi.copy(), hi
+        hi[both[same]] = tops[to[same]]
         a, b = start[lo], end[hi]
         use = (hi > lo) & (words[b] - words[a] >= min_words)
         lo, hi, a, b = lo[use], hi[use], a[use], b[use]
-        nxt = np.where(same_after[hi], np.r_[first, n][hi + 1], offsets[text[hi] + 1])
-        out.append(np.column_stack([text[hi], a, b, nxt, hashes(a, b).view(np.int64)]))
-    return np.concatenate(out) if out else np.zeros((0, 5), np.int64)
+        t = text[lo]
+        nxt = np.where(same_after[hi], np.r_[first, n][hi + 1], offsets[t + 1])
+        early, late = np.searchsorted(text, t), np.searchsorted(text, t, "right") - 1
+        # the chunks before and after that do not overlap it
+        prior = np.searchsorted(hi, lo) - 1
+        later = np.searchsorted(lo, hi, "right")
+        before = np.where((prior >= 0) & (t[np.maximum(prior, 0)] == t), np.maximum(lo[np.maximum(prior, 0)] - LINES, early), early) if len(lo) else lo
+        inside = np.minimum(later, max(len(lo) - 1, 0))
+        after = np.where((later < len(lo)) & (t[inside] == t), np.minimum(hi[inside] + LINES, late), late) if len(lo) else hi
+        left = np.where(before == early, offsets[t], start[before])
+        right = np.where(after == late, offsets[t + 1], end[after])
+        out.append(np.column_stack([t, a, b, nxt, hashes(a, b).view(np.int64), left, right]))
+    return np.concatenate(out) if out else np.zeros((0, 7), np.int64)
 
 
 def _windows(batch):
@@ -156,19 +197,100 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
                 if len(c):
                     base, raw, who = offsets[c[:, 0]], part.tobytes(), pa.array(i + c[:, 0])
                     body = pa.array([raw[x:y] for x, y in c[:, 1:3].tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c[:, 4]), b.column(0).take(who), b.column(2).take(who), pa.array(c[:, 1] - base), pa.array(c[:, 3] - base), body], ["hash", "doc_id", "digest", "from", "to", "body"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[:, 4]), b.column(0).take(who), b.column(2).take(who), pa.array(c[:, 1] - base), pa.array(c[:, 2] - base), pa.array(c[:, 3] - base), body], ["hash", "doc_id", "digest", "from", "end", "to", "body"])
 
-    found = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(candidates), f"hash long, doc_id {kind}, digest long, from long, to long, body binary")
+    found = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(candidates), f"hash long, doc_id {kind}, digest long, from long, end long, to long, body binary")
     found = stage.table(found)
     total = max(1, found.count())
     marked = stage.table(C.join_by_group(found, index, ["hash"], "n", total, "inner"))
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("from") == F.col("first.at"))
     bodies = marked.filter(is_first).groupBy("hash").agg(F.min("body").alias("kept"), F.max("n").alias("n"))
     compared = C.join_by_group(marked.filter(~is_first).drop("n"), bodies, ["hash"], "n", total, "inner").filter("body = kept")
-    out = stage.table(compared.select("doc_id", "digest", "from", "to"))
+    # rows that share identifier and text give the same range twice
+    ranges = compared.groupBy("doc_id", "digest", "hash", "from").agg(F.max("end").alias("end"), F.max("to").alias("to"), F.min("first").alias("first"), F.max("n").alias("n"))
+    own = W.partitionBy("doc_id", "digest")
+    over = lambda *order: own.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.withColumn("left", F.coalesce(F.max("to").over(over("from", F.desc("to"), "hash")) < F.col("from"), F.lit(True)))
+    ranges = ranges.withColumn("right", F.coalesce(F.min("from").over(over(F.desc("to"), "from", "hash")) > F.col("to"), F.lit(True)))
+    ranges = stage.table(ranges)
     held.unpersist()
     stage.drop(found, index, marked)
-    return out
+    grown = stage.table(_extended(rows, ranges.filter("left OR right"), stage, min_words))
+    return ranges.select("doc_id", "digest", "from", "to").unionByName(grown)
+
+
+def _at_word(text: bytes, i: int) -> bool:
+    """Whether a word ends or starts there: at blanks, the text's ends, and before letters of scripts without blanks."""
+    return i in (0, len(text)) or bool(_BLANK[text[i]] or _BLANK[text[i - 1]]) or text[i] >= 0xE3
+
+
+def agreement(mine: bytes, other: bytes) -> int:
+    """Length of the longest common prefix that ends between words of both."""
+    n = min(len(mine), len(other))
+    differ = np.flatnonzero(np.frombuffer(mine, np.uint8, n) != np.frombuffer(other, np.uint8, n))
+    k = int(differ[0]) if len(differ) else n
+    while k and not (_at_word(mine, k) and _at_word(other, k)):
+        k -= 1
+    return k
+
+
+def agreement_before(mine: bytes, other: bytes) -> int:
+    """Length of the longest common suffix that starts between words of both."""
+    n = min(len(mine), len(other))
+    a, b = np.frombuffer(mine, np.uint8)[len(mine) - n :][::-1], np.frombuffer(other, np.uint8)[len(other) - n :][::-1]
+    differ = np.flatnonzero(a != b)
+    k = int(differ[0]) if len(differ) else n
+    while k and not (_at_word(mine, len(mine) - k) and _at_word(other, len(other) - k)):
+        k -= 1
+    return k
+
+
+def _extended(rows: DataFrame, ends: DataFrame, stage: C.Stage, min_words: int) -> DataFrame:
+    """doc_id, digest, from, to: the outermost ranges of each run, extended as far as the text around the first occurrence agrees."""
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    place = F.explode(F.array(F.col("hash").bitwiseXOR(F.col("from")), F.col("hash").bitwiseXOR(F.col("first.at")))).alias("place")
+    held = spark.sparkContext.broadcast(_bits(ends.select(place), "place"))
+
+    def around(batches):
+        bits = np.frombuffer(held.value, np.uint8)
+        for b in batches:
+            for i, offsets, part in _windows(b):
+                c = chunks(part, offsets, min_words)
+                base = offsets[c[:, 0]]
+                at = (c[:, 4] ^ (c[:, 1] - base)).view(np.uint64) & np.uint64(FILTER_BITS - 1)
+                use = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                c, base = c[use], base[use]
+                if len(c):
+                    raw, who = part.tobytes(), pa.array(i + c[:, 0])
+                    before = pa.array([raw[x:y] for x, y in c[:, [5, 1]].tolist()], pa.binary())
+                    after = pa.array([raw[x:y] for x, y in c[:, [2, 6]].tolist()], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c[:, 4]), b.column(0).take(who), b.column(2).take(who), pa.array(c[:, 1] - base), before, after], ["hash", "doc_id", "digest", "from", "before", "after"])
+
+    texts = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, doc_id {kind}, digest long, from long, before binary, after binary")
+    texts = stage.table(texts)
+    # both tilings may give a chunk, with different bytes around it: the longer ones serve
+    wide = [F.max_by(c, F.length(c)).alias(c) for c in ("before", "after")]
+    here = texts.groupBy("hash", "doc_id", "digest", "from").agg(*wide)
+    mine = ends.select(F.col("hash").alias("_hash"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("from").alias("_from"), "end", "to", "first", "n", "left", "right")
+    same = (here["hash"] == F.col("_hash")) & here["doc_id"].eqNullSafe(F.col("_doc")) & (here["digest"] == F.col("_digest")) & (here["from"] == F.col("_from"))
+    mine = stage.table(here.join(mine, same).drop("_hash", "_doc", "_digest", "_from"))
+    firsts = ends.groupBy("hash").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).select(F.col("hash").alias("_hash"), F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"), "n")
+    there = here.join(firsts, (here["hash"] == F.col("_hash")) & here["doc_id"].eqNullSafe(F.col("_doc")) & (here["from"] == F.col("_at")))
+    # one text, where rows share an identifier
+    there = there.groupBy("hash").agg(F.min_by(F.struct("before", "after"), "digest").alias("other"), F.max("n").alias("n"))
+    pairs = C.join_by_group(mine.drop("n"), there, ["hash"], "n", max(1, mine.count()), "inner")
+
+    def work(batches):
+        for b in batches:
+            rows = b.to_pydict()
+            less = [agreement_before(x, o["before"]) if use else 0 for x, o, use in zip(rows["before"], rows["other"], rows["left"], strict=True)]
+            more = [agreement(x, o["after"]) if use else 0 for x, o, use in zip(rows["after"], rows["other"], rows["right"], strict=True)]
+            start = np.array(rows["from"], np.int64) - np.array(less, np.int64)
+            stop = np.maximum(np.array(rows["to"], np.int64), np.array(rows["end"], np.int64) + np.array(more, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), pa.array(stop)], ["doc_id", "digest", "from", "to"])
+
+    pairs = pairs.select("doc_id", "digest", "from", "end", "to", "left", "right", "before", "after", "other")
+    return pairs.mapInArrow(C.tidy(work), f"doc_id {kind}, digest long, from long, to long")
 
 
 def without_ranges(text: bytes, ranges: list[tuple[int, int]]) -> bytes:

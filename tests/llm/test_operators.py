@@ -317,6 +317,22 @@ def test_line_dedup_removes_shared_passages_only(spark):
     assert out[0].hash == 1 and line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_removes_whole_passages(spark):
+    """Of planted passages of over 50 words, cut at any word and with or without stops, nearly all bytes go."""
+    plain_words = lambda k: " ".join(word() for _ in range(k))
+    passages = [f(k) for f in (prose, plain_words) for k in range(52, 82)]
+    docs = [(i, prose(60) + " " + p + " " + prose(60), p) for i, p in enumerate(passages * 2)]
+    df = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    share = []
+    for i, t, p in docs:
+        if i < len(passages):
+            assert out[i] == t
+        else:
+            share.append((len(t) - len(out[i])) / len(p))
+    assert min(share) > 0.9 and max(share) < 1.1, sorted(share)[:5]
+
+
 def test_quality_held_out(spark):
     p = quality.op2_quality(spark, "/root/testdata/sf0.01").toPandas()
     q = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(p, on="doc_id")
