@@ -103,6 +103,29 @@ def test_hamming_links_are_complete(spark, bucket):
     assert got == want
 
 
+def test_near_dedup_stage_links_by_five_word_jaccard(spark):
+    """All pairs of Jaccard 0.8 or more are linked, and no others."""
+    base = [" ".join(word() for _ in range(rng.randint(40, 200))) for _ in range(25)]
+    changed = lambda t, k: " ".join(word() if i in set(rng.sample(range(len(t.split())), k)) else w for i, w in enumerate(t.split()))
+    texts = TEXTS + base + [t + " " + word() for t in base] + [changed(t, 1) for t in base] + [changed(t, 4) for t in base]
+    got = {r.doc_id: r.component_id for r in simhash.similar_classes(table(spark, texts)).collect()}
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(range(len(texts)))
+    find = lambda i: i if low[i] == i else find(low[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                low[max(a, b)] = min(a, b)
+    assert got == {i: find(i) for i in range(len(texts))}
+    docs = table(spark, texts)
+    assert {r.doc_id for r in simhash.simhash_stage(spark, docs, "").collect()} == {i for i in range(len(texts)) if find(i) == i}
+    assert simhash.similar_classes(empty(spark)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long"), C.Stage(spark, "t")).collect()}
