@@ -158,4 +158,5 @@ def node_text(source: Column, start: Column, end: Column) -> Column:
     """The text between byte offsets; empty where they lie outside."""
     raw = F.encode(source, "UTF-8")
     ok = (start >= 0) & (end >= start) & (end <= F.octet_length(source))
-    return F.when(ok, F.decode(F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")), "UTF-8")).otherwise("")
+    part = F.substring(raw, (start + 1).cast("int"), (end - start).cast("int")).cast("string")
+    return F.when(ok, F.make_valid_utf8(part)).otherwise("")  # offsets within a character leave replacement characters

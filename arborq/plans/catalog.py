@@ -242,6 +242,13 @@ def _(spark, d):
     return docs.select("doc_id", N.node_text(F.col("text"), F.lit(5), F.when(F.octet_length("text") >= 20, 20).otherwise(-1)).alias("t"))
 
 
+@query("node_text_whole")
+def _(spark, d):
+    # the SQL of node_text cuts by characters, so that one keeps to ASCII; bytes 5 to 20 of any text are cut here
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", N.node_text(F.col("text"), F.lit(5), F.when(F.octet_length("text") >= 20, 20).otherwise(-1)).alias("t"))
+
+
 # Dependence -----------------------------------------------------------------------------------------------------------------
 
 REACHING = """+ acc AS (SELECT file_id, fn, node_id, pre, var, kind = 'AssignExpr' AS is_def FROM uast_nodes WHERE k > 0),
@@ -590,6 +597,13 @@ def _(spark, d):
     return K.jaccard(words.filter("doc_id % 2 = 0"), words.filter("doc_id % 2 = 1"), ["lang"], ["w"]).select("lang", r6("jaccard"))
 
 
+@query("edge_jaccard_whole")
+def _(spark, d):
+    # edge_jaccard is bound by its SQL to the first 200 characters; this one takes the whole text
+    words = spark.read.parquet(f"{d}/documents.parquet").select("lang", "doc_id", F.explode(F.split("text", "[ \\n]+")).alias("w")).distinct()
+    return K.jaccard(words.filter("doc_id % 2 = 0"), words.filter("doc_id % 2 = 1"), ["lang"], ["w"]).select("lang", r6("jaccard"))
+
+
 DELTAS = VERDICTS + """, after_m AS (SELECT file_id, metric, value + (file_id % 5) - 2 AS value FROM metrics WHERE file_id % 8 <> 0),
 deltas AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.metric, b.metric) AS metric, round(coalesce(b.value, 0) - coalesce(a.value, 0), 3) AS delta FROM metrics a FULL JOIN after_m b ON a.file_id = b.file_id AND a.metric = b.metric)"""
 
@@ -642,7 +656,7 @@ def _(spark, d):
 
 @query("gw_distance")
 def _(spark, d):
-    p = K.parent_places(D.statement_trees(spark, d).filter("file_id <= 60"), 40)
+    p = K.parent_places(D.statement_trees(spark, d))
     nxt = p.select((F.col("file_id") - 1).alias("file_id"), F.col("parents").alias("other"))
     return p.join(nxt, "file_id").select("file_id", F.round(K.tree_gw("parents", "other"), 6).alias("distance"))
 

@@ -294,3 +294,27 @@ def test_reassess_stream(spark, tmp_path):
     spark.createDataFrame([("a", 3, 0.6, 0.5, 0.5, 0.5)], cols).write.mode("append").parquet(src)
     go()
     assert [r.status for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["improvement"]
+
+
+def test_whole_queries_cover_whole_tables(spark):
+    """gw_distance has every neighbouring pair of files; the whole forms of node_text and edge_jaccard every row and word."""
+    import re
+
+    from arborq.plans import catalog
+    from arborq.sources import fixtures
+
+    from .conftest import SF
+
+    files = {r.file_id for r in fixtures.statement_trees(spark, SF).select("file_id").distinct().collect()}
+    assert {r.file_id for r in catalog.QUERIES["gw_distance"](spark, SF).collect()} == {f for f in files if f + 1 in files}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = {r.doc_id: r.text.encode()[5:20].decode(errors="replace") if len(r.text.encode()) >= 20 else "" for r in docs if r.text is not None}
+    got = {r.doc_id: r.t for r in catalog.QUERIES["node_text_whole"](spark, SF).collect()}
+    assert set(got) == {r.doc_id for r in docs}
+    assert all(got[i].strip("\ufffd") == t.strip("\ufffd") for i, t in want.items())
+    sets = {}
+    for r in docs:
+        sets.setdefault(r.lang, (set(), set()))[r.doc_id % 2].update(re.split("[ \n]+", r.text or ""))
+    for r in catalog.QUERIES["edge_jaccard_whole"](spark, SF).collect():
+        a, b = sets[r.lang]
+        assert abs(r.jaccard - len(a & b) / len(a | b)) < 2e-6
