@@ -28,10 +28,14 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where unset, an own temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets an own temporary
+    folder; on a cluster that is an error, as executors would write to their own disks."""
+    conf = spark.sparkContext.getConf()
+    root = conf.get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="arborq-")
@@ -95,6 +99,45 @@ def remainder(n: int, id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be no column's (Spark ignores case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+#: A filter has this many bits for each value, within these bounds (32 MiB): it can be broadcast. A fuller one lets more values pass, and
+#: what passes is compared exactly.
+BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+
+
+def filter_bits(df: DataFrame, column: str) -> np.ndarray:
+    """The filter of a long column: a bit for each value, gathered as one OR of a few partitions."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, df.count()) - 1).bit_length()))
+
+    def work(batches):
+        bits = np.zeros(size >> 3, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
+
+    total = np.zeros(size >> 3, np.uint8)
+    for row in df.select(column).coalesce(2).mapInArrow(work, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row[0], np.uint8)
+    return total
+
+
+def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the filter has each value's bit."""
+    at = values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (n+1, from 0) and bytes of a string or binary column without nulls, without copying."""
     if isinstance(column, pa.ChunkedArray):

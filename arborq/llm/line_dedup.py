@@ -1,14 +1,13 @@
 """Line deduplication by content-defined chunks of lines.
 
-A line ends at a line break, or at white space behind one of .!?,;: so that long paragraphs have lines too. Rolling hashes over
-the hashes of ``rolled`` neighbouring lines choose the boundaries: a chunk ends where the rolling hash is smaller than
-its neighbours', which depends on nothing but the lines nearby, so a passage is cut alike wherever it stands and a chunk
-has two lines or more. Words of one hash in ``CUT`` end lines too, so text without stops has lines. A chunk of fewer than ``min_words``
-words before another such is joined with as many of the next ones as it takes. Texts are cut once for each of ``TILINGS`` hash functions.
-A chunk of at least ``min_words`` words that occurs again anywhere is removed but for its first occurrence (smallest doc_id, then
-place), after its bytes have been compared with those of the first. What is removed is then extended to both sides, byte by byte,
-as far as the text agrees with that around the first occurrence, in whole words. The bytes compared go beyond the next chunk of the same
-tiling: were the passage longer than that, the next chunk would be repeated too and be extended itself. Every byte removed
+A line ends at a line break, at white space behind one of .!?,;: and behind words of one hash in ``CUT``, so that long paragraphs and texts
+without stops have lines too. A rolling hash over the hashes of ``rolled`` neighbouring lines chooses the boundaries: a chunk ends where it is
+smaller than at the ``RADIUS`` lines before and after, which depends on nothing but the lines nearby, so a passage is cut alike wherever it
+stands, and a chunk has several lines. A chunk of fewer than ``min_words`` words takes in as many of the next ones as it needs; what is still
+shorter at a text's end is no chunk of its own. A chunk that occurs again anywhere is removed but for its first occurrence (smallest doc_id,
+then place), after its bytes have been compared with those of the first. What is removed is then extended to both sides, byte by byte, as far as
+the text agrees with that around the first occurrence, in whole words. The bytes compared go beyond the next chunk: were the passage
+longer than that, the next chunk would be repeated too and be extended itself. Every byte removed
 equals one at an earlier place, so one copy of a passage always stays.
 
 Results for odd inputs: null text is the empty text and stays empty; texts without a repeated chunk stay as they are; rows that
@@ -27,21 +26,22 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-WINDOW = 2 << 20
-#: (rolled, seed) of each tiling.
-TILINGS = ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F))
+WINDOW = 1 << 18
+#: (rolled, seed) of each tiling: how many lines the rolling hash covers, and its multiplier.
+TILINGS = ((2, 0xC2B2AE3D27D4EB4F),)
 MIN_WORDS = 8
 #: A word in so many ends a line, so that text without stops has lines too.
-CUT = 4
+CUT = 2
 #: Lines on which a boundary depends, on either side.
-LINES = 4
+LINES = 3
+#: A boundary's rolling hash is the smallest of those so many lines before and after it.
+RADIUS = 2
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?,;:", np.uint8))
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = 0xD1342543DE82EF95
 _INVERSE = pow(_ODD, -1, 1 << 64)
-#: Bits of the filter of repeated hashes (8 MiB at any input size): it can be broadcast.
-FILTER_BITS = 1 << 26
+_kept: dict[int, np.ndarray] = {}
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,30 +50,25 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _word_hashes(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
-    """At each byte a hash of the last bytes of its word, eight at most."""
-    h, value = np.zeros(len(data), np.uint64), _BYTE[data]
-    value[blank] = 0
-    inside = ~blank
-    for k in range(min(8, len(data))):
-        part = value[: len(data) - k] * np.uint64(pow(_ODD, k, 1 << 64))
-        h[k:] += np.where(inside[k:], part, np.uint64(0))
-        inside[k + 1 :] &= ~blank[: len(data) - k - 1]
-    return _mix(h)
+def _powers(factor: int, n: int) -> np.ndarray:
+    """1, factor, factor squared, ...: n + 1 of them, kept by each worker for windows of ordinary size."""
+    held = _kept.get(factor)
+    if held is None or len(held) <= n:
+        held = np.full(max(n, WINDOW) + 1, factor, np.uint64)
+        held[0] = 1
+        np.multiply.accumulate(held, out=held)
+        if n <= WINDOW:
+            _kept[factor] = held
+    return held[: n + 1]
 
 
 class _Hashes:
     """Hashes of any byte ranges of one array, from prefix sums."""
 
     def __init__(self, data: np.ndarray):
-        power = np.full(len(data) + 1, _ODD, np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[:-1], out=self.sums[1:])
-        back = np.full(len(data) + 1, _INVERSE, np.uint64)
-        back[0] = 1
-        self.back = np.multiply.accumulate(back)
+        np.cumsum(_BYTE[data] * _powers(_ODD, len(data))[:-1], out=self.sums[1:])
+        self.back = _powers(_INVERSE, len(data))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
@@ -84,58 +79,67 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, ti
 
     next is where the line after it starts; before and after bound the bytes to compare around it: LINES lines beyond the chunk to each side.
     """
-    n = len(data)
+    none = np.zeros((0, 7), np.int64)
     blank = _BLANK[data]
-    cut = data == 10
-    cut[1:] |= blank[1:] & (_STOPS[data[:-1]] | (_word_hashes(data, blank)[:-1] & np.uint64(CUT - 1) == 0))
-    first = np.union1d(offsets[:-1], np.flatnonzero(cut) + 1)
-    first = first[first < n]
-    place = np.arange(n)
-    solid = np.maximum.accumulate(np.where(blank, -1, place))  # the last byte up to here that is no blank
-    after = np.r_[first[1:], n]
-    end = solid[after - 1] + 1
-    keep = end > first  # lines of blanks only belong to the line before
-    first, end = first[keep], end[keep]
-    head = np.minimum.accumulate(np.where(blank, n, place)[::-1])[::-1]
-    start = head[first]
-    text = np.searchsorted(offsets, start, "right") - 1
+    heads, tails = ~blank, ~blank
+    heads[1:] &= blank[:-1]
+    tails[:-1] &= blank[1:]
+    full = offsets[:-1][np.diff(offsets) > 0]
+    heads[full] |= ~blank[full]
+    ends = offsets[1:][np.diff(offsets) > 0] - 1
+    tails[ends] |= ~blank[ends]
+    word, stop = np.flatnonzero(heads), np.flatnonzero(tails) + 1
+    if not len(word):
+        return none
+    text = np.searchsorted(offsets, word, "right") - 1
     hashes = _Hashes(data)
+    last = _STOPS[data[stop - 1]] | (hashes(word, stop) & np.uint64(CUT - 1) == 0)
+    broken = np.searchsorted(word, np.flatnonzero(data == 10))
+    last[broken[broken > 0] - 1] = True
+    last[:-1] |= text[1:] != text[:-1]
+    last[-1] = True
+    tail = np.flatnonzero(last)  # the last word of each line, and the first
+    head = np.r_[0, tail[:-1] + 1]
+    start, end, text = word[head], stop[tail], text[head]
     line = hashes(start, end)
-    words = np.cumsum(np.r_[0, ~blank & np.r_[True, blank[:-1]]])
-    out = []
+    same_before, same_after = np.r_[False, text[1:] == text[:-1]], np.r_[text[1:] == text[:-1], False]
+    out = [none]
     for rolled, seed in tilings:
         r = line * np.uint64(seed | 1)
         for k in range(1, rolled):
             r[k:] += line[:-k] * np.uint64((seed | 1) * pow(3, k) & ((1 << 64) - 1))
         r = _mix(r)
-        same_before, same_after = np.r_[False, text[1:] == text[:-1]], np.r_[text[1:] == text[:-1], False]
-        low = np.r_[False, r[1:] < r[:-1]] & np.r_[r[:-1] < r[1:], False] & same_before & same_after
-        last = low | ~same_after
-        lo = np.flatnonzero(np.r_[True, last[:-1]]) if len(last) else np.zeros(0, np.int64)
-        hi = np.flatnonzero(last)
-        short = words[end[hi]] - words[start[lo]] < min_words
+        low = same_before & same_after
+        for k in range(1, RADIUS + 1):  # neighbours in other texts do not count
+            near = text[k:] == text[:-k]
+            low[k:] &= ~near | (r[k:] < r[:-k])
+            low[:-k] &= ~near | (r[:-k] < r[k:])
+        top = low | ~same_after
+        lo, hi = np.flatnonzero(np.r_[True, top[:-1]]), np.flatnonzero(top)
+        short = tail[hi] + 1 - head[lo] < min_words
         both = np.flatnonzero(short & np.r_[short[1:] & (text[lo[1:]] == text[lo[:-1]]), False][: len(short)])
-        to = np.searchsorted(words[end[hi]], words[start[lo[both]]] + min_words)  # the first chunk with enough words before its end
+        to = np.searchsorted(tail[hi] + 1, head[lo[both]] + min_words)  # the first chunk with enough words before its end
         both, to = both[to < len(hi)], to[to < len(hi)]
         same = text[hi[to]] == text[lo[both]]
         hi, tops = hi.copy(), hi
         hi[both[same]] = tops[to[same]]
-        a, b = start[lo], end[hi]
-        use = (hi > lo) & (words[b] - words[a] >= min_words)
-        lo, hi, a, b = lo[use], hi[use], a[use], b[use]
-        t = text[lo]
-        nxt = np.where(same_after[hi], np.r_[first, n][hi + 1], offsets[t + 1])
+        use = (hi > lo) & (tail[hi] + 1 - head[lo] >= min_words)
+        lo, hi = lo[use], hi[use]
+        if not len(lo):
+            continue
+        a, b, t = start[lo], end[hi], text[lo]
+        nxt = np.where(same_after[hi], np.r_[start, len(data)][hi + 1], offsets[t + 1])
         early, late = np.searchsorted(text, t), np.searchsorted(text, t, "right") - 1
         # the chunks before and after that do not overlap it
-        prior = np.searchsorted(hi, lo) - 1
-        later = np.searchsorted(lo, hi, "right")
-        before = np.where((prior >= 0) & (t[np.maximum(prior, 0)] == t), np.maximum(lo[np.maximum(prior, 0)] - LINES, early), early) if len(lo) else lo
-        inside = np.minimum(later, max(len(lo) - 1, 0))
-        after = np.where((later < len(lo)) & (t[inside] == t), np.minimum(hi[inside] + LINES, late), late) if len(lo) else hi
+        prior, later = np.searchsorted(hi, lo) - 1, np.searchsorted(lo, hi, "right")
+        at = np.maximum(prior, 0)
+        before = np.where((prior >= 0) & (t[at] == t), np.maximum(lo[at] - LINES, early), early)
+        at = np.minimum(later, len(lo) - 1)
+        after = np.where((later < len(lo)) & (t[at] == t), np.minimum(hi[at] + LINES, late), late)
         left = np.where(before == early, offsets[t], start[before])
         right = np.where(after == late, offsets[t + 1], end[after])
         out.append(np.column_stack([t, a, b, nxt, hashes(a, b).view(np.int64), left, right]))
-    return np.concatenate(out) if out else np.zeros((0, 7), np.int64)
+    return np.concatenate(out)
 
 
 def _windows(batch):
@@ -147,22 +151,6 @@ def _windows(batch):
             yield i, offsets[i : j + 1] - offsets[i], part
 
 
-def _bits(index: DataFrame, column: str) -> bytes:
-    """The filter: a bit for each value of the column, gathered as one OR of a few partitions."""
-
-    def work(batches):
-        bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
-    total = np.zeros(FILTER_BITS >> 3, np.uint8)
-    for row in index.select(column).coalesce(2).mapInArrow(work, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row[0], np.uint8)
-    return total.tobytes()
-
-
 def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest (of the text), from, to: byte ranges of repeated chunks that are not the first of their kind."""
     spark = docs.sparkSession
@@ -185,15 +173,13 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
 
     seen = rows.select("doc_id", "text").mapInArrow(C.tidy(occurrences), f"hash long, doc_id {kind}, at long, n long")
     index = stage.table(seen.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.sum("n").alias("n")).filter("n > 1"))
-    held = spark.sparkContext.broadcast(_bits(index, "hash"))
+    held = spark.sparkContext.broadcast(C.filter_bits(index, "hash"))
 
     def candidates(batches):
-        bits = np.frombuffer(held.value, np.uint8)
         for b in batches:
             for i, offsets, part in _windows(b):
                 c = chunks(part, offsets, min_words)
-                at = c[:, 4].view(np.uint64) & np.uint64(FILTER_BITS - 1)
-                c = c[((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+                c = c[C.maybe_in(held.value, c[:, 4])]
                 if len(c):
                     base, raw, who = offsets[c[:, 0]], part.tobytes(), pa.array(i + c[:, 0])
                     body = pa.array([raw[x:y] for x, y in c[:, 1:3].tolist()], pa.binary())
@@ -201,20 +187,18 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
 
     found = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(candidates), f"hash long, doc_id {kind}, digest long, from long, end long, to long, body binary")
     found = stage.table(found)
+    stage.drop(index)
     total = max(1, found.count())
-    marked = stage.table(C.join_by_group(found, index, ["hash"], "n", total, "inner"))
+    firsts = found.groupBy("hash").agg(F.min(F.struct("doc_id", F.col("from").alias("at"), "body")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    joined = C.join_by_group(found, stage.table(firsts), ["hash"], "n", total, "inner")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("from") == F.col("first.at"))
-    bodies = marked.filter(is_first).groupBy("hash").agg(F.min("body").alias("kept"), F.max("n").alias("n"))
-    compared = C.join_by_group(marked.filter(~is_first).drop("n"), bodies, ["hash"], "n", total, "inner").filter("body = kept")
     # rows that share identifier and text give the same range twice
-    ranges = compared.groupBy("doc_id", "digest", "hash", "from").agg(F.max("end").alias("end"), F.max("to").alias("to"), F.min("first").alias("first"), F.max("n").alias("n"))
-    own = W.partitionBy("doc_id", "digest")
-    over = lambda *order: own.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    ranges = ranges.withColumn("left", F.coalesce(F.max("to").over(over("from", F.desc("to"), "hash")) < F.col("from"), F.lit(True)))
-    ranges = ranges.withColumn("right", F.coalesce(F.min("from").over(over(F.desc("to"), "from", "hash")) > F.col("to"), F.lit(True)))
-    ranges = stage.table(ranges)
+    ranges = joined.filter(~is_first & (F.col("body") == F.col("first.body"))).select("doc_id", "digest", "hash", "from", "end", "to", F.struct("first.doc_id", "first.at").alias("first"), "n").distinct()
+    own = W.partitionBy("doc_id", "digest").orderBy("from", "to", "hash")  # a range that starts later ends later
+    ranges = ranges.withColumn("left", F.coalesce(F.max("to").over(own.rowsBetween(W.unboundedPreceding, -1)) < F.col("from"), F.lit(True)))
+    ranges = stage.table(ranges.withColumn("right", F.coalesce(F.lead("from").over(own) > F.col("to"), F.lit(True))))
     held.unpersist()
-    stage.drop(found, index, marked)
+    stage.drop(found)
     grown = stage.table(_extended(rows, ranges.filter("left OR right"), stage, min_words))
     return ranges.select("doc_id", "digest", "from", "to").unionByName(grown)
 
@@ -224,11 +208,20 @@ def _at_word(text: bytes, i: int) -> bool:
     return i in (0, len(text)) or bool(_BLANK[text[i]] or _BLANK[text[i - 1]]) or text[i] >= 0xE3
 
 
+def _common(n: int, equal) -> int:
+    """The largest k up to n for which equal(k) holds; it holds for all smaller ones."""
+    if equal(n):
+        return n
+    low, high = 0, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if equal(mid) else (low, mid)
+    return low
+
+
 def agreement(mine: bytes, other: bytes) -> int:
     """Length of the longest common prefix that ends between words of both."""
-    n = min(len(mine), len(other))
-    differ = np.flatnonzero(np.frombuffer(mine, np.uint8, n) != np.frombuffer(other, np.uint8, n))
-    k = int(differ[0]) if len(differ) else n
+    k = _common(min(len(mine), len(other)), lambda n: mine[:n] == other[:n])
     while k and not (_at_word(mine, k) and _at_word(other, k)):
         k -= 1
     return k
@@ -236,10 +229,7 @@ def agreement(mine: bytes, other: bytes) -> int:
 
 def agreement_before(mine: bytes, other: bytes) -> int:
     """Length of the longest common suffix that starts between words of both."""
-    n = min(len(mine), len(other))
-    a, b = np.frombuffer(mine, np.uint8)[len(mine) - n :][::-1], np.frombuffer(other, np.uint8)[len(other) - n :][::-1]
-    differ = np.flatnonzero(a != b)
-    k = int(differ[0]) if len(differ) else n
+    k = _common(min(len(mine), len(other)), lambda n: not n or mine[-n:] == other[-n:])
     while k and not (_at_word(mine, len(mine) - k) and _at_word(other, len(other) - k)):
         k -= 1
     return k
@@ -249,16 +239,14 @@ def _extended(rows: DataFrame, ends: DataFrame, stage: C.Stage, min_words: int)
     """doc_id, digest, from, to: the outermost ranges of each run, extended as far as the text around the first occurrence agrees."""
     spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
     place = F.explode(F.array(F.col("hash").bitwiseXOR(F.col("from")), F.col("hash").bitwiseXOR(F.col("first.at")))).alias("place")
-    held = spark.sparkContext.broadcast(_bits(ends.select(place), "place"))
+    held = spark.sparkContext.broadcast(C.filter_bits(ends.select(place), "place"))
 
     def around(batches):
-        bits = np.frombuffer(held.value, np.uint8)
         for b in batches:
             for i, offsets, part in _windows(b):
                 c = chunks(part, offsets, min_words)
                 base = offsets[c[:, 0]]
-                at = (c[:, 4] ^ (c[:, 1] - base)).view(np.uint64) & np.uint64(FILTER_BITS - 1)
-                use = ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                use = C.maybe_in(held.value, c[:, 4] ^ (c[:, 1] - base))
                 c, base = c[use], base[use]
                 if len(c):
                     raw, who = part.tobytes(), pa.array(i + c[:, 0])
@@ -268,17 +256,14 @@ def _extended(rows: DataFrame, ends: DataFrame, stage: C.Stage, min_words: int)
 
     texts = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, doc_id {kind}, digest long, from long, before binary, after binary")
     texts = stage.table(texts)
-    # both tilings may give a chunk, with different bytes around it: the longer ones serve
-    wide = [F.max_by(c, F.length(c)).alias(c) for c in ("before", "after")]
-    here = texts.groupBy("hash", "doc_id", "digest", "from").agg(*wide)
-    mine = ends.select(F.col("hash").alias("_hash"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("from").alias("_from"), "end", "to", "first", "n", "left", "right")
-    same = (here["hash"] == F.col("_hash")) & here["doc_id"].eqNullSafe(F.col("_doc")) & (here["digest"] == F.col("_digest")) & (here["from"] == F.col("_from"))
-    mine = stage.table(here.join(mine, same).drop("_hash", "_doc", "_digest", "_from"))
+    mine = ends.select(F.col("hash").alias("_hash"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("from").alias("_from"), "end", "to", "n", "left", "right")
+    same = (texts["hash"] == F.col("_hash")) & texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["digest"] == F.col("_digest")) & (texts["from"] == F.col("_from"))
+    mine = texts.join(mine, same).drop("_hash", "_doc", "_digest", "_from")
     firsts = ends.groupBy("hash").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).select(F.col("hash").alias("_hash"), F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"), "n")
-    there = here.join(firsts, (here["hash"] == F.col("_hash")) & here["doc_id"].eqNullSafe(F.col("_doc")) & (here["from"] == F.col("_at")))
+    there = texts.join(firsts, (texts["hash"] == F.col("_hash")) & texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["from"] == F.col("_at")))
     # one text, where rows share an identifier
-    there = there.groupBy("hash").agg(F.min_by(F.struct("before", "after"), "digest").alias("other"), F.max("n").alias("n"))
-    pairs = C.join_by_group(mine.drop("n"), there, ["hash"], "n", max(1, mine.count()), "inner")
+    there = stage.table(there.groupBy("hash").agg(F.min_by(F.struct("before", "after"), "digest").alias("other"), F.max("n").alias("n")))
+    pairs = C.join_by_group(mine.drop("n"), there, ["hash"], "n", max(1, ends.count()), "inner")
 
     def work(batches):
         for b in batches:
@@ -309,15 +294,15 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     spark = docs.sparkSession
     stage = C.Stage(spark, "lines")
     ranges = repeated_chunks(docs, stage, min_words, id_col, text_col)
-    per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges")).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("ranges").alias("_ranges"))
-    names = [c for c in docs.columns if c not in ("_doc", "_digest", "_ranges")]
+    doc, digest, own, spans = C.free_names(docs, "doc", "digest", "own", "ranges")
+    per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges")).select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), F.col("ranges").alias(spans))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    joined = docs.select(*names, F.xxhash64(text).alias("_own")).join(per_doc, F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_own") == F.col("_digest")), "left")
+    joined = docs.withColumn(own, F.xxhash64(text)).join(per_doc, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(digest)), "left")
     clean = F.udf(lambda t, r: without_ranges(t.encode(), r).decode(), "string", useArrow=True)
-    touched = joined.filter(F.col("_ranges").isNotNull()).withColumn(text_col, clean(text, F.transform("_ranges", lambda x: F.array(x["from"], x["to"]))))
-    rest = joined.filter(F.col("_ranges").isNull()).withColumn(text_col, text)
+    touched = joined.filter(F.col(spans).isNotNull()).withColumn(text_col, clean(text, F.transform(spans, lambda x: F.array(x["from"], x["to"]))))
+    rest = joined.filter(F.col(spans).isNull()).withColumn(text_col, text)
     out = touched.unionByName(rest)
-    return out.select(*names, F.coalesce(F.size("_ranges"), F.lit(0)).alias("removed_chunks"))
+    return out.select(*docs.columns, F.coalesce(F.size(spans), F.lit(0)).alias("removed_chunks"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
