@@ -1,9 +1,10 @@
 """Exact deduplication through a log-structured merge index of text digests.
 
 Tasks fill bounded memtables with (digest, smallest identifier, count). A full memtable is flushed as a
-sorted run, together with a filter: the sorted short fingerprints of its digests in each shard of the digest
-space. Compaction takes a shard's runs, uses the filters to pass by digests that only one run can hold, merges
-the rest and keeps the smallest identifier. Documents then look their digest up in the compacted index, and
+sorted run, cut into FAN parts of the digest space. Level by level, FAN runs' cells of one part are merged into one run and cut
+into FAN narrower parts, until as many parts as memtables are reached; so a level has FAN cells a run, however many runs there are. Every
+cell has a filter: the sorted short fingerprints of its digests. The last compaction takes a part's runs, uses the filters to pass by digests
+that only one run can hold, merges the rest and keeps the smallest identifier. Documents then look their digest up in the compacted index, and
 those that hit another document have their bytes compared with the bytes of the row that stays.
 
 Results for odd inputs: null text is the empty text; texts that differ in white space only are equal; of
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
-ENTRY = "shard int, run string, filter binary, entries binary"
+ENTRY = "part long, run long, filter binary, entries binary"
 ENTRY_TYPE = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("id", "<i8"), ("n", "<i8")])
 NO_ID = np.iinfo(np.int64).max
-#: The filter that lookups use has this many bits at any input size (2 MiB): it can be broadcast.
-LOOKUP_BITS = 1 << 24
+#: Runs that are merged into one, and parts that a run is cut into, at each level.
+FAN = 64
 
 
 def normalised(column):
@@ -55,27 +56,31 @@ def _fingerprint(entries: np.ndarray) -> np.ndarray:
     return ((entries["hi"] ^ (entries["lo"] << np.uint64(1))) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def flush_runs(keys: DataFrame, shards: int, memtable_rows: int) -> DataFrame:
-    """Sorted runs with filters: one row for each run and shard. ``keys`` has hi, lo, doc_id."""
+def _parts(entries: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the digest space of each entry; of more parts, each lies in one of fewer."""
+    return ((entries["hi"] >> np.uint64(32)) & np.uint64(0x7FFFFFFF)) % np.uint64(parts)
+
+
+def _cells(run: np.ndarray, name: int, parts: int) -> pa.RecordBatch:
+    """A sorted run cut into parts, each with its filter."""
+    part = _parts(run, parts)
+    order = np.argsort(part, kind="stable")  # within a part still sorted by digest
+    run, part = run[order], part[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(run)]
+    own = [run[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([
+        pa.array(part[cuts[:-1]].astype(np.int64)), pa.array([name] * len(own), pa.int64()),
+        pa.array([np.unique(_fingerprint(p)).tobytes() for p in own], pa.binary()), pa.array([p.tobytes() for p in own], pa.binary()),
+    ], ["part", "run", "filter", "entries"])
+
+
+def flush_runs(keys: DataFrame, parts: int, memtable_rows: int) -> DataFrame:
+    """Sorted runs with filters: one row for each run and part. ``keys`` has hi, lo, doc_id."""
 
     def work(batches):
-        import uuid
-
-        held, rows = [], 0
-
-        def flush():
-            run = _merge(np.concatenate(held))
-            name = uuid.uuid4().hex
-            shard = (run["hi"] >> np.uint64(40)) % np.uint64(shards)
-            order = np.argsort(shard, kind="stable")  # within a shard still sorted by digest
-            run, shard = run[order], shard[order]
-            cuts = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(run)]
-            parts = [run[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([
-                pa.array(shard[cuts[:-1]].astype(np.int32)), pa.array([name] * len(parts)),
-                pa.array([np.unique(_fingerprint(p)).tobytes() for p in parts], pa.binary()), pa.array([p.tobytes() for p in parts], pa.binary()),
-            ], ["shard", "run", "filter", "entries"])
+        from pyspark import TaskContext
 
+        held, rows, name = [], 0, TaskContext.get().partitionId() << 20
         for b in batches:
             if not b.num_rows:
                 continue
@@ -85,14 +90,25 @@ def flush_runs(keys: DataFrame, shards: int, memtable_rows: int) -> DataFrame:
             held.append(part)
             rows += len(part)
             if rows >= memtable_rows:
-                yield flush()
-                held, rows = [], 0
+                yield _cells(_merge(np.concatenate(held)), name, parts)
+                held, rows, name = [], 0, name + 1
         if rows:
-            yield flush()
+            yield _cells(_merge(np.concatenate(held)), name, parts)
 
     return keys.select("hi", "lo", F.col("doc_id").cast("long")).mapInArrow(work, ENTRY)
 
 
+def merge_level(runs: DataFrame, merged: int, parts: int) -> DataFrame:
+    """The runs of one part and one remainder modulo ``merged`` become one run, cut into ``parts`` parts."""
+
+    def work(table: pa.Table) -> pa.Table:
+        run = _merge(np.concatenate([np.frombuffer(x.as_py(), ENTRY_TYPE) for x in table.column("entries")]))
+        return pa.Table.from_batches([_cells(run, table.column("lane")[0].as_py(), parts)])
+
+    lanes = runs.select("part", F.pmod(F.xxhash64("run"), F.lit(merged)).alias("lane"), "entries")
+    return lanes.groupBy("part", "lane").applyInArrow(work, ENTRY)
+
+
 def compact(runs: DataFrame) -> DataFrame:
     """hi, lo, keep_id, n of the digests that more than one row has; others need no entry to be looked up."""
 
@@ -108,26 +124,10 @@ def compact(runs: DataFrame) -> DataFrame:
         keep = pa.array(out["id"].copy(), mask=out["id"] == NO_ID)
         return pa.table([pa.array(out["hi"].view(np.int64).copy()), pa.array(out["lo"].view(np.int64).copy()), keep, pa.array(out["n"].copy())], ["hi", "lo", "keep_id", "n"])
 
-    return runs.groupBy("shard").applyInArrow(work, "hi long, lo long, keep_id long, n long")
-
-
-def lookup_filter(index: DataFrame) -> bytes:
-    """Bits set for the digests of the index: LOOKUP_BITS at any size, gathered as one OR a partition."""
-
-    def work(batches):
-        bits = np.zeros(LOOKUP_BITS >> 3, np.uint8)
-        for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(LOOKUP_BITS - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
-
-    total = np.zeros(LOOKUP_BITS >> 3, np.uint8)
-    for row in index.select("hi").coalesce(4).mapInArrow(work, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row[0], np.uint8)
-    return total.tobytes()
+    return runs.select("part", "filter", "entries").groupBy("part").applyInArrow(work, "hi long, lo long, keep_id long, n long")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 128, memtable_rows: int = 200_000) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 128, memtable_rows: int = 200_000, fan: int = FAN) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (see the module's text)."""
     spark = docs.sparkSession
     stage = C.Stage(spark, "exact")
@@ -135,19 +135,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with_sha = base.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
     keys = stage.table(with_sha.select("doc_id", "sha", *digest_words(F.col("sha"), digest_bits)))
     total = keys.count()
-    shards = max(1, -(-total // memtable_rows))
-    runs = stage.table(flush_runs(keys, shards, memtable_rows))
+    wanted = max(1, -(-total // memtable_rows))
+    parts = min(wanted, fan)
+    runs = stage.table(flush_runs(keys, parts, memtable_rows))
+    while parts < wanted:  # a merged run of one part is as long as a memtable, about
+        parts *= fan
+        level = stage.table(merge_level(runs, max(1, -(-wanted * fan // parts)), parts))
+        stage.drop(runs)
+        runs = level
     index = stage.table(compact(runs))
+    stage.drop(runs)
     found = stage.table(C.join_by_group(keys, index, ["hi", "lo"], "n", total))
-    held = spark.sparkContext.broadcast(lookup_filter(index))
+    stage.drop(keys)
+    held = spark.sparkContext.broadcast(C.filter_bits(index, "hi"))
 
     def hits(batches):
-        bits = np.frombuffer(held.value, np.uint8)
         for b in batches:
-            at = b.column(1).to_numpy().view(np.uint64) & np.uint64(LOOKUP_BITS - 1)
-            hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            hit = C.maybe_in(held.value, b.column(1).to_numpy())
             if hit.any():
-                yield b.filter(pa.array(hit.astype(bool)))
+                yield b.filter(pa.array(hit))
 
     # Only possible hits carry their text; a copy in a large group meets one of several salted rows of the text that stays.
     texts = with_sha.select("doc_id", *digest_words(F.col("sha"), digest_bits), "text").mapInArrow(hits, "doc_id long, hi long, lo long, text string")
@@ -167,7 +173,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fixed = out.drop("keep_id", "group_size").join(exact, ["hi", "lo", "sha"])
         out = out.join(exact.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti").unionByName(fixed)
     held.unpersist()
-    stage.drop(runs, index, members)
+    stage.drop(index, members)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))
 

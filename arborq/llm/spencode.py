@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common as C
 
 BLANK = "▁".encode()
-#: Units that a worker remembers at once; when there are more, it starts anew.
-REMEMBERED = 400_000
+#: Bytes that a worker's remembered units take, about; when there are more, it starts anew. Longer units are not remembered.
+REMEMBERED, LONGEST = 128 << 20, 256
 _loaded: dict = {}
 
 
@@ -83,6 +83,7 @@ class Encoder:
         # a character that no longer piece holds ends a unit, as no merge reaches over it
         self.barriers = {b"\n"} if not any(b"\n" in p and len(p) > 1 for p in pieces) else set()
         self.units: dict[bytes, tuple] = {}
+        self.held = 0
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray | None]:
         """The text after the character map, and for each of its bytes and its end the place in ``text``; None if they are the same."""
@@ -104,19 +105,24 @@ class Encoder:
             at += size
         return bytes(out), np.array([*places, len(text)], np.int64)
 
-    def _learn(self, units: list[bytes]) -> None:
-        """Remembers of units: ids as 32-bit words, the normalised bytes of each piece as 16-bit words, the decoded bytes."""
+    def _learn(self, units: list[bytes]) -> dict[bytes, tuple]:
+        """Of units: ids as 32-bit words, the normalised bytes of each piece as 16-bit words, the decoded bytes. Short ones are remembered."""
         plain = [u.decode() for u in units]
         # the library puts a blank before what it encodes
         usual = [self.prefix and len(p) > 1 and p[0] == " " for p in plain]
         known = iter(self.processor.encode([p[1:] for p, ok in zip(plain, usual, strict=True) if ok], num_threads=1))
+        out = {}
         for unit, p, ok in zip(units, plain, usual, strict=True):
             ids = next(known) if ok else self._without_blank(p)
             parts = [self.surface[i] for i in ids]
             whole = b"".join(parts)
             if whole != unit.replace(b" ", BLANK):
                 raise ValueError("pieces do not spell the text")
-            self.units[unit] = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(ids)}H", *map(len, parts)), whole.replace(BLANK, b" ")
+            out[unit] = struct.pack(f"<{len(ids)}I", *ids), struct.pack(f"<{len(ids)}H", *map(len, parts)), whole.replace(BLANK, b" ")
+            if len(unit) <= LONGEST:
+                self.units[unit] = out[unit]
+                self.held += 300 + 2 * len(unit) + 6 * len(ids)
+        return out
 
     def _without_blank(self, plain: str) -> list[int]:
         """Ids of a unit that does not start with a blank: encoded behind a barrier, which merges do not reach over."""
@@ -150,13 +156,13 @@ class Encoder:
         blank_width = 3
         full = b" " + plain if self.prefix and plain else plain
         units = self.units
-        if len(units) > REMEMBERED:
+        if self.held > REMEMBERED:
             units.clear()
+            self.held = 0
         parts = self.split(full)
         new = [u for u in dict.fromkeys(parts) if u not in units]
-        if new:
-            self._learn(new)
-        found = [units[u] for u in parts]
+        fresh = self._learn(new) if new else {}
+        found = [units.get(u) or fresh[u] for u in parts]
         ids = b"".join([struct.pack("<I", self.first), *[x[0] for x in found], struct.pack("<I", self.last)])
         widths = np.frombuffer(b"".join([x[1] for x in found]), "<u2").astype(np.int64)
         decoded = b"".join([x[2] for x in found])

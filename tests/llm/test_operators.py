@@ -62,6 +62,8 @@ def test_exact_dedup(spark, bits):
         want += [(i, keep, len(own), i == keep, hashlib.sha256(t.encode()).hexdigest()) for i in own]
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    again = exact_dedup.exact_dedup(table(spark, TEXTS, ids), digest_bits=bits, memtable_rows=3, fan=2).collect()  # several levels
+    assert sorted(map(tuple, again), key=key) == sorted(want, key=key)
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
