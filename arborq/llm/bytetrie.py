@@ -95,23 +95,13 @@ def count_grams(rows: DataFrame, size: int) -> DataFrame:
     return parts.groupBy("grp", "gram").agg(F.sum("n").alias("n"))
 
 
-def levels(counts: DataFrame, size: int, nodes: int) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-    """For each group and each order, the codes and counts of the n-grams that the tree keeps.
-
-    An n-gram stays if its group has it in more than one in nodes / number of groups positions, so a tree has at most
-    ``nodes`` nodes of an order at any input size, and what comes to the driver is bounded.
-    """
-    totals = {r["grp"]: r["n"] for r in counts.groupBy("grp").agg(F.sum("n").alias("n")).collect()}
-    out: dict[str, list] = {g: [] for g in sorted(totals)}
-    if not totals:
-        return out
-    least = F.create_map(*[F.lit(x) for g, n in totals.items() for x in (g, n * len(totals) / nodes)])
-    for k in range(1, size + 1):
-        mask = (1 << (8 * k)) - 1
-        kept = counts.groupBy("grp", F.col("gram").bitwiseAND(F.lit(mask)).alias("gram")).agg(F.sum("n").alias("n")).filter(F.col("n") > least[F.col("grp")]).toPandas()
-        for g in out:
-            part = kept[kept["grp"] == g].sort_values("gram")
-            out[g].append((part["gram"].to_numpy(np.uint64), part["n"].to_numpy(np.int64)))
+def levels(counts: DataFrame, size: int) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """For each group and each order, the codes and counts of all its n-grams. There are at most 256 ** size of them a group, at any input size."""
+    longest = counts.toPandas()
+    out: dict[str, list] = {}
+    for g, part in longest.groupby("grp", sort=True):
+        codes, n = part["gram"].to_numpy(np.int64).astype(np.uint64), part["n"].to_numpy(np.int64)
+        out[g] = [tally(codes & np.uint64((1 << 8 * k) - 1), n) for k in range(1, size + 1)]
     return out
 
 

@@ -6,6 +6,8 @@ distinct ones); each longer context of the tree that has not seen it costs an es
 never seen costs 8 bits more. The language with the shortest code for the whole text is predicted; the score is its
 share when the languages are weighted by 2 to the power of minus their code lengths.
 
+A tree keeps every n-gram of its language's texts, however rare, so the code lengths are exact. The bytes before a text's start count as zeros.
+
 Results for odd inputs: a text that is null or has no letter is ``und`` with score 0; without training rows every
 text is ``und``; ties go to the name that sorts first; rows that repeat are scored alike; an empty table gives an
 empty result.
@@ -22,9 +24,8 @@ from . import common as C
 from .bytetrie import WINDOW, ContextCosts, Trie, count_grams, levels
 
 UNDETERMINED = "und"
-ORDER = 3
-#: Nodes of one order over all languages, at most: bounds the model at any input size.
-NODES = 1 << 17
+#: Contexts have up to so many bytes: a language's tree then has at most 2 ** 24 leaves at any input size, so all counts are kept.
+ORDER = 2
 
 
 class Ppm(ContextCosts):
@@ -56,12 +57,12 @@ class Ppm(ContextCosts):
             self.escape.append(escape)
 
 
-def train(docs: DataFrame, order: int = ORDER, nodes: int = NODES, lang_col: str = "lang", text_col: str = "text") -> Ppm | None:
+def train(docs: DataFrame, order: int = ORDER, lang_col: str = "lang", text_col: str = "text") -> Ppm | None:
     """The frozen model of all rows of ``docs`` with a language; None without such rows."""
     rows = docs.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("grp"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     stage = C.Stage(docs.sparkSession, "ppm")
     counts = stage.table(count_grams(rows, order + 1))
-    trees = levels(counts, order + 1, nodes)
+    trees = levels(counts, order + 1)
     stage.drop(counts)
     return Ppm(trees) if trees else None
 

@@ -3,8 +3,7 @@
 Documents are tokenised once. What fills a whole sequence becomes one; the rest of each document, shorter than a sequence,
 is packed: only the histogram of these lengths (one count a length) comes to the driver, where lengths are placed
 longest first, each into the packs that are shortest so far, by moving counts between packing patterns. A document's
-rest then finds its place by its rank among the rests of equal length. Packs that would be padded by more than ``slack`` tokens are
-laid end to end and cut anew at every full sequence, so that of them only the last one is padded.
+rest then finds its place by its rank among the rests of equal length. Every pack is a sequence of its own.
 
 Ranks come from counts by length and hash bucket, so no task ranks all rests of one length.
 
@@ -27,7 +26,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LENGTH = 1024
-SLACK = 8
 #: Rests that one task ranks together, about.
 RANKED = 4000
 _loaded: dict = {}
@@ -52,7 +50,7 @@ def default_tokenizer() -> dict:
 
 
 def tokenised(docs: DataFrame, tokenizer: dict, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: part and row (its place), doc_id, tokens, the CRC-32 of each full sequence, and of the rest: length, CRC-32, ids."""
+    """Per row: part and row (its place), doc_id, tokens, the CRC-32 of each full sequence, and of the rest: length, CRC-32."""
 
     def work(batches):
         from pyspark import TaskContext
@@ -60,25 +58,24 @@ def tokenised(docs: DataFrame, tokenizer: dict, length: int, end_id: int, id_col
         encode = byte_bpe(**tokenizer).encode
         part, row = TaskContext.get().partitionId(), 0
         for b in batches:
-            tokens, full, rest, crc, ids = [], [], [], [], []
+            tokens, full, rest, crc = [], [], [], []
             for text in b.column(1):
                 a = np.array([*encode(text.as_py(), allowed_special="all"), end_id], "<u4")
                 cut = len(a) // length * length
                 tokens.append(len(a))
                 full.append([zlib.crc32(a[i : i + length]) for i in range(0, cut, length)])
                 rest.append(len(a) - cut)
-                ids.append(a[cut:].tobytes())
-                crc.append(zlib.crc32(ids[-1]))
+                crc.append(zlib.crc32(a[cut:]))
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([
                 pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), b.column(0), pa.array(tokens, pa.int64()),
-                pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary()),
-            ], ["part", "row", "doc_id", "doc_tokens", "full", "rest", "rest_crc", "rest_ids"])
+                pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.int32()), pa.array(crc, pa.int64()),
+            ], ["part", "row", "doc_id", "doc_tokens", "full", "rest", "rest_crc"])
             row += n
 
     rows = C.id_and_text(docs, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(C.tidy(work), f"part int, row long, doc_id {kind}, doc_tokens long, full array<long>, rest int, rest_crc long, rest_ids binary")
+    return rows.mapInArrow(C.tidy(work), f"part int, row long, doc_id {kind}, doc_tokens long, full array<long>, rest int, rest_crc long")
 
 
 def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -109,36 +106,31 @@ def shortest_pack_first(histogram: dict[int, int], length: int) -> list[tuple[tu
     return [p for t in sorted(open_) for p in open_[t]]
 
 
-def places(patterns: list[tuple[tuple[int, ...], int]], length: int, slack: int) -> tuple[np.ndarray, int]:
-    """Rows (key, first rank, base, step, offset) by length and rank, and how many sequences there are.
+def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, int]:
+    """Rows (key, first rank, first sequence, offset) by length and rank, and how many sequences there are.
 
-    The rest of length l and rank r lies at base + (r - first) * step + offset, in tokens from the first sequence's start.
+    The rest of length l and rank r lies in sequence first + r - first rank, at the offset.
     """
     rank: dict[int, int] = defaultdict(int)
     rows, at = [], 0
-    tight = [p for p in patterns if sum(p[0]) >= length - slack]
-    loose = [p for p in patterns if sum(p[0]) < length - slack]
-    for group, is_tight in ((tight, True), (loose, False)):
-        for pattern, count in group:
-            step = length if is_tight else sum(pattern)
-            offset = 0
-            for size in pattern:
-                rows.append(((size << 40) | rank[size], rank[size], at, step, offset))
-                rank[size] += count
-                offset += size
-            at += step * count
-    table = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return table, -(-at // length)
-
-
-def pack(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, end_id: int = 0, tokenizer: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    for pattern, count in patterns:
+        offset = 0
+        for size in pattern:
+            rows.append(((size << 40) | rank[size], rank[size], at, offset))
+            rank[size] += count
+            offset += size
+        at += count
+    return np.array(sorted(rows), np.int64).reshape(-1, 4), at
+
+
+def pack(docs: DataFrame, length: int = LENGTH, end_id: int = 0, tokenizer: dict | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     stage = C.Stage(spark, "packing")
     rows = stage.table(tokenised(docs, tokenizer or default_tokenizer(), length, end_id, id_col, text_col))
     rests = rows.filter("rest > 0").select("part", "row", "doc_id", "doc_tokens", "rest", "rest_crc")
     histogram = {r["rest"]: r["count"] for r in rests.groupBy("rest").count().collect()}  # less than ``length`` rows
-    table, packed = places(shortest_pack_first(histogram, length), length, slack)
+    table, packed = places(shortest_pack_first(histogram, length))
     buckets = max(1, sum(histogram.values()) // RANKED)
     rests = rests.withColumn("bucket", F.pmod(F.xxhash64("part", "row"), F.lit(buckets)))
     before = rests.groupBy("rest", "bucket").count()
@@ -150,30 +142,19 @@ def pack(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, end_id: int
     def locate(batches):
         keys = held.value[:, 0]
         for b in batches:
-            size, rank = b.column(4).to_numpy().astype(np.int64), b.column(6).to_numpy()
-            _, first, base, step, offset = held.value[np.searchsorted(keys, (size << 40) | rank, "right") - 1].T
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(base + (rank - first) * step + offset)], ["part", "row", "doc_id", "doc_tokens", "rest", "rest_crc", "at"])
+            size, rank = b.column(2).to_numpy().astype(np.int64), b.column(4).to_numpy()
+            _, first, base, offset = held.value[np.searchsorted(keys, (size << 40) | rank, "right") - 1].T
+            start = pa.array(b.column(1).to_numpy() - size)
+            yield pa.RecordBatch.from_arrays([b.column(0), start, pa.array(size), b.column(3), b.column(1), pa.array(base + rank - first), pa.array(offset)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    placed = ranked.select("part", "row", "doc_id", "doc_tokens", "rest", "rest_crc", "rank").mapInArrow(locate, f"part int, row long, doc_id {kind}, doc_tokens long, rest int, rest_crc long, at long")
-    placed = stage.table(placed.withColumn("room", (length - F.col("at") % length).cast("int")))
-    start = F.col("doc_tokens") - F.col("rest")
-    sequence, offset = F.floor(F.col("at") / length).cast("long"), (F.col("at") % length).cast("long")
-    whole = placed.filter("rest <= room").select("doc_id", start.alias("start"), F.col("rest").cast("long").alias("length"), F.col("rest_crc").alias("ids_crc32"), "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset"))
-    split = placed.filter("rest > room").join(rows.select("part", "row", "rest_ids"), ["part", "row"])
-    head, tail = F.expr("substring(rest_ids, 1, 4 * room)"), F.expr("substring(rest_ids, 4 * room + 1)")
-    room = F.col("room").cast("long")
-    pieces = F.array(
-        F.struct(start.alias("start"), room.alias("length"), F.crc32(head).alias("ids_crc32"), "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset")),
-        F.struct((start + room).alias("start"), (F.col("rest") - room).alias("length"), F.crc32(tail).alias("ids_crc32"), "doc_tokens", (sequence + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset")),
-    )
-    split = split.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.*")
+    packs = ranked.select("doc_id", "doc_tokens", "rest", "rest_crc", "rank").mapInArrow(locate, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     blocks = rows.filter(F.size("full") > 0).select("part", "row", "doc_id", "doc_tokens", "full")
     earlier = blocks.groupBy("part").agg(F.sum(F.size("full")).alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row a task of the first pass
     within = F.sum(F.size("full")).over(W.partitionBy("part").orderBy("row")) - F.size("full")
     full = blocks.withColumn("within", within).join(earlier, "part").select("doc_id", "doc_tokens", (F.lit(packed) + F.col("before") + F.col("within")).alias("base"), F.posexplode("full").alias("i", "crc"))
     full = full.select("doc_id", (F.col("i") * length).cast("long").alias("start"), F.lit(length).cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("base") + F.col("i")).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return whole.unionByName(split).unionByName(full)
+    return packs.unionByName(full)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
