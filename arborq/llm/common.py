@@ -110,20 +110,28 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: A filter has this many bits for each value, within these bounds (32 MiB): it can be broadcast. A fuller one lets more values pass, and
-#: what passes is compared exactly.
+#: A Bloom filter has this many bits for each value, within these bounds (32 MiB): it can be broadcast. A fuller one lets more values pass,
+#: and what passes is compared exactly.
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 28
+_PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+
+
+def _places(values: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Byte and bit of each value under each of the filter's hash functions."""
+    for odd in _PROBES:
+        at = (values.view(np.uint64) * np.uint64(odd)) >> np.uint64(64 - (size.bit_length() - 1))
+        yield (at >> np.uint64(3)).astype(np.int64), (at & np.uint64(7)).astype(np.uint8)
 
 
 def filter_bits(df: DataFrame, column: str) -> np.ndarray:
-    """The filter of a long column: a bit for each value, gathered as one OR of a few partitions."""
+    """The filter of a long column, gathered as one OR of a few partitions."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * max(1, df.count()) - 1).bit_length()))
 
     def work(batches):
         bits = np.zeros(size >> 3, np.uint8)
         for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) & np.uint64(size - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            for byte, bit in _places(b.column(0).to_numpy(), size):
+                np.bitwise_or.at(bits, byte, np.uint8(1) << bit)
         yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], ["bits"])
 
     total = np.zeros(size >> 3, np.uint8)
@@ -133,9 +141,11 @@ def filter_bits(df: DataFrame, column: str) -> np.ndarray:
 
 
 def maybe_in(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Whether the filter has each value's bit."""
-    at = values.view(np.uint64) & np.uint64(len(bits) * 8 - 1)
-    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+    """Whether the filter has each value's bits."""
+    out = np.ones(len(values), bool)
+    for byte, bit in _places(values, len(bits) * 8):
+        out &= ((bits[byte] >> bit) & 1).astype(bool)
+    return out
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,12 +142,12 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, ti
 
 
 def _windows(batch):
-    """(first row, offsets, bytes) of a bounded window of whole texts at a time."""
+    """(first row, bytes, offsets, the bytes as an array) of a bounded window of whole texts at a time."""
     offsets, data = C.column_bytes(batch.column(1))
     for i, j in C.windows(offsets, WINDOW):
         part = data[offsets[i] : offsets[j]]
         if len(part):
-            yield i, offsets[i : j + 1] - offsets[i], part
+            yield i, part.tobytes(), offsets[i : j + 1] - offsets[i], part
 
 
 def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,48 +158,43 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
 
     def occurrences(batches):
         for b in batches:
-            ids = b.column(0)
-            order_of = pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy()
-            for i, offsets, part in _windows(b):
-                c = chunks(part, offsets, min_words)
-                if not len(c):
-                    continue
-                at, who = c[:, 1] - offsets[c[:, 0]], i + c[:, 0]
-                order = np.lexsort((at, order_of[who], c[:, 4]))  # the first of each hash has the smallest (doc_id, place)
-                new = np.flatnonzero(np.r_[True, np.diff(c[order, 4]) != 0])
-                n, chosen = np.diff(np.r_[new, len(order)]), order[new]
-                yield pa.RecordBatch.from_arrays([pa.array(c[chosen, 4]), ids.take(pa.array(who[chosen])), pa.array(at[chosen]), pa.array(n)], ["hash", "doc_id", "at", "n"])
-
-    seen = rows.select("doc_id", "text").mapInArrow(C.tidy(occurrences), f"hash long, doc_id {kind}, at long, n long")
-    index = stage.table(seen.groupBy("hash").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.sum("n").alias("n")).filter("n > 1"))
+            for _, _, offsets, part in _windows(b):
+                value, n = np.unique(chunks(part, offsets, min_words)[:, 4], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["hash", "n"])
+
+    seen = rows.select("doc_id", "text").mapInArrow(C.tidy(occurrences), "hash long, n long")
+    index = stage.table(seen.groupBy("hash").agg(F.sum("n").alias("n")).filter("n > 1").select("hash"))
     held = spark.sparkContext.broadcast(C.filter_bits(index, "hash"))
+    stage.drop(index)
 
     def candidates(batches):
         for b in batches:
-            for i, offsets, part in _windows(b):
+            for i, raw, offsets, part in _windows(b):
                 c = chunks(part, offsets, min_words)
                 c = c[C.maybe_in(held.value, c[:, 4])]
                 if len(c):
-                    base, raw, who = offsets[c[:, 0]], part.tobytes(), pa.array(i + c[:, 0])
+                    base, who = offsets[c[:, 0]], pa.array(i + c[:, 0])
                     body = pa.array([raw[x:y] for x, y in c[:, 1:3].tolist()], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(c[:, 4]), b.column(0).take(who), b.column(2).take(who), pa.array(c[:, 1] - base), pa.array(c[:, 2] - base), pa.array(c[:, 3] - base), body], ["hash", "doc_id", "digest", "from", "end", "to", "body"])
 
     found = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(candidates), f"hash long, doc_id {kind}, digest long, from long, end long, to long, body binary")
     found = stage.table(found)
-    stage.drop(index)
     total = max(1, found.count())
     firsts = found.groupBy("hash").agg(F.min(F.struct("doc_id", F.col("from").alias("at"), "body")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     joined = C.join_by_group(found, stage.table(firsts), ["hash"], "n", total, "inner")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("from") == F.col("first.at"))
-    # rows that share identifier and text give the same range twice
-    ranges = joined.filter(~is_first & (F.col("body") == F.col("first.body"))).select("doc_id", "digest", "hash", "from", "end", "to", F.struct("first.doc_id", "first.at").alias("first"), "n").distinct()
-    own = W.partitionBy("doc_id", "digest").orderBy("from", "to", "hash")  # a range that starts later ends later
-    ranges = ranges.withColumn("left", F.coalesce(F.max("to").over(own.rowsBetween(W.unboundedPreceding, -1)) < F.col("from"), F.lit(True)))
-    ranges = stage.table(ranges.withColumn("right", F.coalesce(F.lead("from").over(own) > F.col("to"), F.lit(True))))
+    ranges = joined.filter(~is_first & (F.col("body") == F.col("first.body"))).select("doc_id", "digest", "hash", "from", "end", "to", F.struct("first.doc_id", "first.at").alias("first"))
+    # Ranges that touch or overlap are one run. A range that starts later ends later; rows that share identifier and text give a range twice.
+    own = W.partitionBy("doc_id", "digest").orderBy("from", "to", "hash")
+    starts = F.coalesce(F.max("to").over(own.rowsBetween(W.unboundedPreceding, -1)) < F.col("from"), F.lit(True))
+    ranges = ranges.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(own))
+    edge = F.struct("hash", "from", "end", "to", "first")
+    runs = ranges.groupBy("doc_id", "digest", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by(edge, "from").alias("left"), F.max_by(edge, "to").alias("right"), F.count(F.lit(1)).cast("int").alias("n"))
+    runs = stage.table(runs)
     held.unpersist()
     stage.drop(found)
-    grown = stage.table(_extended(rows, ranges.filter("left OR right"), stage, min_words))
-    return ranges.select("doc_id", "digest", "from", "to").unionByName(grown)
+    grown = stage.table(_extended(rows, runs, stage, min_words))
+    return runs.select("doc_id", "digest", "from", "to", "n").unionByName(grown.withColumn("n", F.lit(0)))
 
 
 def _at_word(text: bytes, i: int) -> bool:
@@ -235,74 +229,68 @@ def agreement_before(mine: bytes, other: bytes) -> int:
     return k
 
 
-def _extended(rows: DataFrame, ends: DataFrame, stage: C.Stage, min_words: int) -> DataFrame:
-    """doc_id, digest, from, to: the outermost ranges of each run, extended as far as the text around the first occurrence agrees."""
+def _extended(rows: DataFrame, runs: DataFrame, stage: C.Stage, min_words: int) -> DataFrame:
+    """doc_id, digest, from, to: what each run is extended by to either side, as far as the text around the first occurrence agrees."""
     spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
-    place = F.explode(F.array(F.col("hash").bitwiseXOR(F.col("from")), F.col("hash").bitwiseXOR(F.col("first.at")))).alias("place")
-    held = spark.sparkContext.broadcast(C.filter_bits(ends.select(place), "place"))
+    sides = F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("side"), "left.*"), F.struct(F.lit(0).cast("long").alias("side"), "right.*")))
+    ends = stage.table(runs.select("doc_id", "digest", sides.alias("e")).select("doc_id", "digest", "e.*"))
+    place = lambda at: F.col("hash").bitwiseXOR(F.col(at)).bitwiseXOR(F.col("side"))
+    held = spark.sparkContext.broadcast(C.filter_bits(ends.select(F.explode(F.array(place("from"), place("first.at"))).alias("place")), "place"))
 
     def around(batches):
         for b in batches:
-            for i, offsets, part in _windows(b):
+            for i, raw, offsets, part in _windows(b):
                 c = chunks(part, offsets, min_words)
-                base = offsets[c[:, 0]]
-                use = C.maybe_in(held.value, c[:, 4] ^ (c[:, 1] - base))
-                c, base = c[use], base[use]
-                if len(c):
-                    raw, who = part.tobytes(), pa.array(i + c[:, 0])
-                    before = pa.array([raw[x:y] for x, y in c[:, [5, 1]].tolist()], pa.binary())
-                    after = pa.array([raw[x:y] for x, y in c[:, [2, 6]].tolist()], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c[:, 4]), b.column(0).take(who), b.column(2).take(who), pa.array(c[:, 1] - base), before, after], ["hash", "doc_id", "digest", "from", "before", "after"])
-
-    texts = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, doc_id {kind}, digest long, from long, before binary, after binary")
+                at = c[:, 1] - offsets[c[:, 0]]
+                for side, bounds in ((-1, [5, 1]), (0, [2, 6])):
+                    use = np.flatnonzero(C.maybe_in(held.value, c[:, 4] ^ at ^ side))
+                    if len(use):
+                        who = pa.array(i + c[use, 0])
+                        near = pa.array([raw[x:y] for x, y in c[use][:, bounds].tolist()], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c[use, 4]), pa.array(np.full(len(use), side)), b.column(0).take(who), b.column(2).take(who), pa.array(at[use]), near], ["hash", "side", "doc_id", "digest", "from", "near"])
+
+    texts = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, side long, doc_id {kind}, digest long, from long, near binary")
     texts = stage.table(texts)
-    mine = ends.select(F.col("hash").alias("_hash"), F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), F.col("from").alias("_from"), "end", "to", "n", "left", "right")
-    same = (texts["hash"] == F.col("_hash")) & texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["digest"] == F.col("_digest")) & (texts["from"] == F.col("_from"))
-    mine = texts.join(mine, same).drop("_hash", "_doc", "_digest", "_from")
-    firsts = ends.groupBy("hash").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).select(F.col("hash").alias("_hash"), F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at"), "n")
-    there = texts.join(firsts, (texts["hash"] == F.col("_hash")) & texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["from"] == F.col("_at")))
+    own = lambda df, *names: df.select(*[F.col(c).alias("_" + c) if c in ("hash", "side", "doc_id", "digest", "from") else F.col(c) for c in names])
+    same = (texts["hash"] == F.col("_hash")) & (texts["side"] == F.col("_side")) & texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (texts["from"] == F.col("_from"))
+    mine = texts.join(own(ends, "hash", "side", "doc_id", "digest", "from", "end", "to"), same & (texts["digest"] == F.col("_digest"))).drop("_hash", "_side", "_doc_id", "_digest", "_from")
+    firsts = ends.groupBy("hash", "side").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).select("hash", "side", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("from"), "n")
+    there = texts.join(own(firsts, "hash", "side", "doc_id", "from", "n"), same)
     # one text, where rows share an identifier
-    there = stage.table(there.groupBy("hash").agg(F.min_by(F.struct("before", "after"), "digest").alias("other"), F.max("n").alias("n")))
-    pairs = C.join_by_group(mine.drop("n"), there, ["hash"], "n", max(1, ends.count()), "inner")
+    there = stage.table(there.groupBy("hash", "side").agg(F.min_by("near", "digest").alias("other"), F.max("n").alias("n")))
+    pairs = C.join_by_group(mine, there, ["hash", "side"], "n", max(1, ends.count()), "inner")
 
     def work(batches):
         for b in batches:
-            rows = b.to_pydict()
-            less = [agreement_before(x, o["before"]) if use else 0 for x, o, use in zip(rows["before"], rows["other"], rows["left"], strict=True)]
-            more = [agreement(x, o["after"]) if use else 0 for x, o, use in zip(rows["after"], rows["other"], rows["right"], strict=True)]
-            start = np.array(rows["from"], np.int64) - np.array(less, np.int64)
-            stop = np.maximum(np.array(rows["to"], np.int64), np.array(rows["end"], np.int64) + np.array(more, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), pa.array(stop)], ["doc_id", "digest", "from", "to"])
+            side, start, end, to = (b.column(k).to_numpy() for k in range(2, 6))
+            both = zip(side.tolist(), b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)
+            size = np.fromiter((agreement_before(x, y) if s else agreement(x, y) for s, x, y in both), np.int64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(side, start - size, end)), pa.array(np.where(side, start, np.maximum(to, end + size)))], ["doc_id", "digest", "from", "to"])
 
-    pairs = pairs.select("doc_id", "digest", "from", "end", "to", "left", "right", "before", "after", "other")
-    return pairs.mapInArrow(C.tidy(work), f"doc_id {kind}, digest long, from long, to long")
+    return pairs.select("doc_id", "digest", "side", "from", "end", "to", "near", "other").mapInArrow(C.tidy(work), f"doc_id {kind}, digest long, from long, to long")
 
 
-def without_ranges(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
-    """The text without the union of the ranges."""
-    out, at = [], 0
-    for a, b in sorted(ranges):
-        if a > at:
-            out.append(text[at:a])
-        at = max(at, b)
-    out.append(text[at:])
-    return b"".join(out)
+def without_ranges(text, ranges):
+    """The text column without the union of the byte ranges (array of from, to)."""
+    raw = text.cast("binary")
+    cut = lambda at, end: F.substring(raw, (at + 1).cast("int"), F.greatest(end - at, F.lit(0)).cast("int"))
+    step = lambda acc, r: F.struct(F.greatest(acc["at"], r["from"], r["to"]).alias("at"), F.when(r["from"] > acc["at"], F.concat(acc["out"], cut(acc["at"], r["from"]))).otherwise(acc["out"]).alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(b"").alias("out"))
+    return F.aggregate(F.sort_array(ranges), start, step, lambda acc: F.concat(acc["out"], cut(acc["at"], F.octet_length(text).cast("long")))).cast("string")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with its text cleaned, and removed_chunks and removed_bytes."""
+    """``docs`` with its text cleaned, and removed_chunks."""
     spark = docs.sparkSession
     stage = C.Stage(spark, "lines")
     ranges = repeated_chunks(docs, stage, min_words, id_col, text_col)
-    doc, digest, own, spans = C.free_names(docs, "doc", "digest", "own", "ranges")
-    per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "to")).alias("ranges")).select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), F.col("ranges").alias(spans))
+    doc, digest, own, spans, removed = C.free_names(docs, "doc", "digest", "own", "ranges", "removed")
+    per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "to")).alias(spans), F.sum("n").cast("int").alias(removed))
+    per_doc = per_doc.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), spans, removed)
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn(own, F.xxhash64(text)).join(per_doc, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(digest)), "left")
-    clean = F.udf(lambda t, r: without_ranges(t.encode(), r).decode(), "string", useArrow=True)
-    touched = joined.filter(F.col(spans).isNotNull()).withColumn(text_col, clean(text, F.transform(spans, lambda x: F.array(x["from"], x["to"]))))
-    rest = joined.filter(F.col(spans).isNull()).withColumn(text_col, text)
-    out = touched.unionByName(rest)
-    return out.select(*docs.columns, F.coalesce(F.size(spans), F.lit(0)).alias("removed_chunks"))
+    clean = F.when(F.col(spans).isNull(), text).otherwise(without_ranges(text, F.col(spans)))
+    return joined.withColumn(text_col, clean).select(*docs.columns, F.coalesce(removed, F.lit(0)).alias("removed_chunks"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
