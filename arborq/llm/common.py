@@ -188,12 +188,13 @@ HOT_PARTS = 1000
 def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], size_col: str, total: int, how: str = "left") -> DataFrame:
     """rows joined with one row per key of ``groups``; hot keys by a broadcast of at most HOT_PARTS rows.
 
-    A key that is no hot key has at most total / HOT_PARTS rows, so no task of the shuffled part gets more for it.
+    A key that is no hot key has at most total / HOT_PARTS rows, so no task of the shuffled part gets more for it. That part is joined by
+    hash, which sorts neither side: a task holds one row for each of its keys.
     """
     hot = groups.filter(F.col(size_col) * HOT_PARTS > total)
     cold = groups.filter(F.col(size_col) * HOT_PARTS <= total)
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
     values = [c for c in groups.columns if c not in keys]
     in_hot = marked.filter(F.col("_hot")).drop("_hot")
-    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *values).join(cold, keys, how)
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot", *values).join(cold.hint("shuffle_hash"), keys, how)
     return in_hot.unionByName(rest)

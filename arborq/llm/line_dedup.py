@@ -253,9 +253,9 @@ def _extended(rows: DataFrame, runs: DataFrame, stage: C.Stage, min_words: int)
     texts = stage.table(texts)
     own = lambda df, *names: df.select(*[F.col(c).alias("_" + c) if c in ("hash", "side", "doc_id", "digest", "from") else F.col(c) for c in names])
     same = (texts["hash"] == F.col("_hash")) & (texts["side"] == F.col("_side")) & texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (texts["from"] == F.col("_from"))
-    mine = texts.join(own(ends, "hash", "side", "doc_id", "digest", "from", "end", "to"), same & (texts["digest"] == F.col("_digest"))).drop("_hash", "_side", "_doc_id", "_digest", "_from")
+    mine = texts.join(own(ends, "hash", "side", "doc_id", "digest", "from", "end", "to").hint("shuffle_hash"), same & (texts["digest"] == F.col("_digest"))).drop("_hash", "_side", "_doc_id", "_digest", "_from")
     firsts = ends.groupBy("hash", "side").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).select("hash", "side", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("from"), "n")
-    there = texts.join(own(firsts, "hash", "side", "doc_id", "from", "n"), same)
+    there = texts.join(own(firsts, "hash", "side", "doc_id", "from", "n").hint("shuffle_hash"), same)
     # one text, where rows share an identifier
     there = stage.table(there.groupBy("hash", "side").agg(F.min_by("near", "digest").alias("other"), F.max("n").alias("n")))
     pairs = C.join_by_group(mine, there, ["hash", "side"], "n", max(1, ends.count()), "inner")
@@ -286,7 +286,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     ranges = repeated_chunks(docs, stage, min_words, id_col, text_col)
     doc, digest, own, spans, removed = C.free_names(docs, "doc", "digest", "own", "ranges", "removed")
     per_doc = ranges.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("from", "to")).alias(spans), F.sum("n").cast("int").alias(removed))
-    per_doc = per_doc.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), spans, removed)
+    per_doc = per_doc.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest), spans, removed).hint("shuffle_hash")  # no sort of whole texts
     text = F.coalesce(F.col(text_col), F.lit(""))
     joined = docs.withColumn(own, F.xxhash64(text)).join(per_doc, F.col(id_col).eqNullSafe(F.col(doc)) & (F.col(own) == F.col(digest)), "left")
     clean = F.when(F.col(spans).isNull(), text).otherwise(without_ranges(text, F.col(spans)))
