@@ -2,17 +2,20 @@
 
 One automaton finds every magic number in a blob in one pass. At each hit the format's validator walks the
 structure (chunk sizes, checksums, markers, end records) and gives the length, or rejects the hit. The valid hit that starts
-at byte 0 and spans the blob corrects the declared type; the other valid hits, that lie in no other, are embedded
-media and can be carved. ``store`` writes bytes losslessly as the 8-bit samples of a WAV file and ``samples`` reads them back.
+at byte 0 and spans the blob corrects the declared type; the other valid hits are embedded media, those within another
+medium too, and ``carve`` returns their bytes. End records of archives and documents are found in one pass over the blob. ``store`` writes bytes losslessly as the 8-bit samples of a WAV file and ``samples`` reads them back.
 
 Results for odd inputs: a null or empty blob has no media, and its type is what was declared; a truncated file, or one
-whose sizes or checksums are wrong, is no media; overlapping hits go to the one that starts first, then to the longer one;
+whose sizes or checksums are wrong, is no media; of hits at one place the longest counts; ``sniff`` leaves out what starts within
+another medium, ``carve`` has it one level deeper;
 repeated rows are treated alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import re
 import struct
 import zlib
 
@@ -121,30 +124,52 @@ def _bmp(b: bytes, at: int) -> int | None:
     return size if not reserved and header in (12, 40, 52, 56, 108, 124) and 14 + header <= start <= size <= len(b) - at else None
 
 
-def _pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and b.find(b"startxref", at, end) >= 0 else None
+_TRAILER = re.compile(rb"startxref[\r\n ]+(\d{1,19})[\r\n ]+%%EOF(?:\r\n|\r|\n)?")
 
 
-def _zip(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\5\6", at)
-    if end < 0 or end + 22 > len(b):
-        return None
-    count, size, start, comment = struct.unpack_from("<HIIH", b, end + 10)
-    fits = start + size == end - at and (not count or b[at + start : at + start + 4] == b"PK\1\2") and end + 22 + comment <= len(b)
-    return end + 22 + comment - at if fits else None
+def _trailers(b: bytes, memo: dict) -> list[tuple[int, int, int]]:
+    """(place, end, cross-reference offset) of all trailers of the blob, in order."""
+    if "trailers" not in memo:
+        memo["trailers"] = [(m.start(), m.end(), int(m[1])) for m in _TRAILER.finditer(b)]
+    return memo["trailers"]
+
+
+def _pdf(b: bytes, at: int, memo: dict) -> int | None:
+    """To the last of the trailers that follow one another and whose offsets, from the header, lead to a cross-reference table or stream."""
+    found, trailers = None, _trailers(b, memo)
+    for place, end, offset in trailers[bisect.bisect_left(trailers, (at,)) :]:
+        there = at + offset
+        if not (at < there < place and (b[there : there + 4] == b"xref" or re.match(rb"\d+ \d+ obj", b[there : there + 24]))):
+            break
+        found = end - at
+    return found
+
+
+def _zip(b: bytes, at: int, memo: dict) -> int | None:
+    """To the last end record whose sizes lead back to this header."""
+    if "zips" not in memo:
+        memo["zips"], end = {}, b.find(b"PK\5\6")
+        while 0 <= end <= len(b) - 22:
+            count, size, start, comment = struct.unpack_from("<HIIH", b, end + 10)
+            first = end - size - start
+            if first >= 0 and (not count or b[first + start : first + start + 4] == b"PK\1\2") and end + 22 + comment <= len(b):
+                memo["zips"][first] = end + 22 + comment
+            end = b.find(b"PK\5\6", end + 4)
+    return memo["zips"][at] - at if at in memo["zips"] else None
 
 
-def _gzip(b: bytes, at: int) -> int | None:
-    d = zlib.decompressobj(31)
+def _gzip(b: bytes, at: int, step: int = 1 << 16) -> int | None:
+    d, i = zlib.decompressobj(31), at
     try:
-        rest = b[at:]
-        while rest and not d.eof:
-            d.decompress(rest, 1 << 20)
-            rest = d.unconsumed_tail
+        while i < len(b) and not d.eof:
+            rest = b[i : i + step]
+            i += len(rest)
+            while rest and not d.eof:  # bounded output: a small file may hold a very long one
+                d.decompress(rest, 1 << 20)
+                rest = d.unconsumed_tail
     except zlib.error:
         return None
-    return len(b) - at - len(d.unused_data) if d.eof else None
+    return i - at - len(d.unused_data) if d.eof else None
 
 
 def _ogg(b: bytes, at: int) -> int | None:
@@ -186,21 +211,29 @@ def _machine():
     return _automaton
 
 
-def sniff(blob: bytes) -> list[tuple[str, int, int]]:
-    """(type, start, length) of valid media in the blob, in order, none within another."""
-    out, done = [], 0
-    hits = sorted((end + 1 - size, which) for end, (size, which) in _machine().iter(blob.decode("latin-1")))
-    for start, which in hits:
-        if start < done:
-            continue
-        found = [(n, SIGNATURES[i][1]) for i in which if (n := SIGNATURES[i][2](blob, start))]
+#: Validators that look up end records found once a blob.
+_WITH_ENDS = (_pdf, _zip)
+
+
+def media_in(blob: bytes) -> list[tuple[str, int, int, int]]:
+    """(type, start, length, depth) of all valid media in the blob, in order; depth counts the media that hold it."""
+    out, ends, memo = [], [], {}
+    for start, which in sorted((end + 1 - size, which) for end, (size, which) in _machine().iter(blob.decode("latin-1"))):
+        tried = [(SIGNATURES[i][2](blob, start, memo) if SIGNATURES[i][2] in _WITH_ENDS else SIGNATURES[i][2](blob, start), SIGNATURES[i][1]) for i in which]
+        found = [x for x in tried if x[0]]
         if found:
             size, kind = max(found)
-            out.append((kind, start, size))
-            done = start + size
+            ends = [e for e in ends if e > start]
+            out.append((kind, start, size, len(ends)))
+            ends.append(start + size)
     return out
 
 
+def sniff(blob: bytes) -> list[tuple[str, int, int]]:
+    """(type, start, length) of valid media in the blob, in order, none that starts within another."""
+    return [m[:3] for m in media_in(blob) if not m[3]]
+
+
 def corrected(blob: bytes, declared: str | None, media: list[tuple[str, int, int]]) -> str | None:
     """The type of the medium that the whole blob is; else what was declared."""
     return media[0][0] if media and media[0][1:] == (0, len(blob)) else declared
@@ -238,25 +271,50 @@ def inspect(blobs: DataFrame, id_col: str, blob_col: str, declared_col: str | No
     return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, type string, media array<struct<type:string,start:bigint,length:bigint>>")
 
 
+def carve(blobs: DataFrame, id_col: str, blob_col: str, out_bytes: int = 8 << 20) -> DataFrame:
+    """One row for each medium in each blob: id, type, start, length, depth, bytes."""
+    rows = blobs.select(F.col(id_col).alias("id"), F.col(blob_col).alias("blob"))
+    names = ["id", "type", "start", "length", "depth", "bytes"]
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def work(batches):
+        for b in batches:
+            kinds = [b.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            held, size = [], 0
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                blob = x.as_py() or b""
+                for kind, start, n, depth in media_in(blob):
+                    held.append((i, kind, start, n, depth, blob[start : start + n]))
+                    size += n
+                    if size > out_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+                        held, size = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], names)
+
+    return rows.mapInArrow(work, f"id {id_type}, type string, start long, length long, depth int, bytes binary")
+
+
 def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_bytes, media (the stored form of the padded text), type, payload (as read back from the sniffed medium)."""
+    """Per row: doc_id, n_bytes, media (the stored form of the padded text), type, payload (as read back from the sniffed medium), embedded (media in it)."""
 
     def work(batches):
         for b in batches:
             offsets, data = C.column_bytes(b.column(1))
             raw = data.tobytes()
             for i, j in C.windows(offsets, 8 << 20):
-                media, types, back = [], [], []
+                media, types, back, inner = [], [], [], []
                 for x, y in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True):
                     blob = store(raw[x:y] + bytes(-(y - x) % UNIT or (UNIT if x == y else 0)))
-                    found = sniff(blob)
+                    found = media_in(blob)
                     media.append(blob)
-                    types.append(corrected(blob, "application/octet-stream", found))
+                    types.append(corrected(blob, "application/octet-stream", [m[:3] for m in found]))
                     back.append(samples(blob, found[0][1]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(media, pa.binary()), pa.array(types), pa.array(back, pa.binary())], ["doc_id", "n_bytes", "media", "type", "payload"])
+                    inner.append(sum(m[3] > 0 for m in found))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(offsets[i : j + 1])), pa.array(media, pa.binary()), pa.array(types), pa.array(back, pa.binary()), pa.array(inner, pa.int32())], ["doc_id", "n_bytes", "media", "type", "payload", "embedded"])
 
     rows = C.id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, type string, payload binary")
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, type string, payload binary, embedded int")
 
 
 def features(stored: DataFrame) -> DataFrame:
@@ -265,10 +323,10 @@ def features(stored: DataFrame) -> DataFrame:
     def work(batches):
         for b in batches:
             rows = []
-            for media, kind, payload in zip(b.column(2), b.column(3), b.column(4), strict=True):
+            for media, kind, payload, inner in zip(b.column(2), b.column(3), b.column(4), b.column(5), strict=True):
                 m, p = media.as_buffer().to_pybytes(), payload.as_buffer().to_pybytes()
                 a = np.frombuffer(p, np.uint8)
-                line = f"{kind};1x8bit@{RATE}Hz;samples={len(a)};mean={a.mean():.4f};rms={np.sqrt(np.mean(np.square(a, dtype=np.float64))):.4f};zeros={int((a == 0).sum())}"
+                line = f"{kind};1x8bit@{RATE}Hz;samples={len(a)};mean={a.mean():.4f};rms={np.sqrt(np.mean(np.square(a, dtype=np.float64))):.4f};zeros={int((a == 0).sum())};embedded={inner}"
                 rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), line))
             cols = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else []
             if rows:

@@ -324,6 +324,20 @@ def test_media(spark):
     assert [(k, blob[s : s + n]) for k, s, n in found] == parts
     for kind, p in parts:
         assert media.sniff(p[:-1]) == [] and media.corrected(p, "text/plain", media.sniff(p)) == kind
+    # what lies in another medium is one level deeper; a zip that stores a zip keeps its own end
+    z2 = io.BytesIO()
+    with zipfile.ZipFile(z2, "w", zipfile.ZIP_STORED) as f:
+        f.writestr("inner.zip", z.getvalue())
+        f.writestr("p.png", png)
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n25\n%%EOF\n"
+    pdf = pdf.replace(b"25", str(pdf.index(b"xref\n0")).encode())
+    updated = pdf + b"2 0 obj\nendobj\nxref\n0 1\ntrailer\nstartxref\n%d\n%%%%EOF\r\n" % (len(pdf) + 15)
+    nested = [("application/zip", z2.getvalue(), 0), ("application/zip", z.getvalue(), 1), ("image/png", png, 1), ("application/pdf", updated, 0)]
+    blobs = spark.createDataFrame([(7, b"xx" + z2.getvalue() + updated + b"tail %%EOF", "x"), (8, None, "x"), (9, media.store(png), "x")], "k int, blob binary, type string")
+    got = sorted((r.id, r.start, r.type, bytes(r.bytes), r.depth) for r in media.carve(blobs, "k", "blob", out_bytes=10).collect())
+    assert {x[2:] for x in got if x[0] == 7} >= set(nested) and [x[2:] for x in got if x[0] == 9] == [("audio/wav", media.store(png), 0), ("image/png", png, 1)]
+    out = {r.doc_id: r for r in media.features(media.stored_texts(table(spark, [*TEXTS[:-1], "see GIF87a " + pdf.decode()]))).collect()}
+    assert out[len(TEXTS) - 1].feature.endswith("embedded=1")
     out = {r.doc_id: r for r in media.features(media.stored_texts(table(spark))).collect()}
     for i, t in enumerate(TEXTS):
         raw = (t or "").encode()
