@@ -51,18 +51,42 @@ def satisfied(mask: Column) -> Column:
     return F.bit_count(mask)
 
 
+#: By how many pillars hold, the tier, its symbol and what it stands for.
+TIERS = (
+    ("SLOP", "❌", ""),
+    ("BRONZE", "🥉", "One of four quality pillars satisfied"),
+    ("SILVER", "🥈", "Two of four quality pillars satisfied"),
+    ("GOLD", "🥇", "Three of four quality pillars satisfied"),
+    ("PLATINUM", "🏆", "Joint satisfaction of all four quality pillars"),
+)
+NO_MEDAL = "❌ NO MEDAL - Fails every generator; unconstrained code"
+
+
+def _tier(mask: Column, part: int) -> Column:
+    return F.element_at(F.array(*[F.lit(t[part]) for t in TIERS]), F.bit_count(mask).cast("int") + 1)
+
+
 def medal(mask: Column) -> Column:
-    """Fixed tiers by how many pillars hold."""
-    tiers = F.array(*[F.lit(x) for x in ("none", "bronze", "silver", "gold", "platinum")])
-    return F.element_at(tiers, F.bit_count(mask).cast("int") + 1)
+    """The tier's name."""
+    return _tier(mask, 0)
+
+
+def symbol(mask: Column) -> Column:
+    return _tier(mask, 1)
 
 
 def name(mask: Column) -> Column:
-    """Pillars that hold, joined by +; SLOP for none and IDEAL for all."""
-    parts = F.concat_ws("+", *[F.when(mask.bitwiseAND(b) != 0, F.lit(p)) for p, b in BITS.items()])
+    """Pillars that hold, in capitals, joined by _; SLOP for none and IDEAL for all."""
+    parts = F.concat_ws("_", *[F.when(mask.bitwiseAND(b) != 0, F.lit(p.upper())) for p, b in BITS.items()])
     return F.when(mask == 0, "SLOP").when(mask == TOP, "IDEAL").otherwise(parts)
 
 
+def description(mask: Column) -> Column:
+    """Symbol, tier, meaning and name in one line."""
+    line = F.concat(symbol(mask), F.lit(" "), medal(mask), F.lit(" - "), _tier(mask, 2), F.lit(" ("), name(mask), F.lit(")"))
+    return F.when(mask == 0, NO_MEDAL).otherwise(line)
+
+
 def preference_score(mask: Column, ranking: tuple[str, ...] = DEFAULT_RANKING) -> Column:
     """The sum of 2^(3 - rank) over the pillars that hold."""
     return sum((F.when(mask.bitwiseAND(BITS[p]) != 0, 1 << (3 - i)).otherwise(0) for i, p in enumerate(ranking)), F.lit(0))

@@ -13,9 +13,41 @@ GW_NODES, GW_OUTER, GW_SINKHORN, GW_REGULAR, GW_TOLERANCE = 200, 50, 100, 0.5, 1
 
 
 def encoded(kinds: Column, vocabulary: list[str]) -> Column:
-    """A sequence of kinds as a string, one character a kind, so that the built-in edit distance applies."""
+    """A sequence of kinds as a string, one character a kind, so that the built-in edit distance applies. Fails on a kind outside the vocabulary."""
     code = F.create_map(*[x for i, k in enumerate(vocabulary) for x in (F.lit(k), F.lit(chr(0x4E00 + i)))])
-    return F.concat_ws("", F.transform(kinds, lambda k: F.element_at(code, k)))
+    one = lambda k: F.coalesce(F.element_at(code, k), F.raise_error(F.concat(F.lit("kind outside the vocabulary: "), F.coalesce(k, F.lit("null")))))
+    return F.concat_ws("", F.transform(kinds, one))
+
+
+def vocabulary(*sequences: DataFrame) -> list[str]:
+    """All kinds of the tables' sequences (kinds), in order: grammars have a few hundred, so they come to the driver."""
+    kinds = None
+    for s in sequences:
+        own = s.select(F.explode("kinds").alias("k"))
+        kinds = own if kinds is None else kinds.unionByName(own)
+    return sorted(r["k"] for r in kinds.distinct().collect())
+
+
+def ast_distance(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file_id, raw, distance, similarity) of the kind sequences (file_id, kinds) of two versions, over all nodes of the trees.
+
+    distance is the share of the longer one; 1 where a version has no tree, as similarity is then 0.
+    """
+    words = vocabulary(before, after)
+    j = before.select("file_id", F.col("kinds").alias("x")).join(after.select("file_id", F.col("kinds").alias("y")), "file_id", "full_outer")
+    both = F.col("x").isNotNull() & F.col("y").isNotNull()
+    raw, share = edit_distance(F.col("x"), F.col("y"), words)
+    out = j.select("file_id", F.when(both, raw).alias("raw"), F.when(both, share).otherwise(1.0).alias("distance"))
+    return out.withColumn("similarity", 1 - F.col("distance"))
+
+
+def compare_flow(hist_before: DataFrame, hist_after: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file_id, cyclomatic_delta, edge_distance, longest_path_delta): of edge histograms (file_id, kind, n) and flow metrics of two versions."""
+    edges = histogram_distance(hist_before, hist_after, ["file_id"], "kind").withColumnRenamed("distance", "edge_distance")
+    x, y = (m.select("file_id", *[F.col(c).alias(c + s) for c in ("cyclomatic", "longest_path")]) for m, s in ((before, "_x"), (after, "_y")))
+    delta = lambda c: (F.coalesce(c + "_y", F.lit(0)) - F.coalesce(c + "_x", F.lit(0))).alias(c + "_delta")
+    j = x.join(y, "file_id", "full_outer").join(edges, "file_id", "left").na.fill(0.0, ["edge_distance"])
+    return j.select("file_id", delta("cyclomatic"), "edge_distance", delta("longest_path"))
 
 
 def edit_distance(a: Column, b: Column, vocabulary: list[str]) -> tuple[Column, Column]:

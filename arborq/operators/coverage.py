@@ -1,12 +1,12 @@
 """Structural test coverage: how much of each declaration's shape the tests' declarations share.
 
-Fingerprints are (unit, decl, kind, n). Matching a declaration against all test declarations goes through the kinds they share, so
-declarations without a common kind never meet.
+Fingerprints are (unit, decl, kind, n).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .tree import CALLABLES
@@ -22,29 +22,43 @@ def declarations(nodes: DataFrame) -> DataFrame:
 
 
 def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(file_id, decl, kind, n): kinds in each declaration's subtree, less one of its own."""
+    """(file_id, decl, kind, n): kinds in each declaration's subtree, less one of its own.
+
+    Each declaration asks the running count of each kind of its file at its two ends: linear in declarations times kinds.
+    """
     d = declarations(nodes).select("file_id", F.col("node_id").alias("decl"), F.col("kind").alias("own"), F.col("pre").alias("a"), F.col("last").alias("b"))
-    j = d.join(nodes.select("file_id", "pre", "kind"), "file_id").filter("pre BETWEEN a AND b")
-    h = j.groupBy("file_id", "decl", "own", "kind").agg(F.count(F.lit(1)).alias("n"))
+    kinds = nodes.groupBy("file_id").agg(F.collect_set("kind").alias("kinds"))
+    end = lambda place, sign: F.struct(place.alias("place"), F.lit(sign).alias("sign"))
+    ask = d.join(kinds, "file_id").withColumn("kind", F.explode("kinds")).withColumn("e", F.explode(F.array(end(F.col("a") - 1, -1), end(F.col("b"), 1))))
+    ask = ask.select("file_id", "kind", "decl", "own", "e.place", "e.sign")
+    none = F.lit(None).cast("string")
+    have = nodes.select("file_id", "kind", F.lit(None).cast(d.schema["decl"].dataType).alias("decl"), none.alias("own"), F.col("pre").alias("place"), F.lit(0).alias("sign"))
+    w = W.partitionBy("file_id", "kind").orderBy("place", F.abs("sign")).rowsBetween(W.unboundedPreceding, 0)
+    met = have.unionByName(ask).withColumn("met", F.sum((F.col("sign") == 0).cast("long")).over(w) * F.col("sign")).filter("sign <> 0")
+    h = met.groupBy("file_id", "decl", "own", "kind").agg(F.sum("met").alias("n"))
     return h.select("file_id", "decl", "kind", (F.col("n") - (F.col("kind") == F.col("own")).cast("int")).alias("n")).filter("n > 0")
 
 
-def _recalls(put: DataFrame, test: DataFrame, item: list[str]) -> DataFrame:
-    """(unit, decl, test_decl, recall) of the pairs that share an item."""
-    size = put.groupBy("unit", "decl").agg(F.sum("n").alias("size"))
-    j = put.join(test.select("unit", F.col("decl").alias("test_decl"), *item, F.col("n").alias("m")), ["unit", *item])
-    common = j.groupBy("unit", "decl", "test_decl").agg(F.sum(F.least("n", "m")).alias("common"))
-    return common.join(size, ["unit", "decl"]).select("unit", "decl", "test_decl", (F.col("common") / F.col("size")).alias("recall"))
+def _profiles(fingerprint: DataFrame) -> DataFrame:
+    """(unit, decl, p, size): each declaration's fingerprint as one sorted array, and its total."""
+    return fingerprint.groupBy("unit", "decl").agg(F.array_sort(F.collect_list(F.struct("kind", "n"))).alias("p"), F.sum("n").alias("size"))
 
 
 def best_matches(put_decls: DataFrame, put: DataFrame, test_decls: DataFrame, test: DataFrame) -> DataFrame:
     """(unit, decl, recall): the best multiset recall of each declaration by a test declaration of its unit.
 
-    1 for a declaration with an empty fingerprint whose unit has a test declaration, 0 where nothing matches.
+    1 for a declaration with an empty fingerprint whose unit has a test declaration, 0 where nothing matches. Declarations of equal fingerprints
+    count as one, so only different shapes of a unit meet.
     """
-    best = _recalls(put, test, ["kind"]).groupBy("unit", "decl").agg(F.max("recall").alias("best"))
+    own = _profiles(put)
+    shapes = own.select("unit", "p", "size").distinct()
+    others = _profiles(test).select("unit", F.col("p").alias("q")).distinct()
+    held = F.map_from_entries("q")
+    common = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.coalesce(F.try_element_at(held, x["kind"]), F.lit(0))).cast("long"))
+    best = shapes.join(others, "unit").groupBy("unit", "p").agg(F.max(common / F.col("size")).alias("best"))
+    with_best = own.join(best, ["unit", "p"]).select("unit", "decl", "best")
     bare = put_decls.join(put.select("unit", "decl").distinct(), ["unit", "decl"], "left_anti").join(test_decls.select("unit").distinct(), "unit", "left_semi").select("unit", "decl", F.lit(1.0).alias("bare"))
-    out = put_decls.select("unit", "decl").join(best, ["unit", "decl"], "left").join(bare, ["unit", "decl"], "left")
+    out = put_decls.select("unit", "decl").join(with_best, ["unit", "decl"], "left").join(bare, ["unit", "decl"], "left")
     return out.select("unit", "decl", F.coalesce("best", "bare", F.lit(0.0)).alias("recall"))
 
 

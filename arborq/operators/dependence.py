@@ -6,6 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .compare import jaccard
+from .tree import ancestors
+
+
+def defs_and_uses(nodes: DataFrame, statements: DataFrame) -> DataFrame:
+    """(file_id, stmt, var, is_def): the names that each statement's subtree defines and uses.
+
+    ``nodes`` is a syntax table with name (or text) of identifiers; ``statements`` has (file_id, stmt). An identifier below the first child of the
+    nearest assignment within the statement is a definition, any other one a use.
+    """
+    chosen = statements.select("file_id", F.col("stmt").alias("node_id")).distinct().withColumn("_stmt", F.lit(True))
+    own = nodes.join(chosen, ["file_id", "node_id"], "left").withColumn("_stmt", F.coalesce("_stmt", F.lit(False)))
+    ident, assign = F.col("kind") == "Identifier", F.col("kind") == "AssignExpr"
+    # the last place of an assignment's first child, which is the node right behind it
+    follows = F.lead(F.struct("pre", "last")).over(W.partitionBy("file_id").orderBy("pre"))
+    own = own.withColumn("_first", F.when(assign & (follows["pre"] <= F.col("last")), follows["last"]))
+    text = F.trim("text") if "text" in nodes.columns else F.lit("")
+    var = F.coalesce(F.when(F.col("name") != "", F.col("name")), F.when(text != "", text), F.col("node_id")) if "name" in nodes.columns else F.coalesce(F.when(text != "", text), F.col("node_id"))
+    keep = ("node_id", "_var", "_first", "_stmt")
+    named = own.withColumn("_var", F.when(ident, var))
+    at = ancestors(named, F.col("_stmt") | assign, ident, keep, strict=False).select("file_id", "pre", F.col("node_id").alias("id"), "_var", "level", "anc")
+    # assignments between a statement and the identifier: the innermost decides
+    inner = W.partitionBy("file_id", "id").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
+    near = F.first(F.when(F.col("anc._first").isNotNull(), F.struct(F.col("anc.pre").alias("pre"), F.col("anc._first").alias("first"))), ignorenulls=True).over(inner)
+    found = at.withColumn("near", near).filter("anc._stmt")
+    is_def = F.coalesce((F.col("near.pre") < F.col("pre")) & (F.col("pre") <= F.col("near.first")), F.lit(False))
+    return found.select("file_id", F.col("anc.node_id").alias("stmt"), F.col("_var").alias("var"), is_def.alias("is_def")).distinct()
+
+
+def accesses(nodes: DataFrame, procedures: DataFrame) -> DataFrame:
+    """(file_id, proc, stmt, ord, var, is_def) of the statements by procedure: what reaching_definitions takes."""
+    return procedures.join(defs_and_uses(nodes, procedures), ["file_id", "stmt"]).select("file_id", "proc", "stmt", "ord", "var", "is_def")
+
 
 def reaching_definitions(accesses: DataFrame) -> DataFrame:
     """(file_id, proc, src, dst, var) of accesses (file_id, proc, stmt, ord, var, is_def): the last definition before a use, in textual order.
@@ -49,3 +82,24 @@ def property_graph(nodes: DataFrame, blocks: DataFrame, flow: DataFrame, data: D
 
 def property_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.dropDuplicates(["file_id", "node_id"])
+
+
+def compare_dependence(before: DataFrame, after: DataFrame, metrics_before: DataFrame, metrics_after: DataFrame) -> DataFrame:
+    """(file_id, data_jaccard, control_jaccard, density_delta): edges (file_id, family, src, dst, label) of two versions.
+
+    Data edges are equal with their variable, control edges without; two versions without an edge of a family agree (1).
+    """
+    out = metrics_before.select("file_id", F.col("density").alias("x")).join(metrics_after.select("file_id", F.col("density").alias("y")), "file_id", "full_outer")
+    for family, items, name in (("ddg", ["src", "dst", "label"], "data_jaccard"), ("cdg", ["src", "dst"], "control_jaccard")):
+        own = lambda df: df.filter(F.col("family") == family)  # noqa: B023, E731
+        out = out.join(jaccard(own(before), own(after), ["file_id"], items).withColumnRenamed("jaccard", name), "file_id", "left")
+    return out.na.fill(1.0, ["data_jaccard", "control_jaccard"]).select("file_id", "data_jaccard", "control_jaccard", F.round(F.coalesce("y", F.lit(0.0)) - F.coalesce("x", F.lit(0.0)), 6).alias("density_delta"))
+
+
+def compare_property_graphs(before: DataFrame, after: DataFrame, nodes_before: DataFrame, nodes_after: DataFrame) -> DataFrame:
+    """(file_id, node_jaccard, ast_jaccard, cfg_jaccard, ddg_jaccard, cdg_jaccard) of two versions; 1 where both lack a family."""
+    out = jaccard(nodes_before, nodes_after, ["file_id"], ["node_id"]).withColumnRenamed("jaccard", "node_jaccard")
+    sides = before.select("file_id", "family", "src", "dst", "label", F.lit(1).alias("side")).unionByName(after.select("file_id", "family", "src", "dst", "label", F.lit(2).alias("side")))
+    edges = sides.groupBy("file_id", "family", "src", "dst", "label").agg(F.bit_or("side").alias("sides"))
+    per = edges.groupBy("file_id").agg(*[(F.count_if((F.col("family") == f) & (F.col("sides") == 3)) / F.nullif(F.count_if(F.col("family") == f), F.lit(0))).alias(f"{f}_jaccard") for f in ("ast", "cfg", "ddg", "cdg")])
+    return out.join(per, "file_id", "left").na.fill(1.0)

@@ -29,9 +29,32 @@ def entropy(text: Column | str) -> Column:
     return F.pandas_udf(ratios, "double")(text)
 
 
-def label(value: Column) -> Column:
-    """Fixed bands at 0.2, 0.5 and 0.8."""
-    return F.when(value < 0.2, "repetitive").when(value < 0.5, "structured").when(value < 0.8, "dense").otherwise("random")
+#: Upper bounds of the ratio, and what a text below them is called; the last name is for all above, the first for the empty text.
+BANDS = (
+    (0.2, "extreme redundancy (possible boilerplate or repetitive data)"),
+    (0.5, "low entropy (standard well-structured code)"),
+    (0.8, "moderate entropy (complex or dense logic)"),
+)
+ABOVE, EMPTY = "high entropy (low redundancy; possible noise or obfuscation)", "empty"
+
+
+def label(value: Column, size: Column | None = None) -> Column:
+    """The band of a ratio; with the original size also that of the empty text."""
+    out = F.when(size == 0, EMPTY) if size is not None else F.when(F.lit(False), EMPTY)
+    for bound, name in BANDS:
+        out = out.when(value < bound, name)
+    return out.otherwise(ABOVE)
+
+
+def detail(text: Column | str) -> Column:
+    """A struct (ratio, compressed_size, original_size) of a text, sizes in bytes after line ends are made alike; zeros for the empty text."""
+
+    def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            raw = [(x or "").replace("\r\n", "\n").encode() for x in s]
+            yield pd.DataFrame({"ratio": [entropy_ratio(x) for x in s], "compressed_size": [len(zlib.compress(r, 9)) if r else 0 for r in raw], "original_size": [len(r) for r in raw]})
+
+    return F.pandas_udf(sizes, "ratio double, compressed_size long, original_size long")(text)
 
 
 def blocks(text: Column, size: int) -> Column:

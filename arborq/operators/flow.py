@@ -6,6 +6,7 @@ Building is a sequential walk, so each file is one group of a grouped Python fun
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict, deque
 
 import pandas as pd
@@ -96,6 +97,8 @@ class Graph:
         self.tree, self.labels, self.stmts, self.edges = tree, [], [], []
         self.loops: list[tuple[int | None, int]] = []  # where continue and break go
         self.finals: list[dict] = []  # enclosing finally clauses: block, and what was routed into it
+        # the walk calls itself once or twice a level, in Python frames only
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 8 * len(tree.kind) + 1000))
         entry, self.exit = self.block("entry"), self.block("exit")
         found = tree.callables()
         if not found:
@@ -269,6 +272,47 @@ def edges_of(graph: DataFrame) -> DataFrame:
     return graph.filter("dst IS NOT NULL").select("file_id", "src", "dst", "kind")
 
 
+def procedures(blocks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, proc, ord, stmt): the statements of each procedure, in the order of their blocks.
+
+    A procedure is a block that the entry leads to; its statements are those of the blocks that it reaches without passing the exit or another
+    procedure's first block. Without procedures all of a file's statements are one, of proc -1.
+    """
+    kind = blocks.schema["file_id"].dataType.simpleString()
+    stmt = blocks.schema["stmts"].dataType.elementType.simpleString()
+    rows = blocks.select("file_id", F.col("block_id").alias("src"), F.lit(None).cast("long").alias("dst"), "label", "stmts").unionByName(edges.select("file_id", "src", "dst", F.lit(None).cast("string").alias("label"), F.lit(None).cast(f"array<{stmt}>").alias("stmts")))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        own = g[g["dst"].isna()].sort_values("src")
+        held = {int(b): list(x) if x is not None else [] for b, x in zip(own["src"], own["stmts"], strict=True)}
+        ends = {label: int(b) for b, label in zip(own["src"], own["label"], strict=True) if label in ("entry", "exit")}
+        succ = defaultdict(list)
+        for a, b in g[g["dst"].notna()][["src", "dst"]].itertuples(index=False):
+            succ[int(a)].append(int(b))
+        entry, exit_ = ends.get("entry", 0), ends.get("exit", 1)
+        starts = list(dict.fromkeys(b for b in succ[entry] if b != exit_))
+        others = set(starts)
+        out = []
+        for p in starts:
+            seen, todo = set(), [p]
+            while todo:
+                x = todo.pop()
+                if x not in seen and x != exit_:
+                    seen.add(x)
+                    todo += [y for y in succ[x] if y not in others or y == p]
+            out += [(p, s) for b in sorted(seen) for s in held.get(b, [])]
+        if not starts:
+            out = [(-1, s) for b in sorted(held) for s in held[b]]
+        seen_ = defaultdict(int)
+        final = []
+        for p, s in out:
+            final.append((g["file_id"].iloc[0], p, seen_[p], s))
+            seen_[p] += 1
+        return pd.DataFrame(final, columns=["file_id", "proc", "ord", "stmt"])
+
+    return rows.groupBy("file_id").applyInPandas(one, f"file_id {kind}, proc long, ord long, stmt {stmt}")
+
+
 def successors(edges: DataFrame, block: int) -> DataFrame:
     return edges.filter(F.col("src") == block)
 

@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -50,32 +51,19 @@ def file_lookup(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     return own.join(files, "tail").filter(same).groupBy("path").agg(F.min(F.struct(F.col("path") != F.col("file_path"), "id")).alias("m")).select("path", F.col("m.id").alias("id"))
 
 
-def contained_symbols(nodes: DataFrame, edges: DataFrame, roots: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(root, id, level): everything below each root by containment; cycles end where a node is met again.
-
-    Each round joins the newest frontier only. A round's result is written as a table, so plans do not grow.
-    """
-    down = edges.filter(F.col("rel_type").isin(*CONTAINMENT)).select("src", "dst").distinct()
-    found = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"))
-    frontier = found
-    for level in range(1, max_rounds + 1):
-        nxt = frontier.join(down, frontier["id"] == down["src"]).select("root", F.col("dst").alias("id")).distinct()
-        nxt = cut(nxt.join(found.select("root", "id"), ["root", "id"], "left_anti").withColumn("level", F.lit(level)))
-        if nxt.isEmpty():
-            break
-        found, frontier = found.unionByName(nxt), nxt
-    return found.filter("level > 0")
-
-
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset, an own one that goes with the process."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets an own one that goes with
+    the process; on a cluster that is an error, as executors would write to their own disks."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
-    app = spark.sparkContext.applicationId
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = sc.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="arborq-tables-")
         atexit.register(shutil.rmtree, _own_dirs[app], True)
@@ -86,25 +74,72 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut: written as a table to the shared folder and read again, so lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
-def owning_file(nodes: DataFrame, edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rounds of a closure after which their tables become one.
+MERGED = 8
+
+
+def closure(starts: DataFrame, arcs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., at, level): all that each start (keys..., at) reaches along arcs (src, dst), at its least number of hops.
+
+    Each round joins the newest frontier only, and the rounds end when there is none, so cycles end and no chain is too long.
+    A round's result is written as a table; every few rounds the tables become one.
+    """
+    arcs = cut(arcs.select("src", "dst").distinct())
+    parts = [cut(starts.select(*keys, "at").distinct().withColumn("level", F.lit(0)))]
+    level = 0
+    while True:
+        level += 1
+        known = reduce(DataFrame.unionByName, parts).select(*keys, "at")
+        nxt = parts[-1].select(*keys, F.col("at").alias("src")).join(arcs, "src").select(*keys, F.col("dst").alias("at")).distinct()
+        nxt = cut(nxt.join(known, [*keys, "at"], "left_anti").withColumn("level", F.lit(level)))
+        if nxt.isEmpty():
+            drop(nxt, arcs)
+            return reduce(DataFrame.unionByName, parts)
+        if len(parts) >= MERGED:
+            merged = cut(reduce(DataFrame.unionByName, parts))
+            drop(*parts)
+            parts = [merged]
+        parts.append(nxt)
+
+
+def contained_symbols(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, id, level): everything below each root by containment; cycles end where a node is met again."""
+    down = edges.filter(F.col("rel_type").isin(*CONTAINMENT))
+    found = closure(roots.select(F.col("id").alias("root"), F.col("id").alias("at")), down, ["root"])
+    return found.filter("level > 0").select("root", F.col("at").alias("id"), "level")
+
+
+def owning_file(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, file): the file that owns each node, climbing containment in its fixed order; null without one or on a cycle.
 
-    A node's parent is fixed first (one per node), then paths are climbed by pointer doubling: the number of rounds grows with the
-    logarithm of the depth.
+    A node's parent is fixed first (one per node), then paths are climbed by pointer doubling: after as many rounds as the number of nodes
+    has binary digits every path has ended, and what has not runs in a cycle.
     """
     order = F.array_position(F.array(*[F.lit(c) for c in CONTAINMENT]), F.col("rel_type"))
     up = edges.filter(F.col("rel_type").isin(*CONTAINMENT)).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct(order, F.col("src"))).getField("src").alias("parent"))
     is_file = F.col("label") == "File"
     state = nodes.select("id", is_file.alias("is_file")).join(up, "id", "left")
-    state = state.select("id", F.when(F.col("is_file"), F.col("id")).alias("file"), F.when(~F.col("is_file"), F.col("parent")).alias("at"))
-    for _ in range(max_rounds):
-        above = state.select(F.col("id").alias("at"), F.col("file").alias("up_file"), F.col("at").alias("up_at"))
-        state = cut(state.join(above, "at", "left").select("id", F.coalesce("file", "up_file").alias("file"), F.when(F.coalesce("file", "up_file").isNull(), F.col("up_at")).alias("at")))
-        if state.filter("file IS NULL AND at IS NOT NULL AND at <> id").isEmpty():
+    state = cut(state.select("id", F.when(F.col("is_file"), F.col("id")).alias("file"), F.when(~F.col("is_file"), F.col("parent")).alias("at")))
+    for _ in range(state.count().bit_length() + 1):
+        if state.filter("file IS NULL AND at IS NOT NULL").isEmpty():
             break
+        above = state.select(F.col("id").alias("at"), F.col("file").alias("up_file"), F.col("at").alias("up_at"))
+        after = cut(state.join(above, "at", "left").select("id", F.coalesce("file", "up_file").alias("file"), F.when(F.coalesce("file", "up_file").isNull(), F.col("up_at")).alias("at")))
+        drop(state)
+        state = after
     return state.select("id", "file")
 
 
@@ -142,22 +177,11 @@ def fan(nodes: DataFrame, edges: DataFrame, owner: DataFrame) -> DataFrame:
     return _files(nodes).join(into, "file", "left").join(out, "file", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
-def dependency_depth(nodes: DataFrame, edges: DataFrame, owner: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(file, dep_depth): the eccentricity of each file over imports that leave file nodes, each hop lifted to the owning file.
-
-    Level-synchronous: a round keeps only pairs that were not met on an earlier level.
-    """
+def dependency_depth(nodes: DataFrame, edges: DataFrame, owner: DataFrame) -> DataFrame:
+    """(file, dep_depth): the eccentricity of each file over imports that leave file nodes, each hop lifted to the owning file."""
     files = by_label(nodes, "File").select(F.col("id").alias("src"))
     hops = lifted(edges.join(files, "src", "left_semi"), owner, "IMPORTS").filter("dst_file IS NOT NULL AND src_file <> dst_file")
-    hops = cut(hops.select(F.col("src_file").alias("a"), F.col("dst_file").alias("b")).distinct())
-    met = files.select(F.col("src").alias("file"), F.col("src").alias("at"), F.lit(0).alias("level"))
-    frontier = met
-    for level in range(1, max_rounds + 1):
-        nxt = frontier.join(hops, frontier["at"] == hops["a"]).select("file", F.col("b").alias("at")).distinct()
-        nxt = cut(nxt.join(met.select("file", "at"), ["file", "at"], "left_anti").withColumn("level", F.lit(level)))
-        if nxt.isEmpty():
-            break
-        met, frontier = met.unionByName(nxt), nxt
+    met = closure(files.select(F.col("src").alias("file"), F.col("src").alias("at")), hops.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")), ["file"])
     return met.groupBy("file").agg(F.max("level").alias("dep_depth"))
 
 

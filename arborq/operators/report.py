@@ -6,13 +6,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lattice import PILLARS
-from .gates import bit, weakest
+from .gates import bit, threshold, weakest
 
-#: Files listed as worst, rows of a page and their bounds, cyclomatic number of a giant, targets, hot spots.
-WORST, PAGE, PAGE_MAX, GIANT, TARGETS, HOTSPOTS = 3, 25, 500, 15, 3, 5
+#: Files listed as worst, rows of a page and their bounds, cyclomatic number of a giant.
+WORST, PAGE, PAGE_MAX, GIANT = 3, 25, 500, 15
 
 
 def percent(score: Column) -> Column:
@@ -39,18 +40,24 @@ def rollup(classified: DataFrame, results: DataFrame, by: str | None = "language
     return out.select(F.when(F.col("grp") != "\0total", F.col("grp")).alias("grp"), "pillar", (F.col("ok") & F.col("parses")).alias("holds"), percent(F.col("low")).alias("min_score"))
 
 
+def language_summary(keyed: DataFrame) -> DataFrame:
+    """(language, files, parse_failures, worst_file): the worst file is the one of the smallest weakest score, then path."""
+    return keyed.groupBy("language").agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("is_parseable")).alias("parse_failures"), F.min_by("path", F.struct("weakest", "path")).alias("worst_file"))
+
+
 def floor_verdict(rolled: DataFrame) -> DataFrame:
     """(grp, mask): bits of the pillars that hold."""
     return rolled.groupBy("grp").agg(F.coalesce(F.bit_or(F.when(F.col("holds"), bit(F.col("pillar")))), F.lit(0)).cast("int").alias("mask"))
 
 
 def with_sort_key(classified: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Adds weakest, failures, and the key that ranks files: hard failures by count, then giants by size, then by weakest score."""
-    failures = outcomes.filter("NOT passed").groupBy("file_id").agg(F.count(F.lit(1)).alias("failures"))
-    cyclomatic = outcomes.filter("metric = 'cfg.cyclomatic'").groupBy("file_id").agg(F.max("value").alias("cyclomatic"))
-    hard = outcomes.filter("NOT passed AND deciding").select("file_id").distinct().withColumn("hard_fail", F.lit(True))
-    out = classified.join(failures, "file_id", "left").join(cyclomatic, "file_id", "left").join(hard, "file_id", "left")
-    out = out.na.fill(0, ["failures"]).na.fill(False, ["hard_fail"]).withColumn("weakest", weakest(out))
+    """Adds weakest, failures, and the key that ranks files: hard failures by count, then giants by size, then by weakest score.
+
+    Failures are those of deciding gates; a file that does not parse is a hard failure too, with none.
+    """
+    decided = outcomes.groupBy("file_id").agg(F.count_if(F.col("deciding") & ~F.col("passed")).alias("failures"), F.max(F.when(F.col("metric") == "cfg.cyclomatic", F.col("value"))).alias("cyclomatic"))
+    out = classified.join(decided, "file_id", "left").na.fill(0, ["failures"])
+    out = out.withColumn("hard_fail", ~F.col("is_parseable") | (F.col("failures") > 0)).withColumn("weakest", weakest(out))
     giant = ~F.col("hard_fail") & (F.coalesce("cyclomatic", F.lit(0.0)) > GIANT)
     key = F.when(F.col("hard_fail"), F.struct(F.lit(0).alias("a"), (-F.col("failures")).cast("double").alias("b"), F.col("weakest").alias("c")))
     key = key.when(giant, F.struct(F.lit(1).alias("a"), (-F.col("cyclomatic")).alias("b"), F.lit(0.0).alias("c"))).otherwise(F.struct(F.lit(2).alias("a"), F.col("weakest").alias("b"), F.lit(0.0).alias("c")))
@@ -101,15 +108,43 @@ def json_rows(classified: DataFrame) -> DataFrame:
     return classified.select("path", F.to_json(F.struct("path", "language", "is_parseable", "mask", score.alias("scores"))).alias("json"))
 
 
-#: Fixed order of gates in suggestions.
-SUGGESTED = ("ast.max_function_complexity", "cfg.cyclomatic", "ast.entropy", "mdg.fan_out", "mdg.fan_in", "mdg.instability", "mdg.main_sequence_distance")
+#: Gates in the order of suggestions, each with its message (%1$ the value, %2$ the bound that it violates).
+SUGGESTED = (
+    "cfg.cyclomatic", "ast.max_function_complexity", "ast.entropy", "mdg.instability", "mdg.main_sequence_distance", "mdg.fan_out", "mdg.fan_in",
+)
+MESSAGES = {
+    "cfg.cyclomatic": "Collapse redundant decisions or split this file (cyclomatic %1$.0f > %2$.0f) — extracting helpers lowers `ast.max_function_complexity` but raises this whole-file sum.",
+    "ast.max_function_complexity": "Split the most complex function (complexity %1$.0f > %2$.0f).",
+    "ast.entropy low": "Consolidate repetitive/boilerplate code (entropy %1$.2f < %2$.1f).",
+    "ast.entropy high": "Decompose dense logic into named steps (entropy %1$.2f > %2$.1f).",
+    "mdg.instability": "Rebalance dependencies (instability %1$.2f; aim for 0.3–0.7).",
+    "mdg.main_sequence_distance": "Rebalance abstraction and dependencies (main-sequence distance %1$.2f > %2$.2f).",
+    "mdg.fan_out": "Reduce fan-out %1$.0f (> %2$.0f) — introduce an interface or invert the dependency.",
+    "mdg.fan_in": "Review this file's responsibility (fan-in %1$.0f > %2$.0f); many external symbols call it.",
+}
+PARSE_ERROR = "Fix the parse error so the file can be evaluated."
 
 
-def suggestions(outcomes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """(file_id, severity, ord, subject): deciding failures and findings to fix first, then what to improve."""
+def _message() -> Column:
+    kind = F.when(F.col("metric") == "ast.entropy", F.concat("metric", F.when(F.col("outcome").endswith("low"), " low").otherwise(" high"))).otherwise(F.col("metric"))
+    out = F.lit(None).cast("string")
+    for k, text in MESSAGES.items():
+        out = F.when(kind == k, F.format_string(text, F.col("value"), threshold())).otherwise(out)
+    return out
+
+
+def suggestions(files: DataFrame, outcomes: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """(file_id, place, pillar, metric, severity, message): what to do for each file, fixes first, then improvements.
+
+    A file that does not parse gets one line and no other. ``findings`` (file_id, callee, advice, line) come after the gates' fixes.
+    """
     order = F.array_position(F.array(*[F.lit(m) for m in SUGGESTED]), F.col("metric"))
-    gates = outcomes.filter("NOT passed").withColumn("ord", order).filter("ord > 0")
-    out = gates.select("file_id", F.when(F.col("deciding"), 0).otherwise(1).alias("severity"), F.col("ord").cast("int").alias("ord"), F.col("metric").alias("subject"))
+    failed = outcomes.filter("NOT passed AND pillar <> 'secure'")
+    out = failed.select("file_id", "pillar", "metric", F.when(F.col("deciding"), "fix").otherwise("improve").alias("severity"), _message().alias("message"), order.cast("long").alias("ord")).filter("ord > 0")
+    broken = files.filter("NOT is_parseable").select("file_id", F.lit("simple").alias("pillar"), F.lit(None).cast("string").alias("metric"), F.lit("fix").alias("severity"), F.lit(PARSE_ERROR).alias("message"), F.lit(0).cast("long").alias("ord"))
+    out = out.unionByName(broken)
     if findings is not None:
-        out = out.unionByName(findings.select("file_id", F.lit(0).alias("severity"), F.lit(100).alias("ord"), F.concat_ws(":", "kind", "line").alias("subject")))
-    return out.orderBy("file_id", "severity", "ord", "subject")
+        parsed = findings.join(files.filter("is_parseable").select("file_id"), "file_id", "left_semi")
+        out = out.unionByName(parsed.select("file_id", F.lit("secure").alias("pillar"), F.col("callee").alias("metric"), F.lit("fix").alias("severity"), F.col("advice").alias("message"), (100 + F.col("line")).cast("long").alias("ord")))
+    w = W.partitionBy("file_id").orderBy(F.col("severity") != "fix", "ord", "metric")
+    return out.select("file_id", (F.row_number().over(w) - 1).alias("place"), "pillar", "metric", "severity", "message")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .module_graph import cut
+from ..functions.lattice import BITS, TOP
+from .tree import ancestors
 
 #: Calls taken for dangerous, by language.
 DANGER = {
@@ -36,27 +40,36 @@ def callee(text: Column) -> Column:
     return F.regexp_extract(F.trim(text), "^([A-Za-z_][A-Za-z0-9_.]*)\\s*\\(", 1)
 
 
+def _suffixes(name: Column) -> Column:
+    """All endings of a name, itself included: what a key must equal to match, so that matching is a join by equality."""
+    return F.when(F.length(name) > 0, F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.substring(name, i, F.length(name)))).otherwise(F.array().cast("array<string>"))
+
+
+def _fits(name: Column, key: Column) -> Column:
+    """Of a key that ends the name: equal, or dotted, or longer than three characters (at any place, not only behind a dot)."""
+    return (name == key) | (F.length(key) > 3) | F.contains(key, F.lit("."))
+
+
 def matches(name: Column, key: Column) -> Column:
-    """Equal, or ends with a key that is dotted or longer than three characters (at any place, not only behind a dot)."""
-    return (name == key) | (((F.length(key) > 3) | F.contains(key, F.lit("."))) & F.endswith(name, key))
+    return F.endswith(name, key) & _fits(name, key)
 
 
 def effective_registry(registry: DataFrame, allowed: DataFrame) -> DataFrame:
     """Registry entries that no allowed pattern matches."""
-    return registry.join(F.broadcast(allowed.select("pattern")), matches(F.col("pattern"), F.col("key")), "left_anti")  # both are short fixed lists
+    hit = allowed.select("pattern").distinct().withColumn("key", F.explode(_suffixes(F.col("pattern")))).filter(_fits(F.col("pattern"), F.col("key")))
+    return registry.join(hit.select("key").distinct(), "key", "left_anti")
 
 
 def match_registry(calls: DataFrame, registry: DataFrame, on_language: bool = False) -> DataFrame:
     """calls (with callee) that match, each with its key: the exact one, else the longest.
 
-    Distinct callees meet the registry once; the calls then join by equality.
+    Distinct callees meet the registry once, by the equality of an ending and a key; the calls then join by equality.
     """
     keys = ["callee", "language"] if on_language else ["callee"]
-    names = calls.filter("callee <> ''").select(*keys).distinct()
-    r = registry.select("key", *(["language"] if on_language else [])).distinct()
-    cond = matches(F.col("callee"), F.col("key"))
-    j = names.join(F.broadcast(r), "language").filter(cond) if on_language else names.join(F.broadcast(r), cond)
-    best = j.groupBy(*keys).agg(F.max_by("key", F.struct(F.col("callee") == F.col("key"), F.length("key"), "key")).alias("key"))
+    names = calls.filter("callee <> ''").select(*keys).distinct().withColumn("key", F.explode(_suffixes(F.col("callee"))))
+    names = names.filter(_fits(F.col("callee"), F.col("key")))
+    on = ["key", "language"] if on_language else ["key"]
+    best = names.join(registry.select(*on).distinct(), on).groupBy(*keys).agg(F.max_by("key", F.struct(F.col("callee") == F.col("key"), F.length("key"), "key")).alias("key"))
     return calls.join(best, keys)
 
 
@@ -68,31 +81,51 @@ def dangerous_calls(calls: DataFrame, registry: DataFrame) -> DataFrame:
 def source_nodes(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """Identifier and member nodes whose whole text is a source."""
     own = nodes.filter(F.col("kind").isin("Identifier", "MemberExpr"))
-    return own.withColumn("_t", F.trim("text")).join(F.broadcast(sources.select(F.col("key").alias("_t")).distinct()), "_t", "left_semi").drop("_t")
+    return own.withColumn("_t", F.trim("text")).join(sources.select(F.col("key").alias("_t")).distinct(), "_t", "left_semi").drop("_t")
 
 
 def bridge(nodes: DataFrame, statements: DataFrame) -> DataFrame:
-    """(file_id, node_id, stmt): the smallest statement whose span holds the node, ties by start and identifier.
+    """(file_id, node_id, stmt): the smallest statement whose span holds the node.
 
-    ``nodes`` and ``statements`` have (file_id, node_id, pre, last); the join is within a file.
+    ``nodes`` and ``statements`` are nodes of one tree a file, with (file_id, node_id, pre, last): the innermost is the one opened last, so one
+    pass over both in order finds it.
     """
-    s = statements.select("file_id", F.col("node_id").alias("stmt"), F.col("pre").alias("a"), F.col("last").alias("b"))
-    j = nodes.select("file_id", "node_id", "pre", "last").join(s, "file_id").filter("a <= pre AND last <= b")
-    return j.groupBy("file_id", "node_id").agg(F.min_by("stmt", F.struct(F.col("b") - F.col("a"), F.col("a"), F.col("stmt"))).alias("stmt"))
+    part = lambda df, name: df.select("file_id", "node_id", "pre", "last", F.lit(name).alias("_as"))
+    both = part(nodes, "node").unionByName(part(statements, "stmt"))
+    found = ancestors(both, F.col("_as") == "stmt", F.col("_as") == "node", ("node_id",), strict=False, nearest=True)
+    return found.select("file_id", "node_id", F.col("anc.node_id").alias("stmt"))
 
 
-def reachable(starts: DataFrame, edges: DataFrame, max_rounds: int = 256) -> DataFrame:
-    """(file_id, start, at): everything that a start reaches along edges (file_id, src, dst), itself included."""
-    arcs = cut(edges.select("file_id", "src", "dst").distinct())
-    met = cut(starts.select("file_id", F.col("stmt").alias("start"), F.col("stmt").alias("at")).distinct())
-    frontier = met
-    for _ in range(max_rounds):
-        nxt = frontier.withColumnRenamed("at", "src").join(arcs, ["file_id", "src"]).select("file_id", "start", F.col("dst").alias("at")).distinct()
-        nxt = cut(nxt.join(met, ["file_id", "start", "at"], "left_anti"))
-        if nxt.isEmpty():
-            break
-        met, frontier = met.unionByName(nxt), nxt
-    return met
+def reached(starts: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file_id, start, at): the ends (file_id, at) that each start (file_id, start) reaches along edges (file_id, src, dst), itself included.
+
+    A file's graph is searched in one go, breadth first, without a limit of depth.
+    """
+    kind, node = edges.schema["file_id"].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
+    row = lambda df, a, b, as_: df.select("file_id", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(as_).alias("what")).distinct()
+    rows = row(edges, "src", "dst", 0).unionByName(row(starts, "start", "start", 1)).unionByName(row(ends, "at", "at", 2))
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        near, wanted = defaultdict(list), set()
+        for a, b, what in g[["a", "b", "what"]].itertuples(index=False):
+            if what == 0:
+                near[a].append(b)
+            elif what == 2:
+                wanted.add(a)
+        out = []
+        for s in g[g["what"] == 1]["a"] if wanted else ():
+            seen, todo = {s}, deque([s])
+            while todo:
+                x = todo.popleft()
+                if x in wanted:
+                    out.append((g["file_id"].iloc[0], s, x))
+                for y in near.get(x, ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        return pd.DataFrame(out, columns=["file_id", "start", "at"])
+
+    return rows.groupBy("file_id").applyInPandas(one, f"file_id {kind}, start {node}, at {node}")
 
 
 def taint_flows(sources: DataFrame, sinks: DataFrame, statements: DataFrame, edges: DataFrame, bridged: bool = True) -> DataFrame:
@@ -100,10 +133,17 @@ def taint_flows(sources: DataFrame, sinks: DataFrame, statements: DataFrame, edg
     own = lambda x: bridge(x, statements) if bridged else x.select("file_id", "node_id", F.col("node_id").alias("stmt"))
     a = own(sources).select("file_id", F.col("node_id").alias("source"), F.col("stmt").alias("start"))
     b = own(sinks).select("file_id", F.col("node_id").alias("sink"), F.col("stmt").alias("at"))
-    met = reachable(a.select("file_id", F.col("start").alias("stmt")), edges)
+    met = reached(a, b, edges)
     return a.join(met, ["file_id", "start"]).join(b, ["file_id", "at"]).select("file_id", "source", "sink").distinct()
 
 
+def taint_findings(flows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Flows (file_id, source, sink) as findings (file_id, kind, line, snippet, callee, source, sink), by the sink's place."""
+    at = lambda c: nodes.select("file_id", F.col("node_id").alias(c), F.col("text").alias(c + "_text"), F.col("start_line").alias(c + "_line"))
+    j = flows.join(at("source"), ["file_id", "source"]).join(at("sink"), ["file_id", "sink"])
+    return j.select("file_id", F.lit("taint_flow").alias("kind"), F.col("sink_line").alias("line"), F.col("sink_text").alias("snippet"), callee(F.col("sink_text")).alias("callee"), F.trim("source_text").alias("source"), F.trim("sink_text").alias("sink"))
+
+
 def findings(calls: DataFrame, registry: DataFrame, max_findings: int | None = None) -> DataFrame:
     """Dangerous calls as findings (file_id, kind, line, snippet, callee), ordered by line and byte; the first few of a file where asked."""
     from pyspark.sql import Window as W
@@ -122,16 +162,78 @@ def glob_regex(glob: Column) -> Column:
 
 def apply_allowlist(found: DataFrame, allowlist: DataFrame) -> DataFrame:
     """Findings with acknowledged and its reason: an allow row matches when its scope glob fits the path and its pattern the callee."""
-    a = F.broadcast(allowlist.select("pattern", "reason", F.coalesce("scope", F.lit("*")).alias("scope")))  # a hand-written list
-    hit = found.select("path", "callee").distinct().join(a, matches(F.col("callee"), F.col("pattern")))
-    hit = hit.withColumn("_rx", glob_regex(F.col("scope"))).filter(F.expr("path RLIKE _rx"))
+    a = allowlist.select(F.col("pattern").alias("_key"), "reason", F.coalesce("scope", F.lit("*")).alias("scope"))
+    names = found.select("path", "callee").distinct().withColumn("_key", F.explode(_suffixes(F.col("callee")))).filter(_fits(F.col("callee"), F.col("_key")))
+    hit = names.join(a, "_key").withColumn("_rx", glob_regex(F.col("scope"))).filter(F.expr("path RLIKE _rx"))
     hit = hit.groupBy("path", "callee").agg(F.min("reason").alias("reason"))
     return found.join(hit, ["path", "callee"], "left").withColumn("acknowledged", F.col("reason").isNotNull())
 
 
-def remediation(found: DataFrame, advice: DataFrame, default: str = "Review this call.") -> DataFrame:
-    """Findings with the advice of the matching entry (key, advice), by the lower-cased callee."""
-    calls = found.withColumn("_callee", F.col("callee")).withColumn("callee", F.lower("callee"))
-    best = match_registry(calls.select("callee").distinct(), advice.select(F.lower("key").alias("key"))).select("callee", "key")
-    out = calls.join(best, "callee", "left").join(F.broadcast(advice.select(F.lower("key").alias("key"), "advice")), "key", "left")
-    return out.withColumn("advice", F.coalesce("advice", F.lit(default))).withColumn("callee", F.col("_callee")).drop("_callee", "key")
+def adjusted_mask(mask: Column, acknowledged: Column) -> Column:
+    """A perfect verdict that rests on acknowledged risks does not hold for the secure pillar."""
+    return F.when((mask == TOP) & acknowledged, mask.bitwiseAND(F.lit(TOP - BITS["secure"]))).otherwise(mask)
+
+
+#: Operations by kind of call.
+DYNAMIC, SHELL, DESERIALISE, DOM, BOUNDED, UNSAFE = (
+    ("replace_dynamic_execution", "use_static_dispatch"), ("remove_shell_execution", "pass_argument_array"), ("use_safe_deserializer", "validate_input"),
+    ("sanitize_html", "build_dom_nodes"), ("use_bounded_copy",), ("encapsulate_unsafe",),
+)
+TAINT_OPERATIONS, DEFAULT_OPERATIONS = ("validate_input", "sanitize_before_sink"), ("replace_dangerous_api", "validate_input")
+#: Call, advice, operations.
+ADVICE = (
+    ("eval", "Replace `eval` with `ast.literal_eval` or explicit parsing.", DYNAMIC),
+    ("exec", "Remove `exec`; call the code path directly or dispatch via a map.", DYNAMIC),
+    ("compile", "Avoid dynamic `compile`; use a static, reviewed code path.", DYNAMIC),
+    ("__import__", "Import statically; avoid `__import__` on dynamic names.", DYNAMIC),
+    ("function", "Avoid the `Function` constructor; call a known function directly.", DYNAMIC),
+    ("settimeout", "Pass a function reference to `setTimeout`, never a string.", DYNAMIC),
+    ("setinterval", "Pass a function reference to `setInterval`, never a string.", DYNAMIC),
+    ("pickle.loads", "Use `json` or a schema-validated deserializer instead of `pickle`.", DESERIALISE),
+    ("marshal.loads", "Avoid `marshal`; deserialize with `json` or a safe format.", DESERIALISE),
+    ("yaml.load", "Use `yaml.safe_load` instead of `yaml.load`.", DESERIALISE),
+    ("os.system", "Replace `os.system` with `subprocess.run([...])` (no shell).", SHELL),
+    ("os.popen", "Replace `os.popen` with `subprocess.run([...], capture_output=True)`.", SHELL),
+    ("subprocess.call", "Pass an argument list and avoid `shell=True`.", SHELL),
+    ("subprocess.run", "Pass an argument list and avoid `shell=True`.", SHELL),
+    ("subprocess.popen", "Pass an argument list and avoid `shell=True`.", SHELL),
+    ("child_process.exec", "Use `execFile`/`spawn` with an argument array (no shell).", SHELL),
+    ("system", "Replace `system()` with an `exec*`-family call (no shell).", SHELL),
+    ("exec.command", "Pass a fixed argument list to `exec.Command`; never build the command or its args from untrusted input.", SHELL),
+    ("exec.commandcontext", "Pass a fixed argument list to `exec.CommandContext`; never build the command or its args from untrusted input.", SHELL),
+    ("os.startprocess", "Avoid `os.StartProcess` with untrusted paths or args; validate and pass an explicit argument list.", SHELL),
+    ("syscall.exec", "Avoid `syscall.Exec`; validate the program path and argument list before replacing the process image.", SHELL),
+    ("syscall.forkexec", "Avoid `syscall.ForkExec`; validate the program path and argument list, or prefer `os/exec` with explicit arguments.", SHELL),
+    ("innerhtml", "Set text via `textContent`, or sanitize before assigning HTML.", DOM),
+    ("document.write", "Build DOM nodes instead of `document.write`.", DOM),
+    ("strcpy", "Use a bounded copy (`strncpy`/`snprintf`).", BOUNDED),
+    ("strcat", "Use a bounded concat (`strncat`/`snprintf`).", BOUNDED),
+    ("sprintf", "Use `snprintf` with an explicit buffer size.", BOUNDED),
+    ("scanf", "Use bounded input (`fgets` + parsing, or width-limited `scanf`).", BOUNDED),
+    ("gets", "Replace `gets` with `fgets` and an explicit length.", BOUNDED),
+    ("transmute", "Avoid `mem::transmute`; use a safe conversion or `bytemuck`.", UNSAFE),
+    ("unsafe", "Confine or remove the `unsafe` block; document the invariant it upholds.", UNSAFE),
+    ("from_raw", "Encapsulate `from_raw` behind a safe wrapper; document pointer ownership.", UNSAFE),
+)
+
+
+def advice_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(k, a, list(o)) for k, a, o in ADVICE], "key string, advice string, operations array<string>")
+
+
+def remediation(found: DataFrame, advice: DataFrame | None = None) -> DataFrame:
+    """Findings (kind, line, callee; source and sink of flows) with advice and operations: a flow's own line, else the entry that the lower-cased
+    callee matches, else a general one."""
+    table = (advice if advice is not None else advice_table(found.sparkSession)).select(F.lower("key").alias("_key"), "advice", *(["operations"] if advice is None or "operations" in advice.columns else []))
+    calls = found.withColumn("_callee", F.lower(F.coalesce("callee", F.lit(""))))
+    best = match_registry(calls.select(F.col("_callee").alias("callee")).distinct(), table.select(F.col("_key").alias("key"))).select(F.col("callee").alias("_callee"), F.col("key").alias("_key"))
+    out = calls.join(best, "_callee", "left").join(table, "_key", "left").drop("_key", "_callee")
+    listed = lambda names: F.array(*map(F.lit, names))
+    column = lambda c: F.col(c).cast("string") if c in found.columns else F.lit(None).cast("string")
+    flow = F.coalesce(column("kind") == "taint_flow", F.lit(False))
+    line = F.coalesce(column("line"), F.lit("0"))
+    callee_ = F.when(column("callee") != "", column("callee"))
+    through = F.concat(F.lit("Validate/sanitize `"), F.coalesce(column("source"), F.lit("untrusted input")), F.lit("` before it reaches `"), F.coalesce(callee_, column("sink"), F.lit("the dangerous call")), F.lit("` (line "), line, F.lit(")."))
+    general = F.concat(F.lit("Remove or sandbox the dangerous call `"), F.coalesce(column("callee"), F.lit("")), F.lit("` (line "), line, F.lit(")."))
+    own = F.col("operations") if "operations" in out.columns else F.lit(None).cast("array<string>")
+    return out.withColumn("operations", F.when(flow, listed(TAINT_OPERATIONS)).otherwise(F.coalesce(own, listed(DEFAULT_OPERATIONS)))).withColumn("advice", F.when(flow, through).otherwise(F.coalesce("advice", general)))

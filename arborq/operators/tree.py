@@ -1,7 +1,8 @@
 """Metrics of syntax trees in interval encoding.
 
 A node's subtree is the nodes of its file whose ``pre`` lies in [pre, last]. Sums over subtrees are differences of one running sum
-in ``pre`` order, read at two places, so they are linear in the nodes: no range join and no recursion.
+in ``pre`` order, read at two places; enclosing nodes are what a level opened last. Both put the nodes and the places that are asked about in one
+sequence a file, so they take one shuffle by file: no range join, no recursion, and no second read of the nodes.
 """
 
 from __future__ import annotations
@@ -15,38 +16,79 @@ SCOPES = ("IfStmt", "ForStmt", "WhileStmt", "MatchStmt", "TryStmt", "WithStmt",
 NAMED = ("FunctionDecl", "MethodDecl", "TypeDecl")
 PLUS_ONE = ("IfStmt", "ForStmt", "WhileStmt", "ConditionalExpr", "WithStmt", "AssertStmt")
 #: Kinds of the control-flow profile, in their fixed order.
-PROFILE = ("IfStmt", "ForStmt", "WhileStmt", "MatchStmt", "TryStmt", "WithStmt", "ReturnStmt", "ThrowStmt", "BreakStmt", "ContinueStmt")
-ABSTRACT_KINDS = ("abstractClass", "interface", "trait")
+PROFILE = ("IfStmt", "ForStmt", "WhileStmt", "MatchStmt", "TryStmt", "ReturnStmt", "BreakStmt", "ContinueStmt", "ThrowStmt", "CallExpr")
+#: Kinds that keep a module from being a stable leaf, as far as the profile counts them; the last two it does not count.
+NOT_LEAF, NOT_LEAF_STRICT = ("IfStmt", "ForStmt", "WhileStmt", "MatchStmt", "TryStmt", "CallExpr"), ("FunctionDecl", "MethodDecl")
+ABSTRACT_KINDS = ("trait", "interface", "abstractClass", "protocol")
+CONCRETE_KINDS = ("class", "struct", "enum", "union", "typeAlias")
+#: Languages whose type declarations say what they are.
+ABSTRACTNESS_LANGUAGES = ("python", "rust", "go", "typescript", "cpp")
+ANONYMOUS = "<anonymous>"
+#: Grammar nodes that are arms of a match, and clauses of a comprehension.
+ARMS = ("match_arm", "case_clause", "expression_case", "type_case", "default_case", "communication_case", "switch_case", "switch_default", "case_statement")
+CLAUSES = ("for_in_clause", "for_clause", "if_clause")
 
 
 def of_kind(nodes: DataFrame, *kinds: str) -> DataFrame:
     return nodes.filter(F.col("kind").isin(*kinds))
 
 
-def _running(order: str = "pre"):
-    return W.partitionBy("file_id").orderBy(order)
+def _sequence(*order: str):
+    """Rows of a file in the order of their places, up to each row."""
+    return W.partitionBy("file_id").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 
 
-def subtree_sum(nodes: DataFrame, weight: Column, at: DataFrame, name: str) -> DataFrame:
-    """``at`` (file_id, pre, last, ...) with the sum of ``weight`` over the strict descendants."""
-    run = nodes.select("file_id", F.col("pre").alias("_pre"), weight.cast("double").alias("_w"))
-    run = run.withColumn("_sum", F.sum("_w").over(_running("_pre"))).select("file_id", "_pre", "_sum")
-    ends = run.select("file_id", F.col("_pre").alias("last"), F.col("_sum").alias("_end"))
-    starts = run.select("file_id", F.col("_pre").alias("pre"), F.col("_sum").alias("_start"))
-    return at.join(ends, ["file_id", "last"]).join(starts, ["file_id", "pre"]).withColumn(name, F.col("_end") - F.col("_start")).drop("_end", "_start")
+def subtree_sums(nodes: DataFrame, at: Column, weights: dict[str, Column], keep: tuple[str, ...] = ("node_id",)) -> DataFrame:
+    """(file_id, pre, keep..., the names of ``weights``): sums over the strict descendants of the nodes that fulfil ``at``.
+
+    A node's row counts at its place; the nodes asked about are read again right behind it and behind their last descendant.
+    """
+    own = nodes.select("file_id", "pre", "last", at.alias("_at"), *keep, *[w.cast("double").alias(n) for n, w in weights.items()])
+    here = F.struct(F.col("pre").alias("place"), F.lit(0).alias("side"))
+    ask = F.array(here, F.struct(F.col("pre").alias("place"), F.lit(-1).alias("side")), F.struct(F.col("last").alias("place"), F.lit(1).alias("side")))
+    rows = own.withColumn("e", F.explode(F.when(F.col("_at"), ask).otherwise(F.array(here)))).select("*", "e.place", "e.side")
+    w = _sequence("place", F.abs(F.col("side")), "pre")
+    for n in weights:
+        rows = rows.withColumn(n, F.sum(F.when(F.col("side") == 0, F.col(n)).otherwise(0.0)).over(w) * F.col("side"))
+    return rows.filter("side <> 0").groupBy("file_id", "pre", *keep).agg(*[F.sum(n).alias(n) for n in weights])
+
+
+def ancestors(nodes: DataFrame, of: Column, at: Column, keep: tuple[str, ...], strict: bool = True, nearest: bool = False) -> DataFrame:
+    """(file_id, pre, keep..., level, anc): for the nodes that fulfil ``at`` the enclosing nodes that fulfil ``of``, outermost at level 0.
+
+    anc is a struct of pre, last and keep of the enclosing node. ``strict`` leaves the node itself out; ``nearest`` gives the innermost only.
+    Nodes that nothing encloses have no row. Columns of ``keep`` are of any type.
+    """
+    own = nodes.filter(of | at).select("file_id", "pre", "last", of.alias("_of"), at.alias("_at"), *keep)
+    event = lambda place, turn, step, ask: F.struct(place.alias("place"), F.lit(turn).alias("turn"), F.lit(step).alias("step"), F.lit(ask).alias("ask"))
+    pre, end = F.col("pre"), F.col("last") + 1
+    parts = F.array_compact(F.array(F.when(F.col("_of"), event(pre, 2, 1, False)), F.when(F.col("_of"), event(end, 0, -1, False)), F.when(F.col("_at"), event(pre, 1 if strict else 3, 0, True))))
+    rows = own.withColumn("e", F.explode(parts)).select("file_id", "pre", "last", *keep, "e.*")
+    rows = rows.withColumn("d", F.sum("step").over(_sequence("place", "turn", F.desc("pre")))).filter("step >= 0")
+    # an opened node is found at its own level by the questions below it
+    first = F.greatest(F.col("d") - 1, F.lit(0)) if nearest else F.lit(0)
+    levels = F.when(F.col("ask"), F.when(F.col("d") > 0, F.sequence(first, F.col("d") - 1))).otherwise(F.array(F.col("d") - 1))
+    rows = rows.withColumn("level", F.explode(levels))
+    anc = F.when(~F.col("ask"), F.struct("pre", "last", *keep))
+    w = W.partitionBy("file_id", "level").orderBy("place", "turn").rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("anc", F.last(anc, ignorenulls=True).over(w)).filter("ask").select("file_id", "pre", *keep, "level", "anc")
 
 
 def children_counted(nodes: DataFrame) -> DataFrame:
-    """Nodes with n_arms, n_handlers and n_clauses where these columns are not there: children of the kinds that count."""
+    """Nodes with n_arms, n_handlers and n_clauses where these columns are not there.
+
+    Arms and handlers are children; clauses are all of a comprehension's subtree, so a nested comprehension's count for the outer one too.
+    """
     if "n_handlers" in nodes.columns:
         return nodes
     native = F.col("native_kind") if "native_kind" in nodes.columns else F.lit("")
-    count = nodes.groupBy("file_id", F.col("parent_id").alias("node_id")).agg(
-        F.count_if(native.isin("match_arm", "case_clause", "switch_case", "switch_default", "case_statement")).alias("n_arms"),
-        F.count_if(F.col("kind") == "CatchClause").alias("n_handlers"),
-        F.count_if(native.isin("for_in_clause", "if_clause")).alias("n_clauses"),
-    )
-    return nodes.join(count, ["file_id", "node_id"], "left").na.fill(0, ["n_arms", "n_handlers", "n_clauses"])
+    arm, handler = native.isin(*ARMS), F.col("kind") == "CatchClause"
+    count = nodes.filter(arm | handler).groupBy("file_id", F.col("parent_id").alias("node_id")).agg(F.count_if(arm).alias("n_arms"), F.count_if(handler).alias("n_handlers"))
+    out = nodes.join(count, ["file_id", "node_id"], "left").na.fill(0, ["n_arms", "n_handlers"])
+    if "native_kind" not in nodes.columns:
+        return out.withColumn("n_clauses", F.lit(0).cast("long"))
+    clauses = subtree_sums(nodes, F.col("kind") == "Comprehension", {"n_clauses": native.isin(*CLAUSES).cast("int")}).select("file_id", "node_id", F.col("n_clauses").cast("long").alias("n_clauses"))
+    return out.join(clauses, ["file_id", "node_id"], "left").na.fill(0, ["n_clauses"])
 
 
 def complexity_weight(nodes: DataFrame) -> Column:
@@ -60,8 +102,7 @@ def complexity_weight(nodes: DataFrame) -> Column:
 def function_complexity(nodes: DataFrame) -> DataFrame:
     """(file_id, node_id, complexity) of each callable: 1 and its whole subtree's contributions, nested callables included."""
     own = children_counted(nodes)
-    at = of_kind(nodes, *CALLABLES).select("file_id", "node_id", "pre", "last")
-    out = subtree_sum(own, complexity_weight(own), at, "s")
+    out = subtree_sums(own, F.col("kind").isin(*CALLABLES), {"s": complexity_weight(own)})
     return out.select("file_id", "node_id", (F.col("s") + 1).cast("long").alias("complexity"))
 
 
@@ -75,29 +116,25 @@ def max_function_complexity(nodes: DataFrame) -> DataFrame:
 
 
 def scopes(nodes: DataFrame) -> DataFrame:
-    """Scope nodes with d (strict scope ancestors) and parent_pre (the nearest one, null without)."""
+    """Scope nodes (file_id, node_id, kind, pre, last) with d, the strict scope ancestors, and fanout, the nearest scopes below."""
     s = of_kind(nodes, *SCOPES).select("file_id", "node_id", "kind", "pre", "last")
-    # d: intervals opened before and not closed yet
-    events = s.select("file_id", "pre", F.lit(1).alias("step"), F.lit(1).alias("ord")).unionByName(s.select("file_id", (F.col("last") + 1).alias("pre"), F.lit(-1).alias("step"), F.lit(0).alias("ord")))
-    w = W.partitionBy("file_id").orderBy("pre", "ord").rowsBetween(W.unboundedPreceding, 0)
-    d = events.withColumn("d", F.sum("step").over(w) - 1).filter("step = 1").select("file_id", "pre", "d")
-    s = s.join(d, ["file_id", "pre"])
-    # the nearest ancestor is the last scope one level up that was opened before
-    as_parent = s.select("file_id", F.col("d").alias("level"), "pre", F.col("pre").alias("open"), F.lit(False).alias("child"))
-    as_child = s.select("file_id", (F.col("d") - 1).alias("level"), "pre", F.lit(None).cast("long").alias("open"), F.lit(True).alias("child"))
-    last_open = F.last("open", ignorenulls=True).over(W.partitionBy("file_id", "level").orderBy("pre"))
-    parents = as_parent.unionByName(as_child).withColumn("parent_pre", last_open).filter("child AND level >= 0").select("file_id", "pre", "parent_pre")
-    return s.join(parents, ["file_id", "pre"], "left")
+    event = lambda place, turn, step: F.struct(place.alias("place"), F.lit(turn).alias("turn"), F.lit(step).alias("step"))
+    rows = s.withColumn("e", F.explode(F.array(event(F.col("pre"), 1, 1), event(F.col("last") + 1, 0, -1)))).select("file_id", "node_id", "kind", "pre", "last", "e.*")
+    open_ = F.sum("step").over(_sequence("place", "turn", F.desc("pre")))  # of nodes that end together the innermost ends first
+    rows = rows.withColumn("d", (open_ - (F.col("step") == 1).cast("int")).cast("long"))
+    # scopes opened one level below between a scope's start and its end are its fanout
+    part = lambda level, child, side: F.struct(level.alias("level"), F.lit(child).alias("child"), F.lit(side).alias("side"))
+    parts = F.when(F.col("step") == 1, F.array(part(F.col("d"), 1, 0), part(F.col("d") + 1, 0, -1))).otherwise(F.array(part(F.col("d") + 1, 0, 1)))
+    rows = rows.withColumn("p", F.explode(parts)).select("*", "p.level", "p.child", "p.side")
+    met = F.sum("child").over(W.partitionBy("file_id", "level").orderBy("place", "turn", "side").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("met", met * F.col("side")).groupBy("file_id", "node_id", "kind", "pre", "last", "d").agg(F.sum("met").cast("long").alias("fanout"))
 
 
 def function_divergence(nodes: DataFrame) -> DataFrame:
     """(file_id, node_id, divergence): the sum of depth * ln(1 + fanout) over the scopes within a callable."""
     s = scopes(nodes)
-    fanout = s.filter("parent_pre IS NOT NULL").groupBy("file_id", F.col("parent_pre").alias("pre")).agg(F.count(F.lit(1)).alias("fanout"))
-    g = s.join(fanout, ["file_id", "pre"], "left").na.fill(0, ["fanout"]).withColumn("g", F.log1p("fanout"))
-    weights = nodes.select("file_id", "pre").join(g.select("file_id", "pre", "g", (F.col("g") * F.col("d")).alias("dg")), ["file_id", "pre"], "left").na.fill(0.0, ["g", "dg"])
-    at = of_kind(s, *CALLABLES).select("file_id", "node_id", "pre", "last", "d")
-    both = subtree_sum(weights, F.col("g"), subtree_sum(weights, F.col("dg"), at, "sum_dg"), "sum_g")
+    g = F.log1p("fanout")
+    both = subtree_sums(s, F.col("kind").isin(*CALLABLES), {"sum_g": g, "sum_dg": g * F.col("d")}, ("node_id", "d"))
     return both.select("file_id", "node_id", (F.col("sum_dg") - F.col("d") * F.col("sum_g")).alias("divergence"))
 
 
@@ -105,22 +142,49 @@ def max_function_divergence(nodes: DataFrame) -> DataFrame:
     return _per_file(nodes, function_divergence(nodes), "divergence", "max_divergence", 0.0)
 
 
-def qualified_names(nodes: DataFrame, name: Column) -> DataFrame:
-    """(file_id, node_id, qualified): names of the enclosing callables and types, joined by dots.
+def function_scopes(nodes: DataFrame) -> DataFrame:
+    """(file_id, node_id, name, qualified_name, kind, start_line, end_line) of each callable.
 
-    Joined by file and containment: each callable meets its ancestors only, as many as it is nested deep.
+    ``nodes`` have name, text and the lines. A callable without a name is called after its line; types without a name do not take
+    part. kind: method in a type, closure in a callable, else method, async_function (the text before the name says async) or function.
     """
-    named = of_kind(nodes, *NAMED).select("file_id", F.col("pre").alias("a_pre"), F.col("last").alias("a_last"), name.alias("a_name"))
-    own = of_kind(nodes, *CALLABLES).select("file_id", "node_id", "pre")
-    j = own.join(named, "file_id").filter("pre BETWEEN a_pre AND a_last")
-    path = F.concat_ws(".", F.transform(F.array_sort(F.collect_list(F.struct("a_pre", "a_name"))), lambda x: x["a_name"]))
-    return j.groupBy("file_id", "node_id").agg(path.alias("qualified"))
+    shown = F.when(F.col("kind").isin(*CALLABLES), F.coalesce(F.when(F.col("name") != "", F.col("name")), F.concat(F.lit(ANONYMOUS + "@"), F.col("start_line")))).otherwise(F.when(F.col("name") != "", F.col("name")))
+    head = F.when(F.col("name") != "", F.expr("substring_index(text, name, 1)")).otherwise(F.regexp_extract("text", "^[^({]*", 0)) if "text" in nodes.columns else F.lit("")
+    is_async = F.array_contains(F.split(head, "[^\\p{L}\\p{N}_]"), "async")
+    own = of_kind(nodes, *NAMED).withColumn("shown", shown).filter("shown IS NOT NULL").withColumn("is_async", F.coalesce(is_async, F.lit(False)))
+    keep = ("node_id", "kind", "shown", "is_async", "start_line", "end_line")
+    above = ancestors(own, F.lit(True), F.col("kind").isin(*CALLABLES), keep, strict=False)
+    chain = above.groupBy("file_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("level", F.col("anc.shown").alias("shown"), F.col("anc.kind").alias("kind")))).alias("chain"), *[F.first(c).alias(c) for c in keep[1:]])
+    outer = F.when(F.size("chain") > 1, F.element_at("chain", -2)["kind"])
+    kind = F.when(outer == "TypeDecl", "method").when(outer.isNotNull(), "closure").when(F.col("kind") == "MethodDecl", "method").when(F.col("is_async"), "async_function").otherwise("function")
+    return chain.select("file_id", "node_id", F.col("shown").alias("name"), F.array_join(F.transform("chain", lambda x: x["shown"]), ".").alias("qualified_name"), kind.alias("kind"), "start_line", "end_line")
+
+
+def located_complexities(nodes: DataFrame) -> DataFrame:
+    """function_scopes with complexity."""
+    return function_scopes(nodes).join(function_complexity(nodes), ["file_id", "node_id"])
+
+
+def located_divergences(nodes: DataFrame) -> DataFrame:
+    """function_scopes with divergence."""
+    return function_scopes(nodes).join(function_divergence(nodes), ["file_id", "node_id"])
+
+
+def qualified_names(nodes: DataFrame, name: Column) -> DataFrame:
+    """(file_id, node_id, qualified): names of the enclosing callables and types, joined by dots."""
+    own = of_kind(nodes, *NAMED).withColumn("_name", name)
+    above = ancestors(own, F.lit(True), F.col("kind").isin(*CALLABLES), ("node_id", "_name"), strict=False)
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", F.col("anc._name").alias("n")))), lambda x: x["n"]), ".")
+    return above.groupBy("file_id", "node_id").agg(path.alias("qualified"))
 
 
 def abstractness(nodes: DataFrame) -> DataFrame:
-    """(file_id, abstractness): abstract over all type declarations; 0 without any."""
-    t = of_kind(nodes, "TypeDecl").groupBy("file_id").agg((F.count_if(F.col("type_kind").isin(*ABSTRACT_KINDS)) / F.count(F.lit(1))).alias("abstractness"))
-    return nodes.select("file_id").distinct().join(t, "file_id", "left").na.fill(0.0, ["abstractness"])
+    """(file_id, abstractness): abstract over all type declarations of a known kind; 0 without any. Files in other languages have no row."""
+    if "language" in nodes.columns:
+        nodes = nodes.filter(F.col("language").isin(*ABSTRACTNESS_LANGUAGES))
+    abstract, known = F.col("type_kind").isin(*ABSTRACT_KINDS), F.col("type_kind").isin(*ABSTRACT_KINDS, *CONCRETE_KINDS)
+    t = nodes.groupBy("file_id").agg(F.count_if((F.col("kind") == "TypeDecl") & abstract).alias("a"), F.count_if((F.col("kind") == "TypeDecl") & known).alias("n"))
+    return t.select("file_id", F.when(F.col("n") == 0, 0.0).otherwise(F.col("a") / F.col("n")).alias("abstractness"))
 
 
 def kind_histogram(nodes: DataFrame, drop_unknown: bool = False) -> DataFrame:
@@ -149,8 +213,8 @@ def valid_files(nodes: DataFrame) -> DataFrame:
 
 
 def stable_leaf(nodes: DataFrame, strict: bool = False) -> DataFrame:
-    """(file_id, is_stable_leaf): no branching kind. ``strict`` also asks for no callable, which the usual profile cannot see."""
-    kinds = ["IfStmt", "ForStmt", "WhileStmt", "MatchStmt", "TryStmt", "WithStmt"] + (list(CALLABLES) if strict else [])
+    """(file_id, is_stable_leaf): no branching and no call. ``strict`` also asks for no callable, which the usual profile does not count."""
+    kinds = NOT_LEAF + (NOT_LEAF_STRICT if strict else ())
     return nodes.groupBy("file_id").agg((F.count_if(F.col("kind").isin(*kinds)) == 0).alias("is_stable_leaf"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +17,11 @@ SUFFIXES = {
 }
 #: Directories that hold no sources of their own.
 PRUNED = (
-    ".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox", "node_modules",
-    "dist", "build", "target", ".eggs", "site-packages", ".idea", ".vscode", "vendor", ".next", ".cache", "coverage", "out",
+    ".git", ".gitnexus", ".hg", ".svn", ".venv", "venv", "venv.bak", "env", "__pycache__", "__pypackages__", "node_modules", "dist", "build", "out", "target",
+    ".next", ".turbo", "coverage", "htmlcov", ".pytest_cache", ".mypy_cache", ".tox", ".ruff_cache", ".eggs", ".pixi",
 )
+#: Files that mark their folder as a virtual environment.
+ENVIRONMENT = ("pyvenv.cfg", "bin/python", "bin/python3", "Scripts/python.exe")
 DEFAULT_LANGUAGE = "python"
 
 
@@ -35,6 +38,23 @@ def pruned(path: Column) -> Column:
     return path.rlike("(^|/)(" + "|".join(re.escape(d) for d in PRUNED) + ")/")
 
 
+def environments(paths: DataFrame) -> DataFrame:
+    """(dir): folders that hold a virtual environment, of a table of all paths (path), whatever their suffix."""
+    found = None
+    for mark in ENVIRONMENT:
+        own = paths.filter((F.col("path") == mark) | F.endswith("path", F.lit("/" + mark))).select(F.expr(f"left(path, greatest(0, length(path) - {len(mark) + 1}))").alias("dir"))
+        found = own if found is None else found.unionByName(own)
+    return found.distinct()
+
+
+def outside(files: DataFrame, dirs: DataFrame) -> DataFrame:
+    """files (path) that lie in none of the folders (dir): each path meets the folders by its own enclosing folders, so by equality."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    inside = files.select("path", F.explode(above).alias("dir")).join(dirs, "dir", "left_semi").select("path").distinct()
+    return files.join(inside, "path", "left_anti")
+
+
 def glob_pattern(glob: str) -> str:
     return "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
 
@@ -77,30 +97,74 @@ def scan(spark: SparkSession, roots: list[str], suffixes: tuple[str, ...] | None
     if ignore:
         own = own.filter(~ignored(F.col("rel"), ignore))
     own = own.dropDuplicates(["path"])
+    listed = raw.select(F.col("rel").alias("path"))  # no contents are read for this
+    own = outside(own.withColumnRenamed("path", "full").withColumnRenamed("rel", "path"), environments(listed)).withColumnRenamed("path", "rel").withColumnRenamed("full", "path")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
     return own.select(F.sha1("path").alias("file_id"), F.col("rel").alias("path"), language_of(F.col("rel")).alias("language"), text.alias("source"), F.col("length").alias("n_bytes"), text.isNotNull().alias("is_parseable"), F.col("modificationTime").alias("modified"))
 
 
+#: Lines that a file of imports and exports may have, by language; comments may stand anywhere.
+COMMENTS = ("//", "/*", "*")
+SCRIPT_LINES = ("import ", "export *", "export {", "export type ", "export interface ", "#!")
+ENTRY_LINES = {
+    "typescript": SCRIPT_LINES,
+    "javascript": SCRIPT_LINES,
+    "rust": ("use ", "pub use ", "pub mod ", "mod ", "extern crate ", "#!", "#["),
+    "cpp": ("#include", "#pragma once"),
+}
+PYTHON_LINES, PYTHON_OPENING, PYTHON_WHOLE = ("#", "import ", "from ", "__all__", "'", '"'), ("import ", "from ", "__all__"), ("[", "]", "(", ")")
+
+
+def _starts(line: Column, heads: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(line, F.lit(h)) for h in heads])
+
+
 def entrypoint(path: Column, source: Column, language: Column) -> Column:
-    """A file named like an entry point that only imports, exports and comments. Python imports may span lines in brackets."""
+    """A file named like an entry point that only imports, exports and comments; an empty file is none.
+
+    Python statements that open a bracket go on until it is closed; the state is folded over the lines.
+    """
     name = F.element_at(F.split(path, "/"), -1)
-    hint = F.when(language == "python", name.isin("__init__.py", "__main__.py")).when(language == "rust", name.isin("lib.rs", "mod.rs", "main.rs"))
-    hint = hint.when(language.isin("javascript", "typescript"), name.rlike("^index\\.(js|mjs|cjs|ts|tsx)$")).when(language == "go", name == "doc.go").otherwise(False)
-    flat = F.when(language == "python", F.regexp_replace(source, "(?s)\\([^()]*\\)", "()")).otherwise(source)
-    lines = F.filter(F.transform(F.split(flat, "\n"), F.trim), lambda x: x != "")
-    fits = F.when(language == "python", F.lit("^(#|import |from |__all__|\"\"\"|''')")).when(language == "rust", F.lit("^(//|use |pub use |mod |pub mod |extern )")).otherwise(F.lit("^(//|import |export |package |/\\*|\\*)"))
-    return hint & F.forall(lines, lambda x: F.regexp_like(x, fits))
+    low = F.lower(name)
+    hint = F.when(language == "python", name == "__init__.py").when(language == "rust", name.isin("mod.rs", "lib.rs")).when(language == "typescript", low.isin("index.ts", "index.tsx"))
+    hint = hint.when(language == "javascript", low.isin("index.js", "index.mjs", "index.cjs")).when(language == "cpp", low.rlike("\\.(hpp|hh|hxx)$")).otherwise(False)
+    lines = F.filter(F.transform(F.split(F.coalesce(source, F.lit("")), "\n"), lambda x: F.regexp_replace(x, "(?U)^\\s+|\\s+$", "")), lambda x: x != "")
+    comment = lambda x: _starts(x, COMMENTS) | F.endswith(x, F.lit("*/"))
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+    delta = lambda x: count(x, "(") + count(x, "[") - count(x, ")") - count(x, "]")
+
+    def step(state, x):
+        within = state["depth"] > 0
+        fits = within | _starts(x, PYTHON_LINES) | x.isin(*PYTHON_WHOLE)
+        depth = F.when(within, state["depth"] + delta(x)).when(_starts(x, PYTHON_OPENING), delta(x)).otherwise(0)
+        return F.struct(depth.cast("int").alias("depth"), (state["ok"] & fits).alias("ok"))
+
+    python = F.aggregate(lines, F.struct(F.lit(0).alias("depth"), F.lit(True).alias("ok")), step, lambda s: s["ok"])
+    only = F.when(language == "python", python)
+    for lang, heads in ENTRY_LINES.items():
+        only = only.when(language == lang, F.forall(lines, _line(heads, comment)))
+    return hint & (F.size(lines) > 0) & only.otherwise(False)
+
+
+def _line(heads: tuple[str, ...], comment):
+    return lambda x: comment(x) | _starts(x, heads)
+
+
+#: Buckets of paths whose digests make a fingerprint.
+BUCKETS = 4096
 
 
 def fingerprint(files: DataFrame) -> str:
     """One digest of all files' relative paths, sizes and contents; equal trees have equal digests whatever the order of reading.
 
-    Each file is hashed where it is read; only the digests, in path order, come together.
+    Each file is hashed where it is read, the digests of a bucket of paths are hashed in their order, and at most BUCKETS digests come together.
     """
-    rows = files.select("path", F.sha2(F.concat_ws("\0", "path", F.octet_length("source"), "source"), 256).alias("d")).orderBy("path")
+    own = F.sha2(F.concat_ws("\0", "path", F.octet_length("source"), "source"), 256)
+    rows = files.select(F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).alias("bucket"), F.concat_ws("\0", "path", own).alias("d"))
+    held = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("d")).orderBy("bucket").collect()
     h = hashlib.blake2b(digest_size=32)
-    for r in rows.toLocalIterator():
-        h.update(r["d"].encode())
+    for r in held:
+        h.update(f"{r['bucket']} {r['d']}\n".encode())
     return h.hexdigest()
 
 

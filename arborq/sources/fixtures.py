@@ -18,12 +18,17 @@ mdg_nodes AS (
   SELECT concat('R', r_regionkey) AS id, 'Folder' AS label, r_name AS file_path FROM region
   UNION ALL SELECT concat('N', n_nationkey), 'File', concat(r_name, '/', n_name) FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT concat('S', s_suppkey), 'Class', NULL FROM supplier
-  UNION ALL SELECT concat('C', c_custkey), 'Class', NULL FROM customer),
+  UNION ALL SELECT concat('C', c_custkey), 'Class', NULL FROM customer
+  UNION ALL SELECT concat('M', c_custkey), 'Method', NULL FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT concat('P', c_custkey), 'Property', NULL FROM customer WHERE c_custkey % 6 = 0),
 mdg_edges AS (
   SELECT concat('R', n_regionkey) AS src, concat('N', n_nationkey) AS dst, 'CONTAINS' AS rel_type FROM nation
   UNION ALL SELECT concat('N', s_nationkey), concat('S', s_suppkey), 'DEFINES' FROM supplier
   UNION ALL SELECT concat('N', c_nationkey), concat('C', c_custkey), 'DEFINES' FROM customer
-  UNION ALL SELECT DISTINCT concat('C', c), concat('S', s), 'CALLS' FROM pairs
+  UNION ALL SELECT concat('C', c_custkey), concat('M', c_custkey), 'HAS_METHOD' FROM customer WHERE c_custkey % 3 = 0
+  UNION ALL SELECT concat('M', c_custkey), concat('P', c_custkey), 'HAS_PROPERTY' FROM customer WHERE c_custkey % 6 = 0
+  UNION ALL SELECT DISTINCT concat(CASE WHEN c % 3 = 0 THEN 'M' ELSE 'C' END, c), concat('S', s), 'CALLS' FROM pairs
+  UNION ALL SELECT concat('N', a.n_nationkey), concat('N', b.n_nationkey), 'IMPORTS' FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey % 5 <> 4
   UNION ALL SELECT DISTINCT concat('C', c), concat('S', s), 'IMPORTS' FROM pairs WHERE strong)"""
 
 TREE_CTE = """
@@ -48,6 +53,22 @@ uast_nodes AS (
     CAST(CASE WHEN fn < 0 THEN 0 WHEN k = 0 THEN 1 ELSE 1 + pos END AS BIGINT) AS depth, kind, var, fn, k
   FROM placed)"""
 
+RICH_CTE = (
+    TREE_CTE
+    + """,
+mixed AS (
+  SELECT file_id, node_id, parent_id, pre, last, depth, k,
+    CASE WHEN kind = 'AssignExpr' AND k % 4 = 0 THEN 'FunctionDecl' WHEN kind = 'AssignExpr' AND k % 4 = 2 THEN 'TypeDecl' WHEN kind = 'CallExpr' AND k % 3 = 0 THEN 'WithStmt'
+      WHEN kind = 'CallExpr' AND k % 3 = 1 THEN 'Identifier' WHEN kind = 'CallExpr' AND k % 6 = 2 THEN 'Unknown' ELSE kind END AS kind
+  FROM uast_nodes),
+rich_nodes AS (
+  SELECT file_id, node_id, parent_id, pre, last, depth, k, kind, CASE WHEN kind = 'Unknown' THEN 'block' ELSE '' END AS native_kind,
+    CASE WHEN kind IN ('FunctionDecl', 'MethodDecl', 'TypeDecl') AND pre % 7 <> 0 THEN concat('n', pre) WHEN kind = 'Identifier' THEN concat('v', pre % 5) END AS name,
+    CASE WHEN kind = 'TypeDecl' THEN CASE pre % 4 WHEN 0 THEN 'interface' WHEN 1 THEN 'class' WHEN 2 THEN 'struct' END END AS type_kind,
+    concat(CASE WHEN pre % 5 = 0 THEN 'async def ' ELSE 'def ' END, 'n', pre, '(async)') AS text, CAST(pre + 1 AS INT) AS start_line, CAST(last + 1 AS INT) AS end_line
+  FROM mixed)"""
+)
+
 PROCESS_CTE = """
 process_steps AS (
   SELECT user_id AS process_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_type AS node_id FROM events)"""
@@ -88,6 +109,11 @@ def statement_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, TREE_CTE, "uast_nodes")
 
 
+def exported_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement trees with nested callables and types, names, lines and texts, as an export of parsed files has them."""
+    return table(spark, sf_dir, RICH_CTE, "rich_nodes")
+
+
 def process_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, PROCESS_CTE, "process_steps")
 

@@ -122,7 +122,7 @@ def parse_python(source: str, skip_tests: bool = True) -> list[dict]:
             if isinstance(n, (ast.Try, ast.TryStar)):
                 more["n_handlers"] = len(n.handlers)
             if isinstance(n, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
-                more["n_clauses"] = len(n.generators) + sum(len(g.ifs) for g in n.generators)
+                more["n_clauses"] = sum(1 + len(g.ifs) for x in ast.walk(n) if hasattr(x, "generators") for g in x.generators)
             if isinstance(n, ast.match_case):
                 native = "case_clause"
             out.push(kind, native, where[0], where[1], where[2], **more)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborq.functions import lattice as L
-from arborq.operators import assess, compare, curvature, flow, gates, module_graph, process, security, tree
+from arborq.operators import assess, compare, curvature, dependence, flow, gates, module_graph, process, security, tree
 from arborq.operators.entropy import entropy_ratio
 from arborq.sources import discovery, frontends, graph_json
 
@@ -296,10 +296,7 @@ def test_reassess_stream(spark, tmp_path):
     assert [r.status for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["improvement"]
 
 
-def test_whole_queries_cover_whole_tables(spark):
-    """gw_distance has every neighbouring pair of files; the whole forms of node_text and edge_jaccard every row and word."""
-    import re
-
+def test_gw_covers_whole_tables(spark):
     from arborq.plans import catalog
     from arborq.sources import fixtures
 
@@ -307,14 +304,146 @@ def test_whole_queries_cover_whole_tables(spark):
 
     files = {r.file_id for r in fixtures.statement_trees(spark, SF).select("file_id").distinct().collect()}
     assert {r.file_id for r in catalog.QUERIES["gw_distance"](spark, SF).collect()} == {f for f in files if f + 1 in files}
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    want = {r.doc_id: r.text.encode()[5:20].decode(errors="replace") if len(r.text.encode()) >= 20 else "" for r in docs if r.text is not None}
-    got = {r.doc_id: r.t for r in catalog.QUERIES["node_text_whole"](spark, SF).collect()}
-    assert set(got) == {r.doc_id for r in docs}
-    assert all(got[i].strip("\ufffd") == t.strip("\ufffd") for i, t in want.items())
-    sets = {}
-    for r in docs:
-        sets.setdefault(r.lang, (set(), set()))[r.doc_id % 2].update(re.split("[ \n]+", r.text or ""))
-    for r in catalog.QUERIES["edge_jaccard_whole"](spark, SF).collect():
-        a, b = sets[r.lang]
-        assert abs(r.jaccard - len(a & b) / len(a | b)) < 2e-6
+
+
+def test_node_text_cuts_bytes(spark):
+    docs = spark.createDataFrame([(0, "aé東京b"), (1, "ab"), (2, None)], "i int, text string")
+    got = {r.i: r.t for r in docs.select("i", tree.node_text(F.col("text"), F.lit(1), F.lit(6)).alias("t")).collect()}
+    assert got == {0: "é東", 1: "", 2: ""}
+    got = docs.select("i", tree.node_text(F.col("text"), F.lit(2), F.lit(3)).alias("t")).collect()
+    assert got[0].t == "\ufffd" and got[1].t == ""
+
+
+def test_closures_have_no_last_round(spark):
+    """Chains deeper than any fixed number of rounds, and a cycle behind them."""
+    n = 80
+    nodes = spark.createDataFrame([(str(i), "File" if i == 0 else "Class", "f") for i in range(n)] + [("x", "Class", ""), ("y", "Class", "")], "id string, label string, file_path string")
+    edges = spark.createDataFrame([(str(i), str(i + 1), "CONTAINS") for i in range(n - 1)] + [("x", "y", "CONTAINS"), ("y", "x", "CONTAINS")], "src string, dst string, rel_type string")
+    below = module_graph.contained_symbols(nodes, edges, nodes.filter("id = '0'")).collect()
+    assert sorted(r.level for r in below) == list(range(1, n))
+    owner = {r.id: r.file for r in module_graph.owning_file(nodes, edges).collect()}
+    assert owner == {**{str(i): "0" for i in range(n)}, "x": None, "y": None}
+    arcs = spark.createDataFrame([(1, i, i + 1) for i in range(300)] + [(1, 300, 0), (2, 5, 6)], "file_id int, src long, dst long")
+    starts = spark.createDataFrame([(1, 0), (2, 0)], "file_id int, start long")
+    ends = spark.createDataFrame([(1, 300), (2, 6), (1, 0)], "file_id int, at long")
+    assert {tuple(r) for r in security.reached(starts, ends, arcs).collect()} == {(1, 0, 300), (1, 0, 0)}
+
+
+def test_gates_of_the_composable_pillar(spark):
+    """An unmeasured fan-in exempts nothing; the distance stands in for instability only where abstractness and coupling say something."""
+    rows = [("a", "mdg.instability", 1.0), ("b", "mdg.instability", 1.0), ("b", "mdg.abstractness", 0.5), ("b", "mdg.coupling", 4.0), ("c", "mdg.instability", 0.0), ("c", "mdg.abstractness", 0.25), ("c", "mdg.coupling", 2.0), ("d", "mdg.instability", 0.9), ("d", "mdg.abstractness", 0.5), ("d", "mdg.coupling", 1.0)]
+    files = spark.createDataFrame([(x, True, True, True) for x in "abcd"], "file_id string, is_parseable boolean, is_entrypoint boolean, is_stable_leaf boolean")
+    metrics = spark.createDataFrame(rows, "file_id string, metric string, value double")
+    got = {(r.file_id, r.metric): r.outcome for r in gates.outcomes(metrics, files).collect()}
+    assert got == {("a", "mdg.instability"): "fail_high", ("b", "mdg.main_sequence_distance"): "pass", ("c", "mdg.main_sequence_distance"): "exempt_high", ("d", "mdg.instability"): "fail_high"}
+    scores = {r.file_id: r.composable for r in gates.scores(metrics, files).collect()}
+    assert scores["a"] == 0 and scores["b"] == 0 and scores["c"] == 0 and math.isclose(scores["d"], 1 / 3)
+    lines = {r.file_id: r.line for r in gates.outcomes(metrics, files).select("file_id", gates.interpretation().alias("line")).collect()}
+    assert lines["a"] == "instability (1.00) is too high (module depends on too many things)" and lines["c"].endswith("declarations-only leaf modules")
+    assert {r.file_id: (r.mask, len(r.results)) for r in gates.classify(files, metrics).collect()} == dict.fromkeys("abcd", (2, 1))
+
+
+def test_files_that_do_not_parse_have_nothing(spark):
+    from arborq.operators import report
+
+    files = spark.createDataFrame([("a", "p/a", False), ("b", "p/b", True)], "file_id string, path string, is_parseable boolean")
+    metrics = spark.createDataFrame([("a", "cfg.cyclomatic", 50.0), ("b", "cfg.cyclomatic", 50.0), ("a", "cpg.taint_flows", 3.0)], "file_id string, metric string, value double")
+    c = {r.file_id: r for r in gates.classify(files, metrics).collect()}
+    assert c["a"].mask == 0 and not c["a"].gates and not c["a"].results and c["a"].simple is None and c["b"].mask == 1
+    keyed = {r.file_id: r for r in report.with_sort_key(gates.classify(files, metrics), gates.outcomes(metrics, files)).collect()}
+    assert keyed["a"].hard_fail and keyed["a"].failures == 0 and keyed["b"].giant and not keyed["b"].hard_fail
+    said = {r.file_id: (r.severity, r.metric, r.message) for r in report.suggestions(files, gates.outcomes(metrics, files)).collect()}
+    assert said["a"] == ("fix", None, report.PARSE_ERROR) and said["b"][:2] == ("improve", "cfg.cyclomatic")
+
+
+SCOPED = "class A:\n    def m(self):\n        def inner(x):\n            if x:\n                return x\n        return inner\nasync def go():\n    y = 1\n    z = y + w\n"
+
+
+def test_located_functions_and_names(spark):
+    files = spark.createDataFrame([(1, "python", SCOPED)], "file_id int, language string, source string")
+    nodes = frontends.parse(files).cache()
+    got = {r.qualified_name: (r.name, r.kind, r.start_line, r.end_line, r.complexity) for r in tree.located_complexities(nodes).collect()}
+    assert got == {"A.m": ("m", "method", 2, 6, 2), "A.m.inner": ("inner", "closure", 3, 5, 2), "go": ("go", "async_function", 7, 9, 1)}
+    graph = flow.build(nodes)
+    procs = flow.procedures(flow.blocks_of(graph), flow.edges_of(graph))
+    text = {r.node_id: r.text for r in nodes.collect()}
+    acc = {(text[r.stmt], r.var, r.is_def) for r in dependence.defs_and_uses(nodes, procs).collect() if text[r.stmt] in ("y = 1", "z = y + w")}
+    assert acc == {("y = 1", "y", True), ("z = y + w", "z", True), ("z = y + w", "y", False), ("z = y + w", "w", False)}
+    reached = {(text[r.src], text[r.dst], r["var"]) for r in dependence.reaching_definitions(dependence.accesses(nodes, procs)).collect()}
+    assert ("y = 1", "z = y + w", "y") in reached
+    nodes.unpersist()
+
+
+def test_deep_nesting_builds_a_graph(spark):
+    depth = 2000
+    rows = [("f", "FunctionDecl", "", None)] + [(f"i{k}", "IfStmt" if k % 2 == 0 else "Unknown", "" if k % 2 == 0 else "block", f"i{k - 1}" if k else "f") for k in range(depth)]
+    nodes = pd.DataFrame([(n, p, i, k, t) for i, (n, k, t, p) in enumerate(rows)], columns=["node_id", "parent_id", "pre", "kind", "native_kind"])
+    assert len(flow.Graph(flow.Tree(nodes)).edges) > depth
+
+
+def test_entry_points_and_environments(spark):
+    import_only = "from a import (\n    b,\n    c,\n)\n__all__ = [\n'b',\n]\n# x\n"
+    cases = [
+        ("p/__init__.py", import_only, "python", True), ("p/__init__.py", "x = 1\n", "python", False), ("p/__init__.py", " \n", "python", False), ("p/__main__.py", import_only, "python", False),
+        ("src/lib.rs", "#![x]\npub mod a;\n// c\n", "rust", True), ("src/main.rs", "mod a;", "rust", False), ("Index.TS", "export * from 'a'\n", "typescript", True), ("index.ts", "export const a = 1", "typescript", False),
+        ("index.mjs", "/* a\n* b */\nimport x", "javascript", True), ("a.HPP", "#pragma once\n#include <a>", "cpp", True), ("doc.go", "package a", "go", False),
+    ]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, path string, source string, language string")
+    got = {r.i: r.e for r in df.select("i", discovery.entrypoint(F.col("path"), F.col("source"), F.col("language")).alias("e")).collect()}
+    assert [got[i] for i in range(len(cases))] == [c[3] for c in cases]
+    paths = spark.createDataFrame([(p,) for p in ("a/x.py", "e/pyvenv.cfg", "e/lib/y.py", "q/bin/python3", "q/z.py", "qq/z.py", "top.py")], "path string")
+    left = {r.path for r in discovery.outside(paths, discovery.environments(paths)).collect()}
+    assert left == {"a/x.py", "qq/z.py", "top.py"}
+    kept = spark.createDataFrame([(p,) for p in ("vendor/a.py", ".gitnexus/a.py", "htmlcov/a.py", ".cache/a.py", "venv.bak/a.py")], "path string")
+    assert {r.path for r in kept.filter(~discovery.pruned(F.col("path"))).collect()} == {"vendor/a.py", ".cache/a.py"}
+    one = spark.createDataFrame([("a", "x"), ("b", "y")], "path string, source string")
+    other = spark.createDataFrame([("b", "y"), ("a", "x")], "path string, source string").repartition(3)
+    assert discovery.fingerprint(one) == discovery.fingerprint(other) != discovery.fingerprint(one.limit(1))
+
+
+def test_status_needs_a_clear_direction(spark):
+    rows = [(1, 1, 1, 5.0, -1.0, 0.0, 0.0), (2, 1, 1, 5.0, 0.0, 0.0, 0.0), (3, 1, 1, -2.0, 0.0, 0.0, 0.0), (4, 1, 3, 4.0, 0.0, 0.0, 0.0), (5, 3, 5, 0.0, 0.0, 0.0, 0.0)]
+    deltas = spark.createDataFrame(rows, "file_id int, mask_before int, mask_after int, d_simple double, d_composable double, d_secure double, d_navigable double")
+    assert [r.status for r in assess.status(deltas).orderBy("file_id").collect()] == ["lateral", "score_up", "score_down", "improvement", "lateral"]
+    near = spark.createDataFrame([(2, 0.01), (3, 0.0), (4, 0.019), (5, 0.0)], "file_id int, distance double")
+    assert [r.status for r in assess.status(deltas, near).orderBy("file_id").collect()] == ["lateral", "suspicious", "score_down", "suspicious", "lateral"]
+
+
+def test_regression_report(spark):
+    schema = "file_id int, name string, start_line int, complexity long, text string"
+    before = spark.createDataFrame([(1, "f", 1, 2, "a\nb"), (1, "g", 5, 1, "x"), (2, "h", 1, 3, "q"), (3, "k", 1, 1, "\n".join(map(str, range(60))))], schema)
+    after = spark.createDataFrame([(1, "f", 1, 4, "a\nc"), (1, "g", 5, 2, "y"), (2, "h", 1, 3, "q"), (3, "k", 1, 2, "\n".join(f"n{i}" for i in range(60)))], schema)
+    got = {r.file_id: r for r in assess.regression_report(before, after).collect()}
+    assert set(got) == {1, 3} and got[1].name == "f" and got[1].diff.split("\n")[:4] == ["# regression in `f`: cyclomatic complexity 2 -> 4 (+2)", "--- f (current)", "+++ f (proposed)", "@@ -1,2 +1,2 @@"]
+    assert got[3].diff.split("\n")[-1].startswith("# ... (truncated, ") and len(got[3].diff.split("\n")) == 42
+
+
+def test_hotspots(spark):
+    from arborq.operators import targets
+
+    cycles = spark.createDataFrame([(1, i, [i, i + 1]) for i in range(7)], "file_id int, cycle long, blocks array<long>")
+    spans = spark.createDataFrame([(1, i, 10, 10 + i) for i in range(6)], "file_id int, cycle long, start_line int, end_line int")
+    got = targets.cycle_hotspots(spans, cycles).orderBy(F.desc("score")).collect()
+    assert [r.score for r in got] == [5.0, 4.0, 3.0, 2.0, 1.0] and got[0].label == "cycle over blocks [5, 6]"
+    curved = spark.createDataFrame([("a", "b", -0.5), ("b", "c", 0.25), ("a", "c", -1.0)], "a string, b string, curvature double")
+    files = spark.createDataFrame([("a",), ("c",)], "file string")
+    got = sorted((r.file, r.score, r.suggestion[:4]) for r in targets.dependency_hotspots(curved, files, 2).collect())
+    assert got == [("a", -1.0, "High"), ("a", -0.5, "High"), ("c", -1.0, "High"), ("c", 0.25, "Well")]
+    steps = spark.createDataFrame([(p, i, n) for p, path in enumerate(("abc", "xbc", "xy")) for i, n in enumerate(path)], "process_id int, step int, node_id string")
+    touching = process.touching(steps, spark.createDataFrame([("c",)], "id string"))
+    got = [(r.label, round(r.score, 6)) for r in targets.process_hotspots(process.transitions(touching), curvature.directed_forman).collect()]
+    assert len(got) == 3 and ("x -> y", 2.0) not in got and got == sorted(got, key=lambda r: (r[1], r[0]))
+
+
+def test_kinds_outside_the_vocabulary_are_an_error(spark):
+    df = spark.createDataFrame([(["a", "z"], ["a"])], "a array<string>, b array<string>")
+    with pytest.raises(Exception, match="outside the vocabulary"):
+        df.select(compare.edit_distance(F.col("a"), F.col("b"), ["a"])[0]).collect()
+    x = spark.createDataFrame([(1, ["a", "z"]), (2, ["q"])], "file_id int, kinds array<string>")
+    y = spark.createDataFrame([(1, ["a"])], "file_id int, kinds array<string>")
+    assert {r.file_id: (r.raw, r.distance, r.similarity) for r in compare.ast_distance(x, y).collect()} == {1: (1, 0.5, 0.5), 2: (None, 1.0, 0.0)}
+
+
+def test_verdict_texts(spark):
+    got = {r.mask: r for r in L.masks(spark).select("mask", L.name(F.col("mask")).alias("n"), L.description(F.col("mask")).alias("d")).collect()}
+    assert got[7].n == "SIMPLE_COMPOSABLE_SECURE" and got[9].d == "🥈 SILVER - Two of four quality pillars satisfied (SIMPLE_NAVIGABLE)" and got[0].d.startswith("❌ NO MEDAL")
