@@ -7,7 +7,8 @@ stands, and a chunk has several lines. A chunk of fewer than ``min_words`` words
 shorter at a text's end is no chunk of its own. A chunk that occurs again anywhere is removed but for its first occurrence (smallest doc_id,
 then place), after its bytes have been compared with those of the first. What is removed is then extended to both sides, byte by byte, as far as
 the text agrees with that around the first occurrence, in whole words. The bytes compared go beyond the next chunk: were the passage
-longer than that, the next chunk would be repeated too and be extended itself. Every byte removed
+longer than that, the next chunk would be repeated too and be extended itself. Of a row whose whole text has the digest of the first occurrence's
+text, what is left around its chunks goes by that digest. Every byte removed
 equals one at an earlier place, so one copy of a passage always stays.
 
 Results for odd inputs: null text is the empty text and stays empty; texts without a repeated chunk stay as they are; rows that
@@ -35,6 +36,8 @@ CUT = 2
 LINES = 3
 #: A boundary's rolling hash is the smallest of those so many lines before and after it.
 RADIUS = 2
+#: Behind the end of any text.
+END = (1 << 31) - 2
 _STOPS = np.isin(np.arange(256), np.frombuffer(b".!?,;:", np.uint8))
 _BLANK = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -79,7 +82,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, ti
     next is where the line after it starts; before and after bound the bytes to compare around it: LINES lines beyond the chunk to each side.
     """
     none = np.zeros((0, 7), np.int64)
-    blank = _BLANK[data]
+    blank = (data - np.uint8(9) < 5) | (data == 32)
     heads, tails = ~blank, ~blank
     heads[1:] &= blank[:-1]
     tails[:-1] &= blank[1:]
@@ -90,7 +93,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, ti
     word, stop = np.flatnonzero(heads), np.flatnonzero(tails) + 1
     if not len(word):
         return none
-    text = np.searchsorted(offsets, word, "right") - 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(word, offsets)))
     hashes = _Hashes(data)
     last = _STOPS[data[stop - 1]] | (hashes(word, stop) & np.uint64(CUT - 1) == 0)
     broken = np.searchsorted(word, np.flatnonzero(data == 10))
@@ -180,16 +183,19 @@ def repeated_chunks(docs: DataFrame, stage: C.Stage, min_words: int = MIN_WORDS,
     found = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(candidates), f"hash long, doc_id {kind}, digest long, from long, end long, to long, body binary")
     found = stage.table(found)
     total = max(1, found.count())
-    firsts = found.groupBy("hash").agg(F.min(F.struct("doc_id", F.col("from").alias("at"), "body")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = found.groupBy("hash").agg(F.min(F.struct("doc_id", F.col("from").alias("at"), "digest", "body")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     joined = C.join_by_group(found, stage.table(firsts), ["hash"], "n", total, "inner")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("from") == F.col("first.at"))
-    ranges = joined.filter(~is_first & (F.col("body") == F.col("first.body"))).select("doc_id", "digest", "hash", "from", "end", "to", F.struct("first.doc_id", "first.at").alias("first"))
+    ranges = joined.filter(~is_first & (F.col("body") == F.col("first.body"))).select("doc_id", "digest", "hash", "from", "end", "to", F.struct("first.doc_id", "first.at", "first.digest").alias("first"))
     # Ranges that touch or overlap are one run. A range that starts later ends later; rows that share identifier and text give a range twice.
     own = W.partitionBy("doc_id", "digest").orderBy("from", "to", "hash")
     starts = F.coalesce(F.max("to").over(own.rowsBetween(W.unboundedPreceding, -1)) < F.col("from"), F.lit(True))
     ranges = ranges.withColumn("starts", starts.cast("int")).withColumn("run", F.sum("starts").over(own))
     edge = F.struct("hash", "from", "end", "to", "first")
     runs = ranges.groupBy("doc_id", "digest", "run").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.min_by(edge, "from").alias("left"), F.max_by(edge, "to").alias("right"), F.count(F.lit(1)).cast("int").alias("n"))
+    # of a text equal to that of the first occurrence the ends go too: there is nothing around them to compare
+    whole = lambda side: (F.col(f"{side}.first.digest") == F.col("digest")) & (F.col(f"{side}.first.at") == F.col(f"{side}.from"))
+    runs = runs.withColumns({"from": F.when(whole("left"), F.lit(0).cast("long")).otherwise(F.col("from")), "to": F.when(whole("right"), F.lit(END).cast("long")).otherwise(F.col("to")), "left": F.when(~whole("left"), F.col("left")), "right": F.when(~whole("right"), F.col("right"))})
     runs = stage.table(runs)
     held.unpersist()
     stage.drop(found)
@@ -232,7 +238,8 @@ def agreement_before(mine: bytes, other: bytes) -> int:
 def _extended(rows: DataFrame, runs: DataFrame, stage: C.Stage, min_words: int) -> DataFrame:
     """doc_id, digest, from, to: what each run is extended by to either side, as far as the text around the first occurrence agrees."""
     spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
-    sides = F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("side"), "left.*"), F.struct(F.lit(0).cast("long").alias("side"), "right.*")))
+    end = lambda side, name: F.when(F.col(name).isNotNull(), F.struct(F.lit(side).cast("long").alias("side"), f"{name}.*"))
+    sides = F.explode(F.array_compact(F.array(end(-1, "left"), end(0, "right"))))
     ends = stage.table(runs.select("doc_id", "digest", sides.alias("e")).select("doc_id", "digest", "e.*"))
     place = lambda at: F.col("hash").bitwiseXOR(F.col(at)).bitwiseXOR(F.col("side"))
     held = spark.sparkContext.broadcast(C.filter_bits(ends.select(F.explode(F.array(place("from"), place("first.at"))).alias("place")), "place"))
