@@ -3,11 +3,12 @@
 Conventions used by every operator of this subpackage
 -----------------------------------------------------
 * A null text counts as the empty text. A null identifier is an ordinary value that equals only null.
-* Operators select the columns they name before they work, so further columns, whatever they are
+* Operators select the columns they name before they work, or give working columns free names, so further columns, whatever they are
   called, never clash with working columns.
 * Rows that repeat are scored or grouped like any other row; nothing is dropped, capped or sampled.
 * Intermediate results that are used twice are written as Parquet below ``spark.checkpoint.dir``
-  (readable from every executor, so a lost executor costs no lineage), and removed once consumed.
+  (readable from every executor, so a lost executor costs no lineage). Those that only later steps read are removed after them; those that
+  the result reads stay, as the result is lazy.
 """
 
 from __future__ import annotations

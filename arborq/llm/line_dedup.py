@@ -3,8 +3,8 @@
 A line ends at a line break, at white space behind one of .!?,;: and behind words of one hash in ``CUT``, so that long paragraphs and texts
 without stops have lines too. A rolling hash over the hashes of ``rolled`` neighbouring lines chooses the boundaries: a chunk ends where it is
 smaller than at the ``RADIUS`` lines before and after, which depends on nothing but the lines nearby, so a passage is cut alike wherever it
-stands, and a chunk has several lines. A chunk of fewer than ``min_words`` words takes in as many of the next ones as it needs; what is still
-shorter at a text's end is no chunk of its own. A chunk that occurs again anywhere is removed but for its first occurrence (smallest doc_id,
+stands, and a chunk has several lines. A chunk of fewer than ``min_words`` words before another such takes in as many of the next ones as it
+needs; what stays shorter is no chunk of its own, and goes only where a run of removed chunks is extended over it. A chunk that occurs again anywhere is removed but for its first occurrence (smallest doc_id,
 then place), after its bytes have been compared with those of the first. What is removed is then extended to both sides, byte by byte, as far as
 the text agrees with that around the first occurrence, in whole words. The bytes compared go beyond the next chunk: were the passage
 longer than that, the next chunk would be repeated too and be extended itself. Of a row whose whole text has the digest of the first occurrence's

@@ -177,6 +177,9 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go: all rows of an identifier one of whose rows is rejected, null identifiers being one.
+
+    All others stay with all their columns; null and empty texts are scored like any other; an empty table stays empty.
+    """
     rejected = classify(docs, C.documents(spark, sf_dir, "labels")).filter("predicted = 0").select("doc_id").distinct()
     return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti")

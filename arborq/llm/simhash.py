@@ -194,6 +194,9 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents with similar sets of five-word shingles the one with the smallest identifier stays."""
+    """Of each class of documents with similar sets of five-word shingles the one with the smallest identifier stays.
+
+    Rows that share that identifier all stay. Texts without words are one class. An empty table stays empty.
+    """
     keep = similar_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")

@@ -377,6 +377,133 @@ def test_line_dedup_removes_whole_passages(spark):
     assert min(share) > 0.9 and max(share) < 1.1, sorted(share)[:5]
 
 
+def plain_chunks(text, min_words=8):
+    """(start, end, next, hash) of a text's chunks, one word after the other."""
+    raw = text.encode()
+    spans = [m.span() for m in __import__("re").finditer(rb"[^ \t\n\v\f\r]+", raw)]
+    if not spans:
+        return []
+    h = line_dedup._Hashes(np.frombuffer(raw, np.uint8))
+    value = lambda x, y: int(h(np.array([x]), np.array([y]))[0])
+    lines, first = [], 0
+    for i, (x, y) in enumerate(spans):
+        gap = raw[y : spans[i + 1][0]] if i + 1 < len(spans) else b"\n"
+        if raw[y - 1] in b".!?,;:" or b"\n" in gap or value(x, y) % line_dedup.CUT == 0 or i + 1 == len(spans):
+            lines.append((first, i))
+            first = i + 1
+    own = [value(spans[x][0], spans[y][1]) for x, y in lines]
+    (rolled, seed), mask = line_dedup.TILINGS[0], (1 << 64) - 1
+    roll = [sum(own[i - k] * ((seed | 1) * 3**k & mask) for k in range(rolled) if i >= k) & mask for i in range(len(own))]
+    roll = [int(line_dedup._mix(np.array([r], np.uint64))[0]) for r in roll]
+    near = lambda i: [roll[j] for j in range(max(0, i - line_dedup.RADIUS), min(len(roll), i + line_dedup.RADIUS + 1)) if j != i]
+    low = [0 < i < len(roll) - 1 and all(roll[i] < r for r in near(i)) for i in range(len(roll))]
+    tops = [i for i in range(len(roll)) if low[i] or i == len(roll) - 1]
+    out, lo = [], 0
+    size = [lines[hi][1] + 1 - lines[tops[k - 1] + 1 if k else 0][0] for k, hi in enumerate(tops)]
+    for k, hi in enumerate(tops):
+        last = hi
+        if size[k] < min_words and k + 1 < len(tops) and size[k + 1] < min_words:
+            last = next((t for t in tops[k:] if lines[t][1] + 1 - lines[lo][0] >= min_words), hi)
+        if last > lo and lines[last][1] + 1 - lines[lo][0] >= min_words:
+            x, y = spans[lines[lo][0]][0], spans[lines[last][1]][1]
+            out.append((x, y, spans[lines[last][1] + 1][0] if last + 1 < len(lines) else len(raw), value(x, y)))
+        lo = hi + 1
+    return out
+
+
+def test_line_chunks_against_plain_python():
+    texts = [prose(k) for k in (0, 1, 7, 40, 300)] + ["", " \n ", "a\n\nb. c  d,e\n" * 20, "x" * 400] + [" ".join(word() for _ in range(200)) for _ in range(5)]
+    raw = [t.encode() for t in texts]
+    offsets = np.r_[0, np.cumsum([len(r) for r in raw])]
+    got = line_dedup.chunks(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    for i, t in enumerate(texts):
+        own = got[got[:, 0] == i][:, 1:5] - np.array([offsets[i]] * 3 + [0])
+        assert [(x, y, z, h & ((1 << 64) - 1)) for x, y, z, h in own.tolist()] == plain_chunks(t)
+
+
+def test_line_dedup_against_plain_python(spark):
+    """Chunks by hash and bytes, the first kept, runs extended by whole words: all by dictionaries and loops."""
+    shared = [prose(k) for k in (30, 70, 200)]
+    texts = [prose(60) + " " + shared[i % 3] + " " + prose(50) for i in range(12)] + [shared[2]] * 3 + [None, "", "a b"]
+    where = defaultdict(list)
+    for i, t in enumerate(texts):
+        for x, y, z, h in plain_chunks(t or ""):
+            where[h].append((i, x, y, z))
+    bodies = lambda i, x, y: (texts[i] or "").encode()[x:y]
+    want = []
+    for i, t in enumerate(texts):
+        raw, gone = (t or "").encode(), []
+        again = [(x, y, z, min(where[h])) for x, y, z, h in plain_chunks(t or "") if min(where[h])[:2] != (i, x) and bodies(i, x, y) == bodies(*min(where[h])[:3])]
+        runs = []
+        for x, y, z, f in sorted(again):
+            if runs and max(r[2] for r in runs[-1]) >= x:
+                runs[-1].append((x, y, z, f))
+            else:
+                runs.append([(x, y, z, f)])
+        for run in runs:
+            (x, _, _, f), (_, y, z, g) = run[0], max(run, key=lambda r: r[2])
+            back, on = texts[f[0]].encode(), texts[g[0]].encode()
+            k = line_dedup.agreement_before(raw[:x], back[: f[1]])
+            n = line_dedup.agreement(raw[y:], on[g[2] :])
+            gone.append((x - k, max(z, y + n)))
+        out, at = b"", 0
+        for x, y in sorted(gone):
+            out += raw[at:x] if x > at else b""
+            at = max(at, y)
+        want.append((out + raw[at:]).decode())
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()} == dict(enumerate(want))
+
+
+def test_line_dedup_on_odd_tables(spark):
+    """Columns named like working ones, null and repeated identifiers, a very long text, ties."""
+    p = prose(90)
+    rows = [(None, p, 1, 2, 3, "a"), (None, p, 1, 2, 3, "a"), (5, p, 1, 2, 3, "a"), (5, prose(30) + " " + p, 1, 2, 3, "a"), (9, prose(40_000), 1, 2, 3, "a"), (10, "w " * 5000, 1, 2, 3, "a"), (11, "w " * 5000, 1, 2, 3, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _own int, _doc int, digest int, ranges string")
+    out = line_dedup.line_dedup(df)
+    assert out.columns == [*df.columns, "removed_chunks"] and out.count() == len(rows)
+    got = sorted((r.doc_id or 0, len(r.text)) for r in out.collect())
+    assert [x for x in got if x[0] == 0] == [(0, len(p))] * 2  # equal rows of one identifier are one document
+    assert got[2][1] == 0 or got[3][1] == 0
+
+
+def test_quality_against_one_solve(spark):
+    """The partition-summed equations give the weights of one least-squares solve over all rows."""
+    docs = [(i, prose(rng.randint(1, 60)) + (" !!! $$$" * (i % 2))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, float(i % 2), i % 3 % 2) for i in range(60)], "doc_id long, y double, fold int")
+    stats = quality.document_statistics(df)
+    model = quality.fit(stats, labels, features=16)
+    by_id = {r.doc_id: r.stats for r in stats.collect()}
+    for i, t in docs:
+        assert np.allclose(by_id[i], quality.statistics(t.encode(), np.array([0, len(t.encode())]))[0])
+    x, y, fold = np.array([by_id[i] for i in range(60)]), np.arange(60) % 2.0, np.arange(60) % 3 % 2
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, x.std(axis=0) + 1e-6, atol=1e-5)
+    f = model.features(x)
+    solve = lambda m, p: np.linalg.solve(f[m].T @ f[m] + np.diag([1e-6] + [p] * 16), f[m].T @ y[m])
+    error = {p: np.mean((np.where(fold == 0, f @ solve(fold == 1, p), f @ solve(fold == 0, p)) - y) ** 2) for p in quality.PENALTIES}
+    best = min(quality.PENALTIES, key=error.get)
+    assert np.allclose(model.weights, solve(fold >= 0, best), atol=1e-6)
+    got = {r.doc_id: r.score for r in quality.score(stats, model).collect()}
+    assert np.allclose([got[i] for i in range(60)], model.score(x))
+
+
+def test_toxicity_window_lengths(spark):
+    """Each window's two compressed lengths, one compressor call after the other."""
+    import zstandard
+
+    model = toxicity.Model(toxicity.Model.train([b"you idiot " * 9 + prose(9).encode() for _ in range(12)], [prose(80).encode() for _ in range(40)]))
+    got = {r.doc_id: r.f for r in toxicity.window_features(table(spark), model).collect()}
+    size = lambda d, w: len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False).compress(w))
+    for i, t in enumerate(TEXTS[:30]):
+        raw = (t or "").encode().lower()
+        parts = toxicity.cut(raw, toxicity.WINDOW) + (toxicity.cut(raw, toxicity.WINDOW // 2) if len(raw) > toxicity.WINDOW // 2 else [])
+        gain = np.array([size(model.dictionaries[1], w) - size(model.dictionaries[0], w) for w in parts], np.int64)
+        assert abs(got[i][-1] - np.log1p(len(parts))) < 1e-9 and b"".join(toxicity.cut(raw, toxicity.WINDOW)) == raw
+        if len(t or "") < 2000:
+            assert np.allclose(got[i], toxicity._features(gain), atol=2.0)  # a digested dictionary may choose other matches than a plain one
+
+
 def test_quality_held_out(spark):
     p = quality.op2_quality(spark, "/root/testdata/sf0.01").toPandas()
     q = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().merge(p, on="doc_id")
@@ -407,15 +534,40 @@ def test_isotonic():
 
 
 def test_pipeline(spark):
+    """Each stage keeps exactly what its operator says of its own input, and nothing else."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    names, n = docs.columns, docs.count()
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    names = docs.columns
+    ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
     for name, stage in corpus_pipeline.STAGES:
-        out = C.Stage(spark, "test").table(stage(spark, docs, "/root/testdata/sf0.01"))
+        out = C.Stage(spark, "test").table(stage(spark, docs, sf))
         if name == "packing":
-            assert out.select("doc_id").distinct().count() == n
+            assert out.select("doc_id").distinct().count() == docs.count()
+            continue
+        assert out.columns == names
+        if name in ("quality", "toxicity"):
+            found = (quality if name == "quality" else toxicity).classify(docs, labels)
+            assert ids(out) == ids(found.filter(f"predicted = {int(name == 'quality')}"))
+        elif name == "line dedup":
+            assert ids(out) == ids(docs) and out.filter("n_chars <> length(text)").count() == 0
         else:
-            assert out.columns == names and 0 < out.count() <= n
-            assert out.join(docs, "doc_id", "left_anti").count() == 0
-            docs, n = out, out.count()
+            kept = simhash.similar_classes(docs)
+            assert ids(out) == sorted({r.component_id for r in kept.select("component_id").distinct().collect()})
+        docs = out
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Null and empty texts, repeated rows, further columns, and an empty table: every stage's columns stay, nothing fails."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _own int, label string"
+    rows = [(i, t, "en", "s", len(t or ""), 1, "x") for i, t in enumerate(TEXTS)] + [(0, None, None, None, None, None, None)] * 2 + [(3, TEXTS[3], "en", "s", 2, 1, "x")]
+    for k, own in enumerate((rows, [])):
+        sf = str(tmp_path / str(k))
+        spark.createDataFrame(own, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(20)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and (out.count() > 0) == bool(own)
