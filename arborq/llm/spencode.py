@@ -162,7 +162,8 @@ class Encoder:
         parts = self.split(full)
         new = [u for u in dict.fromkeys(parts) if u not in units]
         fresh = self._learn(new) if new else {}
-        found = [units.get(u) or fresh[u] for u in parts]
+        long = any(len(u) > LONGEST for u in fresh)
+        found = [units.get(u) or fresh[u] for u in parts] if long else [units[u] for u in parts]
         ids = b"".join([struct.pack("<I", self.first), *[x[0] for x in found], struct.pack("<I", self.last)])
         widths = np.frombuffer(b"".join([x[1] for x in found]), "<u2").astype(np.int64)
         decoded = b"".join([x[2] for x in found])
