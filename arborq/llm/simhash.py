@@ -182,7 +182,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = keyed.withColumnRenamed("node", "u").join(keyed.withColumnRenamed("node", "v"), "key").filter("u < v").select("u", "v").distinct()
     pairs = stage.table(pairs)
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    bodies = stage.table(all_rows.select("node", "body").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # of a node's rows only those of its smallest identifier move, so a large group of copies is no hot key
+    chosen = wanted.join(nodes.select("node", "first"), "node").select(F.col("node").alias("_node"), "first")
+    mine = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("first"))
+    bodies = stage.table(all_rows.select("node", "doc_id", "body").join(chosen, mine).select("node", "body").dropDuplicates(["node"]))
     alike = F.udf(jaccard_at_least, "boolean", useArrow=True)
     both = pairs.join(bodies.select(F.col("node").alias("u"), F.col("body").alias("a")), "u").join(bodies.select(F.col("node").alias("v"), F.col("body").alias("b")), "v")
     labels = components(both.filter(alike("a", "b")).select("u", "v"), stage)
