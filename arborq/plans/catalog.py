@@ -896,7 +896,7 @@ best AS (SELECT d.unit, d.decl, d.is_test, CASE WHEN s.size IS NULL THEN CASE WH
 
 def _cover(spark, d):
     nodes = _trees(spark, d)
-    fp = T.fingerprints(nodes).withColumnRenamed("file_id", "unit")
+    fp = M.cut(T.fingerprints(nodes).withColumnRenamed("file_id", "unit"))
     decl = T.declarations(nodes).select(F.col("file_id").alias("unit"), F.col("node_id").alias("decl"))
     number = F.expr("try_cast(substring(decl, 2) AS BIGINT)") % 2
     test = lambda x: x.filter(number == 0)
