@@ -584,7 +584,7 @@ def _(spark, d):
     return R.page(_keyed(spark, d), 25, 25).select("file_id", "path")
 
 
-@query("mean_score_ranking", VERDICTS + ", m AS (SELECT file_id, path, list_avg(list_filter([simple, composable, secure, navigable], lambda x: x IS NOT NULL)) AS mean_score FROM verdicts JOIN scores USING (file_id)) SELECT file_id, round(mean_score, 6) AS mean_score FROM m ORDER BY m.mean_score, path LIMIT 20", METRICS_CTE)
+@query("mean_score_ranking", VERDICTS + ", m AS (SELECT file_id, path, coalesce(list_avg(list_filter([simple, composable, secure, navigable], lambda x: x IS NOT NULL)), 0) AS mean_score FROM verdicts JOIN scores USING (file_id)) SELECT file_id, round(mean_score, 6) AS mean_score FROM m ORDER BY m.mean_score, path LIMIT 20", METRICS_CTE)
 def _(spark, d):
     return R.by_mean_score(_classified(spark, d)[0], 20).select("file_id", r6("mean_score"))
 
