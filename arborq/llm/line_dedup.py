@@ -109,7 +109,8 @@ def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, ti
     for rolled, seed in tilings:
         r = line * np.uint64(seed | 1)
         for k in range(1, rolled):
-            r[k:] += line[:-k] * np.uint64((seed | 1) * pow(3, k) & ((1 << 64) - 1))
+            # lines of the text before do not count: the same text is cut alike whatever stands before it in a batch
+            r[k:] += np.where(text[k:] == text[:-k], line[:-k] * np.uint64((seed | 1) * pow(3, k) & ((1 << 64) - 1)), np.uint64(0))
         r = _mix(r)
         low = same_before & same_after
         for k in range(1, RADIUS + 1):  # neighbours in other texts do not count
