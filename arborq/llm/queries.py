@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language, line_dedup, media, packing, pylm, quality, simhash, spencode, toxicity
+from . import decontaminate, exact_dedup, language, line_dedup, media, packing, pylm, quality, session_closing, simhash, spencode, toxicity, vector_codes
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_sentencepiece": spencode.op8_sentencepiece,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op11_benchmark_decontamination": decontaminate.op11_benchmark_decontamination,
+    "op12_session_closing": session_closing.op12_session_closing,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.OP1_SQL}
