@@ -1061,3 +1061,6 @@ def floor_by_folder(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["folder_floor"] = floor_by_folder
 ORACLES["folder_floor"] = "WITH RECURSIVE " + D.MODULE_CTE + ", " + PAIRS.removeprefix("+") + """, f AS (SELECT split_part(n.file_path, '/', 1) AS folder, fan_out FROM fans JOIN mdg_nodes n ON n.id = fans.file)
 SELECT folder, count(*) AS files, count(*) FILTER (fan_out > 10) AS over_cap, CAST(CASE WHEN max(fan_out) <= 10 THEN 2 ELSE 0 END AS INT) AS mask, CASE WHEN max(fan_out) <= 10 THEN 'COMPOSABLE' ELSE 'SLOP' END AS verdict FROM f GROUP BY folder"""
+
+
+from . import grammar  # noqa: E402, F401  (adds its queries to QUERIES and ORACLES)

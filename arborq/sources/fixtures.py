@@ -69,6 +69,71 @@ rich_nodes AS (
   FROM mixed)"""
 )
 
+#: Small syntax trees by language, as grammars export them: (native kind, depth, field, named, text) in pre-order; each order of a file is one.
+TEMPLATES = {
+    "python": (
+        (("if_statement", 0, None, True, ""), ("comparison_operator", 1, "condition", True, ""), ("identifier", 2, None, True, "__name__"), ("==", 2, "operators", False, "=="), ("string", 2, None, True, '"__main__"'), ("block", 1, "consequence", True, ""), ("call", 2, None, True, "main()")),
+        (("if_statement", 0, None, True, ""), ("comparison_operator", 1, "condition", True, ""), ("string", 2, None, True, '"__main__"'), ("==", 2, "operators", False, "=="), ("identifier", 2, None, True, "__name__"), ("block", 1, "consequence", True, ""), ("else_clause", 1, "alternative", True, "")),
+        (("class_definition", 0, None, True, ""), ("identifier", 1, "name", True, "A"), ("argument_list", 1, "superclasses", True, "(ABC)"), ("block", 1, "body", True, ""), ("function_definition", 2, None, True, "def f(self)")),
+        (("class_definition", 0, None, True, ""), ("identifier", 1, "name", True, "B"), ("block", 1, "body", True, ""), ("decorated_definition", 2, None, True, ""), ("decorator", 3, None, True, "@abstractmethod"), ("boolean_operator", 2, None, True, "a and b"), ("identifier", 3, "left", True, "a"), ("and", 3, "operator", False, "and"), ("identifier", 3, "right", True, "b")),
+        (("class_definition", 0, None, True, ""), ("identifier", 1, "name", True, "C"), ("while_statement", 0, None, True, ""), ("list_comprehension", 1, None, True, "[]"), ("integer", 2, None, True, "3")),
+    ),
+    "rust": (
+        (("attribute_item", 0, None, True, "#[cfg(test)]"),),
+        (("attribute_item", 0, None, True, "#[derive(Debug)]"), ("struct_item", 0, None, True, "struct S;"), ("type_identifier", 1, "name", True, "S")),
+        (("function_item", 0, None, True, "fn f() {}"), ("block", 1, "body", True, ""), ("let_declaration", 2, None, True, ""), ("integer_literal", 3, None, True, "1"), ("attribute_item", 2, None, True, "#[cfg(test)]"), ("if_expression", 2, None, True, ""), ("return_expression", 2, None, True, "")),
+        (("trait_item", 0, None, True, ""), ("impl_item", 0, None, True, ""), ("binary_expression", 1, None, True, "a && b"), ("identifier", 2, "left", True, "a"), ("&&", 2, "operator", False, "&&"), ("identifier", 2, "right", True, "b")),
+        (("match_expression", 0, None, True, ""), ("binary_expression", 1, None, True, "a + b"), ("+", 2, "operator", False, "+")),
+    ),
+    "javascript": (
+        (("function_declaration", 0, None, True, ""), ("statement_block", 1, None, True, ""), ("throw_statement", 2, None, True, ""), ("string", 3, None, True, "x")),
+        (("class_declaration", 0, None, True, ""), ("method_definition", 1, None, True, ""), ("ternary_expression", 2, None, True, ""), ("binary_expression", 3, None, True, ""), ("??", 4, "operator", False, "??"), ("||", 4, None, False, " || ")),
+        (("lexical_declaration", 0, None, True, ""), ("arrow_function", 1, None, True, ""), ("try_statement", 2, None, True, ""), ("catch_clause", 3, None, True, ""), ("finally_clause", 3, None, True, "")),
+    ),
+    "typescript": (
+        (("interface_declaration", 0, None, True, ""), ("property_signature", 1, None, True, "")),
+        (("abstract_class_declaration", 0, None, True, ""), ("public_field_definition", 1, None, True, ""), ("internal_module", 1, None, True, "")),
+        (("ambient_declaration", 0, None, True, ""), ("class_declaration", 0, None, True, ""), ("enum_declaration", 0, None, True, ""), ("type_alias_declaration", 0, None, True, ""), ("switch_statement", 1, None, True, "")),
+    ),
+    "cpp": (
+        (("declaration", 0, None, True, "void f(int);"), ("function_declarator", 1, None, True, ""), ("identifier", 2, None, True, "f")),
+        (("declaration", 0, None, True, "void (*h)(int);"), ("function_declarator", 1, None, True, ""), ("parenthesized_declarator", 2, None, True, ""), ("pointer_declarator", 3, None, True, ""), ("identifier", 4, None, True, "h")),
+        (("class_specifier", 0, None, True, ""), ("field_declaration_list", 1, None, True, ""), ("field_declaration", 2, None, True, ""), ("function_declarator", 3, None, True, ""), ("field_identifier", 4, None, True, "area"), ("number_literal", 3, None, True, "0")),
+        (("struct_specifier", 0, None, True, ""), ("field_declaration_list", 1, None, True, ""), ("field_declaration", 2, None, True, "int x = 0;"), ("field_identifier", 3, None, True, "x"), ("number_literal", 3, None, True, "0")),
+        (("union_specifier", 0, None, True, ""), ("enum_specifier", 0, None, True, ""), ("subscript_expression", 1, None, True, "")),
+    ),
+    "go": (
+        (("type_declaration", 0, None, True, ""), ("type_spec", 1, None, True, ""), ("type_identifier", 2, None, True, "T"), ("interface_type", 2, None, True, "")),
+        (("type_declaration", 0, None, True, ""), ("type_spec", 1, None, True, ""), ("type_identifier", 2, None, True, "T"), ("type_spec", 1, None, True, ""), ("struct_type", 2, None, True, ""), ("type_spec", 1, None, True, ""), ("interface_type", 2, None, True, "")),
+        (("go_statement", 0, None, True, ""), ("call_expression", 1, None, True, "f()"), ("string_literal", 2, None, True, "x"), ("nil", 2, None, True, "nil")),
+        (("short_var_declaration", 0, None, True, ""), ("binary_expression", 1, None, True, "a || b"), ("||", 2, "operator", False, "||")),
+    ),
+}
+
+
+def _template_rows() -> str:
+    quote = lambda x: "CAST(NULL AS VARCHAR(9))" if x is None else "'" + x + "'"
+    rows = []
+    for lang, own in TEMPLATES.items():
+        for t, nodes in enumerate(own):
+            for i, (native, depth, field, named, text) in enumerate(nodes):
+                up = max((k for k in range(i) if nodes[k][1] == depth - 1), default=-1)
+                size = next((k for k in range(i + 1, len(nodes)) if nodes[k][1] <= depth), len(nodes)) - i - 1
+                rows.append(f"SELECT '{lang}' AS lang, {t} AS t, {len(own)} AS ts, {i} AS i, {up} AS up, {size} AS size, {quote(native)} AS native, {quote(field)} AS field, {named} AS named, {quote(text)} AS txt")
+    return " UNION ALL ".join(rows)
+
+
+CONCRETE_CTE = f"""
+tmpl AS ({_template_rows()}),
+langs AS (SELECT c_custkey AS file_id, CASE c_custkey % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'javascript' WHEN 3 THEN 'typescript' WHEN 4 THEN 'cpp' ELSE 'go' END AS language FROM customer),
+sown AS (SELECT l.file_id, l.language, o_orderkey AS o, m.i, m.up, m.size, m.native, m.field, m.named, m.txt FROM orders JOIN langs l ON l.file_id = o_custkey JOIN tmpl m ON m.lang = l.language AND m.t = o_orderkey % m.ts),
+sizes AS (SELECT file_id, count(*) AS n FROM sown GROUP BY file_id),
+concrete AS (
+  SELECT langs.file_id, language, concat('R', langs.file_id) AS node_id, CAST(NULL AS VARCHAR(9)) AS parent_id, CAST(0 AS BIGINT) AS pre, CAST(coalesce(n, 0) AS BIGINT) AS last,
+    CASE language WHEN 'python' THEN 'module' WHEN 'cpp' THEN 'translation_unit' WHEN 'rust' THEN 'source_file' WHEN 'go' THEN 'source_file' ELSE 'program' END AS native_kind, CAST(NULL AS VARCHAR(9)) AS field, true AS named, '' AS text FROM langs LEFT JOIN sizes ON langs.file_id = sizes.file_id
+  UNION ALL SELECT file_id, language, concat('T', o, '.', i), CASE WHEN up < 0 THEN concat('R', file_id) ELSE concat('T', o, '.', up) END,
+    CAST(row_number() OVER (PARTITION BY file_id ORDER BY o, i) AS BIGINT), CAST(row_number() OVER (PARTITION BY file_id ORDER BY o, i) + size AS BIGINT), native, field, named, txt FROM sown)"""
+
 PROCESS_CTE = """
 process_steps AS (
   SELECT user_id AS process_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_type AS node_id FROM events)"""
@@ -114,6 +179,11 @@ def exported_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, RICH_CTE, "rich_nodes")
 
 
+def concrete_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grammar nodes of six languages, anonymous ones too, as an export has them."""
+    return table(spark, sf_dir, CONCRETE_CTE, "concrete")
+
+
 def process_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, PROCESS_CTE, "process_steps")
 
