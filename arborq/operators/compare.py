@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .module_graph import cut
+
 CLONE_LIMIT = 0.1
 #: Fixed values of the Gromov-Wasserstein iteration.
 GW_NODES, GW_OUTER, GW_SINKHORN, GW_REGULAR, GW_TOLERANCE = 200, 50, 100, 0.5, 1e-6
@@ -107,32 +109,48 @@ def metric_deltas(before: DataFrame, after: DataFrame, digits: int = 3) -> DataF
     return j.select("file_id", "metric", F.round(F.coalesce("y", F.lit(0.0)) - F.coalesce("x", F.lit(0.0)), digits).alias("delta"))
 
 
+def clone_candidates(rep: DataFrame, limit: float) -> DataFrame:
+    """(a, b): pairs of texts (a, s, n) that may be within ``limit`` edits of the longer one's length, each pair once.
+
+    If d edits lead from the shorter text to the longer one, then of d + 1 parts into which the shorter is cut one is found in the longer, moved by at most d
+    places. So the parts of every text are an index, by the number of edits that a partner may need, and each text looks up its own substrings of the parts' lengths
+    for its number: a row for each place and two or three lengths. No pair is formed that shares no part. Parts that many texts share are the join's hot keys, which adaptive
+    execution splits. Needs a limit below a half, so that a text has more places than edits.
+    """
+    if not 0 <= limit < 0.5:
+        raise ValueError("limit must be at least 0 and below 0.5")
+    most = lambda n: F.floor(n * limit + 1e-9).cast("int")
+    longest = F.floor(F.col("n") / (1 - limit) + 1e-9).cast("int")
+    own = rep.filter("n > 0")
+    parts = own.withColumn("d", F.explode(F.sequence(most(F.col("n")), most(longest)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    size, more = F.expr("n div (d + 1)").cast("int"), F.col("n") % (F.col("d") + 1)
+    short = F.col("d") + 1 - more  # the first parts have the plain size, the last ones a place more
+    place = F.col("i") * size + F.greatest(F.col("i") - short, F.lit(0))
+    length = size + (F.col("i") >= short).cast("int")
+    index = parts.select("d", F.expr("a").alias("x"), F.col("n").alias("nx"), place.cast("int").alias("p"), F.substring("s", place.cast("int") + 1, length.cast("int")).alias("part"))
+    probe = own.withColumn("d", most(F.col("n")))
+    lengths = F.sequence(F.greatest(F.lit(1), F.expr("(n - d) div (d + 1)")).cast("int"), F.least(F.col("n"), F.expr("n div (d + 1) + 1").cast("int")))
+    probe = probe.withColumn("len", F.explode(lengths)).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("len"))))
+    probe = probe.select("d", F.col("a").alias("y"), F.col("n").alias("ny"), "q", F.substring("s", F.col("q") + 1, F.col("len")).alias("part"))
+    near = (F.abs(F.col("p") - F.col("q")) <= F.col("d")) & (F.col("nx") <= F.col("ny")) & (F.col("ny") - F.col("nx") <= F.col("d")) & ((F.col("nx") < F.col("ny")) | (F.col("x") < F.col("y")))
+    return index.join(probe, ["d", "part"]).filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def clones(sequences: DataFrame, vocabulary: list[str], limit: float = CLONE_LIMIT) -> DataFrame:
     """(a, b, distance) with a < b: pairs of sequences (file_id, kinds) within ``limit`` of each other.
 
-    Candidates share a band of lengths (a clone's length differs by at most limit / (1 - limit)), and must pass the histogram bound
-    before the edit distance is computed: max(sum(a-b)+, sum(b-a)+) / longest never exceeds it. A group of equal sequences takes
+    Candidates share a part (see ``clone_candidates``); their edit distance decides. A group of equal sequences takes
     part as one, and is linked to its smallest member.
     """
-    base = sequences.withColumn("n", F.size("kinds"))
-    rep = base.groupBy("kinds").agg(F.min("file_id").alias("a"), F.first("n").alias("n"))
-    ratio = 1 / (1 - limit)
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.log(F.lit(ratio))).cast("int")
-    count = [F.size(_only(k)).alias(f"c{i}") for i, k in enumerate(vocabulary)]
-    rep = rep.select("a", "kinds", "n", band.alias("band"), F.array(*count).alias("hist"))
-    other = rep.select(F.col("a").alias("b"), F.col("kinds").alias("kinds_b"), F.col("n").alias("m"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), F.col("hist").alias("hist_b"))
-    j = rep.join(other, "band").filter("a < b")
-    over = F.aggregate(F.zip_with("hist", "hist_b", lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    under = F.aggregate(F.zip_with("hist", "hist_b", lambda x, y: F.greatest(y - x, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    j = j.filter(F.greatest(over, under) <= limit * F.greatest("n", "m"))
-    _, d = edit_distance(F.col("kinds"), F.col("kinds_b"), vocabulary)
-    near = j.withColumn("distance", d).filter(F.col("distance") <= limit).select("a", "b", "distance")
-    same = base.select("kinds", F.col("file_id").alias("b")).join(rep.select("kinds", "a"), "kinds").filter("a < b").select("a", "b", F.lit(0.0).alias("distance"))
-    return near.unionByName(same).distinct()
-
-
-def _only(kind: str) -> Column:
-    return F.filter(F.col("kinds"), lambda x: x == F.lit(kind))
+    base = sequences.withColumn("s", encoded(F.col("kinds"), vocabulary))
+    rep = cut(base.groupBy("s").agg(F.min("file_id").alias("a")).withColumn("n", F.length("s")))
+    pairs = clone_candidates(rep, limit)
+    j = pairs.join(rep.select("a", "s", "n"), "a").join(rep.select(F.col("a").alias("b"), F.col("s").alias("t"), F.col("n").alias("m")), "b")
+    longest = F.greatest("n", "m")
+    raw = F.levenshtein("s", "t")
+    near = j.withColumn("distance", raw / longest).filter(F.col("distance") <= limit).select("a", "b", "distance")
+    same = base.select("s", F.col("file_id").alias("b")).join(rep.select("s", "a"), "s").filter("a < b").select("a", "b", F.lit(0.0).alias("distance"))
+    return near.unionByName(same)
 
 
 def _hops(parents: list[int]) -> np.ndarray:

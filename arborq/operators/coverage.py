@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.rounding import formatted
 from .tree import CALLABLES
 
 #: Kinds of the statement and expression recalls, thresholds.
@@ -91,10 +92,17 @@ def kgrams(sequences: DataFrame, k: int = K) -> DataFrame:
     return g.groupBy("unit", "decl", "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: What a decision says.
+SAID = ("coverage is strong", "coverage meets the policy threshold", "coverage is partial", "coverage is weak")
+RATE, SCORE = "%.0f%% of declarations meet the %.2f threshold", "F2 score is %.3f"
+
+
 def decision(found: DataFrame, threshold: float = COVERED) -> DataFrame:
-    """Adds achieved and a word for the mean coverage."""
-    word = F.when(F.col("mean") >= threshold + STRONG, "strong").when(F.col("mean") >= threshold, "adequate").when(F.col("mean") >= threshold * PARTIAL, "partial").otherwise("weak")
-    return found.withColumn("achieved", F.col("mean") >= threshold).withColumn("band", word)
+    """Adds achieved, threshold and what is said of the mean coverage, of the covered share and of the F2 score."""
+    mean = F.col("mean")
+    word = F.when(mean >= threshold + STRONG, SAID[0]).when(mean >= threshold, SAID[1]).when(mean >= threshold * PARTIAL, SAID[2]).otherwise(SAID[3])
+    out = found.withColumn("achieved", mean >= threshold).withColumn("threshold", F.lit(threshold)).withColumn("interpretation", word)
+    return out.withColumn("rate_line", formatted(RATE, F.col("rate") * 100, F.lit(threshold))).withColumn("f2_line", formatted(SCORE, F.col("f2")))
 
 
 def uncovered(matches: DataFrame, threshold: float = COVERED) -> DataFrame:

@@ -1,7 +1,7 @@
 """Forman curvature of undirected and directed graphs, by joins on the edges.
 
-The undirected form is the balanced one for simple graphs. It intersects neighbour lists, so a row is as long as the largest degree:
-meant for graphs of files, whose degrees the number of files bounds. The directed form needs sums only.
+The undirected form is the balanced one for simple graphs. All it needs of an edge are the degrees of its ends and its triangles, so no list of
+neighbours is ever gathered and a hub costs as much as its edges. The directed form needs sums only.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .module_graph import lift_to_files
+from .module_graph import cut, lift_to_files
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -17,53 +17,68 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
+def triangles(e: DataFrame) -> DataFrame:
+    """(x, y, z): each triangle of the unordered pairs (a, b) once.
+
+    Every edge is turned towards its end of the higher degree, so a node has at most the square root of twice the edges as successors; pairs of
+    successors that are joined themselves close a triangle. A star has no such pair, whatever its size.
+    """
+    ends = e.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    with_degree = e.join(ends.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(ends.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    x, y = F.struct(F.col("da").alias("d"), F.col("a").alias("n")), F.struct(F.col("db").alias("d"), F.col("b").alias("n"))
+    turned = with_degree.select(F.least(x, y).alias("u"), F.greatest(x, y).alias("v"))
+    two = turned.select(F.col("u.n").alias("u"), F.col("v").alias("v")).join(turned.select(F.col("u.n").alias("u"), F.col("v").alias("w")), "u").filter("v < w")
+    two = two.select("u", F.col("v.n").alias("v"), F.col("w.n").alias("w")).withColumn("a", F.least("v", "w")).withColumn("b", F.greatest("v", "w"))
+    closed = two.join(e, ["a", "b"], "left_semi")
+    t = F.array_sort(F.array("u", "v", "w"))
+    return closed.select(t[0].alias("x"), t[1].alias("y"), t[2].alias("z"))
+
+
 def balanced_forman(edges: DataFrame) -> DataFrame:
     """(a, b, curvature). 0 where an end has one neighbour; else 2/max + 2/min - 2 + (2/max + 1/min) * triangles, and
     sharp / (max * lambda) for four-cycles.
 
     For each end and the other end i, every neighbour k of the end, i itself included, has the value |N(k) & N(i)|, less one where k
-    is a neighbour of i; sharp counts the positive values at both ends and lambda is the largest of them.
+    is a neighbour of i; sharp counts the positive values at both ends and lambda is the largest of them. Both follow from degrees and triangles:
+    i itself has its degree as value, and no other k has more, so lambda is the larger degree; the end is a common neighbour of k and i, so a
+    value is 0 only where k and i are joined and have no other one, that is where their edge is in one triangle.
     """
-    e = undirected(edges)
-    arcs = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    near = arcs.groupBy("u").agg(F.collect_set("v").alias("near"))
-    ends = e.join(near.select(F.col("u").alias("a"), F.col("near").alias("na")), "a").join(near.select(F.col("u").alias("b"), F.col("near").alias("nb")), "b")
-    ends = ends.select("a", "b", "na", "nb", F.size(F.array_intersect("na", "nb")).alias("tri"))
-
-    def around(here: str, there: str, n_here: str, n_there: str) -> DataFrame:
-        """Per edge: how many k at ``here`` close a four-cycle, and the largest number that one of them closes."""
-        k = ends.select("a", "b", F.col(n_there).alias("own"), F.explode(n_here).alias("k"))
-        k = k.join(near.select(F.col("u").alias("k"), F.col("near").alias("nk")), "k")
-        value = F.size(F.array_intersect("nk", "own")) - F.array_contains("own", F.col("k")).cast("int")
-        counted = value > 0
-        return k.groupBy("a", "b").agg(F.sum(F.when(counted, 1).otherwise(0)).alias(f"sharp_{here}"), F.max(F.when(counted, value).otherwise(0)).alias(f"most_{here}"))
-
-    out = ends.join(around("b", "a", "nb", "na"), ["a", "b"]).join(around("a", "b", "na", "nb"), ["a", "b"])
-    da, db = F.size("na"), F.size("nb")
-    most, least = F.greatest(da, db), F.least(da, db)
-    lam, sharp = F.greatest("most_a", "most_b"), F.col("sharp_a") + F.col("sharp_b")
-    flat = 2 / most + 2 / least - 2 + (2 / most + 1 / least) * F.col("tri")
-    value = F.when(least <= 1, 0.0).otherwise(flat + F.when(lam > 0, sharp / (most * lam)).otherwise(0.0))
-    return out.select("a", "b", value.alias("curvature"))
-
-
-def directed_forman(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight, curvature) of weighted arcs; parallel arcs stay, self-loops go, weights of 0 or less give 0.
-
-    w_u and w_v are 1. The sums over arcs into u and out of v are two aggregates, whatever the degrees.
+    e = cut(undirected(edges))
+    degree = e.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").agg(F.count(F.lit(1)).alias("d"))
+    t = cut(triangles(e))
+    sides = (("x", "y"), ("x", "z"), ("y", "z"))
+    count = t.select(F.explode(F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b")) for a, b in sides])).alias("s")).groupBy("s.a", "s.b").agg(F.count(F.lit(1)).alias("tri"))
+    count = cut(count)
+    for a, b in sides:
+        t = t.join(count.select(F.col("a").alias(a), F.col("b").alias(b), (F.col("tri") == 1).cast("int").alias(f"only_{a}{b}")), [a, b])
+    others = {"xy": ("xz", "yz"), "xz": ("xy", "yz"), "yz": ("xy", "xz")}
+    flat = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b"), sum(F.col(f"only_{o}") for o in others[a + b]).alias("flat")) for a, b in sides])
+    zero = t.select(F.explode(flat).alias("s")).groupBy("s.a", "s.b").agg(F.sum("s.flat").alias("flat"))
+    out = e.join(degree.select(F.col("n").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("n").alias("b"), F.col("d").alias("db")), "b")
+    out = out.join(count, ["a", "b"], "left").join(zero, ["a", "b"], "left").na.fill(0, ["tri", "flat"])
+    most, least = F.greatest("da", "db"), F.least("da", "db")
+    sharp = F.col("da") + F.col("db") - F.col("flat")
+    value = 2 / most + 2 / least - 2 + (2 / most + 1 / least) * F.col("tri") + sharp / (most * most)
+    return out.select("a", "b", F.when(least <= 1, 0.0).otherwise(value).alias("curvature"))
+
+
+def directed_forman(edges: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(within..., src, dst, weight, curvature) of weighted arcs; parallel arcs stay, self-loops go, weights of 0 or less give 0.
+
+    w_u and w_v are 1. The sums over arcs into u and out of v are two aggregates, whatever the degrees. ``within`` names columns that tell graphs apart,
+    so many graphs take one pass.
     """
-    e = edges.filter("src <> dst").withColumn("weight", F.coalesce(F.col("weight").cast("double"), F.lit(1.0))) if "weight" in edges.columns else edges.filter("src <> dst").withColumn("weight", F.lit(1.0))
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    e = edges.filter("src <> dst").withColumn("weight", weight)
     positive = e.filter("weight > 0")
-    into = positive.groupBy(F.col("dst").alias("src")).agg(F.sum(1 / F.sqrt("weight")).alias("into"))
-    out = positive.groupBy(F.col("src").alias("dst")).agg(F.sum(1 / F.sqrt("weight")).alias("out"))
-    j = e.join(into, "src", "left").join(out, "dst", "left").na.fill(0.0, ["into", "out"])
+    into = positive.groupBy(*within, F.col("dst").alias("src")).agg(F.sum(1 / F.sqrt("weight")).alias("into"))
+    out = positive.groupBy(*within, F.col("src").alias("dst")).agg(F.sum(1 / F.sqrt("weight")).alias("out"))
+    j = e.join(into, [*within, "src"], "left").join(out, [*within, "dst"], "left").na.fill(0.0, ["into", "out"])
     value = F.when(F.col("weight") <= 0, 0.0).otherwise(2.0 - F.sqrt("weight") * (F.col("into") + F.col("out")))
-    return j.select("src", "dst", "weight", value.alias("curvature"))
+    return j.select(*within, "src", "dst", "weight", value.alias("curvature"))
 
 
-def module_curvature(edges: DataFrame, owner: DataFrame, rel_type: str = "CALLS", file: str | None = None) -> DataFrame:
-    """Balanced curvature of the graph between files, ascending; at one file where it is given."""
+def module_curvature(edges: DataFrame, owner: DataFrame, rel_type: str = "IMPORTS", file: str | None = None) -> DataFrame:
+    """(a, b, curvature): balanced curvature of the graph between files; of the edges at one file where it is given."""
     out = balanced_forman(lift_to_files(edges, owner, rel_type))
-    if file is not None:
-        out = out.filter((F.col("a") == file) | (F.col("b") == file))
-    return out.orderBy("curvature", "a", "b")
+    return out if file is None else out.filter((F.col("a") == file) | (F.col("b") == file))

@@ -60,12 +60,12 @@ def control_dependence(blocks: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def metrics(data: DataFrame, control: DataFrame, statements: DataFrame) -> DataFrame:
-    """(file_id, data_deps, control_deps, density)."""
+    """(file_id, statements, data_deps, control_deps, density)."""
     n = statements.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
     d = data.groupBy("file_id").agg(F.count(F.lit(1)).alias("data_deps"))
     c = control.groupBy("file_id").agg(F.count(F.lit(1)).alias("control_deps"))
     out = n.join(d, "file_id", "left").join(c, "file_id", "left").na.fill(0, ["data_deps", "control_deps"])
-    return out.select("file_id", "data_deps", "control_deps", ((F.col("data_deps") + F.col("control_deps")) / F.greatest("n", F.lit(1))).alias("density"))
+    return out.select("file_id", F.col("n").alias("statements"), "data_deps", "control_deps", ((F.col("data_deps") + F.col("control_deps")) / F.greatest("n", F.lit(1))).alias("density"))
 
 
 def property_graph(nodes: DataFrame, blocks: DataFrame, flow: DataFrame, data: DataFrame, control: DataFrame) -> DataFrame:
@@ -85,21 +85,31 @@ def property_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def compare_dependence(before: DataFrame, after: DataFrame, metrics_before: DataFrame, metrics_after: DataFrame) -> DataFrame:
-    """(file_id, data_jaccard, control_jaccard, density_delta): edges (file_id, family, src, dst, label) of two versions.
+    """(file_id, data_jaccard, control_jaccard, statement_delta, density_delta): edges (file_id, family, src, dst, label) and metrics of two versions.
 
     Data edges are equal with their variable, control edges without; two versions without an edge of a family agree (1).
     """
-    out = metrics_before.select("file_id", F.col("density").alias("x")).join(metrics_after.select("file_id", F.col("density").alias("y")), "file_id", "full_outer")
+    side = lambda m, s: m.select("file_id", F.col("density").alias("d" + s), F.col("statements").alias("n" + s))
+    out = side(metrics_before, "x").join(side(metrics_after, "y"), "file_id", "full_outer")
     for family, items, name in (("ddg", ["src", "dst", "label"], "data_jaccard"), ("cdg", ["src", "dst"], "control_jaccard")):
         own = lambda df: df.filter(F.col("family") == family)  # noqa: B023, E731
         out = out.join(jaccard(own(before), own(after), ["file_id"], items).withColumnRenamed("jaccard", name), "file_id", "left")
-    return out.na.fill(1.0, ["data_jaccard", "control_jaccard"]).select("file_id", "data_jaccard", "control_jaccard", F.round(F.coalesce("y", F.lit(0.0)) - F.coalesce("x", F.lit(0.0)), 6).alias("density_delta"))
+    delta = lambda c, zero: F.coalesce(c + "y", F.lit(zero)) - F.coalesce(c + "x", F.lit(zero))
+    return out.na.fill(1.0, ["data_jaccard", "control_jaccard"]).select("file_id", "data_jaccard", "control_jaccard", delta("n", 0).alias("statement_delta"), F.round(delta("d", 0.0), 6).alias("density_delta"))
 
 
-def compare_property_graphs(before: DataFrame, after: DataFrame, nodes_before: DataFrame, nodes_after: DataFrame) -> DataFrame:
-    """(file_id, node_jaccard, ast_jaccard, cfg_jaccard, ddg_jaccard, cdg_jaccard) of two versions; 1 where both lack a family."""
+def compare_property_graphs(before: DataFrame, after: DataFrame, nodes_before: DataFrame, nodes_after: DataFrame, counts_before: DataFrame | None = None, counts_after: DataFrame | None = None) -> DataFrame:
+    """(file_id, node_jaccard, ast_jaccard, cfg_jaccard, ddg_jaccard, cdg_jaccard) of two versions; 1 where both lack a family.
+
+    With counts (file_id, dangerous_calls, taint_flows) of both versions also dangerous_delta and taint_delta; a file without a row has none of either.
+    """
     out = jaccard(nodes_before, nodes_after, ["file_id"], ["node_id"]).withColumnRenamed("jaccard", "node_jaccard")
     sides = before.select("file_id", "family", "src", "dst", "label", F.lit(1).alias("side")).unionByName(after.select("file_id", "family", "src", "dst", "label", F.lit(2).alias("side")))
     edges = sides.groupBy("file_id", "family", "src", "dst", "label").agg(F.bit_or("side").alias("sides"))
     per = edges.groupBy("file_id").agg(*[(F.count_if((F.col("family") == f) & (F.col("sides") == 3)) / F.nullif(F.count_if(F.col("family") == f), F.lit(0))).alias(f"{f}_jaccard") for f in ("ast", "cfg", "ddg", "cdg")])
-    return out.join(per, "file_id", "left").na.fill(1.0)
+    out = out.join(per, "file_id", "left").na.fill(1.0)
+    if counts_before is None or counts_after is None:
+        return out
+    x, y = (c.select("file_id", *[F.col(n).alias(n + side) for n in ("dangerous_calls", "taint_flows")]) for c, side in ((counts_before, "_x"), (counts_after, "_y")))
+    delta = lambda n, name: (F.coalesce(n + "_y", F.lit(0)) - F.coalesce(n + "_x", F.lit(0))).alias(name)
+    return out.join(x, "file_id", "left").join(y, "file_id", "left").select(*out.columns, delta("dangerous_calls", "dangerous_delta"), delta("taint_flows", "taint_delta"))

@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 SMALL = 200
 
 
-def entropy_ratio(text: str | None) -> float:
-    """Compressed over original bytes; 0 for the empty text; a short text above 0.5 is drawn toward 0.5 by its length."""
+def measured(text: str | None) -> tuple[float, int, int]:
+    """(ratio, compressed bytes, bytes) of a text that is compressed once: compressed over original bytes; 0 for the empty text; a short text above 0.5 is drawn
+    toward 0.5 by its length."""
     raw = (text or "").replace("\r\n", "\n").encode()
     if not raw:
-        return 0.0
-    ratio = len(zlib.compress(raw, 9)) / len(raw)
-    return 0.5 + (ratio - 0.5) * len(raw) / SMALL if len(raw) < SMALL and ratio > 0.5 else ratio
+        return 0.0, 0, 0
+    size = len(zlib.compress(raw, 9))
+    ratio = size / len(raw)
+    return (0.5 + (ratio - 0.5) * len(raw) / SMALL if len(raw) < SMALL and ratio > 0.5 else ratio), size, len(raw)
+
+
+def entropy_ratio(text: str | None) -> float:
+    return measured(text)[0]
 
 
 def entropy(text: Column | str) -> Column:
@@ -51,8 +57,7 @@ def detail(text: Column | str) -> Column:
 
     def sizes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            raw = [(x or "").replace("\r\n", "\n").encode() for x in s]
-            yield pd.DataFrame({"ratio": [entropy_ratio(x) for x in s], "compressed_size": [len(zlib.compress(r, 9)) if r else 0 for r in raw], "original_size": [len(r) for r in raw]})
+            yield pd.DataFrame([measured(x) for x in s], columns=["ratio", "compressed_size", "original_size"])
 
     return F.pandas_udf(sizes, "ratio double, compressed_size long, original_size long")(text)
 

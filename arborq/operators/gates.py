@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lattice import BITS, PILLARS
+from ..functions.rounding import formatted
 
 #: Metric, pillar, low, high, whether the gate decides its pillar, exemption.
 GATES = (
@@ -161,7 +162,7 @@ def interpretation() -> Column:
     for metric, lines in LINES.items():
         said = F.lit(None).cast("string")
         for outcome, text in reversed(lines.items()):
-            line = F.format_string(text, F.col("value"))
+            line = formatted(text, F.col("value"))
             said = line if outcome == "*" else F.when(F.col("outcome") == outcome, line).otherwise(said)
         own = F.col("metric") == metric
         out = F.when(own, said) if out is None else out.when(own, said)

@@ -170,19 +170,57 @@ def instability(coupled: DataFrame) -> DataFrame:
 
 
 def fan(nodes: DataFrame, edges: DataFrame, owner: DataFrame) -> DataFrame:
-    """(file, fan_in, fan_out): distinct external symbols that call into it, and that it calls."""
-    calls = lifted(edges, owner, "CALLS").filter("src_file IS NULL OR dst_file IS NULL OR src_file <> dst_file")
+    """(file, fan_in, fan_out): distinct external symbols that call into it, and that it calls. An end that no file owns, or that has no node, is external."""
+    end = lambda c: owner.filter("file IS NOT NULL").select(F.col("id").alias(c), F.col("file").alias(c + "_file"))
+    calls = by_type(edges, "CALLS").join(end("src"), "src", "left").join(end("dst"), "dst", "left").filter(~F.col("src_file").eqNullSafe(F.col("dst_file")))
     into = calls.groupBy(F.col("dst_file").alias("file")).agg(F.countDistinct("src").alias("fan_in"))
     out = calls.groupBy(F.col("src_file").alias("file")).agg(F.countDistinct("dst").alias("fan_out"))
     return _files(nodes).join(into, "file", "left").join(out, "file", "left").na.fill(0, ["fan_in", "fan_out"])
 
 
+#: Sources that one word holds, and rounds after which the tables of a search become one.
+WORD = 64
+
+
+def eccentricities(sources: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, depth): the hops from each source (id) to the node that is furthest from it along arcs (src, dst).
+
+    Breadth-first searches of 64 sources at once: a word has a bit for each, a round joins the words of the frontier with the arcs, ORs those that meet at a node,
+    and takes away the bits that the node had. So there is a row for a node and 64 sources, not for each pair, and the rounds end when no word has a new bit; cycles end.
+    """
+    spark = sources.sparkSession
+    arcs = cut(arcs.select("src", "dst").distinct())
+    # consecutive numbers within a partition, so words are full but for each partition's last
+    numbered = cut(sources.select("id").distinct().withColumn("number", F.monotonically_increasing_id()))
+    numbered = numbered.select("id", F.shiftright("number", 6).alias("word"), F.expr("CAST(number & 63 AS INT)").alias("place"))
+    bit = F.expr("shiftleft(1L, place)")
+    parts = [cut(numbered.select("word", F.col("id").alias("at"), bit.alias("bits"), F.lit(0).alias("level")))]
+    seen, level = [parts[0]], 0
+    while True:
+        level += 1
+        known = reduce(DataFrame.unionByName, [p.select("word", "at", "bits") for p in seen]).groupBy("word", "at").agg(F.bit_or("bits").alias("had"))
+        met = parts[-1].select("word", F.col("at").alias("src"), "bits").join(arcs, "src").groupBy("word", F.col("dst").alias("at")).agg(F.bit_or("bits").alias("bits"))
+        new = met.join(known, ["word", "at"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0)))))
+        fresh = cut(new.filter("bits <> 0").select("word", "at", "bits", F.lit(level).alias("level")))
+        if fresh.isEmpty():
+            break
+        parts.append(fresh)
+        seen.append(fresh)
+        if len(seen) >= MERGED:
+            merged = cut(reduce(DataFrame.unionByName, [p.select("word", "at", "bits") for p in seen]).groupBy("word", "at").agg(F.bit_or("bits").alias("bits")))
+            seen = [merged]
+    reached = reduce(DataFrame.unionByName, [p.groupBy("word", "level").agg(F.bit_or("bits").alias("bits")) for p in parts])
+    places = spark.range(WORD).select(F.col("id").cast("int").alias("place"))
+    last = reached.join(F.broadcast(places), F.expr("(shiftright(bits, place) & 1) = 1")).groupBy("word", "place").agg(F.max("level").alias("depth"))  # 64 rows
+    return numbered.join(last, ["word", "place"]).select("id", "depth")
+
+
 def dependency_depth(nodes: DataFrame, edges: DataFrame, owner: DataFrame) -> DataFrame:
     """(file, dep_depth): the eccentricity of each file over imports that leave file nodes, each hop lifted to the owning file."""
     files = by_label(nodes, "File").select(F.col("id").alias("src"))
     hops = lifted(edges.join(files, "src", "left_semi"), owner, "IMPORTS").filter("dst_file IS NOT NULL AND src_file <> dst_file")
-    met = closure(files.select(F.col("src").alias("file"), F.col("src").alias("at")), hops.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")), ["file"])
-    return met.groupBy("file").agg(F.max("level").alias("dep_depth"))
+    found = eccentricities(files.select(F.col("src").alias("id")), hops.select(F.col("src_file").alias("src"), F.col("dst_file").alias("dst")))
+    return found.select(F.col("id").alias("file"), F.col("depth").alias("dep_depth"))
 
 
 def lift_to_files(edges: DataFrame, owner: DataFrame, rel_type: str) -> DataFrame:

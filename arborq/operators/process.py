@@ -25,3 +25,13 @@ def touching(steps: DataFrame, symbols: DataFrame) -> DataFrame:
     """Whole paths that have a step among the symbols."""
     ids = steps.join(symbols.select(F.col("id").alias("node_id")), "node_id", "left_semi").select("process_id").distinct()
     return steps.join(ids, "process_id", "left_semi")
+
+
+def transitions_by_file(steps: DataFrame, owner: DataFrame) -> DataFrame:
+    """(file, src, dst, weight): of each file the transitions of all paths that touch one of its symbols (owner: id, file), counted. Repeated steps are no transition.
+
+    A path's transitions are counted once and then meet the files that it touches, so paths grow by their files and not by their symbols.
+    """
+    files = steps.join(owner.filter("file IS NOT NULL").select(F.col("id").alias("node_id"), "file"), "node_id").select("process_id", "file").distinct()
+    arcs = transitions(steps).filter("src <> dst").groupBy("process_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return files.join(arcs, "process_id").groupBy("file", "src", "dst").agg(F.sum("n").cast("double").alias("weight"))

@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lattice import PILLARS
+from ..functions.lattice import name as lattice_name
+from ..functions.rounding import formatted
 from .gates import bit, threshold, weakest
 
 #: Files listed as worst, rows of a page and their bounds, cyclomatic number of a giant.
@@ -21,23 +23,23 @@ def percent(score: Column) -> Column:
 
 
 def rollup(classified: DataFrame, results: DataFrame, by: str | None = "language") -> DataFrame:
-    """Per pillar, in total (null) and by ``by``: whether every file passes, and the smallest score in percent.
+    """(grp, is_total, pillar, holds, min_score): per pillar, in total and by ``by``, whether every file passes, and the smallest score in percent.
 
     A pillar appears where a file has it measured. It holds if every file parses and, where measured, passes: a file without it
-    passes vacuously.
+    passes vacuously. Files without a value of ``by`` are a group of their own, whose grp is null as the total's is.
     """
-    base = classified if by else classified.withColumn("_all", F.lit(None).cast("string"))
-    key = by or "_all"
-    one = base.select("file_id", F.col(key).alias("grp"), "is_parseable")
-    parse = one.groupingSets([[], ["grp"]] if by else [[]], "grp").agg(F.bool_and("is_parseable").alias("parses"), F.grouping_id().alias("g"))
-    met = results.join(one, "file_id").groupBy("grp", "pillar").agg(F.bool_and("achieved").alias("ok"))
-    met = met.unionByName(met.groupBy("pillar").agg(F.bool_and("ok").alias("ok")).withColumn("grp", F.lit("\0total"))) if by else met.withColumn("grp", F.lit("\0total"))
-    parse = parse.withColumn("grp", F.when(F.col("g") == 1, F.lit("\0total")).otherwise(F.col("grp"))) if by else parse.select(F.lit("\0total").alias("grp"), "parses")
-    score = F.stack(F.lit(4), *[x for p in PILLARS for x in (F.lit(p), F.col(p))]).alias("pillar", "score")
-    low = base.select(F.col(key).alias("grp"), score).filter("score IS NOT NULL").groupBy("grp", "pillar").agg(F.min("score").alias("low"))
-    low = low.unionByName(low.groupBy("pillar").agg(F.min("low").alias("low")).withColumn("grp", F.lit("\0total"))) if by else low.withColumn("grp", F.lit("\0total"))
-    out = met.join(parse.select("grp", "parses"), "grp").join(low, ["grp", "pillar"], "left")
-    return out.select(F.when(F.col("grp") != "\0total", F.col("grp")).alias("grp"), "pillar", (F.col("ok") & F.col("parses")).alias("holds"), percent(F.col("low")).alias("min_score"))
+    total = F.struct(F.lit(None).cast("string").alias("grp"), F.lit(True).alias("is_total"))
+    groups = F.array(total, F.struct(F.col(by).cast("string").alias("grp"), F.lit(False).alias("is_total"))) if by else F.array(total)
+    one = classified.select("file_id", "is_parseable", *PILLARS, F.explode(groups).alias("g")).select("*", "g.*").drop("g")
+    key = ["grp", "is_total"]
+    parse = one.groupBy(*key).agg(F.bool_and("is_parseable").alias("parses"), *[F.min(p).alias(p) for p in PILLARS])
+    met = results.join(one.select("file_id", *key), "file_id").groupBy(*key, "pillar").agg(F.bool_and("achieved").alias("ok"))
+    p = parse.select(*[F.col(c).alias("_" + c) for c in key], "parses", *PILLARS)
+    out = met.join(p, met["grp"].eqNullSafe(F.col("_grp")) & (met["is_total"] == F.col("_is_total")))
+    low = F.lit(None).cast("double")
+    for name in PILLARS:
+        low = F.when(F.col("pillar") == name, F.col(name)).otherwise(low)
+    return out.select(*key, "pillar", (F.col("ok") & F.col("parses")).alias("holds"), percent(low).alias("min_score"))
 
 
 def language_summary(keyed: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def language_summary(keyed: DataFrame) -> DataFrame:
 
 
 def floor_verdict(rolled: DataFrame) -> DataFrame:
-    """(grp, mask): bits of the pillars that hold."""
-    return rolled.groupBy("grp").agg(F.coalesce(F.bit_or(F.when(F.col("holds"), bit(F.col("pillar")))), F.lit(0)).cast("int").alias("mask"))
+    """(grp, is_total, mask): bits of the pillars that hold."""
+    return rolled.groupBy("grp", "is_total").agg(F.coalesce(F.bit_or(F.when(F.col("holds"), bit(F.col("pillar")))), F.lit(0)).cast("int").alias("mask"))
 
 
 def with_sort_key(classified: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -108,6 +110,30 @@ def json_rows(classified: DataFrame) -> DataFrame:
     return classified.select("path", F.to_json(F.struct("path", "language", "is_parseable", "mask", score.alias("scores"))).alias("json"))
 
 
+def structured(classified: DataFrame, suggested: DataFrame, targets: DataFrame | None = None, locations: DataFrame | None = None) -> DataFrame:
+    """One nested row a file: verdict, scores, gates, pillars, suggestions, targets, locations; lists in their places' order, empty where there is nothing.
+
+    ``classified`` is a table of ``gates.classify``; the others are lists of rows a file with place, as their operators make them.
+    """
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        fields = [c for c in rows.columns if c not in ("file_id", "place")]
+        return rows.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("place", *fields))).alias(name))
+
+    verdict = F.struct("mask", lattice_name(F.col("mask")).alias("name"), "is_parseable")
+    out = classified.select("file_id", "path", "language", verdict.alias("verdict"), F.struct(*PILLARS).alias("scores"), "gates", F.col("results").alias("pillars"))
+    for rows, name in ((suggested, "suggestions"), (targets, "targets"), (locations, "locations")):
+        if rows is not None:
+            own = listed(rows, name)
+            out = out.join(own, "file_id", "left").withColumn(name, F.coalesce(name, F.array().cast(own.schema[name].dataType)))
+    return out
+
+
+def write_structured(rows: DataFrame, path: str) -> None:
+    """Replaces the folder's results, one JSON object a file of code. Tasks write files of their own, and the job's commit makes one attempt of each visible: a task that runs twice leaves one copy."""
+    rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 #: Gates in the order of suggestions, each with its message (%1$ the value, %2$ the bound that it violates).
 SUGGESTED = (
     "cfg.cyclomatic", "ast.max_function_complexity", "ast.entropy", "mdg.instability", "mdg.main_sequence_distance", "mdg.fan_out", "mdg.fan_in",
@@ -129,7 +155,7 @@ def _message() -> Column:
     kind = F.when(F.col("metric") == "ast.entropy", F.concat("metric", F.when(F.col("outcome").endswith("low"), " low").otherwise(" high"))).otherwise(F.col("metric"))
     out = F.lit(None).cast("string")
     for k, text in MESSAGES.items():
-        out = F.when(kind == k, F.format_string(text, F.col("value"), threshold())).otherwise(out)
+        out = F.when(kind == k, formatted(text, F.col("value"), threshold())).otherwise(out)
     return out
 
 

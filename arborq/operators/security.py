@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,33 +96,76 @@ def bridge(nodes: DataFrame, statements: DataFrame) -> DataFrame:
     return found.select("file_id", "node_id", F.col("anc.node_id").alias("stmt"))
 
 
+def reach_bits(near: dict, bit: dict) -> dict:
+    """Of each node of a graph (node -> successors) the ORed bits of all nodes that it reaches, itself included.
+
+    Strongly connected nodes share one word. Components are closed successors first, so one pass over the edges is enough, whatever the number of bits; the walk
+    keeps its own stack.
+    """
+    number: dict = {}
+    low: dict = {}
+    open_: list = []
+    is_open: set = set()
+    bits: dict = {}
+    for root in [*near, *bit]:
+        if root in number:
+            continue
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        is_open.add(root)
+        todo = [(root, iter(near.get(root, ())))]
+        while todo:
+            x, rest = todo[-1]
+            y = next((y for y in rest if y not in number or y in is_open), None)
+            if y is not None and y not in number:
+                number[y] = low[y] = len(number)
+                open_.append(y)
+                is_open.add(y)
+                todo.append((y, iter(near.get(y, ()))))
+            elif y is not None:
+                low[x] = min(low[x], number[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == number[x]:
+                    at = len(open_) - 1
+                    while open_[at] != x:
+                        at -= 1
+                    part, word = open_[at:], 0
+                    del open_[at:]
+                    is_open.difference_update(part)
+                    inside = set(part)
+                    for m in part:
+                        word |= bit.get(m, 0)
+                        for y in near.get(m, ()):
+                            if y not in inside:
+                                word |= bits[y]
+                    for m in part:
+                        bits[m] = word
+    return bits
+
+
 def reached(starts: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
     """(file_id, start, at): the ends (file_id, at) that each start (file_id, start) reaches along edges (file_id, src, dst), itself included.
 
-    A file's graph is searched in one go, breadth first, without a limit of depth.
+    A file's graph is one group; all its starts are answered by one pass that carries a bit for each end.
     """
     kind, node = edges.schema["file_id"].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
     row = lambda df, a, b, as_: df.select("file_id", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(as_).alias("what")).distinct()
     rows = row(edges, "src", "dst", 0).unionByName(row(starts, "start", "start", 1)).unionByName(row(ends, "at", "at", 2))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
-        near, wanted = defaultdict(list), set()
-        for a, b, what in g[["a", "b", "what"]].itertuples(index=False):
-            if what == 0:
-                near[a].append(b)
-            elif what == 2:
-                wanted.add(a)
-        out = []
-        for s in g[g["what"] == 1]["a"] if wanted else ():
-            seen, todo = {s}, deque([s])
-            while todo:
-                x = todo.popleft()
-                if x in wanted:
-                    out.append((g["file_id"].iloc[0], s, x))
-                for y in near.get(x, ()):
-                    if y not in seen:
-                        seen.add(y)
-                        todo.append(y)
+        near, wanted, out = defaultdict(list), g[g["what"] == 2]["a"].tolist(), []
+        for a, b in g[g["what"] == 0][["a", "b"]].itertuples(index=False):
+            near[a].append(b)
+        bits = reach_bits(near, {x: 1 << i for i, x in enumerate(wanted)}) if wanted else {}
+        for s in g[g["what"] == 1]["a"]:
+            word = bits.get(s, 0)
+            while word:
+                i = (word & -word).bit_length() - 1
+                out.append((g["file_id"].iloc[0], s, wanted[i]))
+                word &= word - 1
         return pd.DataFrame(out, columns=["file_id", "start", "at"])
 
     return rows.groupBy("file_id").applyInPandas(one, f"file_id {kind}, start {node}, at {node}")
@@ -138,10 +181,10 @@ def taint_flows(sources: DataFrame, sinks: DataFrame, statements: DataFrame, edg
 
 
 def taint_findings(flows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Flows (file_id, source, sink) as findings (file_id, kind, line, snippet, callee, source, sink), by the sink's place."""
+    """Flows (file_id, source, sink) as findings (file_id, source_id, sink_id, kind, line, snippet, callee, source, sink), by the sink's place."""
     at = lambda c: nodes.select("file_id", F.col("node_id").alias(c), F.col("text").alias(c + "_text"), F.col("start_line").alias(c + "_line"))
     j = flows.join(at("source"), ["file_id", "source"]).join(at("sink"), ["file_id", "sink"])
-    return j.select("file_id", F.lit("taint_flow").alias("kind"), F.col("sink_line").alias("line"), F.col("sink_text").alias("snippet"), callee(F.col("sink_text")).alias("callee"), F.trim("source_text").alias("source"), F.trim("sink_text").alias("sink"))
+    return j.select("file_id", F.col("source").alias("source_id"), F.col("sink").alias("sink_id"), F.lit("taint_flow").alias("kind"), F.col("sink_line").alias("line"), F.col("sink_text").alias("snippet"), callee(F.col("sink_text")).alias("callee"), F.trim("source_text").alias("source"), F.trim("sink_text").alias("sink"))
 
 
 def findings(calls: DataFrame, registry: DataFrame, max_findings: int | None = None) -> DataFrame:

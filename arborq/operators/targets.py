@@ -135,16 +135,9 @@ def dependency_hotspots(curvature: DataFrame, files: DataFrame, n: int = HOTSPOT
     return _curved(ends.join(files.select("file").distinct(), "file", "left_semi"), "dependency_edge", EDGE, ["file"], n)
 
 
-def process_hotspots(transitions: DataFrame, curved, n: int = HOTSPOTS) -> DataFrame:
-    """(kind, label, score, suggestion): the most negative of the transitions of paths that touch one file.
-
-    ``transitions`` are those paths' alone (src, dst); ``curved`` gives an arc table (src, dst, weight) its curvature.
-    """
-    arcs = transitions.filter("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    out = curved(arcs)
-    label = F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"))
-    own = out.select(F.lit("process_transition").alias("kind"), label.alias("label"), F.col("curvature").alias("score"), F.when(F.col("curvature") < 0, TRANSITION[0]).otherwise(TRANSITION[1]).alias("suggestion"))
-    return own.orderBy("score", "label").limit(n)
+def process_hotspots(curvature: DataFrame, n: int = HOTSPOTS) -> DataFrame:
+    """(file, kind, label, score, suggestion): of each file's process graph (file, src, dst, curvature) the most negative transitions first."""
+    return _curved(curvature, "process_transition", TRANSITION, ["file"], n)
 
 
 def top_functions(complexities: DataFrame, n: int = FUNCTIONS) -> DataFrame:

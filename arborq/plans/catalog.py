@@ -66,11 +66,12 @@ OWNER = """+ owner AS (
 PAIRS = OWNER + """, lifted AS (
   SELECT e.*, a.file AS sf, b.file AS df FROM mdg_edges e JOIN owner a ON e.src = a.id JOIN owner b ON e.dst = b.id),
 files AS (SELECT id AS file FROM mdg_nodes WHERE label = 'File'),
+called AS (SELECT e.src, e.dst, a.file AS sf, b.file AS df FROM mdg_edges e LEFT JOIN owner a ON e.src = a.id LEFT JOIN owner b ON e.dst = b.id WHERE e.rel_type = 'CALLS'),
 imp AS (SELECT DISTINCT sf, df FROM lifted WHERE rel_type = 'IMPORTS' AND sf <> df),
 coup AS (SELECT file, (SELECT count(*) FROM imp WHERE df = file) AS ca, (SELECT count(*) FROM imp WHERE sf = file) AS ce FROM files),
 fans AS (
-  SELECT file, (SELECT count(DISTINCT src) FROM lifted WHERE rel_type = 'CALLS' AND sf <> df AND df = file) AS fan_in,
-    (SELECT count(DISTINCT dst) FROM lifted WHERE rel_type = 'CALLS' AND sf <> df AND sf = file) AS fan_out FROM files)"""
+  SELECT file, (SELECT count(DISTINCT c.src) FROM called c WHERE c.df = file AND c.sf IS DISTINCT FROM file) AS fan_in,
+    (SELECT count(DISTINCT c.dst) FROM called c WHERE c.sf = file AND c.df IS DISTINCT FROM file) AS fan_out FROM files)"""
 INSTABILITY = "round(CASE WHEN ca + ce < 2 THEN 0.5 ELSE CAST(ce AS DOUBLE) / (ca + ce) END, 6)"
 
 
@@ -145,18 +146,21 @@ def _(spark, d):
     return M.file_lookup(nodes, M.by_label(nodes, "File").select(asked.alias("path")).distinct())
 
 
-@query("mdg_balanced_curvature", PAIRS + """, e AS (SELECT DISTINCT least(sf, df) AS a, greatest(sf, df) AS b FROM lifted WHERE rel_type = 'CALLS' AND sf <> df),
+CURVATURE = PAIRS + """, e AS (SELECT DISTINCT least(sf, df) AS a, greatest(sf, df) AS b FROM lifted WHERE rel_type = 'REL' AND sf <> df),
 arcs AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e), near AS (SELECT u, list(v) AS n FROM arcs GROUP BY u),
 ends AS (SELECT e.a, e.b, x.n AS na, y.n AS nb FROM e JOIN near x ON x.u = e.a JOIN near y ON y.u = e.b),
 side AS (
   SELECT a, b, len(list_intersect(k.n, na)) - CAST(list_contains(na, k.u) AS INT) AS val FROM ends JOIN near k ON list_contains(nb, k.u)
   UNION ALL SELECT a, b, len(list_intersect(k.n, nb)) - CAST(list_contains(nb, k.u) AS INT) FROM ends JOIN near k ON list_contains(na, k.u)),
 sq AS (SELECT a, b, count(*) FILTER (val > 0) AS sharp, greatest(max(val), 0) AS lam FROM side GROUP BY a, b),
-deg AS (SELECT a, b, CAST(greatest(len(na), len(nb)) AS DOUBLE) AS dx, CAST(least(len(na), len(nb)) AS DOUBLE) AS dn, len(list_intersect(na, nb)) AS tri FROM ends)
-SELECT a, b, round(CASE WHEN dn <= 1 THEN 0 ELSE 2 / dx + 2 / dn - 2 + (2 / dx + 1 / dn) * tri + CASE WHEN lam > 0 THEN sharp / (dx * lam) ELSE 0 END END, 6) AS curvature FROM deg JOIN sq USING (a, b)""", D.MODULE_CTE)
+deg AS (SELECT a, b, CAST(greatest(len(na), len(nb)) AS DOUBLE) AS dx, CAST(least(len(na), len(nb)) AS DOUBLE) AS dn, len(list_intersect(na, nb)) AS tri FROM ends),
+curved AS (SELECT a, b, round(CASE WHEN dn <= 1 THEN 0 ELSE 2 / dx + 2 / dn - 2 + (2 / dx + 1 / dn) * tri + CASE WHEN lam > 0 THEN sharp / (dx * lam) ELSE 0 END END, 6) AS curvature FROM deg JOIN sq USING (a, b))"""
+
+
+@query("mdg_balanced_curvature", CURVATURE.replace("REL", "CALLS") + " SELECT * FROM curved", D.MODULE_CTE)
 def _(spark, d):
     _, edges, owner = _graph(spark, d)
-    return V.module_curvature(edges, owner).select("a", "b", r6("curvature"))
+    return V.module_curvature(edges, owner, "CALLS").select("a", "b", r6("curvature"))
 
 
 # Processes ------------------------------------------------------------------------------------------------------------------
@@ -354,8 +358,8 @@ def _(spark, d):
     return P.reaching_definitions(_accesses(_trees(spark, d)))
 
 
-def _flow(spark, d):
-    blocks, edges = map(M.cut, D.flow_graphs(spark, d))
+def _flow(spark, d, nodes=None):
+    blocks, edges = map(M.cut, D.flow_graphs(spark, d, nodes))
     stmts = F.when(F.col("block_id") > 1, F.array(F.concat(F.lit("B"), F.col("block_id")))).otherwise(F.expr("CAST(array() AS array<string>)"))
     return blocks.withColumn("stmts", stmts), edges
 
@@ -375,8 +379,9 @@ rd AS (SELECT u.file_id FROM acc u WHERE NOT u.is_def AND EXISTS (SELECT 1 FROM
 
 @query("pdg_metrics", PDG + " SELECT st.file_id, coalesce(dd.n, 0) AS data_deps, coalesce(c.n, 0) AS control_deps, round((coalesce(dd.n, 0) + coalesce(c.n, 0)) / CAST(st.n AS DOUBLE), 6) AS density FROM st LEFT JOIN c ON st.file_id = c.file_id LEFT JOIN dd ON st.file_id = dd.file_id", D.FLOW_CTE)
 def _(spark, d):
-    blocks, edges = _flow(spark, d)
-    data = P.reaching_definitions(_accesses(_trees(spark, d)))
+    nodes = _trees(spark, d)
+    blocks, edges = _flow(spark, d, nodes)
+    data = P.reaching_definitions(_accesses(nodes))
     return P.metrics(data, P.control_dependence(blocks, edges), blocks.filter("block_id > 1")).select("file_id", "data_deps", "control_deps", r6("density"))
 
 
@@ -387,7 +392,7 @@ UNION ALL SELECT file_id, concat('B', src), concat('B', dst), 'cfg', kind FROM c
 UNION ALL SELECT file_id, src, dst, 'ddg', CAST(var AS VARCHAR) FROM rd WHERE src IS NOT NULL UNION ALL SELECT file_id, src, dst, 'cdg', '' FROM cd""", D.FLOW_CTE)
 def _(spark, d):
     nodes = _trees(spark, d)
-    blocks, edges = _flow(spark, d)
+    blocks, edges = _flow(spark, d, nodes)
     return P.property_graph(nodes, blocks, edges, P.reaching_definitions(_accesses(nodes)), P.control_dependence(blocks, edges))
 
 
@@ -429,7 +434,7 @@ def _(spark, d):
 # Gates, verdicts, reports -----------------------------------------------------------------------------------------------------
 
 METRICS_CTE = """
-files AS (SELECT c_custkey AS file_id, concat(c_mktsegment, '/', c_name) AS path, c_mktsegment AS language, c_custkey % 29 <> 0 AS is_parseable, c_custkey % 7 = 0 AS is_entrypoint, c_custkey % 9 = 0 AS is_stable_leaf FROM customer),
+files AS (SELECT c_custkey AS file_id, concat(c_mktsegment, '/', c_name) AS path, CASE WHEN c_custkey % 31 <> 0 THEN c_mktsegment END AS language, c_custkey % 29 <> 0 AS is_parseable, c_custkey % 7 = 0 AS is_entrypoint, c_custkey % 9 = 0 AS is_stable_leaf FROM customer),
 metrics AS (
   SELECT c_custkey AS file_id, 'cfg.cyclomatic' AS metric, CAST(c_custkey % 37 AS DOUBLE) AS value FROM customer
   UNION ALL SELECT c_custkey, 'ast.entropy', CAST(c_custkey % 101 AS DOUBLE) / 100 FROM customer
@@ -491,11 +496,10 @@ def _(spark, d):
 LINE_SQL = "CASE " + " ".join(f"WHEN metric = '{m}' AND {'true' if o == '*' else repr(o) + ' = outcome'} THEN printf('{t}', value)" for m, lines in G.LINES.items() for o, t in lines.items()) + " END"
 
 
-@query("gate_lines", OUTCOMES + f" SELECT file_id, metric, {LINE_SQL} AS line FROM outcomes WHERE metric NOT IN ('ast.entropy', 'nav.max_function_divergence')", METRICS_CTE)
+@query("gate_lines", OUTCOMES + f" SELECT file_id, metric, {LINE_SQL} AS line FROM outcomes", METRICS_CTE)
 def _(spark, d):
-    # the SQL rounds halves of decimals in another way, so the two metrics that have them are left to the tests
     files, metrics = _files(spark, d)
-    return G.outcomes(metrics, files).filter("metric NOT IN ('ast.entropy', 'nav.max_function_divergence')").select("file_id", "metric", G.interpretation().alias("line"))
+    return G.outcomes(metrics, files).select("file_id", "metric", G.interpretation().alias("line"))
 
 
 ROUNDED = ", ".join(f"round({p}, 6) AS {p}" for p in L.PILLARS)
@@ -526,27 +530,27 @@ def _(spark, d):
 
 
 ROLLUP = VERDICTS + """, long AS (SELECT file_id, 'simple' AS pillar, simple AS score FROM scores UNION ALL SELECT file_id, 'composable', composable FROM scores UNION ALL SELECT file_id, 'secure', secure FROM scores UNION ALL SELECT file_id, 'navigable', navigable FROM scores),
-rolled AS (SELECT CASE WHEN grouping(language) = 1 THEN NULL ELSE language END AS grp, r.pillar, bool_and(achieved) AS ok, min(score) AS low FROM results r JOIN files USING (file_id) JOIN long l ON l.file_id = r.file_id AND l.pillar = r.pillar GROUP BY GROUPING SETS ((r.pillar), (language, r.pillar))),
-parse AS (SELECT CASE WHEN grouping(language) = 1 THEN NULL ELSE language END AS grp, bool_and(is_parseable) AS p FROM files GROUP BY GROUPING SETS ((), (language))),
-project AS (SELECT r.grp, pillar, ok AND p AS holds, round(low * 100, 1) AS min_score FROM rolled r JOIN parse ON r.grp IS NOT DISTINCT FROM parse.grp)"""
+rolled AS (SELECT grouping(language) = 1 AS is_total, language AS grp, r.pillar, bool_and(achieved) AS ok, min(score) AS low FROM results r JOIN files USING (file_id) JOIN long l ON l.file_id = r.file_id AND l.pillar = r.pillar GROUP BY GROUPING SETS ((r.pillar), (language, r.pillar))),
+parse AS (SELECT grouping(language) = 1 AS is_total, language AS grp, bool_and(is_parseable) AS p FROM files GROUP BY GROUPING SETS ((), (language))),
+project AS (SELECT r.grp, r.is_total, pillar, ok AND p AS holds, round(low * 100, 1) AS min_score FROM rolled r JOIN parse ON r.grp IS NOT DISTINCT FROM parse.grp AND r.is_total = parse.is_total)"""
 
 
-@query("language_rollup", ROLLUP + " SELECT * FROM project WHERE grp IS NOT NULL", METRICS_CTE)
+@query("language_rollup", ROLLUP + " SELECT grp, pillar, holds, min_score FROM project WHERE NOT is_total", METRICS_CTE)
 def _(spark, d):
     c, results, _ = _classified(spark, d)
-    return R.rollup(c, results).filter("grp IS NOT NULL")
+    return R.rollup(c, results).filter("NOT is_total").drop("is_total")
 
 
-@query("project_rollup", ROLLUP + " SELECT pillar, holds, min_score FROM project WHERE grp IS NULL", METRICS_CTE)
+@query("project_rollup", ROLLUP + " SELECT pillar, holds, min_score FROM project WHERE is_total", METRICS_CTE)
 def _(spark, d):
     c, results, _ = _classified(spark, d)
-    return R.rollup(c, results, None).drop("grp")
+    return R.rollup(c, results, None).drop("grp", "is_total")
 
 
-@query("floor_verdicts", ROLLUP + f" SELECT coalesce(grp, 'total') AS grp, CAST(coalesce(bit_or({BITS}) FILTER (holds), 0) AS INT) AS mask FROM project GROUP BY 1", METRICS_CTE)
+@query("floor_verdicts", ROLLUP + f" SELECT grp, is_total, CAST(coalesce(bit_or({BITS}) FILTER (holds), 0) AS INT) AS mask FROM project GROUP BY 1, 2", METRICS_CTE)
 def _(spark, d):
     c, results, _ = _classified(spark, d)
-    return R.floor_verdict(R.rollup(c, results)).withColumn("grp", F.coalesce("grp", F.lit("total")))
+    return R.floor_verdict(R.rollup(c, results))
 
 
 KEYED = VERDICTS + """, fails AS (SELECT file_id, count(*) FILTER (NOT passed AND deciding) AS failures FROM outcomes GROUP BY file_id),
@@ -564,7 +568,7 @@ def _(spark, d):
     return R.worst_files(_keyed(spark, d)).select("file_id", "path", r6("weakest"))
 
 
-@query("language_summary", KEYED + " SELECT language, count(*) AS files, count(*) FILTER (NOT is_parseable) AS parse_failures, (SELECT path FROM keyed k WHERE k.language = keyed.language ORDER BY k.weakest, k.path LIMIT 1) AS worst_file FROM keyed GROUP BY language", METRICS_CTE)
+@query("language_summary", KEYED + " SELECT language, count(*) AS files, count(*) FILTER (NOT is_parseable) AS parse_failures, (SELECT path FROM keyed k WHERE k.language IS NOT DISTINCT FROM keyed.language ORDER BY k.weakest, k.path LIMIT 1) AS worst_file FROM keyed GROUP BY language", METRICS_CTE)
 def _(spark, d):
     return R.language_summary(_keyed(spark, d))
 
@@ -788,30 +792,23 @@ def _(spark, d):
     return out.select("file_id", F.col("raw").cast("long").alias("raw"), r6("distance"), r6("similarity"))
 
 
-CPG_SIDES = """, ea AS (SELECT file_id, parent_id AS src, node_id AS dst FROM uast_nodes WHERE parent_id IS NOT NULL), eb AS (SELECT file_id, parent_id AS src, node_id AS dst FROM uast_nodes WHERE parent_id IS NOT NULL AND k % 9 <> 4)"""
-
-
-@query("property_graph_compare", """+ nj AS (SELECT file_id, round(count(*) FILTER (k % 9 <> 4) / CAST(count(*) AS DOUBLE), 6) AS node_jaccard FROM uast_nodes GROUP BY file_id),
-ej AS (SELECT file_id, round(count(*) FILTER (k % 9 <> 4) / CAST(count(*) AS DOUBLE), 6) AS ast_jaccard FROM uast_nodes WHERE parent_id IS NOT NULL GROUP BY file_id),
-cj AS (SELECT file_id, round(count(*) FILTER (kind <> 'return') / CAST(count(*) AS DOUBLE), 6) AS cfg_jaccard FROM (SELECT DISTINCT * FROM cfg_edges) GROUP BY file_id)
-SELECT nj.file_id, node_jaccard, coalesce(ast_jaccard, 1.0) AS ast_jaccard, coalesce(cfg_jaccard, 1.0) AS cfg_jaccard, 1.0 AS ddg_jaccard, 1.0 AS cdg_jaccard FROM nj LEFT JOIN ej USING (file_id) LEFT JOIN cj USING (file_id)""", D.FLOW_CTE)
-def _(spark, d):
-    nodes, edges = _trees(spark, d), M.cut(D.flow_graphs(spark, d)[1])
-    ast = nodes.filter("parent_id IS NOT NULL").select("file_id", F.col("parent_id").alias("src"), F.col("node_id").alias("dst"), F.lit("ast").alias("family"), F.lit("").alias("label"), "k")
-    flow = edges.select("file_id", F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), F.lit("cfg").alias("family"), F.col("kind").alias("label"))
-    one = ast.drop("k").unionByName(flow)
-    other = ast.filter("k % 9 <> 4").drop("k").unionByName(flow.filter("label <> 'return'"))
-    out = P.compare_property_graphs(one, other, nodes, nodes.filter("k % 9 <> 4"))
-    return out.select("file_id", *[r6(c) for c in ("node_jaccard", "ast_jaccard", "cfg_jaccard", "ddg_jaccard", "cdg_jaccard")])
-
-
-@query("flow_compare", """+ h AS (SELECT file_id, kind, count(*) AS n FROM cfg_edges GROUP BY ALL), g AS (SELECT * FROM h WHERE kind <> 'true'),
-p AS (SELECT file_id, kind, n / CAST(sum(n) OVER (PARTITION BY file_id) AS DOUBLE) AS x FROM h), q AS (SELECT file_id, kind, n / CAST(sum(n) OVER (PARTITION BY file_id) AS DOUBLE) AS y FROM g)
-SELECT file_id, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))) / 2, 6) AS edge_distance FROM p FULL JOIN q USING (file_id, kind) GROUP BY file_id""", D.FLOW_CTE)
+@query("flow_compare", """+ h AS (SELECT file_id, kind, count(*) AS n FROM cfg_edges GROUP BY ALL), second AS (SELECT * FROM cfg_edges WHERE kind <> 'true' AND NOT (src = 0 AND file_id % 3 = 0)),
+g AS (SELECT file_id, kind, count(*) AS n FROM second GROUP BY ALL),
+p AS (SELECT file_id, kind, n / CAST(sum(n) OVER (PARTITION BY file_id) AS DOUBLE) AS x FROM h), q AS (SELECT file_id, kind, n / CAST(sum(n) OVER (PARTITION BY file_id) AS DOUBLE) AS y FROM g),
+dist AS (SELECT file_id, round(sum(abs(coalesce(x, 0) - coalesce(y, 0))) / 2, 6) AS edge_distance FROM p FULL JOIN q USING (file_id, kind) GROUP BY file_id),
+st AS (SELECT file_id, count(*) FILTER (block_id > 1) AS n FROM cfg_blocks GROUP BY file_id),
+ends AS (SELECT file_id, max(src) FILTER (kind = 'return') AS last_block FROM cfg_edges GROUP BY file_id),
+cut AS (SELECT file_id, count(*) FILTER (kind = 'true') AS t, count(*) FILTER (src = 0 AND file_id % 3 = 0) AS e FROM cfg_edges GROUP BY file_id),
+apart AS (SELECT file_id, e AS more FROM cut)
+SELECT st.file_id, CAST(CASE WHEN n = 0 THEN 0 ELSE 2 * coalesce(more, 0) - coalesce(t, 0) - coalesce(e, 0) END AS BIGINT) AS cyclomatic_delta, coalesce(edge_distance, 0.0) AS edge_distance,
+  CAST(CASE WHEN n > 0 AND st.file_id % 3 = 0 THEN -(n + 1) ELSE 0 END AS BIGINT) AS longest_path_delta
+FROM st LEFT JOIN dist ON dist.file_id = st.file_id LEFT JOIN cut ON cut.file_id = st.file_id LEFT JOIN apart ON apart.file_id = st.file_id""", D.FLOW_CTE)
 def _(spark, d):
+    # the second version has lost its true branches, and in each third file the way in
     blocks, edges = map(M.cut, D.flow_graphs(spark, d))
-    h, m = C.edge_histogram(edges), M.cut(C.metrics(blocks, edges))
-    return K.compare_flow(h, h.filter("kind <> 'true'"), m, m).join(edges.select("file_id").distinct(), "file_id", "left_semi").select("file_id", r6("edge_distance"))
+    second = edges.filter("kind <> 'true' AND NOT (src = 0 AND file_id % 3 = 0)")
+    out = K.compare_flow(C.edge_histogram(edges), C.edge_histogram(second), C.metrics(blocks, edges), C.metrics(blocks, second))
+    return out.select("file_id", "cyclomatic_delta", r6("edge_distance"), "longest_path_delta")
 
 
 DELTAS = VERDICTS + """, after_m AS (SELECT file_id, metric, value + ((file_id % 5) - 2) * CASE WHEN metric = 'cfg.cyclomatic' THEN -1 ELSE 1 END AS value FROM metrics WHERE file_id % 8 <> 0),
@@ -1054,7 +1051,7 @@ def floor_by_folder(spark: SparkSession, d: str) -> DataFrame:
     results = classified.select("file_id", F.explode("results").alias("r")).select("file_id", "r.*")
     over = F.exists("gates", lambda g: (g["metric"] == "mdg.fan_out") & ~g["passed"])
     count = classified.groupBy(F.col("language").alias("folder")).agg(F.count_if(over).alias("over_cap"), F.count(F.lit(1)).alias("files"))
-    floor = R.floor_verdict(R.rollup(classified, results)).filter("grp IS NOT NULL").withColumnRenamed("grp", "folder")
+    floor = R.floor_verdict(R.rollup(classified, results)).filter("NOT is_total").withColumnRenamed("grp", "folder").drop("is_total")
     return count.join(floor, "folder").select("folder", "files", "over_cap", "mask", L.name(F.col("mask")).alias("verdict"))
 
 
@@ -1063,4 +1060,4 @@ ORACLES["folder_floor"] = "WITH RECURSIVE " + D.MODULE_CTE + ", " + PAIRS.remove
 SELECT folder, count(*) AS files, count(*) FILTER (fan_out > 10) AS over_cap, CAST(CASE WHEN max(fan_out) <= 10 THEN 2 ELSE 0 END AS INT) AS mask, CASE WHEN max(fan_out) <= 10 THEN 'COMPOSABLE' ELSE 'SLOP' END AS verdict FROM f GROUP BY folder"""
 
 
-from . import grammar  # noqa: E402, F401  (adds its queries to QUERIES and ORACLES)
+from . import grammar, structure  # noqa: E402, F401  (add their queries to QUERIES and ORACLES)

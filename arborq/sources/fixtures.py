@@ -28,6 +28,8 @@ mdg_edges AS (
   UNION ALL SELECT concat('C', c_custkey), concat('M', c_custkey), 'HAS_METHOD' FROM customer WHERE c_custkey % 3 = 0
   UNION ALL SELECT concat('M', c_custkey), concat('P', c_custkey), 'HAS_PROPERTY' FROM customer WHERE c_custkey % 6 = 0
   UNION ALL SELECT DISTINCT concat(CASE WHEN c % 3 = 0 THEN 'M' ELSE 'C' END, c), concat('S', s), 'CALLS' FROM pairs
+  UNION ALL SELECT concat('C', c_custkey), concat('X', c_custkey % 7), 'CALLS' FROM customer WHERE c_custkey % 11 = 0
+  UNION ALL SELECT concat('X', s_suppkey % 3), concat('S', s_suppkey), 'CALLS' FROM supplier WHERE s_suppkey % 2 = 0
   UNION ALL SELECT concat('N', a.n_nationkey), concat('N', b.n_nationkey), 'IMPORTS' FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey % 5 <> 4
   UNION ALL SELECT DISTINCT concat('C', c), concat('S', s), 'IMPORTS' FROM pairs WHERE strong)"""
 
@@ -134,13 +136,15 @@ concrete AS (
   UNION ALL SELECT file_id, language, concat('T', o, '.', i), CASE WHEN up < 0 THEN concat('R', file_id) ELSE concat('T', o, '.', up) END,
     CAST(row_number() OVER (PARTITION BY file_id ORDER BY o, i) AS BIGINT), CAST(row_number() OVER (PARTITION BY file_id ORDER BY o, i) + size AS BIGINT), native, field, named, txt FROM sown)"""
 
+STEPS_CTE = """
+order_steps AS (
+  SELECT l_orderkey AS process_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS step, concat('S', l_suppkey) AS node_id FROM lineitem)"""
+
 PROCESS_CTE = """
 process_steps AS (
   SELECT user_id AS process_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, event_type AS node_id FROM events)"""
 
-FLOW_CTE = (
-    TREE_CTE
-    + """,
+FLOW_TAIL = """
 stmts AS (SELECT file_id, kind, row_number() OVER (PARTITION BY file_id ORDER BY pre) + 1 AS b, count(*) OVER (PARTITION BY file_id) + 1 AS final FROM uast_nodes WHERE k > 0),
 cfg_blocks AS (
   SELECT c_custkey AS file_id, CAST(0 AS BIGINT) AS block_id, 'entry' AS label FROM customer UNION ALL SELECT c_custkey, 1, 'exit' FROM customer
@@ -152,7 +156,7 @@ cfg_edges AS (
   UNION ALL SELECT file_id, b, CASE WHEN b + 1 < final THEN b + 2 ELSE 1 END, 'false' FROM stmts WHERE kind = 'IfStmt'
   UNION ALL SELECT file_id, b, CASE WHEN b > 2 THEN b - 1 ELSE 2 END, 'loop_back' FROM stmts WHERE kind IN ('ForStmt', 'WhileStmt')
   UNION ALL SELECT file_id, b, CAST(1 AS BIGINT), 'return' FROM stmts WHERE b = final)"""
-)
+FLOW_CTE = TREE_CTE + "," + FLOW_TAIL
 
 
 def register(spark: SparkSession, sf_dir: str) -> None:
@@ -188,5 +192,15 @@ def process_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, PROCESS_CTE, "process_steps")
 
 
-def flow_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, sf_dir, FLOW_CTE, "cfg_blocks"), table(spark, sf_dir, FLOW_CTE, "cfg_edges")
+def order_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a process whose steps are classes of the module graph."""
+    return table(spark, sf_dir, STEPS_CTE, "order_steps")
+
+
+def flow_graphs(spark: SparkSession, sf_dir: str, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Blocks and edges; of statement trees that are a table already, where given."""
+    if nodes is None:
+        return table(spark, sf_dir, FLOW_CTE, "cfg_blocks"), table(spark, sf_dir, FLOW_CTE, "cfg_edges")
+    register(spark, sf_dir)
+    nodes.createOrReplaceTempView("uast_nodes")
+    return spark.sql(f"WITH {FLOW_TAIL} SELECT * FROM cfg_blocks"), spark.sql(f"WITH {FLOW_TAIL} SELECT * FROM cfg_edges")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborq.functions import lattice as L
-from arborq.operators import assess, compare, curvature, dependence, flow, gates, module_graph, process, security, tree
+from arborq.operators import assess, compare, curvature, dependence, flow, gates, module_graph, process, report, security, tree
 from arborq.operators.entropy import entropy_ratio
 from arborq.sources import discovery, frontends, graph_json
 
@@ -430,9 +430,13 @@ def test_hotspots(spark):
     got = sorted((r.file, r.score, r.suggestion[:4]) for r in targets.dependency_hotspots(curved, files, 2).collect())
     assert got == [("a", -1.0, "High"), ("a", -0.5, "High"), ("c", -1.0, "High"), ("c", 0.25, "Well")]
     steps = spark.createDataFrame([(p, i, n) for p, path in enumerate(("abc", "xbc", "xy")) for i, n in enumerate(path)], "process_id int, step int, node_id string")
-    touching = process.touching(steps, spark.createDataFrame([("c",)], "id string"))
-    got = [(r.label, round(r.score, 6)) for r in targets.process_hotspots(process.transitions(touching), curvature.directed_forman).collect()]
-    assert len(got) == 3 and ("x -> y", 2.0) not in got and got == sorted(got, key=lambda r: (r[1], r[0]))
+    owner = spark.createDataFrame([("c", "F"), ("b", "F"), ("y", "G"), ("x", None)], "id string, file string")
+    curved = curvature.directed_forman(process.transitions_by_file(steps, owner), ("file",))
+    got = sorted((r.file, r.score, r.label) for r in targets.process_hotspots(curved).collect())
+    # F: a -> b, x -> b once, b -> c twice; G: x -> y alone
+    root = 2**0.5
+    want = [("F", 2 - root * 2, "b -> c"), ("F", 2 - 1 / root, "a -> b"), ("F", 2 - 1 / root, "x -> b"), ("G", 2.0, "x -> y")]
+    assert [(f, round(x, 9), n) for f, x, n in got] == [(f, round(x, 9), n) for f, x, n in want]
 
 
 def test_kinds_outside_the_vocabulary_are_an_error(spark):
@@ -447,3 +451,166 @@ def test_kinds_outside_the_vocabulary_are_an_error(spark):
 def test_verdict_texts(spark):
     got = {r.mask: r for r in L.masks(spark).select("mask", L.name(F.col("mask")).alias("n"), L.description(F.col("mask")).alias("d")).collect()}
     assert got[7].n == "SIMPLE_COMPOSABLE_SECURE" and got[9].d == "🥈 SILVER - Two of four quality pillars satisfied (SIMPLE_NAVIGABLE)" and got[0].d.startswith("❌ NO MEDAL")
+
+
+def test_fan_counts_ends_without_a_node(spark):
+    """Calls to and from identifiers that no file owns, or that are no node, are external calls."""
+    nodes = spark.createDataFrame([("F", "File", "f"), ("A", "Class", None), ("B", "Class", None), ("L", "Class", None)], "id string, label string, file_path string")
+    edges = spark.createDataFrame([("F", "A", "DEFINES"), ("F", "B", "DEFINES"), ("A", "B", "CALLS"), ("A", "ghost", "CALLS"), ("A", "L", "CALLS"), ("B", "ghost", "CALLS"), ("spirit", "A", "CALLS"), ("L", "A", "CALLS"), ("L", "B", "CALLS"), ("ghost", "spirit", "CALLS")], "src string, dst string, rel_type string")
+    owner = module_graph.owning_file(nodes, edges)
+    assert [tuple(r) for r in module_graph.fan(nodes, edges, owner).collect()] == [("F", 2, 2)]
+
+
+def test_eccentricities_against_searches(spark):
+    """More sources than a word has bits, cycles, nodes that reach nothing and nodes that are no source."""
+    import random
+    from collections import deque
+
+    r = random.Random(4)
+    arcs = [(r.randrange(150), r.randrange(150)) for _ in range(220)] + [(i, i + 1) for i in range(200, 230)] + [(230, 200)]
+    sources = [*range(140), 200, 215, 999]
+    got = {x.id: x.depth for x in module_graph.eccentricities(spark.createDataFrame([(i,) for i in sources], "id int").repartition(3), spark.createDataFrame(arcs, "src int, dst int")).collect()}
+
+    def far(s):
+        seen, todo = {s: 0}, deque([s])
+        while todo:
+            x = todo.popleft()
+            for a, b in arcs:
+                if a == x and b not in seen:
+                    seen[b] = seen[x] + 1
+                    todo.append(b)
+        return max(seen.values())
+
+    assert got == {s: far(s) for s in sources}
+
+
+def test_balanced_curvature_against_sets(spark):
+    """Random graphs by neighbour sets, and a star whose centre has more leaves than any list should hold."""
+    import random
+
+    def plain(edges):
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+        def squares(fixed, pivot):
+            v = [len(near[fixed] & near[k]) - (k in near[fixed]) for k in near[pivot]]
+            return sum(x > 0 for x in v), max([x for x in v if x > 0], default=0)
+
+        out = {}
+        for a, b in edges:
+            x, y = max(len(near[a]), len(near[b])), min(len(near[a]), len(near[b]))
+            (s1, l1), (s2, l2) = squares(a, b), squares(b, a)
+            lam = max(l1, l2)
+            out[a, b] = 0.0 if y <= 1 else 2 / x + 2 / y - 2 + (2 / x + 1 / y) * len(near[a] & near[b]) + ((s1 + s2) / (x * lam) if lam else 0)
+        return out
+
+    for seed, n, m in ((1, 12, 30), (2, 40, 60), (3, 9, 30)):
+        r = random.Random(seed)
+        edges = {tuple(sorted((r.randrange(n), r.randrange(n)))) for _ in range(m)}
+        edges = sorted(e for e in edges if e[0] != e[1])
+        got = {(x.a, x.b): x.curvature for x in curvature.balanced_forman(spark.createDataFrame(edges, "src int, dst int")).collect()}
+        want = plain(edges)
+        assert set(got) == set(want) and all(abs(got[e] - want[e]) < 1e-12 for e in want)
+    star = spark.range(1, 100_001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst")).unionByName(spark.createDataFrame([(1, 2)], "src long, dst long"))
+    top = curvature.balanced_forman(star).filter("curvature <> 0").orderBy("a", "b").collect()
+    assert [(x.a, x.b) for x in top] == [(0, 1), (0, 2), (1, 2)]
+
+
+@pytest.mark.parametrize("seed,limit", [(1, 0.1), (2, 0.25), (3, 0.45)])
+def test_clones_against_all_pairs(spark, seed, limit):
+    """Edited copies of a few sequences of three kinds; no pair within the limit is missed, and none is formed without a shared part."""
+    import random
+
+    r = random.Random(seed)
+
+    def edits(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return row[-1]
+
+    base = [[r.choice("abc") for _ in range(r.choice((1, 5, 12, 33)))] for _ in range(9)]
+    rows = [(i, list(b)) for i, b in enumerate(base)]
+    for i in range(60):
+        x = list(r.choice(base))
+        for _ in range(r.randrange(4)):
+            at = r.randrange(len(x) + 1)
+            x[at : at + r.randrange(2)] = r.choices("abc", k=r.randrange(2))
+        rows.append((100 + i, x))
+    got = {(x.a, x.b): x.distance for x in compare.clones(spark.createDataFrame(rows, "file_id int, kinds array<string>"), ["a", "b", "c"], limit).collect()}
+    first = {}
+    for i, x in sorted(rows):
+        first.setdefault(tuple(x), i)
+    want = {(first[tuple(x)], i): 0.0 for i, x in rows if first[tuple(x)] != i}
+    for x, i in first.items():
+        for y, j in first.items():
+            if i < j and x and y and edits(x, y) <= limit * max(len(x), len(y)) + 1e-9:
+                want[i, j] = edits(x, y) / max(len(x), len(y))
+    assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_exact_rounding(spark):
+    """As a formatter of the exact binary value rounds: halves to even, and values that only look like halves by what they are."""
+    from arborq.functions.rounding import exact_round, formatted
+
+    values = [0.125, 0.375, 0.145, 0.015, 0.045, 0.055, 1.005, 2.675, 0.285, 1e-9, 0.0, 12.5, -0.125, 0.995] + [i / 1000 for i in range(0, 3000, 5)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(F.format_string("%.2f", exact_round(F.col("v"), 2))).collect()]
+    assert [g.replace("-0.00", "0.00") for g in got] == [f"{v:.2f}".replace("-0.00", "0.00") for v in values]
+    assert df.limit(1).select(formatted("about %1$.1f (> %2$.0f)", F.col("v"), F.lit(3.0))).first()[0] == "about 0.1 (> 3)"
+
+
+def test_rollup_keeps_files_without_a_language(spark):
+    c = spark.createDataFrame([(1, None, True, 0.5), (2, None, False, 0.25), (3, "py", True, 0.75)], "file_id int, language string, is_parseable boolean, simple double")
+    c = c.withColumns({p: F.lit(None).cast("double") for p in ("composable", "secure", "navigable")})
+    results = spark.createDataFrame([(1, "simple", True), (2, "simple", True), (3, "simple", True)], "file_id int, pillar string, achieved boolean")
+    got = {(r.grp, r.is_total): (r.holds, r.min_score) for r in report.rollup(c, results).collect()}
+    assert got == {(None, False): (False, 25.0), (None, True): (False, 25.0), ("py", False): (True, 75.0)}
+    assert {(r.grp, r.is_total): r.mask for r in report.floor_verdict(report.rollup(c, results)).collect()} == {(None, False): 0, (None, True): 0, ("py", False): 1}
+
+
+def test_structured_results_are_written_once(spark, tmp_path):
+    """Nested rows a file; a second write replaces the first, and a failed attempt of a task leaves nothing."""
+    import json
+    import os
+
+    c = spark.createDataFrame([(1, "a.py", "python", True, 1), (2, "b.py", None, False, 0)], "file_id int, path string, language string, is_parseable boolean, mask int")
+    c = c.withColumns({p: F.lit(0.5) for p in ("simple", "composable", "secure", "navigable")}).withColumn("gates", F.array(F.struct(F.lit("m").alias("metric"), F.lit(True).alias("passed")))).withColumn("results", F.array(F.lit("x")))
+    s = spark.createDataFrame([(1, 1, "second"), (1, 0, "first")], "file_id int, place int, message string")
+    for _ in range(2):
+        report.write_structured(report.structured(c, s), f"{tmp_path}/out")
+    read = [json.loads(line) for f in os.listdir(f"{tmp_path}/out") if f.endswith(".json") for line in open(f"{tmp_path}/out/{f}")]
+    got = {r["path"]: r for r in read}
+    assert len(read) == 2 and [x["message"] for x in got["a.py"]["suggestions"]] == ["first", "second"] and got["b.py"]["suggestions"] == []
+    assert got["a.py"]["verdict"] == {"mask": 1, "name": "SIMPLE", "is_parseable": True} and got["b.py"]["language"] is None
+
+
+def test_reach_bits_against_searches():
+    """Random graphs with cycles, loops and ends outside the graph; a long chain needs no deep stack."""
+    import random
+
+    for seed in range(30):
+        r = random.Random(seed)
+        n = r.randrange(2, 25)
+        near = {}
+        for _ in range(r.randrange(3 * n)):
+            near.setdefault(r.randrange(n), []).append(r.randrange(n))
+        bit = {x: 1 << i for i, x in enumerate(r.sample(range(n + 2), r.randrange(1, n)))}
+
+        def search(s):
+            seen, todo = {s}, [s]
+            while todo:
+                for y in near.get(todo.pop(), ()):  # noqa: B023
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+            return sum(bit.get(x, 0) for x in seen)  # noqa: B023
+
+        got = security.reach_bits(near, bit)
+        assert all(got.get(x, 0) == search(x) for x in {*near, *bit, *(y for ys in near.values() for y in ys)})
+    chain = {i: [i + 1] for i in range(200_000)}
+    assert security.reach_bits(chain, {200_000: 1})[0] == 1
