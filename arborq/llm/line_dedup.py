@@ -6,8 +6,8 @@ smaller than at the ``RADIUS`` lines before and after, which depends on nothing
 stands, and a chunk has several lines. A chunk of fewer than ``min_words`` words before another such takes in as many of the next ones as it
 needs; what stays shorter is no chunk of its own, and goes only where a run of removed chunks is extended over it. A chunk that occurs again anywhere is removed but for its first occurrence (smallest doc_id,
 then place), after its bytes have been compared with those of the first. What is removed is then extended to both sides, byte by byte, as far as
-the text agrees with that around the first occurrence, in whole words. The bytes compared go beyond the next chunk: were the passage
-longer than that, the next chunk would be repeated too and be extended itself. Of a row whose whole text has the digest of the first occurrence's
+the text agrees with that around the first occurrence, in whole words; where the bytes at hand agree to their end, more are fetched until
+the texts differ. Of a row whose whole text has the digest of the first occurrence's
 text, what is left around its chunks goes by that digest. Every byte removed
 equals one at an earlier place, so one copy of a passage always stays.
 
@@ -32,8 +32,10 @@ TILINGS = ((2, 0xC2B2AE3D27D4EB4F),)
 MIN_WORDS = 8
 #: A word in so many ends a line, so that text without stops has lines too.
 CUT = 2
-#: Lines on which a boundary depends, on either side.
+#: Lines beyond the next chunk, on either side, that the first comparison sees.
 LINES = 3
+#: Bytes that the next comparison sees where the first sees no difference; each further one sees sixteen times as many.
+WIDER = 1 << 12
 #: A boundary's rolling hash is the smallest of those so many lines before and after it.
 RADIUS = 2
 #: Behind the end of any text.
@@ -79,7 +81,7 @@ class _Hashes:
 def chunks(data: np.ndarray, offsets: np.ndarray, min_words: int = MIN_WORDS, tilings=TILINGS):
     """Of texts laid end to end: (text, start, end, next, hash, before, after) of each chunk.
 
-    next is where the line after it starts; before and after bound the bytes to compare around it: LINES lines beyond the chunk to each side.
+    next is where the line after it starts; before and after bound the bytes to compare around it: LINES lines beyond the next chunk to each side.
     """
     none = np.zeros((0, 7), np.int64)
     blank = (data - np.uint8(9) < 5) | (data == 32)
@@ -220,9 +222,15 @@ def _common(n: int, equal) -> int:
     return low
 
 
+def _longest(mine: bytes, other: bytes, back: bool) -> int:
+    """Length of the longest common prefix, or suffix."""
+    same = (lambda n: not n or mine[-n:] == other[-n:]) if back else (lambda n: mine[:n] == other[:n])
+    return _common(min(len(mine), len(other)), same)
+
+
 def agreement(mine: bytes, other: bytes) -> int:
     """Length of the longest common prefix that ends between words of both."""
-    k = _common(min(len(mine), len(other)), lambda n: mine[:n] == other[:n])
+    k = _longest(mine, other, False)
     while k and not (_at_word(mine, k) and _at_word(other, k)):
         k -= 1
     return k
@@ -230,52 +238,115 @@ def agreement(mine: bytes, other: bytes) -> int:
 
 def agreement_before(mine: bytes, other: bytes) -> int:
     """Length of the longest common suffix that starts between words of both."""
-    k = _common(min(len(mine), len(other)), lambda n: not n or mine[-n:] == other[-n:])
+    k = _longest(mine, other, True)
     while k and not (_at_word(mine, len(mine) - k) and _at_word(other, len(other) - k)):
         k -= 1
     return k
 
 
+def _agrees_on(mine: bytes, other: bytes, whole: bool, other_whole: bool, back: bool) -> bool:
+    """Whether two windows agree up to the end of one that does not reach its text's end, so that more has to be compared."""
+    k = _longest(mine, other, back)
+    return not (k < min(len(mine), len(other)) or (k == len(mine) and whole) or (k == len(other) and other_whole))
+
+
 def _extended(rows: DataFrame, runs: DataFrame, stage: C.Stage, min_words: int) -> DataFrame:
-    """doc_id, digest, from, to: what each run is extended by to either side, as far as the text around the first occurrence agrees."""
-    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
+    """doc_id, digest, from, to: what each run is extended by to either side, as far as the text around the first occurrence agrees.
+
+    The first windows compared are a few lines long. Ends whose windows agree as a whole are compared again in windows of WIDER bytes, and so on, until
+    the texts differ or one ends.
+    """
     end = lambda side, name: F.when(F.col(name).isNotNull(), F.struct(F.lit(side).cast("long").alias("side"), f"{name}.*"))
     sides = F.explode(F.array_compact(F.array(end(-1, "left"), end(0, "right"))))
     ends = stage.table(runs.select("doc_id", "digest", sides.alias("e")).select("doc_id", "digest", "e.*"))
+    found = stage.table(_compared(ends, _near_chunks(rows, ends, min_words), stage))
+    parts, size = [found.filter("NOT open")], WIDER
+    while not (ends := found.filter("open").select(ends.columns)).isEmpty():
+        found = stage.table(_compared(ends, _slices(rows, ends, size), stage))
+        parts, size = [*parts, found.filter("NOT open")], size * 16
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    back = F.col("side") == -1
+    start, stop = F.when(back, F.col("from") - F.col("size")).otherwise(F.col("end")), F.when(back, F.col("from")).otherwise(F.greatest("to", F.col("end") + F.col("size")))
+    return out.select("doc_id", "digest", start.alias("from"), stop.alias("to"))
+
+
+def _filtered(rows: DataFrame, ends: DataFrame):
+    """A broadcast filter of the digests of texts that have ends, or first occurrences that ends are compared with."""
+    return rows.sparkSession.sparkContext.broadcast(C.filter_bits(ends.select(F.explode(F.array("digest", "first.digest")).alias("d")).distinct(), "d"))
+
+
+def _near_chunks(rows: DataFrame, ends: DataFrame, min_words: int) -> DataFrame:
+    """hash, side, doc_id, digest, from, near (bytes around the chunk), whole (they reach the text's end) of chunks that have ends or are first."""
+    spark, kind = rows.sparkSession, rows.schema["doc_id"].dataType.simpleString()
     place = lambda at: F.col("hash").bitwiseXOR(F.col(at)).bitwiseXOR(F.col("side"))
     held = spark.sparkContext.broadcast(C.filter_bits(ends.select(F.explode(F.array(place("from"), place("first.at"))).alias("place")), "place"))
+    texts = _filtered(rows, ends)
 
     def around(batches):
         for b in batches:
+            b = b.filter(pa.array(C.maybe_in(texts.value, b.column(2).to_numpy())))
             for i, raw, offsets, part in _windows(b):
                 c = chunks(part, offsets, min_words)
                 at = c[:, 1] - offsets[c[:, 0]]
                 for side, bounds in ((-1, [5, 1]), (0, [2, 6])):
                     use = np.flatnonzero(C.maybe_in(held.value, c[:, 4] ^ at ^ side))
                     if len(use):
-                        who = pa.array(i + c[use, 0])
+                        text = c[use, 0]
+                        who = pa.array(i + text)
                         near = pa.array([raw[x:y] for x, y in c[use][:, bounds].tolist()], pa.binary())
-                        yield pa.RecordBatch.from_arrays([pa.array(c[use, 4]), pa.array(np.full(len(use), side)), b.column(0).take(who), b.column(2).take(who), pa.array(at[use]), near], ["hash", "side", "doc_id", "digest", "from", "near"])
+                        whole = c[use, 5] == offsets[text] if side else c[use, 6] == offsets[text + 1]
+                        yield pa.RecordBatch.from_arrays([pa.array(c[use, 4]), pa.array(np.full(len(use), side)), b.column(0).take(who), b.column(2).take(who), pa.array(at[use]), near, pa.array(whole)], ["hash", "side", "doc_id", "digest", "from", "near", "whole"])
 
-    texts = rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, side long, doc_id {kind}, digest long, from long, near binary")
+    return rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, side long, doc_id {kind}, digest long, from long, near binary, whole boolean")
+
+
+def _slices(rows: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """The same of the ``size`` bytes next to each chunk, cut from the texts that have any."""
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = _filtered(rows, ends)
+
+    def work(batches):
+        for b in batches:
+            yield b.filter(pa.array(C.maybe_in(texts.value, b.column(1).to_numpy())))
+
+    few = rows.select("doc_id", "digest", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, digest long, text binary")
+    length = F.col("end") - F.col("from")
+    own = ends.select("hash", "side", F.col("doc_id").alias("doc"), F.col("digest").alias("own"), "from", length.alias("n"))
+    first = ends.select("hash", "side", F.col("first.doc_id").alias("doc"), F.col("first.digest").alias("own"), F.col("first.at").alias("from"), length.alias("n"))
+    wanted = own.unionByName(first).distinct()
+    j = few.join(wanted, few["doc_id"].eqNullSafe(F.col("doc")) & (F.col("digest") == F.col("own")))
+    back, total = F.col("side") == -1, F.octet_length("text").cast("long")
+    start = F.when(back, F.greatest(F.lit(0).cast("long"), F.col("from") - size)).otherwise(F.col("from") + F.col("n"))
+    stop = F.when(back, F.col("from")).otherwise(F.least(total, F.col("from") + F.col("n") + size))
+    near = F.substring("text", (start + 1).cast("int"), (stop - start).cast("int"))
+    return j.select("hash", "side", "doc_id", "digest", "from", near.alias("near"), F.when(back, start == 0).otherwise(stop == total).alias("whole"))
+
+
+def _compared(ends: DataFrame, texts: DataFrame, stage: C.Stage) -> DataFrame:
+    """ends with size, the bytes on which the text next to the chunk agrees with that of the first occurrence, and open: whether that may be more."""
     texts = stage.table(texts)
     own = lambda df, *names: df.select(*[F.col(c).alias("_" + c) if c in ("hash", "side", "doc_id", "digest", "from") else F.col(c) for c in names])
     same = (texts["hash"] == F.col("_hash")) & (texts["side"] == F.col("_side")) & texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (texts["from"] == F.col("_from"))
-    mine = texts.join(own(ends, "hash", "side", "doc_id", "digest", "from", "end", "to").hint("shuffle_hash"), same & (texts["digest"] == F.col("_digest"))).drop("_hash", "_side", "_doc_id", "_digest", "_from")
+    mine = texts.join(own(ends, "hash", "side", "doc_id", "digest", "from", "end", "to", "first").hint("shuffle_hash"), same & (texts["digest"] == F.col("_digest"))).drop("_hash", "_side", "_doc_id", "_digest", "_from")
     firsts = ends.groupBy("hash", "side").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n")).select("hash", "side", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("from"), "n")
     there = texts.join(own(firsts, "hash", "side", "doc_id", "from", "n").hint("shuffle_hash"), same)
     # one text, where rows share an identifier
-    there = stage.table(there.groupBy("hash", "side").agg(F.min_by("near", "digest").alias("other"), F.max("n").alias("n")))
+    there = stage.table(there.groupBy("hash", "side").agg(F.min_by(F.struct("near", "whole"), "digest").alias("other"), F.max("n").alias("n")))
     pairs = C.join_by_group(mine, there, ["hash", "side"], "n", max(1, ends.count()), "inner")
 
     def work(batches):
         for b in batches:
-            side, start, end, to = (b.column(k).to_numpy() for k in range(2, 6))
-            both = zip(side.tolist(), b.column(6).to_pylist(), b.column(7).to_pylist(), strict=True)
-            size = np.fromiter((agreement_before(x, y) if s else agreement(x, y) for s, x, y in both), np.int64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.where(side, start - size, end)), pa.array(np.where(side, start, np.maximum(to, end + size)))], ["doc_id", "digest", "from", "to"])
-
-    return pairs.select("doc_id", "digest", "side", "from", "end", "to", "near", "other").mapInArrow(C.tidy(work), f"doc_id {kind}, digest long, from long, to long")
+            side = b.column(b.schema.get_field_index("side")).to_pylist()
+            both = list(zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("near", "near_there", "whole", "whole_there")), side, strict=True))
+            size = np.fromiter((agreement_before(x, y) if s else agreement(x, y) for x, y, _, _, s in both), np.int64, len(both))
+            more = np.fromiter((_agrees_on(*x[:4], bool(x[4])) for x in both), bool, len(both))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(size), pa.array(more)], [*names, "size", "open"])
+
+    names = ends.columns
+    kinds = ", ".join(f"`{c}` {ends.schema[c].dataType.simpleString()}" for c in names)
+    return pairs.select(*names, "near", "whole", F.col("other.near").alias("near_there"), F.col("other.whole").alias("whole_there")).mapInArrow(C.tidy(work), f"{kinds}, size long, open boolean")
 
 
 def without_ranges(text, ranges):
