@@ -173,11 +173,19 @@ def _gzip(b: bytes, at: int, step: int = 1 << 16) -> int | None:
 
 
 def _ogg(b: bytes, at: int) -> int | None:
-    i, last = at, False
-    while i + 27 <= len(b) and b[i : i + 4] == b"OggS" and not b[i + 4] and not last:
-        last, parts = bool(b[i + 5] & 4), b[i + 26]
+    """From a first page to the last page of every stream that began: a page belongs to the stream of its serial number."""
+    i, streams = at, set()
+    while i + 27 <= len(b) and b[i : i + 4] == b"OggS" and not b[i + 4]:
+        flags, serial, parts = b[i + 5], b[i + 14 : i + 18], b[i + 26]
+        if bool(flags & 2) == (serial in streams):  # a first page of a stream that runs, or another page of one that does not
+            return None
+        streams.add(serial)
         i += 27 + parts + sum(b[i + 27 : i + 27 + parts])
-    return i - at if last and i <= len(b) else None
+        if flags & 4:
+            streams.discard(serial)
+            if not streams:
+                return i - at if i <= len(b) else None
+    return None
 
 
 #: Magic bytes, media type, validator.
