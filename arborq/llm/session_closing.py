@@ -11,6 +11,7 @@ watermark has passed close their sessions.
   the exact bound, the event time is put DELTA later than the click, and the delay is longer by as much, so Spark drops none; a timer only says that a session can be closed, and its batch is
   found from the exact bounds.
 * The last start carries a row without a client and with a far time, whose watermark fires all timers that are left.
+* State stores are closed at the end of each task: every start is a run of its own, and the local files of the runs before would stay open.
 * Timers fire in the next batch's run (runs without data are off but for the last), which saves a round of tasks and state commits per batch; a session that can be closed can not be met by later
   clicks, which are all behind the bound.
 
@@ -182,6 +183,7 @@ class Sessions(StatefulProcessor):
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
