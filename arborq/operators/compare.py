@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .module_graph import cut
+from .tree import kind_histogram, kind_sequence
 
 CLONE_LIMIT = 0.1
 #: Fixed values of the Gromov-Wasserstein iteration.
@@ -43,6 +44,21 @@ def ast_distance(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("similarity", 1 - F.col("distance"))
 
 
+def compare_trees(before: DataFrame, after: DataFrame, include_unknown: bool = False) -> DataFrame:
+    """(file_id, kind_distance, raw, edit_distance) of the node tables of two versions, with or without nodes of no known kind.
+
+    kind_distance is half the L1 distance of the shares of kinds, edit_distance the share of the longer sequence; 1 where one version has no tree, 0 where neither has a node that counts.
+    """
+    hist = lambda n: kind_histogram(n, drop_unknown=not include_unknown)
+    edits = ast_distance(kind_sequence(before, include_unknown), kind_sequence(after, include_unknown)).select("file_id", "raw", F.col("distance").alias("edit_distance"))
+    j = edits.join(histogram_distance(hist(before), hist(after), ["file_id"], "kind").withColumnRenamed("distance", "kind_distance"), "file_id", "left")
+    # half the distance to nothing is a half: a version without shares is as far as can be
+    one = hist(before).select("file_id").distinct().join(hist(after).select("file_id").distinct(), "file_id").withColumn("_both", F.lit(True))
+    j = j.join(one, "file_id", "left")
+    kind = F.when(F.col("kind_distance").isNull(), 0.0).when(F.col("_both"), F.col("kind_distance")).otherwise(1.0)
+    return j.select("file_id", kind.alias("kind_distance"), "raw", "edit_distance")
+
+
 def compare_flow(hist_before: DataFrame, hist_after: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """(file_id, cyclomatic_delta, edge_distance, longest_path_delta): of edge histograms (file_id, kind, n) and flow metrics of two versions."""
     edges = histogram_distance(hist_before, hist_after, ["file_id"], "kind").withColumnRenamed("distance", "edge_distance")

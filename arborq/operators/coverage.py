@@ -22,11 +22,12 @@ def declarations(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("kind").isin(*CALLABLES))
 
 
-def fingerprints(nodes: DataFrame) -> DataFrame:
-    """(file_id, decl, kind, n): kinds in each declaration's subtree, less one of its own.
+def fingerprints(nodes: DataFrame, include_unknown: bool = True) -> DataFrame:
+    """(file_id, decl, kind, n): kinds in each declaration's subtree, less one of its own; without those of no known kind where asked.
 
     Each declaration asks the running count of each kind of its file at its two ends: linear in declarations times kinds.
     """
+    nodes = nodes if include_unknown else nodes.filter("kind <> 'Unknown'")
     d = declarations(nodes).select("file_id", F.col("node_id").alias("decl"), F.col("kind").alias("own"), F.col("pre").alias("a"), F.col("last").alias("b"))
     kinds = nodes.groupBy("file_id").agg(F.collect_set("kind").alias("kinds"))
     end = lambda place, sign: F.struct(place.alias("place"), F.lit(sign).alias("sign"))

@@ -192,9 +192,11 @@ def kind_histogram(nodes: DataFrame, drop_unknown: bool = False) -> DataFrame:
     return own.groupBy("file_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def kind_sequence(nodes: DataFrame) -> DataFrame:
-    """(file_id, kinds): kinds in pre-order."""
-    return nodes.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", "kind"))), lambda x: x["kind"]).alias("kinds"))
+def kind_sequence(nodes: DataFrame, include_unknown: bool = True) -> DataFrame:
+    """(file_id, kinds): kinds in pre-order; a file of unknown nodes alone has an empty sequence where they are left out."""
+    place = F.struct("pre", "kind")
+    own = F.collect_list(place if include_unknown else F.when(F.col("kind") != "Unknown", place))
+    return nodes.groupBy("file_id").agg(F.transform(F.array_sort(own), lambda x: x["kind"]).alias("kinds"))
 
 
 def control_flow_profile(nodes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lattice as L
+from ..operators import compare as K
 from ..operators import coverage as T
 from ..operators import curvature as V
 from ..operators import dependence as P
@@ -116,6 +117,23 @@ def _(spark, d):
     return P.property_nodes(nodes.unionByName(nodes.filter("kind = 'CallExpr'"))).groupBy("file_id").agg(F.count(F.lit(1)).alias("nodes"))
 
 
+KINDED = "string_agg(CASE kind WHEN 'FunctionDecl' THEN 'F' WHEN 'TypeDecl' THEN 'Y' WHEN 'AssignExpr' THEN 'A' WHEN 'CallExpr' THEN 'C' WHEN 'IfStmt' THEN 'I' WHEN 'ForStmt' THEN 'L' WHEN 'TryStmt' THEN 'T' WHEN 'WhileStmt' THEN 'W' WHEN 'WithStmt' THEN 'X' WHEN 'Identifier' THEN 'N' WHEN 'Unknown' THEN 'U' ELSE 'O' END, '' ORDER BY pre)"
+
+
+@query("uast_compare", f"""+ x AS (SELECT true AS unknown, * FROM rich_nodes UNION ALL SELECT false, * FROM rich_nodes WHERE kind <> 'Unknown'), y AS (SELECT * FROM x WHERE k % 9 <> 4),
+a AS (SELECT unknown, file_id, {KINDED} AS s FROM x GROUP BY ALL), b AS (SELECT unknown, file_id, {KINDED} AS t FROM y GROUP BY ALL),
+p AS (SELECT unknown, file_id, kind, count(*) / CAST(sum(count(*)) OVER (PARTITION BY unknown, file_id) AS DOUBLE) AS v FROM x GROUP BY unknown, file_id, kind),
+q AS (SELECT unknown, file_id, kind, count(*) / CAST(sum(count(*)) OVER (PARTITION BY unknown, file_id) AS DOUBLE) AS w FROM y GROUP BY unknown, file_id, kind),
+d AS (SELECT unknown, file_id, sum(abs(coalesce(v, 0) - coalesce(w, 0))) / 2 AS kd FROM p FULL JOIN q USING (unknown, file_id, kind) GROUP BY ALL)
+SELECT a.unknown, a.file_id, round(kd, 6) AS kind_distance, levenshtein(s, t) AS raw, round(levenshtein(s, t) / CAST(greatest(length(s), length(t)) AS DOUBLE), 6) AS edit_distance
+FROM a JOIN b ON a.unknown = b.unknown AND a.file_id = b.file_id JOIN d ON d.unknown = a.unknown AND d.file_id = a.file_id""", D.RICH_CTE)
+def _(spark, d):
+    nodes = _exported(spark, d)
+    other = nodes.filter("k % 9 <> 4")
+    one = lambda flag: K.compare_trees(nodes, other, flag).select(F.lit(flag).alias("unknown"), "file_id", r6("kind_distance"), F.col("raw").cast("long").alias("raw"), r6("edit_distance"))
+    return one(True).unionByName(one(False))
+
+
 # Flow -----------------------------------------------------------------------------------------------------------------------
 
 

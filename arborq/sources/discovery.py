@@ -168,12 +168,47 @@ def fingerprint(files: DataFrame) -> str:
     return h.hexdigest()
 
 
-def freshness(files: DataFrame, built: float, stored: str | None = None, current: str | None = None, skew: float = 2.0) -> DataFrame:
-    """(is_fresh, reason): by fingerprint where there are two, else by the latest change against the graph's build time."""
-    if stored and current:
-        return files.sparkSession.createDataFrame([(stored == current, "fingerprint")], "is_fresh boolean, reason string")
-    latest = F.max(F.unix_micros("modified") / 1e6)
-    return files.agg((F.coalesce(latest, F.lit(0.0)) <= built + skew).alias("is_fresh"), F.lit("modified").alias("reason"))
+#: Seconds by which clocks may differ, and the longest time that making a graph is believed to take.
+SKEW, LONGEST_BUILD = 2.0, 3600.0
+
+
+def built_before(made: float, finished: float | None = None, marker_changed: float | None = None, skew: float = SKEW) -> float:
+    """The time after which a change is newer than a graph begun at ``made``.
+
+    The marker file was written when the graph was ``finished``, so its own time of change tells how far the file system's clock is off; times in whole seconds are compared as such.
+    """
+    if finished is None or marker_changed is None or not 0 <= finished - made <= LONGEST_BUILD:
+        return made - skew
+    if marker_changed == int(marker_changed):
+        return int(made) - (int(finished) - marker_changed)
+    return made - (finished - marker_changed)
+
+
+def freshness(files: DataFrame, marker: dict | None, current: dict) -> DataFrame:
+    """(is_fresh, rung, changed): whether a graph still fits its sources, by the first rung that can tell.
+
+    ``files`` has path and modified (seconds), folders included, as a deletion changes its folder's time. ``marker`` is what was noted when the graph was made: source_hash, head_sha,
+    made, finished, changed (the marker file's own time). ``current`` has what is known now: source_hash, head_sha, graph_changed, head_changed.
+    Rungs: the sources' digest, the commit, a newer file (changed is the first one's path), the graph's time against the commit's; without any the graph counts as fresh.
+    """
+    marker = marker or {}
+
+    def said(fresh: bool, rung: str) -> DataFrame:
+        return files.sparkSession.createDataFrame([(fresh, rung, None)], "is_fresh boolean, rung string, changed string")
+
+    if marker.get("source_hash") is not None and current.get("source_hash") is not None:
+        return said(marker["source_hash"] == current["source_hash"], "source_hash")
+    anchored = bool(marker.get("head_sha")) and bool(current.get("head_sha"))
+    if anchored and marker["head_sha"] != current["head_sha"]:
+        return said(False, "head_sha")
+    if marker.get("made") is not None:
+        limit = built_before(marker["made"], marker.get("finished"), marker.get("changed"))
+        first = files.agg(F.min(F.when(F.col("modified") > limit, F.col("path"))).alias("changed"))
+        return first.select(F.col("changed").isNull().alias("is_fresh"), F.lit("modified").alias("rung"), "changed")
+    if anchored:
+        return said(True, "head_sha")
+    graph, head = current.get("graph_changed"), current.get("head_changed")
+    return said(not (graph and head and graph < head), "graph_time")
 
 
 def resolve(path: str, root: str) -> str:

@@ -98,3 +98,38 @@ def test_kinds_without_a_table_and_renumbering(spark):
     got = sorted((r.file_id, r.node_id, r.pre, r.last, r.kind) for r in kinds.map_kinds(df).collect())
     assert got == [("f", "0", 0, 1, "Unknown"), ("f", "2", 1, 1, "Unknown"), ("g", "0", 0, 2, "File"), ("g", "2", 1, 1, "Unknown"), ("g", "4", 2, 2, "Literal")]
     assert kinds.map_kinds(df.filter(F.lit(False))).count() == 0
+
+
+def test_freshness_by_the_first_rung_that_can_tell(spark, tmp_path):
+    from arborq.sources import discovery
+
+    root = str(tmp_path / "p")
+    tree(root, "a.py", "pkg/b.py")
+    for path, when in (("a.py", 1000.0), ("pkg/b.py", 1500.0), ("pkg", 1400.0), ("", 1200.0)):
+        os.utime(os.path.join(root, path), (when, when))
+    rows = lambda: files.read_files(spark, [root], folders=True, contents=False)
+    said = lambda marker, current=None: tuple(discovery.freshness(rows(), marker, current or {}).first())
+    assert said({"source_hash": "x", "head_sha": "1"}, {"source_hash": "x", "head_sha": "2"}) == (True, "source_hash", None)
+    assert said({"source_hash": "x"}, {"source_hash": "y"}) == (False, "source_hash", None)
+    assert said({"head_sha": "1", "made": 9e9}, {"head_sha": "2"}) == (False, "head_sha", None)
+    assert said({"head_sha": "1"}, {"head_sha": "1"}) == (True, "head_sha", None)
+    assert said({"made": 1502.0}) == (True, "modified", None) and said({"made": 1501.9}) == (False, "modified", "pkg/b.py")
+    os.utime(os.path.join(root, "pkg"), (1600.0, 1600.0))  # a file of it was deleted
+    assert said({"made": 1550.0}) == (False, "modified", "pkg")
+    assert said({}, {"graph_changed": 5.0, "head_changed": 6.0}) == (False, "graph_time", None) and said(None) == (True, "graph_time", None)
+    # the marker file's time tells the file system's clock: 3 s behind, in whole seconds and in parts
+    assert discovery.built_before(100.5, 110.5, 107.5) == 97.5 and discovery.built_before(100.5, 110.5, 107.0) == 97.0 and discovery.built_before(100.0, 9000.0, 1.0) == 98.0
+
+
+def test_unknown_nodes_are_left_out_where_asked(spark):
+    from arborq.operators import compare, coverage, tree as trees
+
+    rows = [(1, str(i), None if i == 0 else "0", i, 3 if i == 0 else i, k) for i, k in enumerate(["FunctionDecl", "IfStmt", "Unknown", "Unknown"])] + [(2, "0", None, 0, 0, "Unknown")]
+    df = spark.createDataFrame(rows, "file_id int, node_id string, parent_id string, pre long, last long, kind string")
+    kinds_of = lambda flag: {r.file_id: list(r.kinds) for r in trees.kind_sequence(df, flag).collect()}
+    assert kinds_of(True)[1] == ["FunctionDecl", "IfStmt", "Unknown", "Unknown"] and kinds_of(False) == {1: ["FunctionDecl", "IfStmt"], 2: []}
+    prints = lambda flag: {(r.kind, r.n) for r in coverage.fingerprints(df, flag).collect()}
+    assert prints(True) == {("IfStmt", 1), ("Unknown", 2)} and prints(False) == {("IfStmt", 1)}
+    other = df.filter("kind <> 'IfStmt'")
+    got = lambda flag: {r.file_id: (round(r.kind_distance, 6), r.raw, round(r.edit_distance, 6)) for r in compare.compare_trees(df, other, flag).collect()}
+    assert got(False) == {1: (0.5, 1, 0.5), 2: (0.0, 0, 0.0)} and got(True) == {1: (0.25, 1, 0.25), 2: (0.0, 0, 0.0)}
