@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rounding import formatted
+from .module_graph import cut
 from .tree import CALLABLES
 
 #: Kinds of the statement and expression recalls, thresholds.
@@ -50,15 +51,19 @@ def best_matches(put_decls: DataFrame, put: DataFrame, test_decls: DataFrame, te
     """(unit, decl, recall): the best multiset recall of each declaration by a test declaration of its unit.
 
     1 for a declaration with an empty fingerprint whose unit has a test declaration, 0 where nothing matches. Declarations of equal fingerprints
-    count as one, so only different shapes of a unit meet.
+    count as one. A shape that a test declaration has too is met in full and is found by equality; only the others are compared with the different shapes of their unit that
+    share a kind with them.
     """
-    own = _profiles(put)
+    own = cut(_profiles(put))
     shapes = own.select("unit", "p", "size").distinct()
-    others = _profiles(test).select("unit", F.col("p").alias("q")).distinct()
-    held = F.map_from_entries("q")
-    common = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.coalesce(F.try_element_at(held, x["kind"]), F.lit(0))).cast("long"))
-    best = shapes.join(others, "unit").groupBy("unit", "p").agg(F.max(common / F.col("size")).alias("best"))
-    with_best = own.join(best, ["unit", "p"]).select("unit", "decl", "best")
+    others = cut(_profiles(test).select("unit", "p").distinct())
+    full = shapes.join(others, ["unit", "p"], "left_semi").select("unit", "p", F.lit(1.0).alias("best"))
+    kinds = lambda p: F.transform(p, lambda x: x["kind"])
+    left = shapes.join(others, ["unit", "p"], "left_anti").withColumn("kinds", kinds(F.col("p")))
+    right = others.select("unit", kinds(F.col("p")).alias("q_kinds"), F.map_from_entries("p").alias("q"))
+    common = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.least(x["n"], F.coalesce(F.try_element_at("q", x["kind"]), F.lit(0))).cast("long"))
+    near = left.join(right, "unit").filter(F.arrays_overlap("kinds", "q_kinds")).groupBy("unit", "p").agg(F.max(common / F.col("size")).alias("best"))
+    with_best = own.join(full.unionByName(near), ["unit", "p"]).select("unit", "decl", "best")
     bare = put_decls.join(put.select("unit", "decl").distinct(), ["unit", "decl"], "left_anti").join(test_decls.select("unit").distinct(), "unit", "left_semi").select("unit", "decl", F.lit(1.0).alias("bare"))
     out = put_decls.select("unit", "decl").join(with_best, ["unit", "decl"], "left").join(bare, ["unit", "decl"], "left")
     return out.select("unit", "decl", F.coalesce("best", "bare", F.lit(0.0)).alias("recall"))
