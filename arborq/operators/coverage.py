@@ -112,4 +112,4 @@ def decision(found: DataFrame, threshold: float = COVERED) -> DataFrame:
 
 
 def uncovered(matches: DataFrame, threshold: float = COVERED) -> DataFrame:
-    return matches.filter(F.col("recall") < threshold).orderBy("unit", "recall", "decl")
+    return matches.filter(F.col("recall") < threshold)

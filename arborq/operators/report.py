@@ -67,11 +67,13 @@ def with_sort_key(classified: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def hard_fails(keyed: DataFrame) -> DataFrame:
-    return keyed.filter("hard_fail").orderBy("sort_key", "path")
+    """In no order: sort_key, then path, ranks them."""
+    return keyed.filter("hard_fail")
 
 
 def giants(keyed: DataFrame) -> DataFrame:
-    return keyed.filter("giant").orderBy("sort_key", "path")
+    """In no order, as hard_fails."""
+    return keyed.filter("giant")
 
 
 def worst_files(keyed: DataFrame, n: int = WORST) -> DataFrame:
@@ -88,16 +90,16 @@ def page(keyed: DataFrame, offset: int = 0, limit: int = PAGE) -> DataFrame:
 
 
 def by_mean_score(classified: DataFrame, n: int | None = None) -> DataFrame:
-    """Files by ascending mean score, then path."""
+    """The ``n`` files of the smallest mean score, then path; all of them, in no order, without ``n``."""
     held = F.filter(F.array(*[F.col(p) for p in PILLARS]), lambda x: x.isNotNull())
     mean = F.when(F.size(held) > 0, F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / F.size(held)).otherwise(0.0)
-    out = classified.withColumn("mean_score", mean).orderBy("mean_score", "path")
-    return out.limit(n) if n else out
+    out = classified.withColumn("mean_score", mean)
+    return out.orderBy("mean_score", "path").limit(n) if n else out
 
 
 def pillar_failures(classified: DataFrame, results: DataFrame, pillar: str) -> DataFrame:
     bad = results.filter((F.col("pillar") == pillar) & ~F.col("achieved")).select("file_id")
-    return classified.join(bad, "file_id", "left_semi").orderBy(F.col(pillar), "path")
+    return classified.join(bad, "file_id", "left_semi")
 
 
 def failure_counts(results: DataFrame) -> DataFrame:

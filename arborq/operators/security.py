@@ -188,13 +188,13 @@ def taint_findings(flows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def findings(calls: DataFrame, registry: DataFrame, max_findings: int | None = None) -> DataFrame:
-    """Dangerous calls as findings (file_id, kind, line, snippet, callee), ordered by line and byte; the first few of a file where asked."""
+    """Dangerous calls as findings (file_id, kind, line, start_byte, snippet, callee); the first few of a file, by line and byte, where asked."""
     from pyspark.sql import Window as W
 
-    out = match_registry(calls, registry).select("file_id", F.lit("dangerous_call").alias("kind"), "line", F.col("text").alias("snippet"), "callee", "start_byte")
+    out = match_registry(calls, registry).select("file_id", F.lit("dangerous_call").alias("kind"), "line", "start_byte", F.col("text").alias("snippet"), "callee")
     if max_findings is not None:
         out = out.withColumn("_n", F.row_number().over(W.partitionBy("file_id").orderBy("line", "start_byte"))).filter(F.col("_n") <= max_findings).drop("_n")
-    return out.orderBy("file_id", "line", "start_byte").drop("start_byte")
+    return out
 
 
 def glob_regex(glob: Column) -> Column:
