@@ -294,6 +294,11 @@ def test_reassess_stream(spark, tmp_path):
     spark.createDataFrame([("a", 3, 0.6, 0.5, 0.5, 0.5)], cols).write.mode("append").parquet(src)
     go()
     assert [r.status for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["improvement"]
+    for i in range(4):  # other files come between, and old versions of a bucket go
+        spark.createDataFrame([("a" if i % 2 else "b", 3, 0.6 - i / 10, 0.5, 0.5, 0.5)], cols).write.mode("append").parquet(src)
+        go()
+    assert sorted((r.file_id, r.status) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("a", "improvement"), ("a", "score_down"), ("a", "score_down"), ("b", "score_down")]
+    assert max(len(list(p.iterdir())) for p in (tmp_path / "state").iterdir() if p.is_dir()) <= 2
 
 
 def test_gw_covers_whole_tables(spark):
