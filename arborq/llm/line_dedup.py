@@ -34,8 +34,8 @@ MIN_WORDS = 8
 CUT = 2
 #: Lines beyond the next chunk, on either side, that the first comparison sees.
 LINES = 3
-#: Bytes that the next comparison sees where the first sees no difference; each further one sees sixteen times as many.
-WIDER = 1 << 12
+#: Bytes that the next comparison sees where the first sees no difference; each further one sees four times as many.
+WIDER = 1 << 9
 #: A boundary's rolling hash is the smallest of those so many lines before and after it.
 RADIUS = 2
 #: Behind the end of any text.
@@ -259,11 +259,16 @@ def _extended(rows: DataFrame, runs: DataFrame, stage: C.Stage, min_words: int)
     end = lambda side, name: F.when(F.col(name).isNotNull(), F.struct(F.lit(side).cast("long").alias("side"), f"{name}.*"))
     sides = F.explode(F.array_compact(F.array(end(-1, "left"), end(0, "right"))))
     ends = stage.table(runs.select("doc_id", "digest", sides.alias("e")).select("doc_id", "digest", "e.*"))
-    found = stage.table(_compared(ends, _near_chunks(rows, ends, min_words), stage))
-    parts, size = [found.filter("NOT open")], WIDER
+    found, used = _compared(ends, _near_chunks(rows, ends, min_words), stage)
+    stage.drop(ends, *used)
+    parts, size, texts = [found.filter("NOT open")], WIDER, None
     while not (ends := found.filter("open").select(ends.columns)).isEmpty():
-        found = stage.table(_compared(ends, _slices(rows, ends, size), stage))
-        parts, size = [*parts, found.filter("NOT open")], size * 16
+        texts = stage.table(_texts_of(rows, ends)) if texts is None else texts  # few texts have such ends, and fewer from round to round
+        found, used = _compared(ends, _slices(texts, ends, size), stage)
+        stage.drop(*used)
+        parts, size = [*parts, found.filter("NOT open")], size * 4
+    if texts is not None:
+        stage.drop(texts)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -302,21 +307,25 @@ def _near_chunks(rows: DataFrame, ends: DataFrame, min_words: int) -> DataFrame:
     return rows.select("doc_id", "text", "digest").mapInArrow(C.tidy(around), f"hash long, side long, doc_id {kind}, digest long, from long, near binary, whole boolean")
 
 
-def _slices(rows: DataFrame, ends: DataFrame, size: int) -> DataFrame:
-    """The same of the ``size`` bytes next to each chunk, cut from the texts that have any."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    texts = _filtered(rows, ends)
+def _texts_of(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """doc_id, digest, text (bytes) of the texts that ends or first occurrences are in, and of some more."""
+    held = _filtered(rows, ends)
 
     def work(batches):
         for b in batches:
-            yield b.filter(pa.array(C.maybe_in(texts.value, b.column(1).to_numpy())))
+            yield b.filter(pa.array(C.maybe_in(held.value, b.column(1).to_numpy())))
+
+    texts = rows.select("doc_id", "digest", F.col("text").cast("binary").alias("text"))
+    return texts.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, digest long, text binary")
 
-    few = rows.select("doc_id", "digest", F.col("text").cast("binary").alias("text")).mapInArrow(work, f"doc_id {kind}, digest long, text binary")
+
+def _slices(texts: DataFrame, ends: DataFrame, size: int) -> DataFrame:
+    """As ``_near_chunks``, of the ``size`` bytes next to each chunk."""
     length = F.col("end") - F.col("from")
     own = ends.select("hash", "side", F.col("doc_id").alias("doc"), F.col("digest").alias("own"), "from", length.alias("n"))
     first = ends.select("hash", "side", F.col("first.doc_id").alias("doc"), F.col("first.digest").alias("own"), F.col("first.at").alias("from"), length.alias("n"))
     wanted = own.unionByName(first).distinct()
-    j = few.join(wanted, few["doc_id"].eqNullSafe(F.col("doc")) & (F.col("digest") == F.col("own")))
+    j = texts.join(wanted, texts["doc_id"].eqNullSafe(F.col("doc")) & (F.col("digest") == F.col("own")))
     back, total = F.col("side") == -1, F.octet_length("text").cast("long")
     start = F.when(back, F.greatest(F.lit(0).cast("long"), F.col("from") - size)).otherwise(F.col("from") + F.col("n"))
     stop = F.when(back, F.col("from")).otherwise(F.least(total, F.col("from") + F.col("n") + size))
@@ -324,8 +333,8 @@ def _slices(rows: DataFrame, ends: DataFrame, size: int) -> DataFrame:
     return j.select("hash", "side", "doc_id", "digest", "from", near.alias("near"), F.when(back, start == 0).otherwise(stop == total).alias("whole"))
 
 
-def _compared(ends: DataFrame, texts: DataFrame, stage: C.Stage) -> DataFrame:
-    """ends with size, the bytes on which the text next to the chunk agrees with that of the first occurrence, and open: whether that may be more."""
+def _compared(ends: DataFrame, texts: DataFrame, stage: C.Stage) -> tuple[DataFrame, list[DataFrame]]:
+    """ends with size, the bytes on which the text next to the chunk agrees with that of the first occurrence, and open: whether that may be more; and the tables used on the way."""
     texts = stage.table(texts)
     own = lambda df, *names: df.select(*[F.col(c).alias("_" + c) if c in ("hash", "side", "doc_id", "digest", "from") else F.col(c) for c in names])
     same = (texts["hash"] == F.col("_hash")) & (texts["side"] == F.col("_side")) & texts["doc_id"].eqNullSafe(F.col("_doc_id")) & (texts["from"] == F.col("_from"))
@@ -346,7 +355,8 @@ def _compared(ends: DataFrame, texts: DataFrame, stage: C.Stage) -> DataFrame:
 
     names = ends.columns
     kinds = ", ".join(f"`{c}` {ends.schema[c].dataType.simpleString()}" for c in names)
-    return pairs.select(*names, "near", "whole", F.col("other.near").alias("near_there"), F.col("other.whole").alias("whole_there")).mapInArrow(C.tidy(work), f"{kinds}, size long, open boolean")
+    both = pairs.select(*names, "near", "whole", F.col("other.near").alias("near_there"), F.col("other.whole").alias("whole_there"))
+    return stage.table(both.mapInArrow(C.tidy(work), f"{kinds}, size long, open boolean")), [texts, there]
 
 
 def without_ranges(text, ranges):
@@ -378,6 +388,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks go; every document stays, with its length counted anew."""
+    """Repeated chunks go; every document stays, with its length counted anew.
+
+    A null text becomes the empty text; an empty one, or one of which everything goes, stays as an empty row; rows that repeat identifier and text lose the same;
+    columns of any names stay as they are; an empty table stays empty.
+    """
     out = line_dedup(docs).drop("removed_chunks")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
