@@ -5,14 +5,15 @@ Its state, by client, is a map from the start of each open session to its end, c
 extend or bridge sessions: a bridge deletes the absorbed entries and their timers and registers the merged session. Timers that the
 watermark has passed close their sessions.
 
-* Two clicks of a client within one slot of GAP microseconds always share a session. So each task first sums its clicks by client and slot, and the state
-  operator gets a row per client, slot and task: a client with a third of all clicks sends as many rows as its slots, however many clicks they hold.
+* Two clicks of a client within one slot of GAP microseconds always share a session. So each task first sums its clicks by client and slot, and sends one row a client with all its
+  sums. Batches are written by client and day, so the state operator gets about a row for each client and day: a client with a third of all clicks sends as many sums as its slots,
+  however many clicks they hold, and no task gets all of them.
 * Spark's watermark is in milliseconds and drops rows that equal it; the rule is in microseconds and keeps them. Rows are therefore dropped by a filter with
-  the exact bound, the event time is put DELTA later than the click, and the delay is longer by as much, so Spark drops none; a timer only says that a session can be closed, and its batch is
-  found from the exact bounds.
+  the exact bound, and the state operator does not see the event time. A timer only says that a session can be closed, and its batch is found from the exact bounds.
 * The last start carries a row without a client and with a far time, whose watermark fires all timers that are left.
 * A session that the bound of its own batch closes is given out at once: its timer would be due when it is registered. Sessions that a batch leaves open, about those of its
   last two days, are kept with a timer each. Registering all of them takes 3,400 CPU seconds a GB, nearly all in Python's calls to the state server.
+* Rows to and from the state operator, and its values, are packed, as Python takes and gives every cell of a row on its own.
 * State stores are closed at the end of each task: every start is a run of its own, and the local files of the runs before would stay open.
 * Timers fire in the next batch's run (runs without data are off but for the last), which saves a round of tasks and state commits per batch; a session that can be closed can not be met by later
   clicks, which are all behind the bound.
@@ -23,6 +24,7 @@ smallest client); a row without arrived_at goes into the last batch; a table wit
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 import numpy as np
@@ -36,13 +38,12 @@ from . import common as C
 GAP = 30 * 60 * 1_000_000
 DELAY = 48 * 3600 * 1_000_000
 BATCHES = 10
-#: Microseconds between a click and its event time in Spark, so that a click that equals the watermark is not dropped.
-DELTA = 1000
 HOUR = 3600 * 1_000_000
-#: Clients and slots that a task sums up before it sends them on.
+#: Clicks and sums that a task holds at most before it sums them up, or sends them on.
 SLOTS = 200_000
 
-FRAGMENT = "client_id long, first_us long, last_us long, n long, crc long, event_time timestamp"
+#: What a task sends of a client: rows of first_us, last_us, n, crc as 64-bit integers, and the last time among them.
+FRAGMENT = "client_id long, sums binary, event_time timestamp"
 SESSION = "client_id long, first_us long, last_us long, n_clicks long, ids_crc32 long, n_merges long, close_batch long"
 
 
@@ -71,21 +72,24 @@ def batch_of(arrived, us, client, lo: int, hi: int, batches: int):
 
 
 def slot_sums(batches):
-    """Fragments of clicks by client and slot of GAP: what a task has read, summed whenever it holds SLOTS rows."""
-    held = None
+    """Sums of clicks by client and slot of GAP, one row a client: of all that a task has read, or of as much as makes SLOTS rows."""
+    held: list[np.ndarray] = []
+    n = 0
 
     def fold(rows: np.ndarray) -> np.ndarray:
-        order = np.lexsort((rows[:, 1], rows[:, 1] // GAP, rows[:, 0]))
-        rows = rows[order]
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
         slot = rows[:, 1] // GAP
         at = np.flatnonzero(np.r_[True, (rows[1:, 0] != rows[:-1, 0]) | (slot[1:] != slot[:-1])])
         return np.column_stack([rows[at, 0], rows[at, 1], np.maximum.reduceat(rows[:, 2], at), np.add.reduceat(rows[:, 3], at), np.add.reduceat(rows[:, 4], at)])
 
     def record(rows: np.ndarray) -> pa.RecordBatch:
-        columns = [pa.array(np.ascontiguousarray(rows[:, k])) for k in range(5)]
-        far = rows[:, 3] == 0  # the closing row has no client
-        columns[0] = pa.array(np.ascontiguousarray(rows[:, 0]), mask=far)
-        return pa.RecordBatch.from_arrays([*columns, pa.array(rows[:, 2] + DELTA).cast(pa.timestamp("us", tz="UTC"))], ["client_id", "first_us", "last_us", "n", "crc", "event_time"])
+        """One row for each client of rows that are sorted by client."""
+        cuts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, len(rows)]
+        packed = np.ascontiguousarray(rows[:, 1:5])
+        sums = pa.array([packed[i:j].tobytes() for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+        at = np.ascontiguousarray(np.maximum.reduceat(rows[:, 2], cuts[:-1]))
+        client = pa.array(np.ascontiguousarray(rows[cuts[:-1], 0]), mask=rows[cuts[:-1], 3] == 0)  # the closing row has no client
+        return pa.RecordBatch.from_arrays([client, sums, pa.array(at).cast(pa.timestamp("us", tz="UTC"))], ["client_id", "sums", "event_time"])
 
     for b in batches:
         client = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
@@ -95,13 +99,30 @@ def slot_sums(batches):
         if not real.all():
             yield record(rows[real == 0])
             rows = rows[real == 1]
-        if len(rows):
-            held = fold(rows if held is None else np.r_[held, rows])
-            if len(held) >= SLOTS:
-                yield record(held)
-                held = None
-    if held is not None:
-        yield record(held)
+        held.append(rows)
+        n += len(rows)
+        if n >= SLOTS:  # many clicks fall together; what does not is sent on
+            held = [fold(np.concatenate(held))]
+            n = len(held[0])
+            if n >= SLOTS // 2:
+                yield record(held[0])
+                held, n = [], 0
+    if n:
+        yield record(fold(np.concatenate(held)))
+
+
+#: A sum of clicks: first, last, clicks, sum of hashes; an open session but for its start; a closed one: first, last, clicks, sum, merges, batch.
+PART, VALUE, CLOSED = struct.Struct("<4q"), struct.Struct("<5q"), struct.Struct("<6q")
+
+
+def unpacked(batches):
+    """Closed sessions, one row each."""
+    names = ["client_id", "first_us", "last_us", "n_clicks", "ids_crc32", "n_merges", "close_batch"]
+    for b in batches:
+        offsets, data = C.column_bytes(b.column(1))
+        rows = np.frombuffer(data.tobytes(), "<i8").reshape(-1, 6)
+        client = np.repeat(b.column(0).to_numpy(zero_copy_only=False), np.diff(offsets) // CLOSED.size)
+        yield pa.RecordBatch.from_arrays([pa.array(client, pa.int64()), *(pa.array(np.ascontiguousarray(rows[:, k])) for k in range(6))], names)
 
 
 class Sessions(StatefulProcessor):
@@ -115,7 +136,7 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "first_us long", "last_us long, n long, crc long, merges long, batch long")
+        self.open = handle.getMapState("open", "first_us long", "packed binary")
         self.done: set = set()  # clients whose sessions this run has closed
 
     def _deadline(self, last_us: int) -> int:
@@ -124,22 +145,25 @@ class Sessions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         if key[0] is None:
             return
-        new = [(r.first_us, r.last_us, r.n, r.crc, 0, None) for r in rows]
-        old = [(k[0], *v) for k, v in self.open.iterator()]
+        new = [(*x, 0, None) for r in rows for x in PART.iter_unpack(r.sums)]
+        old = [(k[0], *VALUE.unpack(v[0])) for k, v in self.open.iterator()]
+        closed = bytearray()
         group: list[tuple] = []
         for s in [*sorted(new + old, key=lambda s: s[:2]), None]:
             if group and (s is None or s[0] - end > GAP):
-                yield from self._joined(key[0], group)
+                closed += self._joined(group)
                 group = []
             if s is not None:
                 end = max(end, s[1]) if group else s[1]
                 group.append(s)
+        if closed:
+            yield Row(client_id=key[0], closed=bytes(closed))
 
-    def _joined(self, client: int, group: list[tuple]):
+    def _joined(self, group: list[tuple]) -> bytes:
         """One session of fragments and of sessions that were open before: kept with its timer, or closed at once where its timer would be due already."""
         old = [s for s in group if s[5] is not None]
         if len(old) == len(group):  # nothing new
-            return
+            return b""
         first, last = group[0][0], max(s[1] for s in group)
         n, crc, merges = sum(s[2] for s in group), sum(s[3] for s in group), sum(s[4] for s in old) + max(0, len(old) - 1)
         by = self._closed_by(last, self.batch)
@@ -149,11 +173,11 @@ class Sessions(StatefulProcessor):
             if s[1] != last or by is not None:
                 self.handle.deleteTimer(self._deadline(s[1]))
         if by is not None:
-            yield Row(client_id=client, first_us=first, last_us=last, n_clicks=n, ids_crc32=crc, n_merges=merges, close_batch=by + 1)
-            return
-        self.open.updateValue((first,), (last, n, crc, merges, self.batch))
+            return CLOSED.pack(first, last, n, crc, merges, by + 1)
+        self.open.updateValue((first,), (VALUE.pack(last, n, crc, merges, self.batch),))
         if all(s[1] != last for s in old):
             self.handle.registerTimer(self._deadline(last))
+        return b""
 
     def _closed_by(self, last_us: int, since: int) -> int | None:
         for b in range(since, len(self.bounds)):
@@ -169,17 +193,19 @@ class Sessions(StatefulProcessor):
         fired = timerValues.getCurrentWatermarkInMs()
         ready = []
         for k, v in self.open.iterator():
-            deadline = self._deadline(v[0])
-            by = self._closed_by(v[0], v[4])
+            last, n, crc, merges, since = VALUE.unpack(v[0])
+            deadline = self._deadline(last)
+            by = self._closed_by(last, since)
             if by is not None:
-                ready.append((k, v, by, deadline > fired))
+                ready.append((k, CLOSED.pack(k[0], last, n, crc, merges, by + 1), deadline))
             elif deadline <= fired:  # the bound lies within the timer's millisecond
                 self.handle.registerTimer(deadline + 1)
-        for k, v, by, pending in ready:
+        for k, _, deadline in ready:
             self.open.removeKey(k)
-            if pending:
-                self.handle.deleteTimer(self._deadline(v[0]))
-            yield Row(client_id=key[0], first_us=k[0], last_us=v[0], n_clicks=v[1], ids_crc32=v[2], n_merges=v[3], close_batch=by + 1)
+            if deadline > fired:
+                self.handle.deleteTimer(deadline)
+        if ready:
+            yield Row(client_id=key[0], closed=b"".join(x for _, x, _ in ready))
 
     def close(self) -> None:
         pass
@@ -201,6 +227,9 @@ def sessions(clicks: DataFrame, batches: int = BATCHES, delay: int = DELAY) -> D
     lo, hi = rows.agg(F.min(F.floor(F.col("arrived") / HOUR)), F.max(F.floor(F.col("arrived") / HOUR))).first()
     dealt = rows.withColumn("batch", batch_of(F.col("arrived"), F.col("us"), F.col("client_id"), lo or 0, hi or 0, batches))
     root = f"{stage.root}/{uuid.uuid4().hex}"
+    # by client and day: a task's sums of a client then hold many clicks, and a client with many has many tasks
+    day = F.floor(F.col("us") / (24 * HOUR))
+    dealt = dealt.repartition("client_id", day)
     dealt.select("client_id", "us", F.crc32(F.col("click_id").cast("string").cast("binary")).alias("crc"), "batch").write.partitionBy("batch").parquet(f"{root}/batches")
     stage.drop(rows)
     cut = spark.read.schema("client_id long, us long, crc long, batch int").parquet(f"{root}/batches")
@@ -239,8 +268,9 @@ def _run(spark: SparkSession, root: str, bounds: list[int | None], b: int, last:
     """One start of the query: it reads the folders that are new, and ends."""
     fed = spark.readStream.schema("client_id long, us long, crc long").parquet(f"{root}/fed/*")
     kept = fed.filter(F.col("us") >= bounds[b - 1]) if b and bounds[b - 1] is not None else fed
-    fragments = kept.mapInArrow(slot_sums, FRAGMENT).withWatermark("event_time", f"{delay + DELTA} microseconds")
-    closed = fragments.groupBy("client_id").transformWithState(Sessions(bounds[: b + 1], b, last), SESSION, "Append", "EventTime")
+    fragments = kept.mapInArrow(slot_sums, FRAGMENT).withWatermark("event_time", f"{delay} microseconds").select("client_id", "sums")
+    packed = fragments.groupBy("client_id").transformWithState(Sessions(bounds[: b + 1], b, last), "client_id long, closed binary", "Append", "EventTime")
+    closed = packed.mapInArrow(unpacked, SESSION)
     query = closed.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/closed")
     query.awaitTermination()
 
