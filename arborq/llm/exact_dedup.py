@@ -9,7 +9,7 @@ those that hit another document have their bytes compared with the bytes of the
 
 Results for odd inputs: null text is the empty text; texts that differ in white space only are equal; of
 equal texts the smallest non-null identifier stays (null when there is none); rows that repeat an identifier
-each get a row; an empty table gives an empty result.
+each get a row; an empty table gives an empty result. Identifiers are longs, as runs hold them in eight bytes.
 """
 
 from __future__ import annotations

@@ -162,4 +162,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each packed piece of each document.
+
+    A null or empty text is one piece of the end token alone; rows that repeat are packed each on their own; columns other than identifier and text are not read; an empty
+    table gives no pieces.
+    """
     return pack(docs)

@@ -159,6 +159,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row: doc_id, component_id (the smallest doc_id that links of Jaccard SIMILARITY or more reach).
 
     Equal sets are one node. Sets that share a band are compared exactly; a band that many different sets share is compared pair by pair.
+    Null and empty texts and those without words have the empty set, and are one class; rows that repeat each get a row; a null identifier is larger than any other;
+    an empty table gives no rows.
     """
     stage = C.Stage(docs.sparkSession, "similar")
     rows = C.id_and_text(docs, id_col, text_col)

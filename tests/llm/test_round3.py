@@ -183,7 +183,8 @@ def test_slot_sums_bound_a_hot_client():
     us = np.sort(np.random.default_rng(0).integers(0, 10 * session_closing.GAP, 50_000))
     parts = [pa.RecordBatch.from_arrays([pa.array(np.full(len(x), 7)), pa.array(x), pa.array(np.ones(len(x), np.int64))], ["client_id", "us", "crc"]) for x in np.array_split(us, 9)]
     out = pa.Table.from_batches(list(session_closing.slot_sums(iter(parts)))).to_pylist()
-    assert len(out) == 10 and sum(r["n"] for r in out) == 50_000 and all(r["last_us"] - r["first_us"] < session_closing.GAP for r in out)
+    sums = list(session_closing.PART.iter_unpack(out[0]["sums"]))
+    assert len(out) == 1 and len(sums) == 10 and sum(x[2] for x in sums) == 50_000 and all(x[1] - x[0] < session_closing.GAP for x in sums)
 
 
 # Vector codes -----------------------------------------------------------------------------------------------------------------
@@ -249,3 +250,27 @@ def test_op13_on_the_tables(spark):
     got = sorted(tuple(r) for r in vector_codes.op13_vector_codes(spark, sf).collect())
     assert got == [(i, "".join(f"{c:02x}" for c in codes), e, total[r[2]], digest) for r, (i, codes, e) in zip(rows, want, strict=True)]
     assert C.BATCH_ROWS
+
+
+# Near copies of the pipeline -----------------------------------------------------------------------------------------------------
+
+
+def test_planted_near_copies_are_found(spark):
+    """Of documents with a few words changed, put in or taken out, all that stay at a Jaccard of 0.8 of five-word shingles share a class with their original; no others do."""
+    from arborq.llm import simhash
+
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if len((r.text or "").split()) >= 40]
+    planted, words = [], "alpha beta gamma delta".split()
+    for k, r in enumerate(docs * 3):
+        w = r.text.split()
+        for _ in range(rng.choice((1, 1, 2, 3, max(1, len(w) // 60)))):
+            at = rng.randrange(len(w))
+            w[at : at + rng.choice((0, 1))] = [rng.choice(words)] * rng.choice((0, 1))
+        planted.append((10**6 + k, r.doc_id, " ".join(w)))
+    table = spark.createDataFrame([(r.doc_id, r.text) for r in docs] + [(i, t) for i, _, t in planted], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.similar_classes(table).collect()}
+    text = {r.doc_id: r.text for r in docs}
+    share = lambda a, b: len(a & b) / len(a | b)
+    sets = lambda t: set(simhash.shingles(t.encode()).tolist())
+    alike = [(i, o) for i, o, t in planted if share(sets(t), sets(text[o])) >= 0.8]
+    assert len(alike) > 100 and all(found[i] == found[o] for i, o in alike)
