@@ -48,7 +48,7 @@ def _(spark, d):
 @query("hotspots_cycles")
 def _(spark, d):
     nodes = _exported(spark, d)
-    graph = M.cut(C.build(nodes))
+    graph = M.cut(C.build(nodes), D.lines(spark, d))
     blocks, edges = C.blocks_of(graph), C.edges_of(graph)
     found = M.cut(C.cycles(blocks, edges))
     return H.cycle_hotspots(C.cycle_spans(found, blocks, nodes), found)
@@ -147,7 +147,7 @@ def _(spark, d):
 @query("cfg_cycle_spans")
 def _(spark, d):
     nodes = _exported(spark, d)
-    graph = M.cut(C.build(nodes))
+    graph = M.cut(C.build(nodes), D.lines(spark, d))
     blocks = C.blocks_of(graph)
     return C.cycle_spans(C.cycles(blocks, C.edges_of(graph)), blocks, nodes)
 
