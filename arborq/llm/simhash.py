@@ -158,7 +158,8 @@ def jaccard_at_least(a: bytes, b: bytes, similarity: float = SIMILARITY) -> bool
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, component_id (the smallest doc_id that links of Jaccard SIMILARITY or more reach).
 
-    Equal sets are one node. Sets that share a band are compared exactly; a band that many different sets share is compared pair by pair.
+    Equal sets are one node. Candidates are the sets whose SimHash fingerprints of the same shingles multi-index hashing links, and, as most pairs of that similarity differ in more bits
+    than it reaches, those that share a band. All candidates are compared exactly. Of the sets with one fingerprint the smallest node stands for the others; a band that many different sets share is compared pair by pair.
     Null and empty texts and those without words have the empty set, and are one class; rows that repeat each get a row; a null identifier is larger than any other;
     an empty table gives no rows.
     """
@@ -174,15 +175,21 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 bodies = [x.tobytes() for x in sets]
                 node = np.fromiter(map(xxhash.xxh64_intdigest, bodies), np.uint64, len(sets)).view(np.int64)
                 keys = [bands(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(node), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "node", "body", "keys"])
+                fp = np.fromiter((fingerprint(raw[x:y], WORDS) for x, y in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist(), strict=True)), np.uint64, len(sets)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(node), pa.array(bodies, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(fp)], ["doc_id", "node", "body", "keys", "fp"])
 
-    all_rows = stage.table(rows.mapInArrow(C.tidy(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, body binary, keys array<long>"))
+    all_rows = stage.table(rows.mapInArrow(C.tidy(work), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node long, body binary, keys array<long>, fp long"))
     nodes = stage.table(all_rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     keyed = all_rows.select("node", F.explode("keys").alias("key")).distinct()
     shared = keyed.groupBy("key").count().filter("count > 1").select("key")
     keyed = stage.table(keyed.join(shared, "key", "left_semi"))
-    pairs = keyed.withColumnRenamed("node", "u").join(keyed.withColumnRenamed("node", "v"), "key").filter("u < v").select("u", "v").distinct()
-    pairs = stage.table(pairs)
+    pairs = keyed.withColumnRenamed("node", "u").join(keyed.withColumnRenamed("node", "v"), "key").filter("u < v").select("u", "v")
+    marked = stage.table(all_rows.select("fp", "node").distinct())
+    prints = stage.table(marked.groupBy("fp").agg(F.min("node").alias("head")))
+    alone = marked.join(prints, "fp").filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    linked = links(prints.select("fp")).join(prints.select(F.col("fp").alias("u"), F.col("head").alias("x")), "u").join(prints.select(F.col("fp").alias("v"), F.col("head").alias("y")), "v")
+    linked = linked.filter("x <> y").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"))
+    pairs = stage.table(pairs.unionByName(alone).unionByName(linked).distinct())
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     # of a node's rows only those of its smallest identifier move, so a large group of copies is no hot key
     chosen = wanted.join(nodes.select("node", "first"), "node").select(F.col("node").alias("_node"), "first")
