@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .module_graph import cut
+from .module_graph import cut, sorted_join
 from .tree import kind_histogram, kind_sequence
 
 CLONE_LIMIT = 0.1
@@ -225,5 +225,5 @@ def tree_gw(a: Column | str, b: Column | str) -> Column:
 def parent_places(nodes: DataFrame, limit: int = GW_NODES) -> DataFrame:
     """(file_id, parents): parent place of each of the first nodes in pre-order."""
     up = nodes.select("file_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("parent_pre"))
-    j = nodes.filter(F.col("pre") < limit).join(up, ["file_id", "parent_id"], "left")
+    j = sorted_join(nodes.filter(F.col("pre") < limit), up, ["file_id", "parent_id"], "left")
     return j.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", F.coalesce("parent_pre", F.lit(-1)).cast("int").alias("p")))), lambda x: x["p"]).alias("parents"))
