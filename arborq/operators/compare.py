@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +16,8 @@ from .tree import kind_histogram, kind_sequence
 CLONE_LIMIT = 0.1
 #: Fixed values of the Gromov-Wasserstein iteration.
 GW_NODES, GW_OUTER, GW_SINKHORN, GW_REGULAR, GW_TOLERANCE = 200, 50, 100, 0.5, 1e-6
+#: Relative change of the scaling factors that is rounding alone.
+GW_STILL = 1e-14
 
 
 def encoded(kinds: Column, vocabulary: list[str]) -> Column:
@@ -169,7 +174,7 @@ def clones(sequences: DataFrame, vocabulary: list[str], limit: float = CLONE_LIM
     return near.unionByName(same)
 
 
-def _hops(parents: list[int]) -> np.ndarray:
+def _hops(parents: Sequence[int]) -> np.ndarray:
     """Hop distances within a tree, from each node's parent place (-1 for the root), parents first."""
     n = len(parents)
     d = np.zeros((n, n))
@@ -180,37 +185,91 @@ def _hops(parents: list[int]) -> np.ndarray:
     return d
 
 
-def _gw(c1: np.ndarray, c2: np.ndarray) -> float:
-    """Entropic Gromov-Wasserstein discrepancy of two distance matrices under uniform weights."""
-    p, q = np.full(len(c1), 1 / len(c1)), np.full(len(c2), 1 / len(c2))
-    t = np.outer(p, q)
-    const = (c1**2 @ p)[:, None] + (c2**2 @ q)[None, :]
+def _alike(parents: Sequence[int]) -> np.ndarray:
+    """Class of each node: two nodes are alike if the tree can be laid on itself with the one on the other. Parents come first; what is no tree has a class a node."""
+    n = len(parents)
+    if sum(p < 0 for p in parents) != 1 or any(p >= i for i, p in enumerate(parents)):
+        return np.arange(n)
+    below: list[list[int]] = [[] for _ in parents]
+    shapes: dict[tuple[int, ...], int] = {}
+    shape = [0] * n
+    for i in range(n - 1, -1, -1):
+        shape[i] = shapes.setdefault(tuple(sorted(below[i])), len(shapes))
+        if parents[i] >= 0:
+            below[parents[i]].append(shape[i])
+    classes: dict[tuple[int, int], int] = {}
+    own: list[int] = []
+    for i, p in enumerate(parents):
+        own.append(classes.setdefault((own[p] if p >= 0 else -1, shape[i]), len(classes)))
+    return np.array(own)
+
+
+class Folded:
+    """A distance matrix by classes of alike nodes: their sizes, hops summed from a class's node to those of each class, mean squared hops."""
+
+    def __init__(self, hops: np.ndarray, classes: np.ndarray):
+        first = np.unique(classes, return_index=True)[1]
+        self.full, self.size = hops, np.bincount(classes).astype(float)
+        self.hops = hops[first] @ (classes[:, None] == np.arange(len(first)))
+        self.square = (hops[first] ** 2).mean(1)
+        self.mean_square = float((hops**2).mean())
+        self.top = float(hops.max())
+
+
+def _gw(a: Folded, b: Folded, scale: float) -> float:
+    """Entropic Gromov-Wasserstein discrepancy of two distance matrices, divided by ``scale``, under uniform weights.
+
+    A plan starts alike for alike nodes and each step keeps it so, so one entry for each pair of classes has the whole plan. Scaling ends before
+    its last round where a round changes nothing any more.
+    """
+    m, n = a.size, b.size
+    p, q = 1 / m.sum(), 1 / n.sum()
+    s1, s2 = a.hops / scale, (b.hops / scale).T
+    t = np.full((len(m), len(n)), p * q)
+    const = (a.square[:, None] + b.square[None, :]) / scale**2
     for _ in range(GW_OUTER):
-        cost = const - 2 * c1 @ t @ c2.T
+        cost = const - 2 * (s1 @ t @ s2)
         k = np.exp(-(cost - cost.min()) / GW_REGULAR)
-        u = np.ones(len(p))
+        right, left = k * n, np.ascontiguousarray((k * m[:, None]).T)
+        u = np.ones(len(m))
         for _ in range(GW_SINKHORN):
-            v = q / np.maximum(k.T @ u, 1e-300)
-            u = p / np.maximum(k @ v, 1e-300)
+            v = q / np.maximum(left @ u, 1e-300)
+            was, u = u, p / np.maximum(right @ v, 1e-300)
+            if (np.abs(u - was) <= GW_STILL * u).all():
+                break
         new = u[:, None] * k * v[None, :]
         moved, t = np.abs(new - t).max(), new
         if moved < GW_TOLERANCE:
             break
-    return float(((const - 2 * c1 @ t @ c2.T) * t).sum())
+    return float(m @ ((const - 2 * (s1 @ t @ s2)) * t) @ n)
+
+
+@lru_cache(maxsize=16)
+def _folded(parents: tuple[int, ...]) -> Folded:
+    return Folded(_hops(parents), _alike(parents))
+
+
+@lru_cache(maxsize=16)
+def _own_term(parents: tuple[int, ...], scale: float) -> float:
+    own = _folded(parents)
+    return _gw(own, own, scale)
 
 
 def gw_distance(parents_a: list[int], parents_b: list[int]) -> float:
-    """In [0, 1]: 0 for equal trees; 1 where one is empty. Only the first GW_NODES nodes in pre-order take part."""
-    a, b = _hops(list(parents_a)[:GW_NODES]), _hops(list(parents_b)[:GW_NODES])
-    if not len(a) or not len(b):
-        return 0.0 if len(a) == len(b) else 1.0
-    if a.shape == b.shape and (a == b).all():
+    """In [0, 1]: 0 for equal trees; 1 where one is empty. Only the first GW_NODES nodes in pre-order take part.
+
+    A tree's own part is remembered for the next pairs, so pairs that share a tree go well behind each other.
+    """
+    own_a, own_b = (tuple(int(x) for x in own[:GW_NODES]) for own in (parents_a, parents_b))
+    if not own_a or not own_b:
+        return 0.0 if len(own_a) == len(own_b) else 1.0
+    a, b = _folded(own_a), _folded(own_b)
+    if a.full.shape == b.full.shape and (a.full == b.full).all():
         return 0.0
-    scale = max(a.max(), b.max(), 1.0)
-    a, b = a / scale, b / scale
-    self_term = max((_gw(a, a) + _gw(b, b)) / 2, 0.0)
-    top = max((a**2).mean(), (b**2).mean(), 1e-12)
-    return float(np.clip((_gw(a, b) - self_term) / top, 0.0, 1.0))
+    scale = max(a.top, b.top, 1.0)
+    self_term = max((_own_term(own_a, scale) + _own_term(own_b, scale)) / 2, 0.0)
+    top = max(a.mean_square / scale**2, b.mean_square / scale**2, 1e-12)
+    return float(np.clip((_gw(a, b, scale) - self_term) / top, 0.0, 1.0))
 
 
 def tree_gw(a: Column | str, b: Column | str) -> Column:

@@ -3,7 +3,8 @@
 import os
 import time
 
-from arborq.operators import dependence, flow, module_graph
+import numpy as np
+from arborq.operators import compare, dependence, flow, module_graph
 from arborq.plans import catalog
 from pyspark.sql import functions as F
 
@@ -64,3 +65,37 @@ def test_files_pass_as_a_stream_and_long_ones_take_time_in_proportion(spark):
     rows = spark.createDataFrame([(f, i) for f in (3, 1, None, 2) for i in (2, 1, 3)], "file_id int, place long")
     got = flow.by_file(rows, lambda own: [(len(own), [p for _, p in own])], {"n": flow.pa.int64(), "places": flow.pa.list_(flow.pa.int64())}, "place")
     assert sorted(map(str, got.collect())) == sorted(map(str, [got.collect()[0].__class__(file_id=f, n=3, places=[1, 2, 3]) for f in (3, 1, None, 2)]))
+
+
+def test_gw_folds_alike_nodes_and_gives_what_the_whole_plan_gives():
+    def whole(c1, c2):
+        p, q = np.full(len(c1), 1 / len(c1)), np.full(len(c2), 1 / len(c2))
+        t = np.outer(p, q)
+        const = (c1**2 @ p)[:, None] + (c2**2 @ q)[None, :]
+        for _ in range(compare.GW_OUTER):
+            cost = const - 2 * c1 @ t @ c2.T
+            k = np.exp(-(cost - cost.min()) / compare.GW_REGULAR)
+            u = np.ones(len(p))
+            for _ in range(compare.GW_SINKHORN):
+                v = q / np.maximum(k.T @ u, 1e-300)
+                u = p / np.maximum(k @ v, 1e-300)
+            new = u[:, None] * k * v[None, :]
+            moved, t = np.abs(new - t).max(), new
+            if moved < compare.GW_TOLERANCE:
+                break
+        return float(((const - 2 * c1 @ t @ c2.T) * t).sum())
+
+    rng = np.random.default_rng(5)
+    trees = [[-1, *(int(rng.integers(max(0, i - 4), i)) for i in range(1, n))] for n in (1, 2, 9, 30, 60)] + [[-1] + [0] * 40, [-1, -1, 0, 1, 1], [-1, 3, 0, 0]]
+    for a in trees:
+        for b in trees:
+            x, y = compare._hops(a), compare._hops(b)
+            if a == b:
+                assert compare.gw_distance(a, b) == 0
+                continue
+            scale = max(x.max(), y.max(), 1.0)
+            x, y = x / scale, y / scale
+            own = max((whole(x, x) + whole(y, y)) / 2, 0.0)
+            want = np.clip((whole(x, y) - own) / max((x**2).mean(), (y**2).mean(), 1e-12), 0.0, 1.0)
+            assert abs(compare.gw_distance(a, b) - want) < 1e-9
+    assert len(set(compare._alike([-1] + [0] * 199))) == 2  # a plan of 4 entries, not of 40,000
