@@ -66,14 +66,14 @@ def directed_forman(edges: DataFrame, within: tuple[str, ...] = ()) -> DataFrame
     """(within..., src, dst, weight, curvature) of weighted arcs; parallel arcs stay, self-loops go, weights of 0 or less give 0.
 
     w_u and w_v are 1. The sums over arcs into u and out of v are two aggregates, whatever the degrees. ``within`` names columns that tell graphs apart,
-    so many graphs take one pass.
+    so many graphs take one pass. They have a row a node, so they are hashed by parts and the arcs are never sorted.
     """
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
     e = edges.filter("src <> dst").withColumn("weight", weight)
     positive = e.filter("weight > 0")
     into = positive.groupBy(*within, F.col("dst").alias("src")).agg(F.sum(1 / F.sqrt("weight")).alias("into"))
     out = positive.groupBy(*within, F.col("src").alias("dst")).agg(F.sum(1 / F.sqrt("weight")).alias("out"))
-    j = e.join(into, [*within, "src"], "left").join(out, [*within, "dst"], "left").na.fill(0.0, ["into", "out"])
+    j = e.join(into.hint("shuffle_hash"), [*within, "src"], "left").join(out.hint("shuffle_hash"), [*within, "dst"], "left").na.fill(0.0, ["into", "out"])
     value = F.when(F.col("weight") <= 0, 0.0).otherwise(2.0 - F.sqrt("weight") * (F.col("into") + F.col("out")))
     return j.select(*within, "src", "dst", "weight", value.alias("curvature"))
 

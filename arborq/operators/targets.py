@@ -124,6 +124,8 @@ def cycle_hotspots(spans: DataFrame, cycles: DataFrame, n: int = HOTSPOTS) -> Da
 
 
 def _curved(edges: DataFrame, kind: str, said: tuple[str, str], within: list[str], n: int) -> DataFrame:
+    # labels are made for the first n scores and their ties alone
+    edges = edges.withColumn("_rank", F.rank().over(W.partitionBy(*within).orderBy("curvature"))).filter(F.col("_rank") <= n).drop("_rank")
     label = F.concat(F.col("src").cast("string"), F.lit(" -> "), F.col("dst").cast("string"))
     own = edges.select(*within, F.lit(kind).alias("kind"), label.alias("label"), F.col("curvature").alias("score"), F.when(F.col("curvature") < 0, said[0]).otherwise(said[1]).alias("suggestion"))
     return ranked(own, [F.col("score"), F.col("label")], within, n)

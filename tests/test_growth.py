@@ -4,7 +4,7 @@ import os
 import time
 
 import numpy as np
-from arborq.operators import compare, dependence, flow, module_graph
+from arborq.operators import compare, curvature, dependence, flow, module_graph, targets
 from arborq.plans import catalog
 from pyspark.sql import functions as F
 
@@ -99,3 +99,14 @@ def test_gw_folds_alike_nodes_and_gives_what_the_whole_plan_gives():
             want = np.clip((whole(x, y) - own) / max((x**2).mean(), (y**2).mean(), 1e-12), 0.0, 1.0)
             assert abs(compare.gw_distance(a, b) - want) < 1e-9
     assert len(set(compare._alike([-1] + [0] * 199))) == 2  # a plan of 4 entries, not of 40,000
+
+
+def test_arcs_of_many_graphs_are_not_sorted_for_their_sums_and_ties_are_ranked_by_label(spark):
+    arcs = [("f", f"a{i % 7}", f"b{i % 5}", 1.0 + i % 3) for i in range(200)] + [("g", f"a{i}", "b", 1.0) for i in range(12)]
+    curved = curvature.directed_forman(spark.createDataFrame(arcs, "file string, src string, dst string, weight double"), ("file",))
+    assert "SortMergeJoin" not in curved._jdf.queryExecution().executedPlan().toString()
+    rows = curved.collect()
+    for n in (1, 5, 300):
+        want = {(f, *x) for f in "fg" for x in sorted((r.curvature, f"{r.src} -> {r.dst}") for r in rows if r.file == f)[:n]}
+        got = targets.process_hotspots(curved, n).collect()
+        assert {(r.file, r.score, r.label) for r in got} == want and len(got) == sum(min(n, sum(r.file == f for r in rows)) for f in "fg")
