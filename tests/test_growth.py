@@ -110,3 +110,12 @@ def test_arcs_of_many_graphs_are_not_sorted_for_their_sums_and_ties_are_ranked_b
         want = {(f, *x) for f in "fg" for x in sorted((r.curvature, f"{r.src} -> {r.dst}") for r in rows if r.file == f)[:n]}
         got = targets.process_hotspots(curved, n).collect()
         assert {(r.file, r.score, r.label) for r in got} == want and len(got) == sum(min(n, sum(r.file == f for r in rows)) for f in "fg")
+
+
+def test_one_pass_builds_graphs_with_their_procedures_and_metrics(spark):
+    nodes = catalog._exported(spark, SF)
+    graph, both = flow.build(nodes), module_graph.cut(flow.build_and_measure(nodes))
+    blocks, edges = flow.blocks_of(graph), flow.edges_of(graph)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(blocks) == rows(flow.blocks_of(both)) and rows(edges) == rows(flow.edges_of(both))
+    assert rows(flow.procedures(blocks, edges)) == rows(flow.procedures_of(both)) and rows(flow.metrics(blocks, edges)) == rows(flow.metrics_of(both))
