@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lattice import BITS, TOP
+from .flow import by_file
+from .module_graph import cut
 from .tree import ancestors
 
 #: Calls taken for dangerous, by language.
@@ -84,14 +86,15 @@ def source_nodes(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     return own.withColumn("_t", F.trim("text")).join(sources.select(F.col("key").alias("_t")).distinct(), "_t", "left_semi").drop("_t")
 
 
-def bridge(nodes: DataFrame, statements: DataFrame) -> DataFrame:
+def bridge(nodes: DataFrame, statements: DataFrame, parts: int | None = None) -> DataFrame:
     """(file_id, node_id, stmt): the smallest statement whose span holds the node.
 
     ``nodes`` and ``statements`` are nodes of one tree a file, with (file_id, node_id, pre, last): the innermost is the one opened last, so one
-    pass over both in order finds it.
+    pass over both in order finds it. ``parts`` fixes the number of its partitions, as in ``by_file``.
     """
     part = lambda df, name: df.select("file_id", "node_id", "pre", "last", F.lit(name).alias("_as"))
     both = part(nodes, "node").unionByName(part(statements, "stmt"))
+    both = both.repartition(parts, "file_id") if parts else both
     found = ancestors(both, F.col("_as") == "stmt", F.col("_as") == "node", ("node_id",), strict=False, nearest=True)
     return found.select("file_id", "node_id", F.col("anc.node_id").alias("stmt"))
 
@@ -146,37 +149,37 @@ def reach_bits(near: dict, bit: dict) -> dict:
     return bits
 
 
-def reached(starts: DataFrame, ends: DataFrame, edges: DataFrame) -> DataFrame:
+def reached(starts: DataFrame, ends: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(file_id, start, at): the ends (file_id, at) that each start (file_id, start) reaches along edges (file_id, src, dst), itself included.
 
-    A file's graph is one group; all its starts are answered by one pass that carries a bit for each end.
+    A file's graph passes at once; all its starts are answered by one pass that carries a bit for each end. ``parts`` as in ``by_file``.
     """
-    kind, node = edges.schema["file_id"].dataType.simpleString(), edges.schema["src"].dataType.simpleString()
+    node = {"string": pa.string(), "integer": pa.int32(), "long": pa.int64()}[edges.schema["src"].dataType.typeName()]
     row = lambda df, a, b, as_: df.select("file_id", F.col(a).alias("a"), F.col(b).alias("b"), F.lit(as_).alias("what")).distinct()
     rows = row(edges, "src", "dst", 0).unionByName(row(starts, "start", "start", 1)).unionByName(row(ends, "at", "at", 2))
 
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        near, wanted, out = defaultdict(list), g[g["what"] == 2]["a"].tolist(), []
-        for a, b in g[g["what"] == 0][["a", "b"]].itertuples(index=False):
-            near[a].append(b)
+    def one(rows: list[tuple]):
+        near, wanted = defaultdict(list), [a for _, a, _, what in rows if what == 2]
+        for _, a, b, what in rows:
+            if what == 0:
+                near[a].append(b)
         bits = reach_bits(near, {x: 1 << i for i, x in enumerate(wanted)}) if wanted else {}
-        for s in g[g["what"] == 1]["a"]:
-            word = bits.get(s, 0)
+        for _, s, _, what in rows:
+            word = bits.get(s, 0) if what == 1 else 0
             while word:
                 i = (word & -word).bit_length() - 1
-                out.append((g["file_id"].iloc[0], s, wanted[i]))
+                yield s, wanted[i]
                 word &= word - 1
-        return pd.DataFrame(out, columns=["file_id", "start", "at"])
 
-    return rows.groupBy("file_id").applyInPandas(one, f"file_id {kind}, start {node}, at {node}")
+    return by_file(rows, one, {"start": node, "at": node}, parts=parts)
 
 
-def taint_flows(sources: DataFrame, sinks: DataFrame, statements: DataFrame, edges: DataFrame, bridged: bool = True) -> DataFrame:
+def taint_flows(sources: DataFrame, sinks: DataFrame, statements: DataFrame, edges: DataFrame, bridged: bool = True, parts: int | None = None) -> DataFrame:
     """(file_id, source, sink): pairs whose statements are connected. Without ``bridged`` the nodes' own identifiers are looked up."""
-    own = lambda x: bridge(x, statements) if bridged else x.select("file_id", "node_id", F.col("node_id").alias("stmt"))
+    own = lambda x: cut(bridge(x, statements, parts)) if bridged else x.select("file_id", "node_id", F.col("node_id").alias("stmt"))
     a = own(sources).select("file_id", F.col("node_id").alias("source"), F.col("stmt").alias("start"))
     b = own(sinks).select("file_id", F.col("node_id").alias("sink"), F.col("stmt").alias("at"))
-    met = reached(a, b, edges)
+    met = reached(a, b, edges, parts)
     return a.join(met, ["file_id", "start"]).join(b, ["file_id", "at"]).select("file_id", "source", "sink").distinct()
 
 

@@ -4,7 +4,7 @@ import os
 import time
 
 import numpy as np
-from arborq.operators import compare, curvature, dependence, flow, module_graph, targets
+from arborq.operators import compare, curvature, dependence, flow, module_graph, security, targets
 from arborq.plans import catalog
 from pyspark.sql import functions as F
 
@@ -119,3 +119,37 @@ def test_one_pass_builds_graphs_with_their_procedures_and_metrics(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(blocks) == rows(flow.blocks_of(both)) and rows(edges) == rows(flow.edges_of(both))
     assert rows(flow.procedures(blocks, edges)) == rows(flow.procedures_of(both)) and rows(flow.metrics(blocks, edges)) == rows(flow.metrics_of(both))
+
+
+def test_files_are_read_in_small_pieces_and_sorted_in_partitions_that_no_setting_merges(spark):
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = {}
+
+    class Watched:
+        sparkSession = spark
+        schema = spark.range(1).schema
+
+        @property
+        def write(self):
+            seen["split"] = spark.conf.get("spark.sql.files.maxPartitionBytes")
+            return spark.range(1).write
+
+    module_graph.cut(Watched())
+    assert seen == {"split": module_graph.SPLIT} and spark.conf.get("spark.sql.files.maxPartitionBytes") == was
+    rows = 40 * module_graph.PARTITION_ROWS
+    nodes = spark.range(1000).selectExpr("id % 100 AS file_id", "id AS pre")
+    assert module_graph.spread(nodes, rows).rdd.getNumPartitions() == 40
+    got = flow.by_file(nodes, lambda own: [(len(own),)], {"n": flow.pa.int64()}, "pre", parts=module_graph.parts(spark, rows))
+    assert got.rdd.getNumPartitions() == 40 and got.filter("n = 10").count() == 100
+    for name in ("kind_sequence", "qualified_names", "reaching_defs", "kind_l1_distance", "taint_bridge"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan, name
+
+
+def test_reached_ends_of_a_file_come_as_a_stream_with_numbers_too(spark):
+    edges = spark.createDataFrame([(1, 5, 6), (1, 6, 5), (1, 6, 7), (2, 5, 7)], "file_id int, src int, dst int")
+    starts = spark.createDataFrame([(1, 5), (1, 7), (2, 7), (None, 5)], "file_id int, start int")
+    ends = spark.createDataFrame([(1, 7), (1, 5), (2, 5), (None, 5)], "file_id int, at int")
+    got = security.reached(starts, ends, edges, 3)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, 5, 5), (1, 5, 7), (1, 7, 7), (None, 5, 5)]
