@@ -153,3 +153,12 @@ def test_reached_ends_of_a_file_come_as_a_stream_with_numbers_too(spark):
     got = security.reached(starts, ends, edges, 3)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, got.collect()), key=str) == [(1, 5, 5), (1, 5, 7), (1, 7, 7), (None, 5, 5)]
+
+
+def test_blocks_and_edges_read_numbered_statements_without_a_shuffle(spark):
+    nodes = catalog._trees(spark, SF)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for got, whole in zip(catalog._flow_tables(spark, SF, nodes), catalog.D.flow_graphs(spark, SF), strict=True):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
+        assert rows(got) == rows(whole)
