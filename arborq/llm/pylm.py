@@ -1,9 +1,10 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-A restaurant seats every training token as a customer of its word. The tables of that restaurant are the customers of a
+Every training token is a customer in the restaurant of the word before it (of the end token for a document's first word). The tables of these restaurants
+are the customers of one restaurant of words, and its tables are the customers of a
 spelling model: restaurants for the contexts of up to ``order`` bytes within a word, where a context shares its parent
 with all contexts that have the same last bytes, down to the empty context, whose parent is uniform over bytes. So a word's
-probability mixes its own count with the probability of its spelling, and words never seen have one too.
+probability mixes its count behind the word before it, the number of contexts it has, and its spelling, and words never seen have one too.
 
 The score takes a word never seen in training for the one outcome "unknown word", as the base score does: its probability is that
 of a new table times the spelling model's mass outside the vocabulary. spelled_score has each such word's own spelling instead.
@@ -13,10 +14,12 @@ Chinese restaurant process, given the tables of all other dishes (beyond the fir
 blocks of an eighth of those seated). Word seatings are sampled where the words are, from seeds made of the sweep
 and the shard, so that a task that runs again samples the same; spelling seatings are sampled on the driver over the whole tree, which
 has at most 2 ** 24 leaves at any input size. Predictive probabilities of the sweeps after the first are averaged. Discounts are set from the numbers of
-dishes with one and with two customers.
+dishes with one and with two customers. Restaurants of preceding words are swept where all their customers are, given the words' shares of the training tokens, before
+the words' restaurant and the spelling's are; their last seating counts, and those of a shard share a discount.
 
-Word counts cover all training documents: tasks count blocks of documents, shards of the vocabulary add the blocks' counts and
-send each block its words' probabilities back.
+Counts cover all training documents: tasks count blocks of documents, shards of the vocabulary add the blocks' counts and
+send each block its words' numbers back. With these a block sends its pairs to the shards of their first words, which seat them, send each block its pairs' counts and tables,
+and the words' shards the tables of each word. What is sent is packed: ascending numbers as differences, bytes by their place, zstandard.
 
 Results for odd inputs: a null or empty text is one end token; without training documents every word has its spelling's uniform
 probability and base_score takes N = V = 0; repeated rows count and are scored as often as they occur; an empty table gives an
@@ -42,11 +45,38 @@ END, LAST = b"\f", b"\n"
 #: Bytes of the longest spelling context.
 ORDER = 2
 SWEEPS, BURN_IN = 4, 1
+CONTEXT_SWEEPS = 3
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 SINGLY = 24
 STRENGTH = 1.0
 SEED = 20
+#: In place of a sweep's number in the seeds of restaurants of preceding words.
+CONTEXT = 1 << 16
+
+
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers from 0, or of any sign if not all fit 32 bits."""
+    own = np.diff(values, prepend=0) if ascending else values
+    wide = len(own) and (int(own.max()) >> 32 or int(own.min()) < 0)
+    planes = np.ascontiguousarray(own.astype("<i8" if wide else "<u4").view(np.uint8).reshape(len(own), 8 if wide else 4).T)
+    return bytes([8 if wide else 4]) + len(own).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes, ascending: bool = False) -> np.ndarray:
+    size, n = raw[0], int.from_bytes(raw[1:9], "little")
+    planes = np.frombuffer(pa.decompress(raw[9:], size * n, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    own = np.ascontiguousarray(planes.T).view("<i8" if size == 8 else "<u4").reshape(n).astype(np.int64)
+    return np.cumsum(own) if ascending else own
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    raw = b" ".join(words)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True).split(b" ")
 
 
 def blocks(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -75,11 +105,11 @@ def blocks(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> Data
             none = pa.nulls
             yield pa.RecordBatch.from_arrays([
                 pa.array([int(shard[p[0]]) for p in parts] + [-1], pa.int32()), pa.array([block] * (n + 1), pa.int64()),
-                pa.array([b" ".join([words[i] for i in p.tolist()]) for p in parts] + [None], pa.binary()),
-                pa.array([p.astype("<u4").tobytes() for p in parts] + [None], pa.binary()), pa.array([trained[p].astype("<i8").tobytes() for p in parts] + [None], pa.binary()),
+                pa.array([pack_words([words[i] for i in p.tolist()]) for p in parts] + [None], pa.binary()),
+                pa.array([pack(p, True) for p in parts] + [None], pa.binary()), pa.array([pack(trained[p]) for p in parts] + [None], pa.binary()),
                 pa.concat_arrays([none(n, pa.list_(id_type)), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids, id_type))]),
-                pa.array([None] * n + [np.array(held, np.uint8).tobytes()], pa.binary()), pa.array([None] * n + [size.astype("<u4").tobytes()], pa.binary()),
-                pa.array([None] * n + [flat.astype("<u4").tobytes()], pa.binary()),
+                pa.array([None] * n + [np.array(held, np.uint8).tobytes()], pa.binary()), pa.array([None] * n + [pack(size)], pa.binary()),
+                pa.array([None] * n + [pack(flat)], pa.binary()),
             ], names)
 
         fresh = lambda: (defaultdict(counter().__next__), [], [], [])
@@ -106,32 +136,160 @@ def blocks(docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES) -> Data
     return rows.mapInArrow(C.tidy(work), f"shard int, block long, words binary, places binary, counts binary, docs array<{kind.simpleString()}>, held binary, sizes binary, tokens binary")
 
 
-def _added(table: pa.Table) -> tuple[list[bytes], np.ndarray, dict[bytes, int]]:
-    """The words of a shard in order, their training counts, and each word's place."""
-    place: dict[bytes, int] = defaultdict(counter().__next__)
-    at, n = [], []
-    for words, counts in zip(table.column("words"), table.column("counts"), strict=True):
-        own = words.as_py().split(b" ")
-        at.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
-        n.append(np.frombuffer(counts.as_py(), "<i8"))
-    words = list(place)
-    total = np.zeros(len(words), np.int64)
-    np.add.at(total, np.concatenate(at), np.concatenate(n))
-    return words, total, place
-
-
 def vocabulary(parts: DataFrame) -> DataFrame:
-    """One row a shard: words and training counts, sorted by word; n, v: customers and dishes; ones, twos: dishes with 1 and 2 customers."""
+    """One row a shard: words and training counts, the most frequent first; n, v: customers and dishes."""
 
     def work(table: pa.Table) -> pa.Table:
-        words, total, _ = _added(table)
-        order = sorted(range(len(words)), key=words.__getitem__)
+        place: dict[bytes, int] = defaultdict(counter().__next__)
+        at, n = [], []
+        for words, counts in zip(table.column("words"), table.column("counts"), strict=True):
+            own = unpack_words(words.as_py())
+            at.append(np.fromiter(map(place.__getitem__, own), np.int64, len(own)))
+            n.append(unpack(counts.as_py()))
+        words = list(place)
+        total = np.zeros(len(words), np.int64)
+        np.add.at(total, np.concatenate(at), np.concatenate(n))
+        order = sorted(range(len(words)), key=lambda i: (-total[i], words[i]))
         total = total[order]
-        row = [table.column("shard")[0].as_py(), b" ".join([words[i] for i in order]), total.astype("<i8").tobytes(), int(total.sum()), *(int(x.sum()) for x in (total > 0, total == 1, total == 2))]
-        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["shard", "words", "counts", "n", "v", "ones", "twos"])
+        row = [table.column("shard")[0].as_py(), b" ".join([words[i] for i in order]), total.astype("<i8").tobytes(), int(total.sum()), int((total > 0).sum())]
+        return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["shard", "words", "counts", "n", "v"])
+
+    return parts.filter("shard >= 0").select("shard", "words", "counts").groupBy("shard").applyInArrow(work, "shard int, words binary, counts binary, n long, v long")
+
+
+#: Rows that go to a block. shard < 0: places of words in the block (one), their numbers (two), training counts (three), log10 probabilities (four).
+#: shard >= 0: of the block's pairs whose first word is in that shard, in the order of their numbers, counts (one) and tables (two), and the tables of their first words (three).
+TO_BLOCK = "block long, shard int, discount double, one binary, two binary, three binary, four binary"
+
+
+def to_block(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], [x.split()[0] for x in TO_BLOCK.split(", ")])
+
+
+def words_of_blocks(parts: DataFrame, vocab: DataFrame, shards: int, logp=None) -> DataFrame:
+    """For each block and shard the numbers and training counts of its words. ``logp``: also their probabilities, from (shard, words, counts, customers)."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return to_block([])
+        row = {c: right.column(c)[0].as_py() for c in right.column_names}
+        words, counts = row["words"].split(b" "), np.frombuffer(row["counts"], "<i8")
+        rank = {w: i for i, w in enumerate(words)}
+        p = None if logp is None else logp(row["shard"], words, np.frombuffer(row["customers"], "<i8"))
+        out = []
+        for block, own, at in zip(left.column("block"), left.column("words"), left.column("places"), strict=True):
+            own = unpack_words(own.as_py())
+            i = np.fromiter(map(rank.__getitem__, own), np.int64, len(own))
+            out.append((block.as_py(), -1, None, at.as_py(), pack(i * shards + row["shard"]), pack(counts[i]), None if p is None else p[i].astype("<f4").tobytes()))
+        return to_block(out)
+
+    words = parts.filter("shard >= 0").select("shard", "block", "words", "places")
+    return words.groupBy("shard").cogroup(vocab.groupBy("shard")).applyInArrow(work, TO_BLOCK)
+
+
+class Pairs:
+    """The pairs of a block: each token (``at``) with the token before it, the first with the end. Their numbers (``key``: first word's, second word's) are sorted
+    and dealt by the first word's shard."""
+
+    def __init__(self, left: pa.Table, right: pa.Table, shards: int):
+        self.sizes, self.flat = unpack(left.column("sizes")[0].as_py()), unpack(left.column("tokens")[0].as_py())
+        self.held = np.frombuffer(left.column("held")[0].as_py(), np.uint8).astype(bool)
+        rows = [r for r in right.to_pylist() if r["shard"] < 0]
+        at = np.concatenate([unpack(r["one"], True) for r in rows])
+        self.number, self.count, self.logp = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64), np.zeros(len(at))
+        self.number[at] = np.concatenate([unpack(r["two"]) for r in rows])
+        self.count[at] = np.concatenate([unpack(r["three"]) for r in rows])
+        if rows[0]["four"] is not None:
+            self.logp[at] = np.concatenate([np.frombuffer(r["four"], "<f4") for r in rows])
+        before = np.r_[self.flat[-1:], self.flat[:-1]]  # every document ends with the end
+        self.key, first, self.at = np.unique(self.number[before] << np.uint64(32) | self.number[self.flat], return_index=True, return_inverse=True)
+        self.first, self.second = before[first], self.flat[first]
+        shard = ((self.key >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.r_[0, np.flatnonzero(np.diff(shard[order])) + 1, len(order)]
+        self.parts = {int(shard[order[a]]): order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
+def pairs_of_blocks(documents: DataFrame, words: DataFrame, shards: int) -> DataFrame:
+    """Rows (shard, block): ranks of first words within their shard (firsts) and how many seconds each has (fans), numbers of the second words (seconds), training counts
+    of the pairs (counts), and training counts of the different second words, ascending by number (words)."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Pairs(left, right, shards)
+        trained = np.bincount(own.at, np.repeat(~own.held, own.sizes), len(own.key)).astype(np.int64)
+        out = []
+        for shard, i in own.parts.items():
+            firsts, fans = np.unique(own.key[i] >> np.uint64(32), return_counts=True)
+            seconds = (own.key[i] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            _, at = np.unique(seconds, return_index=True)
+            out.append((shard, pack((firsts // np.uint64(shards)).astype(np.int64), True), pack(fans), pack(seconds), pack(trained[i]), pack(own.count[own.second[i[at]]])))
+        block = left.column("block")[0].as_py()
+        cols = list(zip(*out, strict=True))
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array([block] * len(out), pa.int64()), *(pa.array(x, pa.binary()) for x in cols[1:])], ["shard", "block", "firsts", "fans", "seconds", "counts", "words"])
+
+    schema = "shard int, block long, firsts binary, fans binary, seconds binary, counts binary, words binary"
+    return documents.select("block", "held", "sizes", "tokens").groupBy("block").cogroup(words.groupBy("block")).applyInArrow(work, schema)
+
+
+def seat_contexts(context: np.ndarray, customers: np.ndarray, share: np.ndarray, discount: float, rng: np.random.Generator, sweeps: int) -> np.ndarray:
+    """Tables of each dish in the restaurants of ``context`` (from 0) by Gibbs sweeps, given the parent's probability of each dish."""
+    tables = (customers > 0).astype(np.int64)
+    for _ in range(sweeps):
+        others = np.bincount(context, tables)[context] - tables
+        tables = seat(customers, (STRENGTH + discount * others) * share, discount, rng)
+    return tables
+
 
-    return parts.filter("shard >= 0").select("shard", "words", "counts").groupBy("shard").applyInArrow(work, "shard int, words binary, counts binary, n long, v long, ones long, twos long")
+def contexts(pairs: DataFrame, shards: int, n: int, sweeps: int = CONTEXT_SWEEPS) -> DataFrame:
+    """Restaurants of preceding words, all of a word's in its shard: rows of TO_BLOCK, and, without a block, for each shard of words the ranks (one) of its words here and their tables (two)."""
+
+    def work(table: pa.Table) -> pa.Table:
+        shard, low = table.column("shard")[0].as_py(), np.uint64(0xFFFFFFFF)
+        keys, counts, words, shares = [], [], [], []
+        for r in table.select(["firsts", "fans", "seconds", "counts", "words"]).to_pylist():
+            seconds = unpack(r["seconds"]).astype(np.uint64)
+            keys.append(np.repeat(unpack(r["firsts"], True), unpack(r["fans"])).astype(np.uint64) << np.uint64(32) | seconds)
+            counts.append(unpack(r["counts"]))
+            words.append(np.unique(seconds))
+            shares.append(unpack(r["words"]))
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        customers = np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
+        word, first = np.unique(np.concatenate(words), return_index=True)
+        share = np.concatenate(shares)[first] / max(1, n)
+        own = np.searchsorted(word, key & low)
+        context = np.cumsum(np.r_[True, key[1:] >> np.uint64(32) != key[:-1] >> np.uint64(32)]) - 1
+        discount = discount_of((customers == 1).sum(), (customers == 2).sum())
+        tables = seat_contexts(context, customers, share[own], discount, np.random.default_rng([SEED, CONTEXT, shard]), sweeps)
+        total = np.bincount(context, tables).astype(np.int64)
+        out = []
+        for block, i in zip(table.column("block").to_pylist(), np.split(at, cuts), strict=True):
+            here = context[i]
+            out.append((block, shard, discount, pack(customers[i]), pack(tables[i]), pack(total[here[np.r_[True, here[1:] != here[:-1]]]]), None))
+        sums = np.bincount(own, tables, len(word)).astype(np.int64)
+        for to in range(shards):
+            i = np.flatnonzero((word % np.uint64(shards) == to) & (sums > 0))
+            if len(i):
+                out.append((None, to, None, pack((word[i] // np.uint64(shards)).astype(np.int64), True), pack(sums[i]), None, None))
+        return to_block(out)
+
+    return pairs.groupBy("shard").applyInArrow(work, TO_BLOCK)
+
+
+def with_customers(vocab: DataFrame, seated: DataFrame) -> DataFrame:
+    """The vocabulary with the customers of its words: the tables that they have in the restaurants of preceding words."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = np.zeros(len(left.column("counts")[0].as_py()) // 8, np.int64)
+        for one, two in zip(right.column("one"), right.column("two"), strict=True):
+            total[unpack(one.as_py(), True)] += unpack(two.as_py())
+        row = left.select(["shard", "words", "counts"])
+        row = row.append_column("n", pa.array([int(total.sum())])).append_column("customers", pa.array([total.astype("<i8").tobytes()], pa.binary()))
+        return row.append_column("ones", pa.array([int((total == 1).sum())])).append_column("twos", pa.array([int((total == 2).sum())]))
+
+    tables = seated.filter("block IS NULL").select("shard", "one", "two")
+    return vocab.groupBy("shard").cogroup(tables.groupBy("shard")).applyInArrow(work, "shard int, words binary, counts binary, n long, customers binary, ones long, twos long")
 
 
 def seat(customers: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -273,7 +431,7 @@ def sweep(vocab: DataFrame, state: Sweep, order: int, stage: C.Stage) -> tuple[S
                 code, n = _type_grams(own, tables, order)
                 yield pa.RecordBatch.from_arrays([pa.array(["w"] * (len(code) + 1)), pa.array(np.r_[code.astype(np.int64), -1]), pa.array(np.r_[n, tables.sum()])], ["grp", "gram", "n"])
 
-    counts = vocab.select("shard", "words", "counts").mapInArrow(C.tidy(work), "grp string, gram long, n long")
+    counts = vocab.select("shard", "words", "customers").mapInArrow(C.tidy(work), "grp string, gram long, n long")
     counts = stage.table(counts.groupBy("grp", "gram").agg(F.sum("n").alias("n")))
     tables = counts.filter("gram = -1").agg(F.sum("n")).first()[0] or 0
     kept = levels(counts.filter("gram >= 0"), order + 1)
@@ -304,56 +462,56 @@ def score_documents(docs: DataFrame, order: int = ORDER, sweeps: int = SWEEPS, b
     shards = max(8, -(-size // shard_bytes))
     parts = stage.table(blocks(docs, shards, block_bytes))
     vocab = stage.table(vocabulary(parts))
-    n, v, ones, twos = (int(x or 0) for x in vocab.agg(*[F.sum(c) for c in ("n", "v", "ones", "twos")]).first())
+    n, v = (int(x or 0) for x in vocab.agg(F.sum("n"), F.sum("v")).first())
+    documents = parts.filter("shard = -1").select("block", "docs", "held", "sizes", "tokens")
+    seated = stage.table(contexts(pairs_of_blocks(documents, words_of_blocks(parts, vocab, shards), shards), shards, n))
+    counted, vocab = vocab, stage.table(with_customers(vocab, seated))
+    stage.drop(counted)
+    customers, ones, twos = (int(x or 0) for x in vocab.agg(*[F.sum(c) for c in ("n", "ones", "twos")]).first())
     discount = discount_of(ones, twos)
     states, spelling, tables = [], None, v
     for s in range(sweeps):
-        state = Sweep(s, spelling, discount, n, tables)
+        state = Sweep(s, spelling, discount, customers, tables)
         if s >= burn_in:
             states.append(state)
         if s + 1 < sweeps:
             spelling, tables = sweep(vocab, state, order, stage)
     held = spark.sparkContext.broadcast(states)
-    new = np.mean([(STRENGTH + x.discount * x.tables) / (STRENGTH + n) * (1 - m) for x, m in zip(states, known_mass(vocab, held, len(states)), strict=True)])
+    new = np.mean([(STRENGTH + x.discount * x.tables) / (STRENGTH + customers) * (1 - m) for x, m in zip(states, known_mass(vocab, held, len(states)), strict=True)])
     unknown = float(np.log10(max(new, 1e-300)))
 
-    def probabilities(table: pa.Table) -> pa.Table:
-        words, total, _ = _added(table)
-        ordered = sorted(words)
-        place = {w: i for i, w in enumerate(ordered)}
-        counts = total[np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)]
-        shard = table.column("shard")[0].as_py()
-        p = np.zeros(len(ordered))
+    def probabilities(shard: int, words: list[bytes], own: np.ndarray) -> np.ndarray:
+        p = np.zeros(len(words))
         for state in held.value:
-            t, base = state.seat(shard, ordered, counts)
-            own = np.maximum(counts - state.discount * t, 0)
-            p += (own + (STRENGTH + state.discount * state.tables) * base) / (STRENGTH + state.customers)
-        logp = np.log10(np.maximum(p / max(1, len(held.value)), 1e-300))
-        out_block, out_at, out_values = [], [], []
-        for block, own, at in zip(table.column("block"), table.column("words"), table.column("places"), strict=True):
-            w = own.as_py().split(b" ")
-            i = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            out_block.append(block.as_py())
-            out_at.append(at.as_py())
-            out_values.append(np.column_stack([logp[i], counts[i]]).tobytes())
-        return pa.table([pa.array(out_block, pa.int64()), pa.array(out_at, pa.binary()), pa.array(out_values, pa.binary())], ["block", "places", "values"])
-
-    values = parts.filter("shard >= 0").select("shard", "block", "words", "places", "counts").groupBy("shard").applyInArrow(probabilities, "block long, places binary, values binary")
+            t, base = state.seat(shard, words, own)
+            p += (np.maximum(own - state.discount * t, 0) + (STRENGTH + state.discount * state.tables) * base) / (STRENGTH + state.customers)
+        return np.log10(np.maximum(p / max(1, len(held.value)), 1e-300))
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     scale = np.log10(max(n + 0.1 * (v + 1), 1e-300))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in right.column("places")])
-        own = np.concatenate([np.frombuffer(x.as_py()).reshape(-1, 2) for x in right.column("values")])
-        value = np.zeros((at.max() + 1, 4))
-        seen = own[:, 1] > 0
-        value[at] = np.column_stack([np.where(seen, own[:, 0], unknown), np.log10(own[:, 1] + 0.1) - scale, seen, own[:, 0]])
-        row = {c: left.column(c)[0] for c in left.column_names}
-        sizes = np.frombuffer(row["sizes"].as_py(), "<u4").astype(np.int64)
-        sums = C.segment_sums(value[np.frombuffer(row["tokens"].as_py(), "<u4")], np.r_[0, np.cumsum(sizes)])
-        return pa.table([row["docs"].values, pa.array(np.frombuffer(row["held"].as_py(), np.uint8).astype(bool)), pa.array(sizes), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 0]), pa.array(sums[:, 3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "spelled_score"])
-
-    documents = parts.filter("shard = -1").select("block", "docs", "held", "sizes", "tokens")
+        own = Pairs(left, right, shards)
+        kept, opened = np.zeros(len(own.key)), np.zeros(len(own.key))
+        for r in right.to_pylist():
+            if r["shard"] >= 0:
+                i = own.parts[r["shard"]]
+                fans = np.unique(own.key[i] >> np.uint64(32), return_counts=True)[1]
+                kept[i] = np.maximum(unpack(r["one"]) - r["discount"] * unpack(r["two"]), 0)
+                opened[i] = r["discount"] * np.repeat(unpack(r["three"]), fans)
+        room = STRENGTH + own.count[own.first]
+        seen = own.count > 0
+
+        def logs(words: np.ndarray) -> np.ndarray:
+            """log10 of each pair's probability, given those of the words by themselves."""
+            parent = np.log10((STRENGTH + opened) / room) + words[own.second]
+            return np.where(kept > 0, np.log10(np.maximum(kept / room + 10.0**parent, 1e-300)), parent)
+
+        value = np.column_stack([logs(np.where(seen, own.logp, unknown))[own.at], np.log10(own.count[own.flat] + 0.1) - scale, seen[own.flat], logs(own.logp)[own.at]])
+        sums = C.segment_sums(value, np.r_[0, np.cumsum(own.sizes)])
+        return pa.table([left.column("docs")[0].values, pa.array(own.held), pa.array(own.sizes), pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 1]), pa.array(sums[:, 0]), pa.array(sums[:, 3])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "spelled_score"])
+
+    values = words_of_blocks(parts, vocab, shards, probabilities).unionByName(seated.filter("block IS NOT NULL"))
     out = documents.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(scored, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, spelled_score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score", "spelled_score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
