@@ -118,10 +118,13 @@ def histogram_distance(left: DataFrame, right: DataFrame, keys: list[str], item:
 
 
 def jaccard(left: DataFrame, right: DataFrame, keys: list[str], items: list[str]) -> DataFrame:
-    """Intersection over union of two sets of items for each key; 1 where both are empty (the key is then absent)."""
-    a, b = left.select(*keys, *items).distinct().withColumn("_a", F.lit(1)), right.select(*keys, *items).distinct().withColumn("_b", F.lit(1))
-    j = a.join(b, [*keys, *items], "full_outer")
-    return j.groupBy(*keys).agg((F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()) / F.count(F.lit(1))).alias("jaccard"))
+    """Intersection over union of two sets of items for each key; 1 where both are empty (the key is then absent).
+
+    Both sets are put behind each other and grouped once, so sets that are spread by their key already are compared where they lie.
+    """
+    side = lambda df, n: df.select(*keys, *items, F.lit(n).alias("_side"))
+    one = side(left, 1).unionByName(side(right, 2)).groupBy(*keys, *items).agg(F.bit_or("_side").alias("_sides"))
+    return one.groupBy(*keys).agg((F.count_if(F.col("_sides") == 3) / F.count(F.lit(1))).alias("jaccard"))
 
 
 def metric_deltas(before: DataFrame, after: DataFrame, digits: int = 3) -> DataFrame:

@@ -80,13 +80,17 @@ NUMBER = "coalesce((SELECT c.n FROM counted c WHERE c.file_id = n1.file_id AND c
 
 
 def _versions(spark, d):
-    """nodes, edges of all four families and dependence of each version."""
-    nodes = _trees(spark, d)
-    blocks, edges = _flow(spark, d, nodes)
+    """nodes, edges of all four families and dependence of each version. Trees and flow graphs are spread by file once, so windows, joins and comparisons of files send
+    nothing; data and control dependence are written, the other families are made where they are compared."""
+    rows = 2 * D.lines(spark, d)
+    trees = _trees(spark, d)
+    blocks, edges = (M.spread(x, rows) for x in _flow(spark, d, trees))
+    nodes = M.spread(trees, rows)
     out = []
     for own, flow in ((nodes, edges), (nodes.filter("k % 9 <> 4"), edges.filter("kind <> 'true'"))):
-        data, control = P.reaching_definitions(_accesses(own)), P.control_dependence(blocks, flow)
-        out.append((own, M.cut(P.property_graph(own, blocks, flow, data, control)), P.metrics(data, control, own.filter("k > 0"))))
+        data, control = (M.cut(x, rows, spread_already=True) for x in (P.reaching_definitions(_accesses(own)), P.control_dependence(blocks, flow)))
+        graph = P.property_graph(own, blocks, flow, M.spread(data, rows), M.spread(control, rows))
+        out.append((own, graph, P.metrics(data, control, own.filter("k > 0"))))
     return out
 
 
@@ -107,7 +111,7 @@ def _(spark, d):
         calls = nodes.groupBy("file_id").agg(F.count_if((F.col("kind") == "CallExpr") & (F.col("var") % 5 == 0)).alias("dangerous_calls"))
         return calls.join(edges.filter("family = 'ddg'").groupBy("file_id").agg(F.count(F.lit(1)).alias("taint_flows")), "file_id", "left")
 
-    out = P.compare_property_graphs(e1, e2, n1, n2, counts(n1, e1), counts(n2, e2))
+    out = P.compare_property_graphs(e1, e2, n1, n2, counts(n1, e1), counts(n2, e2), D.lines(spark, d))
     return out.select("file_id", *[r6(f"{x}_jaccard") for x in ("node", "ast", "cfg", "ddg", "cdg")], "dangerous_delta", "taint_delta")
 
 
