@@ -99,7 +99,7 @@ def _versions(spark, d):
 SELECT file_id, round(data_jaccard, 6) AS data_jaccard, round(control_jaccard, 6) AS control_jaccard, s2 - s1 AS statement_delta, round(CASE WHEN s2 = 0 THEN 0 ELSE e2 / CAST(s2 AS DOUBLE) END - e1 / CAST(s1 AS DOUBLE), 6) AS density_delta FROM d""", D.FLOW_CTE)
 def _(spark, d):
     (_, e1, m1), (_, e2, m2) = _versions(spark, d)
-    return P.compare_dependence(e1, e2, m1, m2).select("file_id", r6("data_jaccard"), r6("control_jaccard"), "statement_delta", "density_delta")
+    return P.compare_dependence(e1, e2, m1, m2, D.lines(spark, d)).select("file_id", r6("data_jaccard"), r6("control_jaccard"), "statement_delta", "density_delta")
 
 
 @query("property_graph_compare", VERSIONS + f""" SELECT n1.file_id, round(n2.n / CAST(n1.n AS DOUBLE), 6) AS node_jaccard, {", ".join(f"round(coalesce({PICK.format(x)}, 1.0), 6) AS {x}_jaccard" for x in ("ast", "cfg", "ddg", "cdg"))},

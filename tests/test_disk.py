@@ -50,3 +50,16 @@ def test_sets_of_edges_agree_on_nulls_and_repeats_and_graphs_without_a_family(sp
     nodes = spark.createDataFrame([(f, "a") for f in (1, 2, 3)], "file_id long, node_id string")
     got = {r.file_id: (r.node_jaccard, r.ast_jaccard, r.cfg_jaccard, round(r.ddg_jaccard, 6), r.cdg_jaccard) for r in dependence.compare_property_graphs(before, after, nodes, nodes).collect()}
     assert got == {1: (1.0, 1.0, 1.0, 0.333333, 1.0), 2: (1.0, 1.0, 1.0, 1.0, 1.0), 3: (1.0, 1.0, 1.0, 1.0, 0.0)}
+
+
+def test_compared_dependence_makes_and_writes_no_other_family(spark, monkeypatch):
+    written = []
+    own = module_graph.cut
+    keep = lambda df, *args, **kw: written.append((df, args)) or own(df, *args, **kw)
+    monkeypatch.setattr(module_graph, "cut", keep)
+    monkeypatch.setattr(dependence, "cut", keep)
+    catalog.QUERIES["pdg_compare"](spark, SF)
+    assert len(written) == 8 and not [df for df, _ in written if "family" in df.columns]  # trees, statements, two kinds of edges of each version, two comparisons
+    for df, args in written[-2:]:
+        assert df.columns == ["file_id", "jaccard"] and args[0] >= catalog.D.lines(spark, SF)
+        assert "parent_id" not in df._jdf.queryExecution().optimizedPlan().toString()
