@@ -7,10 +7,14 @@ neighbours is ever gathered and a hub costs as much as its edges. The directed f
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .module_graph import cut, lift_to_files
 
+#: Heavy arcs that a bound is taken from, for each of the lowest that are asked for, and more than a rounding to six places moves a value.
+HEAVY, ROUNDED = 64, 1e-5
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b) with a < b: each unordered pair once, no self-loops."""
@@ -62,20 +66,59 @@ def balanced_forman(edges: DataFrame) -> DataFrame:
     return out.select("a", "b", F.when(least <= 1, 0.0).otherwise(value).alias("curvature"))
 
 
+def _arcs(edges: DataFrame) -> DataFrame:
+    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
+    return edges.filter("src <> dst").withColumn("weight", weight)
+
+
+def _into(e: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    return e.filter("weight > 0").groupBy(*within, F.col("dst").alias("src")).agg(F.sum(1 / F.sqrt("weight")).alias("into"))
+
+
+def _out(e: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    return e.filter("weight > 0").groupBy(*within, F.col("src").alias("dst")).agg(F.sum(1 / F.sqrt("weight")).alias("out"))
+
+
+def _directed(e: DataFrame, into: DataFrame, out: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    j = e.join(into.hint("shuffle_hash"), [*within, "src"], "left").join(out.hint("shuffle_hash"), [*within, "dst"], "left").na.fill(0.0, ["into", "out"])
+    value = F.when(F.col("weight") <= 0, 0.0).otherwise(2.0 - F.sqrt("weight") * (F.col("into") + F.col("out")))
+    return j.select(*within, "src", "dst", "weight", value.alias("curvature"))
+
+
 def directed_forman(edges: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
     """(within..., src, dst, weight, curvature) of weighted arcs; parallel arcs stay, self-loops go, weights of 0 or less give 0.
 
     w_u and w_v are 1. The sums over arcs into u and out of v are two aggregates, whatever the degrees. ``within`` names columns that tell graphs apart,
     so many graphs take one pass. They have a row a node, so they are hashed by parts and the arcs are never sorted.
     """
-    weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
-    e = edges.filter("src <> dst").withColumn("weight", weight)
-    positive = e.filter("weight > 0")
-    into = positive.groupBy(*within, F.col("dst").alias("src")).agg(F.sum(1 / F.sqrt("weight")).alias("into"))
-    out = positive.groupBy(*within, F.col("src").alias("dst")).agg(F.sum(1 / F.sqrt("weight")).alias("out"))
-    j = e.join(into.hint("shuffle_hash"), [*within, "src"], "left").join(out.hint("shuffle_hash"), [*within, "dst"], "left").na.fill(0.0, ["into", "out"])
-    value = F.when(F.col("weight") <= 0, 0.0).otherwise(2.0 - F.sqrt("weight") * (F.col("into") + F.col("out")))
-    return j.select(*within, "src", "dst", "weight", value.alias("curvature"))
+    e = _arcs(edges)
+    return _directed(e, _into(e, within), _out(e, within), within)
+
+
+def lowest_forman(edges: DataFrame, n: int, within: tuple[str, ...], rows: int = 0) -> DataFrame:
+    """The rows of directed_forman that are among the ``n`` lowest of their graph, with all ties and what rounding may make one, and few others.
+
+    No other arc is sent anywhere: with the largest sums of a graph's nodes an arc's weight alone tells how low it can be at most. The heaviest arcs, HEAVY for each
+    of the n or all of an equal weight class, are computed first; the n-th of them is a bound, and what can't reach it is left where it is. Where weights tell nothing apart
+    all arcs are heavy, and all are computed. ``edges`` is read several times, so it should be a written table.
+    """
+    e = _arcs(edges)
+    into, out = cut(_into(e, within), rows), cut(_out(e, within), rows)
+    top = into.groupBy(*within).agg(F.max("into").alias("_into")).join(out.groupBy(*within).agg(F.max("out").alias("_out")), [*within], "full_outer")
+    top = top.select(*within, (F.coalesce("_into", F.lit(0.0)) + F.coalesce("_out", F.lit(0.0))).alias("_top"))
+    e = e.withColumn("_class", F.when(F.col("weight") > 0, F.floor(F.log2("weight") * 4)))
+    count = e.filter("_class IS NOT NULL").groupBy(*within, "_class").agg(F.count(F.lit(1)).alias("_n"))
+    so_far = count.withColumn("_n", F.sum("_n").over(W.partitionBy(*within).orderBy(F.desc("_class"))))
+    least = so_far.groupBy(*within).agg(F.coalesce(F.max(F.when(F.col("_n") >= HEAVY * n, F.col("_class"))), F.min("_class")).alias("_least"))
+    known = cut(top.join(least, [*within], "left"), rows)
+    e = e.join(known, [*within], "left").withColumn("_heavy", F.coalesce(F.col("_class") >= F.col("_least"), F.lit(False)))
+    heavy = cut(_directed(e.filter("_heavy").select(*within, "src", "dst", "weight"), into, out, within), rows)
+    place = F.row_number().over(W.partitionBy(*within).orderBy("curvature"))
+    bound = heavy.select(*within, F.col("curvature").alias("_bound"), place.alias("_place")).filter(F.col("_place") == n).drop("_place")
+    low = F.when(F.col("weight") <= 0, 0.0).otherwise(2.0 - F.sqrt("weight") * F.col("_top"))
+    may = F.col("_bound").isNull() | F.col("_top").isNull() | F.isnan(low) | (low <= F.col("_bound") + ROUNDED)
+    rest = e.filter("NOT _heavy").join(cut(bound, rows), [*within], "left").filter(may)
+    return heavy.unionByName(_directed(rest.select(*within, "src", "dst", "weight"), into, out, within))
 
 
 def module_curvature(edges: DataFrame, owner: DataFrame, rel_type: str = "IMPORTS", file: str | None = None) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .module_graph import cut, parts
+
 
 def paths_from_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(process_id, step, node_id) of STEP_IN_PROCESS edges that leave Process nodes; a step that is no number takes its place in the path."""
@@ -27,11 +29,18 @@ def touching(steps: DataFrame, symbols: DataFrame) -> DataFrame:
     return steps.join(ids, "process_id", "left_semi")
 
 
-def transitions_by_file(steps: DataFrame, owner: DataFrame) -> DataFrame:
+def transitions_by_file(steps: DataFrame, owner: DataFrame, rows: int = 0) -> DataFrame:
     """(file, src, dst, weight): of each file the transitions of all paths that touch one of its symbols (owner: id, file), counted. Repeated steps are no transition.
 
-    A path's transitions are counted once and then meet the files that it touches, so paths grow by their files and not by their symbols.
+    A path's transitions are counted once and then meet the files that it touches, so paths grow by their files and not by their symbols. They are sent with the list of these files
+    and become rows of a file where all of a kind are together. Steps are ordered once and written; ``rows`` is their number, for partitions of a fixed size.
     """
-    files = steps.join(owner.filter("file IS NOT NULL").select(F.col("id").alias("node_id"), "file"), "node_id").select("process_id", "file").distinct()
-    arcs = transitions(steps).filter("src <> dst").groupBy("process_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
-    return files.join(arcs, "process_id").groupBy("file", "src", "dst").agg(F.sum("n").cast("double").alias("weight"))
+    spark = steps.sparkSession
+    nxt = F.lead("node_id").over(W.partitionBy("process_id").orderBy("step", "node_id"))
+    paths = cut(steps.select("process_id", "node_id", nxt.alias("dst")), rows)
+    by_path = lambda df: df.repartition(parts(spark, rows), "process_id")
+    touched = paths.select("process_id", "node_id").join(owner.filter("file IS NOT NULL").select(F.col("id").alias("node_id"), "file"), "node_id").select("process_id", "file")
+    files = by_path(touched).groupBy("process_id").agg(F.collect_set("file").alias("files"))
+    arcs = by_path(paths.filter("node_id <> dst").select("process_id", F.col("node_id").alias("src"), "dst")).groupBy("process_id", "src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    alike = arcs.join(files.hint("merge"), "process_id").select("src", "dst", "files", "n").repartition(parts(spark, 4 * rows), "src", "dst")
+    return alike.select(F.explode("files").alias("file"), "src", "dst", "n").groupBy("file", "src", "dst").agg(F.sum("n").cast("double").alias("weight"))

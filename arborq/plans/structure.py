@@ -41,7 +41,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY score, label) AS n
 SELECT file, 'process_transition' AS kind, label, score, score < 0 AS negative FROM r WHERE n <= 5""", D.MODULE_CTE + "," + D.STEPS_CTE)
 def _(spark, d):
     _, _, owner = _graph(spark, d)
-    curved = V.directed_forman(S.transitions_by_file(D.order_steps(spark, d), owner), ("file",)).withColumn("curvature", F.round("curvature", 6))
+    rows = D.lines(spark, d)
+    arcs = M.cut(S.transitions_by_file(D.order_steps(spark, d), owner, rows), 4 * rows)
+    curved = V.lowest_forman(arcs, H.HOTSPOTS, ("file",), 4 * rows).withColumn("curvature", F.round("curvature", 6))
     return H.process_hotspots(curved).select("file", "kind", "label", "score", (F.col("suggestion") == H.TRANSITION[0]).alias("negative"))
 
 

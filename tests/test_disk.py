@@ -2,7 +2,8 @@
 
 import time
 
-from arborq.operators import compare, dependence, module_graph
+import numpy as np
+from arborq.operators import compare, curvature, dependence, module_graph, process, targets
 from arborq.plans import catalog, structure
 from pyspark.sql import functions as F
 
@@ -63,3 +64,28 @@ def test_compared_dependence_makes_and_writes_no_other_family(spark, monkeypatch
     for df, args in written[-2:]:
         assert df.columns == ["file_id", "jaccard"] and args[0] >= catalog.D.lines(spark, SF)
         assert "parent_id" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lowest_arcs_of_graphs_are_those_of_all_arcs_and_others_are_not_sent(spark):
+    rng = np.random.default_rng(3)
+    rows = [("many", f"n{rng.integers(40)}", f"n{rng.integers(40)}", float(w)) for w in rng.geometric(0.4, 3000)]  # a few heavy ones
+    rows += [("alike", f"a{i % 30}", f"a{i % 29}", 1.0) for i in range(800)] + [("few", "x", "y", 2.0), ("few", "y", "x", 0.5), ("few", "y", "y", 9.0)]
+    rows += [("none", f"a{i}", "b", w) for i, w in enumerate((0.0, -1.0, None))] + [("odd", f"a{i % 9}", f"b{i % 7}", float(i % 5) - 1) for i in range(700)]
+    rows += [("hub", "h", f"b{i}", 1.0 + (i == 5) * 3) for i in range(900)]
+    edges = spark.createDataFrame(rows, "file string, src string, dst string, weight double")
+    whole = curvature.directed_forman(edges, ("file",)).withColumn("curvature", F.round("curvature", 6))
+    for n in (1, 5):
+        low = curvature.lowest_forman(edges, n, ("file",))
+        rows_of = lambda df: sorted((r.file, r.score, r.label) for r in targets.process_hotspots(df, n).collect())  # noqa: B023, E731
+        assert rows_of(low.withColumn("curvature", F.round("curvature", 6))) == rows_of(whole)
+        assert {r.file for r in low.select("file").distinct().collect()} == {"many", "alike", "few", "none", "odd", "hub"}
+    assert low.filter("file = 'many'").count() < 0.6 * whole.filter("file = 'many'").count()
+
+
+def test_transitions_become_rows_of_a_file_after_they_are_sent(spark):
+    steps = spark.createDataFrame([(p, i, x) for p, path in ((1, "abab"), (2, "aab"), (3, "c"), (4, "cz")) for i, x in enumerate(path)], "process_id long, step long, node_id string")
+    owner = spark.createDataFrame([("a", "F"), ("b", "F"), ("b", "G"), ("c", "H"), ("z", None)], "id string, file string")
+    got = process.transitions_by_file(steps, owner)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(src" in plan and "Exchange hashpartitioning(file" not in plan
+    assert sorted(tuple(r) for r in got.collect()) == [("F", "a", "b", 3.0), ("F", "b", "a", 1.0), ("G", "a", "b", 3.0), ("G", "b", "a", 1.0), ("H", "c", "z", 1.0)]
