@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import tempfile
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -15,9 +16,11 @@ from .tree import kind_histogram, kind_sequence
 
 CLONE_LIMIT = 0.1
 #: Fixed values of the Gromov-Wasserstein iteration.
-GW_NODES, GW_OUTER, GW_SINKHORN, GW_REGULAR, GW_TOLERANCE = 200, 50, 100, 0.5, 1e-6
+GW_OUTER, GW_SINKHORN, GW_REGULAR, GW_TOLERANCE = 50, 100, 0.5, 1e-6
 #: Relative change of the scaling factors that is rounding alone.
 GW_STILL = 1e-14
+#: Entries of a table that Gromov-Wasserstein holds in memory; a larger one is a file of the task, read in blocks of so many entries.
+GW_ROOM = 1 << 21
 
 
 def encoded(kinds: Column, vocabulary: list[str]) -> Column:
@@ -177,10 +180,24 @@ def clones(sequences: DataFrame, vocabulary: list[str], limit: float = CLONE_LIM
     return near.unionByName(same)
 
 
+def _room(rows: int, columns: int) -> np.ndarray:
+    """A table of zeros, in memory or, beyond GW_ROOM entries, in a file that goes with it."""
+    if rows * columns <= GW_ROOM:
+        return np.zeros((rows, columns))
+    with tempfile.TemporaryFile() as f:
+        return np.memmap(f, np.float64, "w+", shape=(rows, columns))
+
+
+def _blocks(n: int, width: int) -> Iterator[slice]:
+    """Slices of n rows of ``width`` entries, GW_ROOM entries each at most."""
+    step = max(1, GW_ROOM // max(width, 1))
+    return (slice(i, min(i + step, n)) for i in range(0, n, step))
+
+
 def _hops(parents: Sequence[int]) -> np.ndarray:
     """Hop distances within a tree, from each node's parent place (-1 for the root), parents first."""
     n = len(parents)
-    d = np.zeros((n, n))
+    d = _room(n, n)
     for i, p in enumerate(parents):
         if p >= 0:
             d[i, :i] = d[p, :i] + 1
@@ -212,20 +229,76 @@ class Folded:
 
     def __init__(self, hops: np.ndarray, classes: np.ndarray):
         first = np.unique(classes, return_index=True)[1]
+        n = len(hops)
         self.full, self.size = hops, np.bincount(classes).astype(float)
-        self.hops = hops[first] @ (classes[:, None] == np.arange(len(first)))
-        self.square = (hops[first] ** 2).mean(1)
-        self.mean_square = float((hops**2).mean())
+        if n * n <= GW_ROOM:
+            self.hops = hops[first] @ (classes[:, None] == np.arange(len(first)))
+            self.square = (hops[first] ** 2).mean(1)
+            self.mean_square = float((hops**2).mean())
+        else:  # no tree, so each node is a class
+            self.hops = hops
+            self.square = np.concatenate([(hops[x] ** 2).mean(1) for x in _blocks(n, n)])
+            self.mean_square = float(self.square.mean())
         self.top = float(hops.max())
 
-
-def _gw(a: Folded, b: Folded, scale: float) -> float:
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """The summed hops by x (a row a class)."""
+        return self.hops @ x
+
+
+class FoldedTree:
+    """The same of a tree that is too large for a matrix of its hops: all of it comes from sums over subtrees, carried up and down."""
+
+    full = None
+
+    def __init__(self, parents: Sequence[int], classes: np.ndarray):
+        n, m = len(parents), int(classes.max()) + 1
+        self.size = np.bincount(classes).astype(float)
+        self.up = up = [-1] * m  # a class comes behind its parents' class
+        depth = [0] * m
+        for i, p in enumerate(parents):
+            if p >= 0:
+                up[classes[i]] = int(classes[p])
+                depth[classes[i]] = depth[classes[p]] + 1
+        self.depth = np.array(depth, float)
+        self.many = many = [1] + [round(self.size[c] / self.size[up[c]]) for c in range(1, m)]  # children of this class below one node
+        below = [[1, 0, 0] for _ in range(m)]  # nodes of the subtree, sums of their hops and squared hops, exact
+        for c in range(m - 1, 0, -1):
+            a, k, (s0, s1, s2) = below[up[c]], many[c], below[c]
+            a[0], a[1], a[2] = a[0] + k * s0, a[1] + k * (s1 + s0), a[2] + k * (s2 + 2 * s1 + s0)
+        every = [tuple(below[0])] + [(0, 0, 0)] * (m - 1)
+        for c in range(1, m):
+            (s0, s1, s2), (_, t1, t2) = below[c], every[up[c]]
+            a0, a1, a2 = n - s0, t1 - s1 - s0, t2 - s2 - 2 * s1 - s0  # the rest of the tree, from the parent
+            every[c] = (n, s1 + a1 + a0, s2 + a2 + 2 * a1 + a0)
+        self.square = np.array([t2 / n for _, _, t2 in every])
+        self.mean_square = float(self.size @ self.square / n)
+        height, top = [0] * n, 0
+        for i in range(n - 1, 0, -1):
+            p = parents[i]
+            top, height[p] = max(top, height[p] + height[i] + 1), max(height[p], height[i] + 1)
+        self.top = float(top)
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        root = (self.size * self.depth) @ x
+        out = np.array(x, float)
+        for c in range(len(out) - 1, 0, -1):
+            out[self.up[c]] += self.many[c] * out[c]
+        every, out[0] = out[0].copy(), root
+        for c in range(1, len(out)):
+            out[c] = out[self.up[c]] + every - 2 * out[c]
+        return out
+
+
+def _gw(a: Folded | FoldedTree, b: Folded | FoldedTree, scale: float) -> float:
     """Entropic Gromov-Wasserstein discrepancy of two distance matrices, divided by ``scale``, under uniform weights.
 
     A plan starts alike for alike nodes and each step keeps it so, so one entry for each pair of classes has the whole plan. Scaling ends before
     its last round where a round changes nothing any more.
     """
     m, n = a.size, b.size
+    if len(m) * len(n) > GW_ROOM or a.full is None or b.full is None:
+        return _gw_by_blocks(a, b, scale)
     p, q = 1 / m.sum(), 1 / n.sum()
     s1, s2 = a.hops / scale, (b.hops / scale).T
     t = np.full((len(m), len(n)), p * q)
@@ -247,9 +320,52 @@ def _gw(a: Folded, b: Folded, scale: float) -> float:
     return float(m @ ((const - 2 * (s1 @ t @ s2)) * t) @ n)
 
 
+def _gw_by_blocks(a: Folded | FoldedTree, b: Folded | FoldedTree, scale: float) -> float:
+    """The same steps over a plan of any size: the plan and its kernel are tables that may be files, and a step holds a block of rows or columns of them."""
+    m, n = a.size, b.size
+    p, q = 1 / m.sum(), 1 / n.sum()
+    t, k = _room(len(m), len(n)), _room(len(m), len(n))
+    rows, columns = list(_blocks(len(m), len(n))), list(_blocks(len(n), len(m)))
+    for r in rows:
+        t[r] = p * q
+
+    def cost() -> float:
+        """Leaves the costs of plan t in k and returns the least one."""
+        for c in columns:
+            k[:, c] = a.times(t[:, c]) / scale
+        low = np.inf
+        for r in rows:
+            k[r] = (a.square[r, None] + b.square[None, :]) / scale**2 - 2 * (b.times(k[r].T) / scale).T
+            low = min(low, float(k[r].min()))
+        return low
+
+    for _ in range(GW_OUTER):
+        low = cost()
+        for r in rows:
+            k[r] = np.exp(-(k[r] - low) / GW_REGULAR)
+        u = np.ones(len(m))
+        for _ in range(GW_SINKHORN):
+            v = q / np.maximum(sum((m[r] * u[r]) @ k[r] for r in rows), 1e-300)
+            was, u = u, p / np.maximum(np.concatenate([k[r] @ (n * v) for r in rows]), 1e-300)
+            if (np.abs(u - was) <= GW_STILL * u).all():
+                break
+        moved = 0.0
+        for r in rows:
+            new = u[r, None] * k[r] * v[None, :]
+            moved = max(moved, float(np.abs(new - t[r]).max()))
+            t[r] = new
+        if moved < GW_TOLERANCE:
+            break
+    cost()
+    return float(sum(m[r] @ (k[r] * t[r]) @ n for r in rows))
+
+
 @lru_cache(maxsize=16)
-def _folded(parents: tuple[int, ...]) -> Folded:
-    return Folded(_hops(parents), _alike(parents))
+def _folded(parents: tuple[int, ...]) -> Folded | FoldedTree:
+    classes = _alike(parents)
+    if len(parents) ** 2 > GW_ROOM and sum(p < 0 for p in parents) == 1 and all(p < i for i, p in enumerate(parents)):
+        return FoldedTree(parents, classes)
+    return Folded(_hops(parents), classes)
 
 
 @lru_cache(maxsize=16)
@@ -259,15 +375,18 @@ def _own_term(parents: tuple[int, ...], scale: float) -> float:
 
 
 def gw_distance(parents_a: list[int], parents_b: list[int]) -> float:
-    """In [0, 1]: 0 for equal trees; 1 where one is empty. Only the first GW_NODES nodes in pre-order take part.
+    """In [0, 1]: 0 for equal trees; 1 where one is empty. All nodes take part; large trees take a plan of all pairs of their classes of alike nodes.
 
     A tree's own part is remembered for the next pairs, so pairs that share a tree go well behind each other.
     """
-    own_a, own_b = (tuple(int(x) for x in own[:GW_NODES]) for own in (parents_a, parents_b))
+    own_a, own_b = (tuple(int(x) for x in own) for own in (parents_a, parents_b))
     if not own_a or not own_b:
         return 0.0 if len(own_a) == len(own_b) else 1.0
+    if own_a == own_b:
+        return 0.0
     a, b = _folded(own_a), _folded(own_b)
-    if a.full.shape == b.full.shape and (a.full == b.full).all():
+    # trees of other parents have other hops; what is no tree may have the same
+    if len(own_a) == len(own_b) and a.full is not None and b.full is not None and all((a.full[r] == b.full[r]).all() for r in _blocks(len(own_a), len(own_a))):
         return 0.0
     scale = max(a.top, b.top, 1.0)
     self_term = max((_own_term(own_a, scale) + _own_term(own_b, scale)) / 2, 0.0)
@@ -284,8 +403,8 @@ def tree_gw(a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(distance, "double")(a, b)
 
 
-def parent_places(nodes: DataFrame, limit: int = GW_NODES) -> DataFrame:
-    """(file_id, parents): parent place of each of the first nodes in pre-order."""
+def parent_places(nodes: DataFrame) -> DataFrame:
+    """(file_id, parents): parent place of each node in pre-order."""
     up = nodes.select("file_id", F.col("node_id").alias("parent_id"), F.col("pre").alias("parent_pre"))
-    j = sorted_join(nodes.filter(F.col("pre") < limit), up, ["file_id", "parent_id"], "left")
+    j = sorted_join(nodes, up, ["file_id", "parent_id"], "left")
     return j.groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pre", F.coalesce("parent_pre", F.lit(-1)).cast("int").alias("p")))), lambda x: x["p"]).alias("parents"))

@@ -89,3 +89,31 @@ def test_transitions_become_rows_of_a_file_after_they_are_sent(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(src" in plan and "Exchange hashpartitioning(file" not in plan
     assert sorted(tuple(r) for r in got.collect()) == [("F", "a", "b", 3.0), ("F", "b", "a", 1.0), ("G", "a", "b", 3.0), ("G", "b", "a", 1.0), ("H", "c", "z", 1.0)]
+
+
+def test_gw_takes_whole_trees_and_large_plans_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    tree = lambda n, back: [-1, *(int(rng.integers(max(0, i - back), i)) for i in range(1, n))]
+    same = tree(200, 5)
+    tails = [same + [199 + i for i in range(100)], same + [0] * 100]  # alike in their first 200 nodes
+    assert compare.gw_distance(*tails) > 0.01
+    rows = [(1, f"n{i}", f"n{p}" if p >= 0 else None, i) for i, p in enumerate(tails[0])]
+    nodes = spark.createDataFrame(rows, "file_id long, node_id string, parent_id string, pre long")
+    assert compare.parent_places(nodes).collect()[0].parents == tails[0]
+    trees = [tree(n, back) for n, back in ((1, 1), (2, 1), (40, 3), (70, 60), (55, 1))] + [[-1] + [0] * 50 + [1] * 3, [-1, 0, -1, 2, 2, 0], [-1, 3, 0, 0]]
+    want = {(i, j): compare.gw_distance(a, b) for i, a in enumerate(trees) for j, b in enumerate(trees)}
+    for room in (1, 37, 900):
+        monkeypatch.setattr(compare, "GW_ROOM", room)
+        compare._folded.cache_clear()
+        compare._own_term.cache_clear()
+        for (i, j), d in want.items():
+            assert abs(compare.gw_distance(trees[i], trees[j]) - d) < 1e-9, (room, i, j)
+    compare._folded.cache_clear()
+    compare._own_term.cache_clear()
+    for own in trees[:6]:
+        hops, classes = compare._hops(own), compare._alike(own)
+        folded, whole = compare.FoldedTree(own, classes), compare.Folded(np.array(hops), classes)
+        x = rng.random((int(classes.max()) + 1, 3))
+        first = np.unique(classes, return_index=True)[1]
+        assert np.allclose(folded.times(x), hops[first] @ x[classes]) and folded.top == whole.top
+        assert np.allclose(folded.square, (hops[first] ** 2).mean(1)) and np.isclose(folded.mean_square, (hops**2).mean())
